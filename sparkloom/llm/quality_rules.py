@@ -24,7 +24,7 @@ from sparkloom.llm.ngrams import BUCKETS, arrow_rows, frequencies, platt, probab
 #: Bound on the labelled rows the regression is fitted to.
 FIT_ROWS = 3_000
 #: Texts whose calibrated probability of good quality is lower are rejected.
-THRESHOLD = 0.2
+THRESHOLD = 0.1
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
