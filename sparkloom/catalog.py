@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from sparkloom.plans import aggregates, documents, events, graphs, messages, orders, streams, vectors  # noqa: F401  each registers its queries
+from sparkloom.registry import ORACLES, QUERIES, Query
 
-def queries():
-    return {}
 
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
 
-def oracle_sql():
-    return {}
+
+def oracle_sql() -> dict[str, str]:
+    return dict(ORACLES)
