@@ -9,8 +9,9 @@ word sequence when shorter). Documents are linked when 100 * intersection >= per
 3. Every bucket first compares its members with one pivot. Pairs are checked on signatures, then on full sets.
 4. Links become components by alternating large-star and small-star.
 5. Buckets whose members still lie in several components hold pairs not yet compared. All of these are compared:
-   members outside a bucket's main component meet the bucket's members in blocks, each block in its own task.
-   Only pairs whose signatures leave a link possible come out, are verified, and join the components.
+   members outside a bucket's main component meet the bucket's members in blocks, each block in its own task. A
+   first pass over signatures finds the members that may have a link there, a second one verifies their pairs on
+   full sets and returns links only; a pair is compared in the first bucket that both share.
 
 No bucket is capped, no bucket's pairs are listed, and no links or components reach the driver.
 
@@ -86,10 +87,16 @@ def jaccard_at_least(a: pa.Array, b: pa.Array, percent: int) -> pa.Array:
     return pa.array(out, type=pa.bool_())
 
 
-def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """The distinct pairs(a, b) of ids in texts(id, text) whose full shingle sets are similar enough."""
-    wanted = pairs.select(F.col("a").alias("id")).union(pairs.select("b")).distinct()
-    sets = materialize(texts.join(wanted, "id", "left_semi").select("id", F.arrow_udf(_sets, "binary")("text").alias("set")))
+def shingle_sets(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(id, set) of the texts(id, text) whose id is in wanted(id).
+
+    The merge join keeps the plan the same at every size, as the wanted ids grow with the corpus."""
+    found = texts.join(wanted.distinct().hint("merge"), "id", "left_semi")
+    return materialize(found.select("id", F.arrow_udf(_sets, "binary")("text").alias("set")))
+
+
+def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The distinct pairs(a, b) of ids in sets(id, set) whose sets are similar enough."""
     left, right = sets.select(F.col("id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("id").alias("b"), F.col("set").alias("sb"))
     near = 100 * F.least(F.length("sa"), F.length("sb")) >= percent * F.greatest(F.length("sa"), F.length("sb"))
 
@@ -97,9 +104,7 @@ def verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
         return jaccard_at_least(a, b, percent)
 
     links = pairs.join(left, "a").join(right, "b").where(near).where(F.arrow_udf(check, "boolean")("sa", "sb"))
-    links = materialize(links.select("a", "b").distinct())
-    release(sets)
-    return links
+    return materialize(links.select("a", "b").distinct())
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -124,36 +129,83 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
     return ids.unionByName(ids.select(F.col("component").alias("id"), "component").distinct())
 
 
-def _compare_blocks(percent: int):
-    """Pairs of different components in a block whose signatures leave a link possible."""
+MEMBER = "key long, block int, band int, pivot long, main long, id long, component long, n long, minima binary"
+_NAMES = [x.split()[0] for x in MEMBER.split(", ")]
+
+
+def _possible(outside: pa.Table, block: pa.Table, percent: int):
+    """For each row of outside, the rows of block of another component that it may be linked with and meets here first."""
     least = least_matches(percent)
+    ids, comps, ns = (block[c].to_numpy() for c in ("id", "component", "n"))
+    sigs = np.frombuffer(b"".join(block["minima"].to_pylist()), dtype="<u4").reshape(-1, MINIMA)
+    columns = (outside[x].to_pylist() for x in ("id", "component", "n", "minima", "band", "pivot", "main"))
+    for row, (i, c, n, s, band, pivot, main) in enumerate(zip(*columns, strict=True)):
+        if i == pivot:
+            continue
+        # Two rows outside the main component meet twice, and the pivot has been compared.
+        hit = (comps != c) & ((comps == main) | (ids > i)) & (ids != pivot) & (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n))
+        at = np.flatnonzero(hit)
+        same = sigs[at] == np.frombuffer(s, dtype="<u4")
+        keep = same.sum(axis=1) >= least
+        at, same = at[keep], same[keep]
+        bands = same.reshape(-1, BANDS, ROWS).all(axis=2)
+        yield row, at[bands.argmax(axis=1) == band] if len(at) else at
+
+
+def _involved(percent: int):
+    def run(key, outside: pa.Table, block: pa.Table) -> pa.Table:
+        left, right = [], np.zeros(block.num_rows, dtype=bool)
+        if outside.num_rows and block.num_rows:
+            for row, at in _possible(outside, block, percent):
+                right[at] = True
+                if len(at):
+                    left.append(row)
+        both = pa.concat_tables([outside.take(pa.array(left, type=pa.int64())), block.filter(pa.array(right))])
+        return both.append_column("is_outside", pa.array([True] * len(left) + [False] * int(right.sum()), type=pa.bool_()))
+
+    return run
+
 
+def _linked(percent: int):
     def run(key, outside: pa.Table, block: pa.Table) -> pa.Table:
-        a, b = [], []
+        a, b, root = [], [], {}
+
+        def find(x):
+            while (y := root.get(x, x)) != x:
+                x = y
+            return x
+
         if outside.num_rows and block.num_rows:
-            ids, comps, ns = (block[c].to_numpy() for c in ("id", "component", "n"))
-            sigs = np.frombuffer(b"".join(block["minima"].to_pylist()), dtype="<u4").reshape(-1, MINIMA)
-            for i, c, n, s in zip(*(outside[x].to_pylist() for x in ("id", "component", "n", "minima")), strict=True):
-                hit = ((sigs == np.frombuffer(s, dtype="<u4")).sum(axis=1) >= least) & (comps != c) & (100 * np.minimum(ns, n) >= percent * np.maximum(ns, n))
-                for j in ids[hit].tolist():
-                    a.append(min(i, j)), b.append(max(i, j))
+            sets = [np.frombuffer(x, dtype="<u8") for x in block["set"].to_pylist()]
+            ids, comps = block["id"].to_pylist(), block["component"].to_pylist()
+            own, own_comps, own_sets = (outside[c].to_pylist() for c in ("id", "component", "set"))
+            for row, at in _possible(outside, block, percent):
+                mine = np.frombuffer(own_sets[row], dtype="<u8")
+                for j in at.tolist():
+                    if (x := find(own_comps[row])) != (y := find(comps[j])):
+                        both = len(np.intersect1d(mine, sets[j], assume_unique=True))
+                        if 100 * both >= percent * (len(mine) + len(sets[j]) - both):
+                            root[max(x, y)] = min(x, y)
+                            a.append(min(own[row], ids[j])), b.append(max(own[row], ids[j]))
         return pa.table([pa.array(a, type=pa.int64()), pa.array(b, type=pa.int64())], names=["a", "b"])
 
     return run
 
 
-def unresolved_pairs(buckets: DataFrame, labels: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of ids that share a bucket(key, id) but no component; labels is (id, component)."""
-    members = buckets.select("key", "id").join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def remaining_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links that join what labels(id, component) leaves apart in buckets(key, band, id, pivot)."""
+    members = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
     signed = materialize(members.join(main.where("parts > 1 and size > 2").drop("parts"), "key").join(classes.select("id", "n", "minima"), "id"))
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    columns = ["key", "block", "id", "component", "n", "minima"]
-    inside = signed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select(columns)
-    outside = signed.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select([F.col(c).alias(c) for c in columns])
-    met = outside.groupBy("key", "block").cogroup(inside.groupBy("key", "block")).applyInArrow(_compare_blocks(percent), "a long, b long")
-    return met.distinct()
+    inside = signed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select(_NAMES)
+    outside = signed.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select([F.col(c).alias(c) for c in _NAMES])
+    keys = ["key", "block"]
+    found = materialize(outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(_involved(percent), f"{MEMBER}, is_outside boolean"))
+    full = found.join(sets, "id")
+    left, right = (full.where(F.col("is_outside") == side).select([F.col(c).alias(c) for c in [*_NAMES, "set"]]) for side in (True, False))
+    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_linked(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -164,15 +216,17 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     classes = materialize(classes)
 
     bands = F.array(*[F.xxhash64(F.substring("minima", 4 * ROWS * i + 1, 4 * ROWS), F.lit(i)) for i in range(BANDS)])
-    every = classes.select("id", F.explode(bands).alias("key"))
+    every = classes.select("id", F.posexplode(bands).alias("band", "key"))
     pivots = every.groupBy("key").agg(F.min("id").alias("pivot"), F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = materialize(every.join(pivots, "key"))
-    star = materialize(buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct())
-    links = verified(star, raw, percent)
+    star = buckets.where("id <> pivot").select(F.col("pivot").alias("a"), F.col("id").alias("b")).distinct()
+    sets = shingle_sets(raw, buckets.select("id"))
+    links = verified(star, sets, percent)
     labels = materialize(components(links))
-    rest = materialize(unresolved_pairs(buckets, labels, classes, percent).join(star, ["a", "b"], "left_anti"))
+    rest = materialize(remaining_links(buckets, labels, classes, sets, percent))
     if not rest.isEmpty():
-        labels = components(links.unionByName(verified(rest, raw, percent)))
+        labels = components(links.unionByName(rest))
+    release(sets)
     named = classes.select("digest", "id").join(labels, "id", "left").select("digest", F.coalesce("component", "id").alias("component"))
     grouped = named.withColumnRenamed("component", "found")
     done = rows.select("id", "n", "digest").join(grouped, "digest", "left").withColumn("component_id", F.coalesce("found", "id"))
@@ -186,6 +240,6 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
     found = near_duplicates(docs, percent, key, text)
     found = materialize(found.where(F.col(key).isNotNull()))
     dropped = found.where(~F.col("kept")).select(key).distinct()
-    left = docs.join(dropped, key, "left_anti")
+    left = docs.join(dropped.hint("merge"), key, "left_anti")
     repeated = found.groupBy(key).count().where("count > 1").isEmpty()
     return left if repeated else left.dropDuplicates([key, text])
