@@ -59,15 +59,19 @@ def feature_hashes(text: str | None) -> np.ndarray:
 def indicators(text: str | None) -> np.ndarray:
     """The buckets that a text fills, sorted, each once."""
     seen = np.zeros(BUCKETS, dtype=bool)
-    seen[feature_hashes(text) >> np.uint64(46)] = True
+    seen[(feature_hashes(text) >> np.uint64(46)).view(np.int64)] = True
     return np.flatnonzero(seen).astype(np.int32)
 
 
 def frequencies(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that a text fills and their damped counts, scaled to length 1."""
-    counts = np.bincount((feature_hashes(text) >> np.uint64(46)).astype(np.int64), minlength=BUCKETS)
-    at = np.flatnonzero(counts)
-    values = np.log1p(counts[at]).astype(np.float32)
+    filled = (feature_hashes(text) >> np.uint64(46)).view(np.int64)
+    seen = np.zeros(BUCKETS, dtype=bool)
+    seen[filled] = True
+    at = np.flatnonzero(seen)
+    place = np.empty(BUCKETS, dtype=np.int32)
+    place[at] = np.arange(len(at))
+    values = np.log1p(np.bincount(place[filled], minlength=len(at))).astype(np.float32)
     return at.astype(np.int32), values / max(float(np.sqrt(values @ values)), 1e-9)
 
 
