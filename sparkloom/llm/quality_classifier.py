@@ -39,23 +39,25 @@ class NBSVM:
         return float(probability(self.margin(at), self.a, self.b))
 
 
-def log_count_ratios(labelled: DataFrame) -> np.ndarray:
-    """log((p / |p|) / (q / |q|)) of each bucket, p and q being 1 + the texts of either class that fill it; labelled has text and label."""
+def log_count_ratios(labelled: DataFrame) -> tuple[np.ndarray, int, int]:
+    """The rows of label 0 and 1, and before them log((p / |p|) / (q / |q|)) of each bucket, p and q being 1 + the texts of either class that fill it; labelled has text and label."""
 
     def count(batches):
-        sums = np.zeros((2, BUCKETS), dtype=np.int64)
+        sums = np.zeros((2, BUCKETS + 1), dtype=np.int64)  # the last bucket counts the rows
         for batch in batches:
             for text, label in zip(batch.column(0), batch.column(1), strict=True):
-                sums[int(label.as_py() == 1), indicators(text.as_py())] += 1
+                sums[int(label.as_py() == 1), np.append(indicators(text.as_py()), BUCKETS)] += 1
         at = np.flatnonzero(sums.any(axis=0))
         yield pa.record_batch([pa.array(at), pa.array(sums[0, at]), pa.array(sums[1, at])], names=["bucket", "n0", "n1"])
 
     counted = labelled.mapInArrow(count, "bucket long, n0 long, n1 long").groupBy("bucket").agg(F.sum("n0"), F.sum("n1")).toPandas().to_numpy()
-    p, q = np.ones(BUCKETS), np.ones(BUCKETS)
+    p, q = np.ones(BUCKETS + 1), np.ones(BUCKETS + 1)
     if len(counted):
         q[counted[:, 0]] += counted[:, 1]
         p[counted[:, 0]] += counted[:, 2]
-    return np.log(p / p.sum()) - np.log(q / q.sum())
+    n0, n1 = int(q[-1] - 1), int(p[-1] - 1)
+    p, q = p[:-1], q[:-1]
+    return np.log(p / p.sum()) - np.log(q / q.sum()), n0, n1
 
 
 def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios: np.ndarray, c: float = 1.0, epochs: int = 12) -> tuple[np.ndarray, float]:
@@ -75,21 +77,18 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios:
     return w * ratios, bias
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS) -> NBSVM:
-    """Fit to labelled(text, label 0/1); see the module."""
+def train(labelled: DataFrame, sample: DataFrame) -> NBSVM:
+    """Count ratios over all of labelled(text, label 0/1) and fit to the bounded sample(text, label); see the module."""
     labelled = labelled.select("text", "label").where("label in (0, 1)")
-    sizes = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
-    n0, n1 = sizes.get(0, 0), sizes.get(1, 0)
+    ratios, n0, n1 = log_count_ratios(labelled)
     if not n0 or not n1:
         share = n1 / (n0 + n1) if n0 + n1 else 0.5
         return NBSVM(np.zeros(BUCKETS), 0.0, 0.0, float(np.log((share + 1e-6) / (1 - share + 1e-6))))
-    ratios = log_count_ratios(labelled)
 
     def featurize(batch):
         return pa.record_batch([pa.array([indicators(t.as_py()).tobytes() for t in batch.column(0)], type=pa.binary()), batch.column(1)], names=["at", "label"])
 
-    order = F.xxhash64(F.coalesce("text", F.lit("")), F.lit(11))
-    sample = labelled.withColumn("o", order).orderBy("o", "label").limit(fit_rows).select("text", "label") if n0 + n1 > fit_rows else labelled
+    sample = sample.select("text", F.col("label").cast("int").alias("label"))
     rows = sorted((r["at"], r["label"]) for r in sample.mapInArrow(arrow_rows(featurize), "at binary, label int").collect())
     at = [np.frombuffer(x, dtype=np.int32) for x, _ in rows]
     y = np.array([1 if label == 1 else -1 for _, label in rows])

@@ -69,16 +69,15 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, epochs: int = 60) -> Regression | None:
-    """Fit to labelled(text, label 0/1) by full-batch adaptive gradient steps; None when a class is missing."""
+def train(labelled: DataFrame, epochs: int = 60) -> Regression | None:
+    """Fit to a bounded labelled(text, label 0/1) by full-batch adaptive gradient steps; None when a class is missing."""
 
     def featurize(batch):
         pairs = [frequencies(t.as_py()) for t in batch.column(0)]
         return pa.record_batch([pa.array([p[0].tobytes() for p in pairs], type=pa.binary()), pa.array([p[1].astype(np.float32).tobytes() for p in pairs], type=pa.binary()), batch.column(1)], names=["at", "v", "label"])
 
     labelled = labelled.select("text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    sample = labelled.orderBy(F.xxhash64(F.coalesce("text", F.lit("")), F.lit(5)), "label").limit(fit_rows)
-    rows = sorted((r["at"], r["v"], r["label"]) for r in sample.mapInArrow(arrow_rows(featurize), "at binary, v binary, label int").collect())
+    rows = sorted((r["at"], r["v"], r["label"]) for r in labelled.mapInArrow(arrow_rows(featurize), "at binary, v binary, label int").collect())
     y = np.array([r[2] for r in rows])
     if not len(rows) or y.min() == y.max():
         return None
@@ -125,11 +124,17 @@ def measure_and_score(docs: DataFrame, model: Regression | None, text: str = "te
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the base rules or the model reject; labels(doc_id, quality) teach the model."""
-    model = train(labelled_rows(docs, labels))
+    model = train(labelled_rows(docs, labels, FIT_ROWS))
     return measure_and_score(docs, model).where("quality.kept").drop("quality")
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, where: str = "true") -> DataFrame:
-    """(text, label) of the docs that labels name; where may hold rows back by doc_id."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1)").where(where)
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "label")
+def labelled_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:
+    """(text, label) of the docs that labels name.
+
+    With a bound, that many labels (the first by a hash of the id) are chosen before any text is read, and as so few
+    they are broadcast. Without one both sides are merged, at every size alike."""
+    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    if most is None:
+        return docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "label")
+    chosen = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "label").limit(most)
+    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")

@@ -81,7 +81,7 @@ def _held_out(doc_id: str = "doc_id"):
 def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
     known = _read(spark, sf_dir, "labels").where(~_held_out())
-    model = quality_classifier.train(quality_rules.labelled_rows(docs, known))
+    model = quality_classifier.train(quality_rules.labelled_rows(docs, known), quality_rules.labelled_rows(docs, known, quality_classifier.FIT_ROWS))
     scored = quality_classifier.score_texts(docs, model)
     return scored.select("doc_id", _held_out().alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
@@ -102,7 +102,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text")
-    model = quality_rules.train(quality_rules.labelled_rows(docs, _read(spark, sf_dir, "labels")))
+    model = quality_rules.train(quality_rules.labelled_rows(docs, _read(spark, sf_dir, "labels"), quality_rules.FIT_ROWS))
     q = quality_rules.measure_and_score(docs, model)
     columns = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "score")
     return q.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in columns])

@@ -421,6 +421,6 @@ def test_held_out_quality(spark):
 
 def test_classifier_without_labels(docs, empty, spark):
     none = spark.createDataFrame([], "text string, label int")
-    model = quality_classifier.train(none)
+    model = quality_classifier.train(none, none)
     assert {round(r["score"], 6) for r in quality_classifier.score_texts(docs, model).collect()} == {0.5}
     assert quality_classifier.score_texts(empty, model).count() == 0
