@@ -23,6 +23,8 @@ from sparkloom.llm.ngrams import BUCKETS, arrow_rows, frequencies, platt, probab
 
 #: Bound on the labelled rows the regression is fitted to.
 FIT_ROWS = 3_000
+#: Words of the bit table that keeps texts without a label out of the merge; what is broadcast never exceeds it.
+FILTER_WORDS = 1 << 20
 #: Texts whose calibrated probability of good quality is lower are rejected.
 THRESHOLD = 0.1
 WINDOW = 5
@@ -132,9 +134,19 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -
     """(text, label) of the docs that labels name.
 
     With a bound, that many labels (the first by a hash of the id) are chosen before any text is read, and as so few
-    they are broadcast. Without one both sides are merged, at every size alike."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
+    they are broadcast. Without one both sides are merged, at every size alike, after most texts without a label have
+    been left out by a bit table of fixed size."""
+    docs = docs.select("doc_id", "text")
+    known = labels.select(F.col("doc_id").try_cast(docs.schema["doc_id"].dataType).alias("doc_id"), F.col("quality").cast("int").alias("label")).where("label in (0, 1) and doc_id is not null")
     if most is None:
-        return docs.select("doc_id", "text").join(known.hint("merge"), "doc_id").select("text", "label")
+        return _maybe_named(docs, known).join(known.hint("merge"), "doc_id").select("text", "label")
     chosen = known.orderBy(F.xxhash64("doc_id", F.lit(5)), "doc_id", "label").limit(most)
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "label")
+    return docs.join(F.broadcast(chosen), "doc_id").select("text", "label")
+
+
+def _maybe_named(docs: DataFrame, known: DataFrame) -> DataFrame:
+    """docs(doc_id, text) less rows whose id surely is not in known: one bit per id, in at most FILTER_WORDS words of 64."""
+    word = F.expr(f"pmod(shiftright(xxhash64(doc_id), 6), {FILTER_WORDS})").alias("word")
+    bit = "cast(xxhash64(doc_id) & 63 as int)"
+    bits = known.groupBy(word).agg(F.expr(f"bit_or(shiftleft(1L, {bit}))").alias("bits"))
+    return docs.withColumn("word", word).join(F.broadcast(bits), "word").where(f"getbit(bits, {bit}) = 1").select("doc_id", "text")

@@ -424,3 +424,14 @@ def test_classifier_without_labels(docs, empty, spark):
     model = quality_classifier.train(none, none)
     assert {round(r["score"], 6) for r in quality_classifier.score_texts(docs, model).collect()} == {0.5}
     assert quality_classifier.score_texts(empty, model).count() == 0
+
+
+@pytest.mark.parametrize("words", [1, 1 << 20])
+def test_labelled_rows_lose_nothing(spark, monkeypatch, words):
+    monkeypatch.setattr(quality_rules, "FILTER_WORDS", words)
+    docs = [(i, f"text {i}") for i in range(0, 900, 2)] + [(None, "no id"), (4, "again"), (6, None)]
+    labels = [(i, i % 2, 0, "clash") for i in range(0, 900, 3)] + [(6, 1, 0, "twice"), (12, None, 0, None), (None, 1, 0, None), (18, 7, 0, None)]
+    table = spark.createDataFrame(labels, "doc_id int, quality int, toxic int, text string")
+    got = quality_rules.labelled_rows(spark.createDataFrame(docs, "doc_id long, text string"), table).collect()
+    want = Counter((t, q) for i, t in docs for j, q, *_ in labels if i is not None and i == j and q in (0, 1))
+    assert Counter(map(tuple, got)) == want
