@@ -11,7 +11,7 @@ ties at the threshold are kept; extra columns are ignored (or passed on by ``kee
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -72,14 +72,28 @@ def base_failed(n_words: int, n_repeat: int) -> bool:
 
 
 def train(labelled: DataFrame, epochs: int = 60) -> Regression | None:
-    """Fit to a bounded labelled(text, label 0/1) by full-batch adaptive gradient steps; None when a class is missing."""
+    """Fit to a bounded labelled(text, label 0/1) by full-batch adaptive gradient steps; None when a class is missing.
+
+    Features are taken where the texts lie; one task fits the bounded sample, and the driver receives the weights alone."""
 
     def featurize(batch):
         pairs = [frequencies(t.as_py()) for t in batch.column(0)]
         return pa.record_batch([pa.array([p[0].tobytes() for p in pairs], type=pa.binary()), pa.array([p[1].astype(np.float32).tobytes() for p in pairs], type=pa.binary()), batch.column(1)], names=["at", "v", "label"])
 
+    def fitted(batches):
+        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
+        model = fit(rows, epochs)
+        if model is not None:
+            yield pa.RecordBatch.from_pylist([asdict(model) | {"weights": model.weights.tobytes()}])
+
     labelled = labelled.select("text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
-    rows = sorted((r["at"], r["v"], r["label"]) for r in labelled.mapInArrow(arrow_rows(featurize), "at binary, v binary, label int").collect())
+    features = labelled.mapInArrow(arrow_rows(featurize), "at binary, v binary, label int")
+    found = features.repartition(1).mapInArrow(fitted, "weights binary, bias double, a double, b double").collect()
+    return Regression(np.frombuffer(found[0]["weights"], dtype=np.float32), found[0]["bias"], found[0]["a"], found[0]["b"]) if found else None
+
+
+def fit(rows: list[tuple[bytes, bytes, int]], epochs: int) -> Regression | None:
+    """The regression for sorted rows of filled buckets (int32), their values (float32) and label."""
     y = np.array([r[2] for r in rows])
     if not len(rows) or y.min() == y.max():
         return None
