@@ -2,8 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes each result to the shared folder and
 reads it back as the next stage's documents. Rejected documents go; of each group of near copies one stays;
-documents that hold a benchmark item go; live-looking credentials are replaced in the texts; the texts that are
-left are packed into sequences of 1024 tokens.
+documents that hold a benchmark item go; credentials are replaced in the texts unless they are placeholders or
+widely copied; the texts that are left are packed into sequences of 1024 tokens.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return secret_scan.redact_live(docs)
+    return secret_scan.redact_live(docs, shared_by=secret_scan.WIDELY_SHARED_BY)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 Each whole text is scanned for candidate spans. The hash of every candidate's value is then counted over the
 corpus by distinct repositories and owners: a value that several owners hold is a copied example, one that stays
-with a single owner (and does not look like a placeholder) is a live-looking credential.
+with a single owner (and does not look like a placeholder) is a live-looking credential. Copies of one text are one
+holding, whoever keeps them: each distinct text counts for one repository and one owner, the smallest of its hashes.
 
 Spans are code points of the whole match, ends exclusive. Base kinds are assign, access and hex; the method adds
 pem (private key blocks), jwt, and prefixed (vendor-prefixed tokens).
 
 Defined cases: a null or empty text has no spans; null repositories and owners count as one each; repeated rows
-are each answered and do not add owners; extra columns are ignored.
+and copies in other repositories are each answered and do not add owners; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,6 +43,8 @@ _HINT = r"(?i:password|passwd|secret|token|api_?key)|AKIA|[0-9a-f]{24}|PRIVATE K
 PLACEHOLDERS = ("example", "changeme", "dummy", "placeholder", "xxxxxx", "your_", "redacted")
 #: A value that so many distinct owners or repositories hold is a copied example.
 SHARED_BY = 2
+#: ``redact_live`` in the pipeline leaves a value in the clear only where so many hold it, each in a text of its own.
+WIDELY_SHARED_BY = 10
 
 SPAN = "struct<kind_order int, kind string, start int, end int, value_hash long, placeholder boolean>"
 
@@ -69,8 +72,9 @@ def spans_of(texts: pa.Array) -> pa.Array:
 
 
 def ownership(scanned: DataFrame) -> DataFrame:
-    """value_hash with its numbers of distinct repositories and owners in the corpus."""
-    held = scanned.where(F.size("spans") > 0).select(F.explode("spans.value_hash").alias("value_hash"), F.xxhash64("repository").alias("r"), F.xxhash64("owner").alias("o")).distinct()
+    """value_hash with its numbers of distinct repositories and owners in the corpus, one of each for a distinct text."""
+    each = scanned.where(F.size("spans") > 0).select(F.explode("spans.value_hash").alias("value_hash"), "text_hash", F.xxhash64("repository").alias("r"), F.xxhash64("owner").alias("o"))
+    held = each.groupBy("value_hash", "text_hash").agg(F.min("r").alias("r"), F.min("o").alias("o"))
     return held.groupBy("value_hash").agg(F.countDistinct("r").alias("n_repositories"), F.countDistinct("o").alias("n_owners"))
 
 
@@ -95,7 +99,7 @@ def judge(scanned: DataFrame, shared_by: int = SHARED_BY) -> DataFrame:
 def scan_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text", repository: str = "source", owner: str = "source") -> DataFrame:
     """key and ``judged`` (an empty array without spans) for every row of docs."""
     found = F.arrow_udf(spans_of, f"array<{SPAN}>")
-    rows = docs.select(F.col(key).alias("key"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), found(F.col(text)).alias("spans"))
+    rows = docs.select(F.col(key).alias("key"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.xxhash64(text).alias("text_hash"), found(F.col(text)).alias("spans"))
     scanned = materialize(rows.withColumn("row_id", F.monotonically_increasing_id()))
     judged = judge(scanned)
     empty = F.array().cast(judged.schema["judged"].dataType)
@@ -112,14 +116,14 @@ def redact(text: str | None, starts: list[int], ends: list[int], mark: str = "[S
     return "".join([*out, (text or "")[at:]])
 
 
-def redact_live(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source") -> DataFrame:
-    """docs with the live-looking credentials in text replaced; all rows and columns stay.
+def redact_live(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", shared_by: int = SHARED_BY) -> DataFrame:
+    """docs with the credentials in text replaced that fewer than ``shared_by`` hold; all rows and columns stay.
 
     Only the rows that hold a span are shuffled."""
-    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.col(text).alias("text"))
+    whole = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     found = F.arrow_udf(spans_of, f"array<{SPAN}>")
     scanned = materialize(whole.withColumn("spans", found("text")).drop("text").withColumn("row_id", F.monotonically_increasing_id()))
-    live = judge(scanned).select("row_id", F.filter("judged", lambda s: s["live"]).alias("live"))
+    live = judge(scanned, shared_by).select("row_id", F.filter("judged", lambda s: s["live"]).alias("live"))
 
     def masked(texts: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
         return pa.array([redact(t.as_py(), a.as_py(), b.as_py()) for t, a, b in zip(texts, starts, ends, strict=True)], type=pa.string())

@@ -374,6 +374,25 @@ def test_secret_scan(spark, rows, docs, empty):
     assert whole.columns == docs.columns and whole.count() == len(rows)
 
 
+def test_copies_of_a_text_add_no_owner(spark):
+    leak, other = "token=abcdefgh1234", "see api_key: abcdefgh1234"
+    schema = "doc_id long, text string, source string"
+    copied = spark.createDataFrame([(1, leak, "a"), (2, leak, "b"), (3, leak, "c")], schema)
+    assert [[s["live"] for s in r["judged"]] for r in secret_scan.scan_secrets(copied).collect()] == [[True]] * 3
+    assert {r["text"] for r in secret_scan.redact_live(copied).collect()} == {"[SECRET]"}
+    spans = secret_scan.scan_secrets(copied.unionByName(spark.createDataFrame([(4, other, "d")], schema))).collect()
+    assert {(s["n_owners"], s["live"]) for r in spans for s in r["judged"]} == {(2, False)}
+
+
+def test_pipeline_leaves_only_wide_copies_in_the_clear(spark):
+    import corpus_pipeline
+
+    rows = [(i, f"note {i} token=leaked123456", f"s{i}") for i in range(2)]
+    rows += [(100 + i, f"note {i} token=sample123456", f"s{i}") for i in range(secret_scan.WIDELY_SHARED_BY)]
+    out = {r["doc_id"]: r["text"] for r in corpus_pipeline.secrets(spark, spark.createDataFrame(rows, "doc_id long, text string, source string"), SF).collect()}
+    assert all(out[i] == (f"note {i} [SECRET]" if i < 100 else t) for i, t, _ in rows)
+
+
 def brute_measures(text):
     text = text or ""
     words = WORD.findall(text)
