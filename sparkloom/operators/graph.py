@@ -8,6 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+#: Members of a node's list that one cell of ``common_neighbours`` holds at most, on average.
+BLOCK = 256
+
+
 def _kept(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
@@ -50,8 +54,16 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
 
 
 def common_neighbours(edges: DataFrame, most_degree: int | None = None) -> DataFrame:
-    """(x, y, n): pairs of ``a`` nodes and the number of ``b`` nodes that both are joined to."""
+    """(x, y, n): pairs of ``a`` nodes and the number of ``b`` nodes that both are joined to.
+
+    The list of a ``b`` node is cut into blocks, and each pair of blocks is a cell of its own, so a node of any degree
+    is compared whole but never by one task. The pairs themselves grow with the square of a degree."""
     rows = edges.select("a", "b").distinct()
     if most_degree is not None:
         rows = rows.join(rows.groupBy("b").agg(F.count("*").alias("d")).where(F.col("d") <= most_degree).select("b"), "b")
-    return rows.withColumnRenamed("a", "x").join(rows.withColumnRenamed("a", "y"), "b").where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    degrees = rows.groupBy("b").agg(F.count("*").alias("d")).where("d > 1")
+    cut = rows.join(degrees, "b").withColumn("blocks", F.ceil(F.col("d") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
+    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    left = cut.select("b", F.col("a").alias("x"), F.col("own").alias("i"), every.alias("j"))
+    right = cut.select("b", F.col("a").alias("y"), every.alias("i"), F.col("own").alias("j"))
+    return left.join(right, ["b", "i", "j"]).where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))

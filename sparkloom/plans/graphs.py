@@ -47,6 +47,24 @@ def graph_two_hops(spark, sf):
     return graph.hops(edges, seeds, 2)
 
 
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS a, l_partkey AS b FROM lineitem)
+SELECT x.a AS x, y.a AS y, count(*) AS n FROM e x JOIN e y ON x.b = y.b AND x.a < y.a GROUP BY ALL""")
+def graph_common_neighbours_whole(spark, sf):
+    """Suppliers by the parts they share, over all line items and parts of any number of suppliers."""
+    return graph.common_neighbours(_supply(spark, sf).select(F.col("l_suppkey").alias("a"), F.col("l_partkey").alias("b")))
+
+
+@query("""WITH e AS (SELECT DISTINCT l_suppkey AS s, l_partkey + 10000000 AS p FROM lineitem)
+SELECT s_suppkey AS seed, s_suppkey AS id, 0 AS depth FROM supplier UNION ALL SELECT s, p, 1 FROM e UNION ALL SELECT DISTINCT x.s, y.s, 2 FROM e x JOIN e y ON x.p = y.p AND x.s <> y.s""")
+def graph_two_hops_whole(spark, sf):
+    """What lies within two hops of each supplier, over all line items: itself, its parts, the suppliers that share one."""
+    edges = _supply(spark, sf).select(F.col("l_suppkey").alias("a"), (F.col("l_partkey") + 10000000).alias("b"))
+    seeds = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("seed"), F.col("s_suppkey").alias("id"), F.lit(0).alias("depth"))
+    pairs = graph.common_neighbours(edges)
+    both = pairs.select(F.explode(F.array(F.struct(F.col("x").alias("seed"), F.col("y").alias("id")), F.struct(F.col("y").alias("seed"), F.col("x").alias("id")))).alias("p"))
+    return seeds.unionByName(edges.select(F.col("a").alias("seed"), F.col("b").alias("id"), F.lit(1).alias("depth"))).unionByName(both.select("p.seed", "p.id", F.lit(2).alias("depth")))
+
+
 @query("""WITH RECURSIVE e AS (SELECT doc_id AS a, source || lang AS g, row_number() OVER (PARTITION BY md5(text) ORDER BY doc_id) AS k, min(doc_id) OVER (PARTITION BY md5(text)) AS m FROM documents), g AS (SELECT a, m AS b FROM e WHERE a <> m UNION ALL SELECT m, a FROM e WHERE a <> m),
 r AS (SELECT doc_id AS id, doc_id AS other FROM documents WHERE doc_id IN (SELECT a FROM g) UNION SELECT r.id, g.b FROM r JOIN g ON r.other = g.a) SELECT id, min(other) AS component FROM r GROUP BY id""")
 def graph_copy_components(spark, sf):

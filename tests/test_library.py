@@ -7,6 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
+from sparkloom import catalog
 from sparkloom.functions import scores, text
 from sparkloom.operators import graph, relational, vectors
 from sparkloom.sources import tables
@@ -95,6 +96,25 @@ def test_graph_operators(spark):
     assert {r["component"] for r in graph.components(path).collect()} == {0}
 
 
+def test_common_neighbours_of_hot_nodes(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BLOCK", 7)
+    rng = random.Random(12)
+    edges = [(a, 0) for a in range(60)] + [(rng.randrange(60), 1 + rng.randrange(20)) for _ in range(200)]
+    held = {b: {x for x, y in edges if y == b} for b in range(21)}
+    want = {(x, y): n for x in range(60) for y in range(x + 1, 60) if (n := sum(x in s and y in s for s in held.values()))}
+    got = graph.common_neighbours(spark.createDataFrame(edges + edges[:50], "a long, b long")).collect()
+    assert len(got) == len(want) == 60 * 59 // 2 and {(r["x"], r["y"]): r["n"] for r in got} == want
+
+
+def test_graph_queries_use_every_edge(spark, tmp_path):
+    # 25 suppliers of one part (more than the 20 of the capped query), all of a small quantity.
+    spark.createDataFrame([(s, 1, 5) for s in range(1, 26)], "l_suppkey long, l_partkey long, l_quantity long").write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(s,) for s in range(1, 27)], "s_suppkey long").write.parquet(str(tmp_path / "supplier.parquet"))
+    found = {n: catalog.queries()[n](spark, str(tmp_path)).collect() for n in ("graph_common_neighbours_whole", "graph_two_hops_whole")}
+    assert sorted(tuple(r) for r in found["graph_common_neighbours_whole"]) == [(x, y, 1) for x in range(1, 26) for y in range(x + 1, 26)]
+    assert sorted(r["depth"] for r in found["graph_two_hops_whole"]) == [0] * 26 + [1] * 25 + [2] * 25 * 24
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 7)
     rng = random.Random(8)
