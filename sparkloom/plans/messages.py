@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import relational
+from sparkloom.operators import graph, relational
 from sparkloom.registry import query
 from sparkloom.sources.tables import parse_lines, table
 
@@ -110,6 +110,14 @@ def sessions_shared_sentences(spark, sf):
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared"))
 
 
+@query("""WITH s AS (SELECT DISTINCT conv_id, unnest(string_split(text, '. ')) AS h FROM conversations)
+SELECT a.conv_id AS a, b.conv_id AS b, count(*) AS shared FROM s a JOIN s b ON a.h = b.h AND a.conv_id < b.conv_id WHERE length(a.h) >= 4 GROUP BY ALL""")
+def sessions_shared_sentences_whole(spark, sf):
+    """Conversation pairs that share sentences, however many conversations hold them."""
+    held = _messages(spark, sf).select(F.col("conv_id").alias("a"), F.explode(F.split("text", "[.] ")).alias("b")).where(F.char_length("b") >= 4)
+    return graph.common_neighbours(held).select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("n").alias("shared"))
+
+
 RECORD = "type string, sessionId string, uuid string, parentUuid string, message struct<role string, content array<struct<type string, text string>>>"
 
 

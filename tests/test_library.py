@@ -115,6 +115,14 @@ def test_graph_queries_use_every_edge(spark, tmp_path):
     assert sorted(r["depth"] for r in found["graph_two_hops_whole"]) == [0] * 26 + [1] * 25 + [2] * 25 * 24
 
 
+def test_frequent_sentences_join_conversations(spark, tmp_path):
+    # 25 conversations hold one sentence, more than the 20 of the capped query; two of them hold another.
+    rows = [(i, 0, "user", "Good morning to you. " + ("rare words here" if i < 2 else f"only {i}")) for i in range(25)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = catalog.queries()["sessions_shared_sentences_whole"](spark, str(tmp_path)).collect()
+    assert sorted(tuple(r) for r in got) == [(a, b, 2 if b == 1 else 1) for a in range(25) for b in range(a + 1, 25)]
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 7)
     rng = random.Random(8)
