@@ -41,6 +41,15 @@ def tokens(text: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
 
 
+#: A word as Python's \w+ takes it: letters and digits of any script, and the underscore.
+WORD = r"[\p{L}\p{N}_]+"
+
+
+def words(text: Column) -> Column:
+    """Distinct lower-case words of any script."""
+    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0)))
+
+
 def jaccard(a: Column, b: Column) -> Column:
     """Similarity of two arrays of distinct values; 0 when both are empty."""
     both = F.size(F.array_intersect(a, b))

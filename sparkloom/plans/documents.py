@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
@@ -38,15 +38,12 @@ def docs_snapshot_diff(spark, sf):
     return relational.snapshot_diff(before, after, "doc_id", "h")
 
 
-@query("""WITH t AS (SELECT doc_id, lang, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents), s AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)
-SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (sa.n + sb.n - count(*)), 6) AS similarity FROM t a JOIN t b ON a.token = b.token AND a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
-GROUP BY a.doc_id, b.doc_id, sa.n, sb.n HAVING 5 * count(*) >= 4 * (sa.n + sb.n - count(*))""")
-def docs_token_jaccard_pairs(spark, sf):
+def _similar_pairs(docs: DataFrame, tokens: Column) -> DataFrame:
     """Pairs of one language and source whose distinct tokens have a similarity of 0.8 or more.
 
     Prefix filter: with tokens ordered by rarity, similar sets share one of the first n - ceil(0.8 n) + 1, so only
     those are joined; texts of equal token sets go in as one and are expanded last."""
-    rows = _docs(spark, sf).select("doc_id", "lang", "source", text.tokens(F.col("text")).alias("tokens")).where(F.size("tokens") > 0)
+    rows = docs.select("doc_id", "lang", "source", tokens.alias("tokens")).where(F.size("tokens") > 0)
     key = F.sha2(F.array_join(F.array_sort("tokens"), " "), 256)
     rows = rows.withColumn("k", key)
     kinds = rows.groupBy("lang", "source", "k").agg(F.any_value("tokens").alias("tokens"))
@@ -70,6 +67,22 @@ def docs_token_jaccard_pairs(spark, sf):
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "similarity")
 
 
+@query("""WITH t AS (SELECT doc_id, lang, source, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS token FROM documents), s AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)
+SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (sa.n + sb.n - count(*)), 6) AS similarity FROM t a JOIN t b ON a.token = b.token AND a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
+GROUP BY a.doc_id, b.doc_id, sa.n, sb.n HAVING 5 * count(*) >= 4 * (sa.n + sb.n - count(*))""")
+def docs_token_jaccard_pairs(spark, sf):
+    """Similar pairs by words of ASCII letters and digits; texts without one are in no pair."""
+    return _similar_pairs(_docs(spark, sf), text.tokens(F.col("text")))
+
+
+@query(r"""WITH t AS (SELECT doc_id, lang, source, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+'))) AS token FROM documents), s AS (SELECT doc_id, count(*) AS n FROM t GROUP BY doc_id)
+SELECT a.doc_id AS a, b.doc_id AS b, round(count(*) / (sa.n + sb.n - count(*)), 6) AS similarity FROM t a JOIN t b ON a.token = b.token AND a.lang = b.lang AND a.source = b.source AND a.doc_id < b.doc_id JOIN s sa ON sa.doc_id = a.doc_id JOIN s sb ON sb.doc_id = b.doc_id
+GROUP BY a.doc_id, b.doc_id, sa.n, sb.n HAVING 5 * count(*) >= 4 * (sa.n + sb.n - count(*))""")
+def docs_word_jaccard_pairs(spark, sf):
+    """Similar pairs by words of any script."""
+    return _similar_pairs(_docs(spark, sf), text.words(F.col("text")))
+
+
 @query("""WITH s AS (SELECT doc_id, lang, count(*) OVER (PARTITION BY lang) AS n, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS rn, (SELECT count(*) FROM documents) AS total FROM documents),
 a AS (SELECT *, greatest(1, floor(120 * n / total))::INTEGER AS share FROM s)
 SELECT doc_id, lang FROM a WHERE (rn - 1) % greatest(1, floor(n / share))::INTEGER = 0 AND (rn - 1) / greatest(1, floor(n / share)) < share""")
@@ -160,13 +173,23 @@ def docs_defects(spark, sf):
     return _docs(spark, sf).select("doc_id", defect.alias("defect"))
 
 
-@query("SELECT lang, token, n FROM (SELECT lang, token, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token) AS rk FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) WHERE length(token) >= 4 GROUP BY lang, token) WHERE rk <= 20")
-def docs_top_terms(spark, sf):
-    words = _docs(spark, sf).select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0))).alias("token")).where(F.char_length("token") >= 4)
+def _top_terms(docs: DataFrame, pattern: str) -> DataFrame:
+    words = docs.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(pattern), F.lit(0))).alias("token")).where(F.char_length("token") >= 4)
     counts = words.groupBy("lang", "token").agg(F.count("*").alias("n"))
     return relational.top_per_group(counts, "lang", 20, F.desc("n"), F.col("token")).drop("rank")
 
 
+@query("SELECT lang, token, n FROM (SELECT lang, token, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token) AS rk FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS token FROM documents) WHERE length(token) >= 4 GROUP BY lang, token) WHERE rk <= 20")
+def docs_top_terms(spark, sf):
+    return _top_terms(_docs(spark, sf), "[a-z0-9]+")
+
+
+@query(r"SELECT lang, token, n FROM (SELECT lang, token, count(*) AS n, row_number() OVER (PARTITION BY lang ORDER BY count(*) DESC, token) AS rk FROM (SELECT lang, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS token FROM documents) WHERE length(token) >= 4 GROUP BY lang, token) WHERE rk <= 20")
+def docs_top_words(spark, sf):
+    """The most frequent words of each language, in any script."""
+    return _top_terms(_docs(spark, sf), text.WORD)
+
+
 @query("WITH u AS (SELECT page_id, lower(regexp_extract(url, '://([^/?#]*)', 1)) AS host, length(html) AS n FROM pages) SELECT host, count(*) AS pages, sum(n)::BIGINT AS chars, min(page_id) AS first_id FROM u GROUP BY host")
 def pages_domain_counts(spark, sf):
     host = F.lower(F.regexp_extract("url", "://([^/?#]*)", 1))

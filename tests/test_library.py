@@ -123,6 +123,17 @@ def test_frequent_sentences_join_conversations(spark, tmp_path):
     assert sorted(tuple(r) for r in got) == [(a, b, 2 if b == 1 else 1) for a in range(25) for b in range(a + 1, 25)]
 
 
+def test_words_of_any_script(spark, tmp_path):
+    russian, accents = "Быстрая лиса прыгает через забор", "mañana señor"
+    rows = [(1, russian), (2, russian), (3, accents), (4, "ma ana se or")]
+    spark.createDataFrame([(i, t, "xx", "s") for i, t in rows], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert one(spark, text.words(F.lit("Señor_1 Señor_1 中文, ok"))) == ["señor_1", "中文", "ok"]
+    pairs = catalog.queries()["docs_word_jaccard_pairs"](spark, str(tmp_path)).collect()
+    assert [tuple(r) for r in pairs] == [(1, 2, 1.0)]
+    top = {r["token"]: r["n"] for r in catalog.queries()["docs_top_words"](spark, str(tmp_path)).collect()}
+    assert top == {w.lower(): 2 for w in russian.split()} | {"mañana": 1, "señor": 1}
+
+
 def test_top_k_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(vectors, "BLOCK", 7)
     rng = random.Random(8)
