@@ -233,13 +233,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     return done.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _first_rows(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
+    """keep_first for ids that repeat: each row is a node of its own, and the row of the smallest id stays."""
+    rows = materialize(docs.dropDuplicates([key, text]).withColumn("__row", F.monotonically_increasing_id()))
+    found = materialize(near_duplicates(rows, percent, "__row", text).where("n_shingles > 0").select("__row", "component_id"))
+    named = found.join(rows.select("__row", F.col(key).alias("__id")), "__row")
+    firsts = named.groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select("first.__row")
+    return rows.join(found.join(firsts, "__row", "left_anti").select("__row").hint("merge"), "__row", "left_anti").drop("__row")
+
+
+def _without_id(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """The rows without an id, one of each text that no row with an id has; texts without a word all stay."""
+    rows, worded = docs.where(F.col(key).isNull()), F.coalesce(F.rlike(text, F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False))
+    others = docs.where(F.col(key).isNotNull()).select(F.sha2(text, 256).alias("__h")).where("__h is not null").distinct()
+    firsts = rows.where(worded).dropDuplicates([text]).withColumn("__h", F.sha2(text, 256))
+    return firsts.join(others.hint("merge"), "__h", "left_anti").drop("__h").unionByName(rows.where(~worded))
+
+
 def keep_first(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the documents that are not the first of their group; of rows with equal id and text one stays.
-
-    Only the ids to drop are matched with docs, and rows without an id stay."""
-    found = near_duplicates(docs, percent, key, text)
-    found = materialize(found.where(F.col(key).isNotNull()))
-    dropped = found.where(~F.col("kept")).select(key).distinct()
-    left = docs.join(dropped.hint("merge"), key, "left_anti")
-    repeated = found.groupBy(key).count().where("count > 1").isEmpty()
-    return left if repeated else left.dropDuplicates([key, text])
+    """docs without the rows that are not the first of their group; of rows with equal id and text one stays.
+
+    Where ids repeat, it is decided row by row. Only the ids to drop are matched with docs. Rows without an id go only
+    where another row has the same text."""
+    known = docs.where(F.col(key).isNotNull())
+    if known.groupBy(key).count().where("count > 1").isEmpty():
+        found = materialize(near_duplicates(known, percent, key, text))
+        left = known.join(found.where(~F.col("kept")).select(key).distinct().hint("merge"), key, "left_anti").select(docs.columns)
+    else:
+        left = _first_rows(known, percent, key, text).select(docs.columns)
+    missing = docs.where(F.col(key).isNull())
+    return left if missing.isEmpty() else left.unionByName(_without_id(docs, key, text))

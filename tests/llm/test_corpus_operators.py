@@ -237,6 +237,15 @@ def test_keep_first(rows, docs):
     assert ids[1004] == 1 and ids[None] == 2
 
 
+def test_keep_first_decides_row_by_row(spark):
+    copied, alone, far = (" ".join(f"{w}{i}" for i in range(60)) for w in ("one", "two", "three"))
+    data = [(1, copied), (2, copied), (2, alone), (3, copied + " x"), (None, far), (None, far), (None, copied), (None, None), (None, " "), (None, " ")]
+    kept = near_dedup.keep_first(spark.createDataFrame(data, "doc_id long, text string"), 85).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, copied), (2, alone), (None, far), (None, None), (None, " "), (None, " ")], key=repr)
+    kept = near_dedup.keep_first(spark.createDataFrame([(i, t) for i, t in data if t != alone], "doc_id long, text string"), 85).collect()
+    assert sorted(map(tuple, kept), key=repr) == sorted([(1, copied), (None, far), (None, None), (None, " "), (None, " ")], key=repr)
+
+
 def test_warc(spark):
     given = [(r["page_id"], r["url"], r["html"]) for r in table("pages")]
     given += [(9000, None, None), (9001, "http://É.com/a b\n#x", ""), (9002, given[0][1], given[3][2]), (9003, given[0][1], given[3][2]), (9003, given[0][1], given[3][2]), (None, "x", given[3][2]), (9004, "http://h/WARC/1.1\r\n\r\n", "WARC/1.1\r\n\r\n\x00é")]
