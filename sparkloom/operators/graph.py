@@ -2,24 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import materialize
 
 #: Members of a node's list that one cell of ``common_neighbours`` holds at most, on average.
 BLOCK = 256
 
 
-def _kept(df: DataFrame) -> DataFrame:
-    spark = df.sparkSession
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    path = f"{root.rstrip('/')}/graph-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def undirected(edges: DataFrame) -> DataFrame:
     """edges(a, b) both ways, without loops and repeats."""
     return edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
@@ -27,13 +18,13 @@ def undirected(edges: DataFrame) -> DataFrame:
 
 def components(edges: DataFrame) -> DataFrame:
     """(id, component) with the smallest id reachable, by hash-min with pointer jumping: few rounds even on paths."""
-    both = _kept(undirected(edges))
-    labels = _kept(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "id"))
+    both = materialize(undirected(edges))
+    labels = materialize(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("component")).withColumnRenamed("a", "id"))
     while True:
         seen = both.join(labels.withColumnRenamed("id", "b"), "b").groupBy("a").agg(F.min("component").alias("m"))
         better = labels.join(seen, labels["id"] == seen["a"], "left").select("id", F.least("component", "m").alias("component"))
         jump = better.join(better.select(F.col("id").alias("component"), F.col("component").alias("root")), "component", "left")
-        following = _kept(jump.select("id", F.least("component", F.coalesce("root", "component")).alias("component")))
+        following = materialize(jump.select("id", F.least("component", F.coalesce("root", "component")).alias("component")))
         changed = following.join(labels, ["id", "component"], "left_anti").isEmpty()
         labels = following
         if changed:
@@ -42,11 +33,11 @@ def components(edges: DataFrame) -> DataFrame:
 
 def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """(id, depth) of the nodes within ``most`` hops of seeds(id), level by level."""
-    both = _kept(undirected(edges))
+    both = materialize(undirected(edges))
     seen = frontier = seeds.select("id").distinct().withColumn("depth", F.lit(0))
     for depth in range(1, most + 1):
         reached = both.join(frontier.select(F.col("id").alias("a")), "a", "left_semi").select(F.col("b").alias("id")).distinct()
-        frontier = _kept(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
+        frontier = materialize(reached.join(seen.select("id"), "id", "left_anti").withColumn("depth", F.lit(depth)))
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from sparkloom.registry import query
+from sparkloom.sources.shared import shared_dir
 from sparkloom.sources.tables import table
 from sparkloom.streaming import stateful
 
@@ -18,7 +18,7 @@ def _stream(spark, sf):
 @query("SELECT date_trunc('day', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf):
     """Daily counts, each batch's totals replacing those of the same windows."""
-    folder = stateful.stream_folder(spark)
+    folder = shared_dir(spark)
     counts = stateful.tumbling_counts(_stream(spark, sf), "ts", ["event_type"], "1 day", "2 days")
     stateful.run_once(counts, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/b{n}"), "update")
     out = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
@@ -28,23 +28,17 @@ def stream_daily_counts(spark, sf):
 @query("SELECT count(*) AS n, count(DISTINCT event_id) AS ids FROM events")
 def stream_dedup(spark, sf):
     """Every event sent twice, and kept once."""
-    folder = stateful.stream_folder(spark)
+    folder = shared_dir(spark)
     twice = _stream(spark, sf).withColumn("copy", F.explode(F.array(F.lit(0), F.lit(1)))).drop("copy")
     stateful.run_once(stateful.deduplicated(twice, "ts", "event_id", "60 days"), lambda df, n: df.select("event_id").write.mode("overwrite").parquet(f"{folder}/out/b{n}"))
     return spark.read.schema("event_id long").option("recursiveFileLookup", "true").parquet(f"{folder}/out").agg(F.count("*").alias("n"), F.countDistinct("event_id").alias("ids"))
 
 
-def _fold(key, rows, state):
-    n, total = state or (0, 0.0)
-    n, total = n + len(rows), total + float(rows["value"].fillna(0).sum())
-    return (n, total), pd.DataFrame({"user_id": [key[0]], "n": [n], "total": [total]})
-
-
 @query("SELECT user_id, count(*) AS n, round(sum(coalesce(value, 0)), 2) AS total FROM events WHERE user_id IS NOT NULL GROUP BY user_id")
 def stream_user_state(spark, sf):
     """A count and a sum per user, held as state."""
-    folder = stateful.stream_folder(spark)
-    state = stateful.running_state(_stream(spark, sf).where("user_id IS NOT NULL"), "user_id", "n long, total double", "user_id long, n long, total double", _fold)
+    folder = shared_dir(spark)
+    state = _stream(spark, sf).where("user_id IS NOT NULL").groupBy("user_id").agg(F.count("*").alias("n"), F.sum(F.coalesce("value", F.lit(0.0))).alias("total"))
     stateful.run_once(state, lambda df, n: df.withColumn("batch", F.lit(n)).write.mode("overwrite").parquet(f"{folder}/out/b{n}"), "update")
     out = spark.read.option("recursiveFileLookup", "true").parquet(f"{folder}/out")
     return out.groupBy("user_id").agg(F.max_by("n", "batch").alias("n"), F.round(F.max_by("total", "batch"), 2).alias("total"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -10,10 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-
-def stream_folder(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{root.rstrip('/')}/stream-{uuid.uuid4().hex}"
+from sparkloom.sources.shared import shared_dir
 
 
 def read_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
@@ -45,6 +41,6 @@ def running_state(events: DataFrame, key: str, state_schema: str, out_schema: st
 
 def run_once(stream: DataFrame, write: Callable[[DataFrame, int], None], mode: str = "append", checkpoint: str | None = None) -> None:
     """Process all that is there, exactly once per checkpoint: a batch that fails is offered again."""
-    where = checkpoint or stream_folder(stream.sparkSession) + "/checkpoint"
+    where = checkpoint or shared_dir(stream.sparkSession) + "/checkpoint"
     query = stream.writeStream.outputMode(mode).option("checkpointLocation", where).trigger(availableNow=True).foreachBatch(write).start()
     query.awaitTermination()
