@@ -1,43 +1,19 @@
-"""Helpers shared by the corpus operators: tables in the shared folder, and vectorised text hashing."""
+"""Helpers shared by the corpus operators: vectorised text hashing, and the tables that cut a lineage."""
 
 from __future__ import annotations
 
-import uuid
-
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+import xxhash
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import materialize, release, temporary_tables  # noqa: F401  used by the operators
+
 #: ASCII white space that separates words: space and \t \n \v \f \r.
 SPACES = np.array([32, 9, 10, 11, 12, 13], dtype=np.uint8)
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or one beside the warehouse where that is unset."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir") + "/_shared"
-    return f"{root.rstrip('/')}/loom-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage: write df as Parquet in the shared folder and read it back.
-
-    A lost executor then costs a re-read, and later steps see one fixed result."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def release(df: DataFrame) -> None:
-    """Delete a table written by materialize() that nothing needs any more."""
-    spark = df.sparkSession
-    for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
-        if "/loom-" in path:
-            where = spark._jvm.org.apache.hadoop.fs.Path(path)
-            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
-
-
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)
@@ -50,6 +26,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(31))
 
 
+#: Bytes of a span beyond which it is hashed by itself.
+LONG_SPAN = 256
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=np.uint64)
 _BASE = 0x9E3779B97F4A7C15 | 1
 _powers = np.ones(1, dtype=np.uint64)
 _inverse = np.ones(1, dtype=np.uint64)
@@ -69,15 +48,27 @@ def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(codes: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of codes[start:end] for all spans at once, from prefix sums of a polynomial hash."""
-    power, inverse = _tables(len(codes) + 1)
-    sums = np.zeros(len(codes) + 1, dtype=np.uint64)
-    np.cumsum((codes.astype(np.uint64) + np.uint64(1)) * power[: len(codes)], out=sums[1:])
-    return mix((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(np.uint64))
+    """64-bit hashes of codes[start:end] for all spans at once, eight bytes a step, each through the finaliser.
+
+    No sum of powers is involved, whose terms cancel for some long words. Spans over LONG_SPAN bytes go one by one."""
+    size = codes.itemsize
+    data = np.zeros(codes.nbytes + 8, dtype=np.uint8)
+    data[: codes.nbytes] = np.ascontiguousarray(codes).view(np.uint8)
+    eights = np.ndarray(shape=(codes.nbytes + 1,), dtype="<u8", buffer=data.data, strides=(1,))
+    at, left = starts * size, (ends - starts) * size
+    h = mix((left.astype(np.uint64) + np.uint64(_BASE)) ^ (eights[at] & _MASKS[np.minimum(left, 8)]))
+    now, step = np.flatnonzero((left > 8) & (left <= LONG_SPAN)), 8
+    while len(now):
+        rest = left[now] - step
+        h[now] = mix(h[now] ^ (eights[at[now] + step] & _MASKS[np.minimum(rest, 8)]))
+        now, step = now[rest > 8], step + 8
+    for i in np.flatnonzero(left > LONG_SPAN):
+        h[i] = xxhash.xxh3_64_intdigest(data[at[i] : at[i] + left[i]])
+    return h
 
 
 def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
-    """Hashes of all windows of k codes."""
+    """Hashes of all windows of k codes, for a small k: sums of powers modulo 2**64."""
     n = len(codes) - k + 1
     if n <= 0:
         return np.empty(0, dtype=np.uint64)
@@ -89,10 +80,10 @@ def gram_hashes(codes: np.ndarray, k: int) -> np.ndarray:
 
 def word_spans(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in an array of bytes or code points."""
-    inside = np.zeros(len(codes) + 2, dtype=np.int8)
-    inside[1:-1] = ~((codes == 32) | ((codes >= 9) & (codes <= 13)))
-    edges = np.diff(inside)
-    return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1)
+    inside = np.zeros(len(codes) + 2, dtype=bool)
+    inside[1:-1] = (codes > 32) | (codes < 9) | ((codes > 13) & (codes < 32))
+    edges = np.flatnonzero(inside[1:] != inside[:-1])
+    return edges[::2], edges[1::2]
 
 
 def utf8(text: str | None) -> np.ndarray:

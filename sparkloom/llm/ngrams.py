@@ -1,4 +1,4 @@
-"""Hashed word and character n-gram features of whole texts, and two linear classifiers over them.
+"""Hashed word and character n-gram features of whole texts, and the calibration of linear classifiers over them.
 
 Features live in a fixed number of buckets, so a model's size does not depend on the data. Feature functions are
 plain NumPy over one text; Spark deals out the texts in Arrow batches.
@@ -6,73 +6,73 @@ plain NumPy over one text; Spark deals out the texts in Arrow batches.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from sparkloom.llm.common import code_points, gram_hashes, mix, span_hashes, word_spans
+from sparkloom.llm.common import code_points, span_hashes, utf8, word_spans
 
 #: Number of feature buckets.
 BUCKETS = 1 << 18
-CHAR_GRAMS = (2, 4)
-
-
-def word_hashes(codes: np.ndarray) -> np.ndarray:
-    starts, ends = word_spans(codes)
-    return span_hashes(codes, starts, ends)
-
-
-def _ratio_grams(words: np.ndarray, codes: np.ndarray) -> np.ndarray:
-    """Word n-grams with the words left out: how often a word repeats its predecessor or any earlier word, how many words and lines there are, each on a coarse scale."""
-    n = len(words)
-    again = int(np.count_nonzero(words[1:] == words[:-1])) if n > 1 else 0
-    kinds = len(np.unique(words)) if n else 0
-    letters = int(np.count_nonzero(((codes | 32) >= 97) & ((codes | 32) <= 122) | (codes > 127)))
-    capitals = int(np.count_nonzero((codes >= 65) & (codes <= 90)))
-    blanks = int(np.count_nonzero(codes <= 32))
-    scale = np.array(
-        [
-            20 * again // max(n, 1),
-            20 * kinds // max(n, 1),
-            int(2 * np.log2(n + 1)),
-            20 * letters // max(len(codes), 1),
-            20 * capitals // max(letters, 1),
-            20 * blanks // max(len(codes), 1),
-            int(4 * np.log2(n / kinds)) if n else -1,
-            int(n >= 10),
-        ],
-        dtype=np.int64,
-    )
-    return mix(scale.astype(np.uint64) + np.arange(len(scale), dtype=np.uint64) * np.uint64(1 << 32))
-
-
-def feature_hashes(text: str | None) -> np.ndarray:
-    """Hashes of the word 1- and 2-grams, the character n-grams and the coarse shape of a whole text, with repeats."""
-    codes = code_points(text)
-    words = word_hashes(codes)
-    parts = [words, mix(words[1:] * np.uint64(3) + words[:-1])] if len(words) else []
-    parts += [gram_hashes(codes, k) + np.uint64(k) for k in CHAR_GRAMS]
-    return np.concatenate([*parts, _ratio_grams(words, codes)])
+#: Bound on the bytes of filled buckets (four each) that a model is fitted to.
+FIT_BYTES = 64 << 20
+#: Characters of a text whose n-grams are in memory at once.
+SLICE = 1 << 20
+
+
+_K = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+# A bucket for each way in which the three words of a word 3-gram can equal each other.
+_PATTERNS = (np.arange(8, dtype=np.uint64) * _K[1] >> np.uint64(64 - BUCKETS.bit_length() + 1)).view(np.int64)
+_SHIFT = np.uint64(64 - BUCKETS.bit_length() + 1)
+
+
+def feature_buckets(text: str | None) -> Iterator[np.ndarray]:
+    """The buckets of the word 1- and 2-grams, of the word 3-grams backed off to which of their words are equal, and of the
+    character 2- and 4-grams of a whole text, with repeats, in slices."""
+    data = utf8(text)
+    starts, ends = word_spans(data)
+    words = span_hashes(data, starts, ends)
+    yield (words >> _SHIFT).view(np.int64)
+    if len(words) > 1:
+        yield ((words[1:] * _K[0] + words[:-1]) * _K[1] >> _SHIFT).view(np.int64)
+    if len(words) > 2:
+        next_same, last_same = words[1:] == words[:-1], words[2:] == words[:-2]
+        yield _PATTERNS[next_same[:-1] + 2 * next_same[1:] + 4 * last_same]
+    codes = data if len(data) == len(text or "") else code_points(text)
+    for at in range(0, len(codes) - 1, SLICE):
+        c = codes[at : at + SLICE + 3].astype(np.uint64)
+        pairs = (c[:-1] << np.uint64(21)) ^ c[1:]
+        yield (pairs[:SLICE] * _K[2] >> _SHIFT).view(np.int64)
+        if len(pairs) > 2:
+            yield (pairs[:-2] * _K[3] + pairs[2:] * _K[0] >> _SHIFT).view(np.int64)
+
+
+def _filled(parts: Iterable[np.ndarray]) -> np.ndarray:
+    seen = np.zeros(BUCKETS, dtype=bool)
+    for filled in parts:
+        seen[filled] = True
+    return np.flatnonzero(seen).astype(np.int32)
 
 
 def indicators(text: str | None) -> np.ndarray:
     """The buckets that a text fills, sorted, each once."""
-    seen = np.zeros(BUCKETS, dtype=bool)
-    seen[(feature_hashes(text) >> np.uint64(46)).view(np.int64)] = True
-    return np.flatnonzero(seen).astype(np.int32)
+    return _filled(feature_buckets(text))
 
 
 def frequencies(text: str | None) -> tuple[np.ndarray, np.ndarray]:
     """The buckets that a text fills and their damped counts, scaled to length 1."""
-    filled = (feature_hashes(text) >> np.uint64(46)).view(np.int64)
-    seen = np.zeros(BUCKETS, dtype=bool)
-    seen[filled] = True
-    at = np.flatnonzero(seen)
+    parts = list(feature_buckets(text)) if len(text or "") <= SLICE else None  # a longer text is gone through twice
+    at = _filled(feature_buckets(text) if parts is None else parts)
     place = np.empty(BUCKETS, dtype=np.int32)
     place[at] = np.arange(len(at))
-    values = np.log1p(np.bincount(place[filled], minlength=len(at))).astype(np.float32)
-    return at.astype(np.int32), values / max(float(np.sqrt(values @ values)), 1e-9)
+    counts = np.zeros(len(at), dtype=np.int64)
+    for filled in feature_buckets(text) if parts is None else [np.concatenate(parts)]:
+        counts += np.bincount(place[filled], minlength=len(at))
+    values = np.log1p(counts).astype(np.float32)
+    return at, values / max(float(np.sqrt(values @ values)), 1e-9)
 
 
 def arrow_rows(f: Callable[[list], pa.RecordBatch]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
@@ -86,6 +86,24 @@ def arrow_rows(f: Callable[[list], pa.RecordBatch]) -> Callable[[Iterator[pa.Rec
     return run
 
 
+def in_one_task(features: DataFrame) -> DataFrame:
+    """features(at, ..) of a bounded sample in one partition, in an order that only the rows decide."""
+    return features.repartition(1).sortWithinPartitions(F.xxhash64("at"), *features.columns)
+
+
+def bounded(batches: Iterator[pa.RecordBatch], most: int, most_bytes: int = FIT_BYTES) -> list[tuple]:
+    """The first rows of a sorted sample, up to a number of rows and of bytes of their first column."""
+    rows, size, full = [], 0, False
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True) if not full else ():
+            full = full or len(rows) == most or size + len(row[0]) > most_bytes
+            if full:
+                break
+            rows.append(row)
+            size += len(row[0])
+    return rows
+
+
 def platt(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float]:
     """a and b of the calibrated probability 1 / (1 + exp(-(a * score + b))), by Newton's method on smoothed labels."""
     pos, neg = int(labels.sum()), int(len(labels) - labels.sum())

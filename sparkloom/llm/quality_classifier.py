@@ -2,24 +2,24 @@
 
 The class log-count ratio of every feature bucket is counted over all labelled training rows on the executors.
 A linear model with hinge loss is then fitted by dual coordinate descent to the ratio-scaled indicators of a
-bounded sample of training rows, and its margin is calibrated to a probability on a held-back fifth of that
-sample. All texts are scored in Arrow batches with the model as a fixed-size array.
+bounded sample of training rows in one task, and its margin is calibrated to a probability on a held-back fifth of
+that sample; the driver receives the weights alone. All texts are scored in Arrow batches with the model as a fixed-size array.
 
-Defined cases: null and empty texts are scored like any other (only shape features); null ids are never training
+Defined cases: null and empty texts have no n-grams and get the score of the bias; null ids are never training
 rows; a missing or one-class training set gives the share of label 1 (0.5 when there are no labels) as every
 score; repeated label rows count as often as they occur; extra columns are ignored.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import asdict, dataclass
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.ngrams import BUCKETS, arrow_rows, indicators, platt, probability
+from sparkloom.llm.ngrams import BUCKETS, arrow_rows, bounded, in_one_task, indicators, platt, probability
 
 #: Bound on the rows that the linear model is fitted to; the ratios use all rows.
 FIT_ROWS = 4_000
@@ -77,8 +77,8 @@ def dual_coordinate_descent(rows: list[np.ndarray], labels: np.ndarray, ratios:
     return w * ratios, bias
 
 
-def train(labelled: DataFrame, sample: DataFrame) -> NBSVM:
-    """Count ratios over all of labelled(text, label 0/1) and fit to the bounded sample(text, label); see the module."""
+def train(labelled: DataFrame, sample: DataFrame, most: int = FIT_ROWS) -> NBSVM:
+    """Count ratios over all of labelled(text, label 0/1); one task fits at most ``most`` rows of sample(text, label)."""
     labelled = labelled.select("text", "label").where("label in (0, 1)")
     ratios, n0, n1 = log_count_ratios(labelled)
     if not n0 or not n1:
@@ -88,8 +88,20 @@ def train(labelled: DataFrame, sample: DataFrame) -> NBSVM:
     def featurize(batch):
         return pa.record_batch([pa.array([indicators(t.as_py()).tobytes() for t in batch.column(0)], type=pa.binary()), batch.column(1)], names=["at", "label"])
 
-    sample = sample.select("text", F.col("label").cast("int").alias("label"))
-    rows = sorted((r["at"], r["label"]) for r in sample.mapInArrow(arrow_rows(featurize), "at binary, label int").collect())
+    shared = labelled.sparkSession.sparkContext.broadcast(ratios)
+
+    def fitted(batches):
+        model = fit(bounded(batches, most), shared.value)
+        yield pa.RecordBatch.from_pylist([asdict(model) | {"weights": model.weights.tobytes()}])
+
+    sample = sample.select("text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
+    features = sample.mapInArrow(arrow_rows(featurize), "at binary, label int")
+    found = in_one_task(features).mapInArrow(fitted, "weights binary, bias double, a double, b double").first()
+    return NBSVM(np.frombuffer(found["weights"], dtype=np.float32), found["bias"], found["a"], found["b"])
+
+
+def fit(rows: list[tuple[bytes, int]], ratios: np.ndarray) -> NBSVM:
+    """The model for rows of filled buckets (int32) and label: calibrated on a fifth that a first fit leaves out, then fitted to all."""
     at = [np.frombuffer(x, dtype=np.int32) for x, _ in rows]
     y = np.array([1 if label == 1 else -1 for _, label in rows])
     calibrate = np.random.default_rng(3).permutation(len(rows)) < len(rows) // 5
@@ -98,7 +110,7 @@ def train(labelled: DataFrame, sample: DataFrame) -> NBSVM:
     held = np.array([part.margin(x) for x, c in zip(at, calibrate, strict=True) if c])
     a, b = platt(held, (y[calibrate] + 1) // 2) if len(held) >= 10 else (1.0, 0.0)
     w, bias = dual_coordinate_descent(at, y, ratios)
-    return NBSVM(w.astype(np.float32), bias, a, b)
+    return NBSVM(w.astype(np.float32), float(bias), a, b)
 
 
 def score_texts(docs: DataFrame, model: NBSVM, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -18,8 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import code_points, rolling_word_hashes, span_hashes, word_spans
-from sparkloom.llm.ngrams import BUCKETS, arrow_rows, frequencies, platt, probability
+from sparkloom.llm.common import rolling_word_hashes, span_hashes, utf8, word_spans
+from sparkloom.llm.ngrams import BUCKETS, arrow_rows, bounded, frequencies, in_one_task, platt, probability
 
 #: Bound on the labelled rows the regression is fitted to.
 FIT_ROWS = 3_000
@@ -30,7 +30,7 @@ THRESHOLD = 0.1
 WINDOW = 5
 MIN_WORDS = 10
 MAX_REPEAT_PERCENT = 20
-SYMBOLS = np.array([ord(c) for c in "#*$%&|<>"], dtype=np.uint32)
+IS_SYMBOL = np.isin(np.arange(256), [ord(c) for c in "#*$%&|<>"])
 
 MEASURES = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long"
 
@@ -49,46 +49,47 @@ class Regression:
 
 def measures(text: str | None) -> tuple[int, int, int, int, int]:
     """n_words, word_chars, n_symbols, n_dup_lines and n_repeat_words of a whole text."""
-    codes = code_points(text)
-    starts, ends = word_spans(codes)
-    n = len(starts)
+    data = utf8(text)
+    starts, ends = word_spans(data)
+    n, symbols = len(starts), int(IS_SYMBOL[data].sum())
     if not n:
-        return 0, 0, int(np.isin(codes, SYMBOLS).sum()), 0, 0
+        return 0, 0, symbols, 0, 0
+    points = np.concatenate([[0], np.cumsum((data & 0xC0) != 0x80)])  # code points before each byte
     lines = [line for line in (text or "").split("\n") if line.strip(" \t\x0b\x0c\r")]
     repeated = 0
     if n >= WINDOW:
-        windows = rolling_word_hashes(span_hashes(codes, starts, ends), WINDOW)
-        _, place, counts = np.unique(windows, return_inverse=True, return_counts=True)
-        inside = np.zeros(n + 1, dtype=np.int64)
-        again = np.flatnonzero(counts[place] > 1)
-        np.add.at(inside, again, 1)
-        np.add.at(inside, again + WINDOW, -1)
-        repeated = int(np.count_nonzero(np.cumsum(inside[:n]) > 0))
-    return n, int((ends - starts).sum()), int(np.isin(codes, SYMBOLS).sum()), len(lines) - len(set(lines)), repeated
+        windows = rolling_word_hashes(span_hashes(data, starts, ends), WINDOW)
+        order = np.argsort(windows, kind="stable")
+        twice = np.flatnonzero(windows[order[1:]] == windows[order[:-1]])
+        inside = np.zeros(n + WINDOW, dtype=bool)
+        for k in range(WINDOW):
+            inside[order[twice] + k] = inside[order[twice + 1] + k] = True
+        repeated = int(np.count_nonzero(inside))
+    return n, int((points[ends] - points[starts]).sum()), symbols, len(lines) - len(set(lines)), repeated
 
 
 def base_failed(n_words: int, n_repeat: int) -> bool:
     return n_words < MIN_WORDS or 100 * n_repeat > MAX_REPEAT_PERCENT * n_words
 
 
-def train(labelled: DataFrame, epochs: int = 60) -> Regression | None:
-    """Fit to a bounded labelled(text, label 0/1) by full-batch adaptive gradient steps; None when a class is missing.
+def train(labelled: DataFrame, epochs: int = 60, most: int = FIT_ROWS) -> Regression | None:
+    """Fit to labelled(text, label 0/1) by full-batch adaptive gradient steps; None when a class is missing.
 
-    Features are taken where the texts lie; one task fits the bounded sample, and the driver receives the weights alone."""
+    Features are taken where the texts lie; one task fits at most ``most`` rows and FIT_BYTES, and the driver
+    receives the weights alone."""
 
     def featurize(batch):
         pairs = [frequencies(t.as_py()) for t in batch.column(0)]
         return pa.record_batch([pa.array([p[0].tobytes() for p in pairs], type=pa.binary()), pa.array([p[1].astype(np.float32).tobytes() for p in pairs], type=pa.binary()), batch.column(1)], names=["at", "v", "label"])
 
     def fitted(batches):
-        rows = sorted(row for batch in batches for row in zip(*(c.to_pylist() for c in batch.columns), strict=True))
-        model = fit(rows, epochs)
+        model = fit(bounded(batches, most), epochs)
         if model is not None:
             yield pa.RecordBatch.from_pylist([asdict(model) | {"weights": model.weights.tobytes()}])
 
     labelled = labelled.select("text", F.col("label").cast("int").alias("label")).where("label in (0, 1)")
     features = labelled.mapInArrow(arrow_rows(featurize), "at binary, v binary, label int")
-    found = features.repartition(1).mapInArrow(fitted, "weights binary, bias double, a double, b double").collect()
+    found = in_one_task(features).mapInArrow(fitted, "weights binary, bias double, a double, b double").collect()
     return Regression(np.frombuffer(found[0]["weights"], dtype=np.float32), found[0]["bias"], found[0]["a"], found[0]["b"]) if found else None
 
 
