@@ -2,8 +2,9 @@
 
 A log row is (conv, seq, message, kind, role, text). Kinds: ``delta`` appends its text to the message; ``edit``
 and ``regenerate`` drop what the message held and start again from their own text; ``delete`` empties and hides
-the message until a later event restores it. Messages are ordered by their number, events by seq (ties: kind,
-role, text). The last non-null role of a message holds.
+the message until a later event restores it. Messages are ordered by their number, events by seq; events of one seq
+follow each other by kind (in the order delta, delete, edit, regenerate), role and text. The last non-null role of a
+message holds.
 
 A turn is rendered ``<s>role\\ntext</s>``. Inside roles and texts ``\\`` becomes ``\\e``, ``<`` becomes ``\\l``,
 ``[`` becomes ``\\b`` (and in roles a line feed becomes ``\\n``), so no control string can arise from a text, and
@@ -11,7 +12,8 @@ each escape can be undone. The mask names, per assistant turn, the turn's place
 inside the rendered turn. Everything is DataFrame functions.
 
 Defined cases: a null text or role counts as empty; a null conversation id is one conversation; an empty log gives
-no rows; repeated log rows are separate events; extra columns are ignored.
+no rows; repeated log rows are separate events, so a repeated delta appends twice, while a repeated edit, regeneration
+or deletion changes nothing; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -39,23 +41,29 @@ def unescape(col: Column, pairs=ESCAPES) -> Column:
 
 
 def conversation_events(conversations: DataFrame) -> DataFrame:
-    """Rows (conv_id, turn, role, text) as a log in which every row is a message of its own, sent as one delta."""
+    """Rows (conv_id, turn, role, text) as the log of a chat service in which every row is a message of its own.
+
+    An assistant's message starts as a draft of half its text, is regenerated, and streams in two deltas; any other
+    one is typed up to its half and then edited. The log folds back to the rows."""
     order = Window.partitionBy("conv").orderBy(F.col("turn").asc_nulls_last(), F.col("role").asc_nulls_first(), F.col("text").asc_nulls_first())
-    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", "text")
-    return rows.select("conv", F.row_number().over(order).cast("long").alias("seq"), F.lit("delta").alias("kind"), "role", "text").withColumn("message", F.col("seq"))
+    rows = conversations.select(F.col("conv_id").alias("conv"), "turn", "role", "text").withColumn("message", F.row_number().over(order).cast("long"))
+    half = F.floor(F.char_length("text") / 2).cast("int")
+    first, rest = F.substr("text", F.lit(1), half), F.substr("text", half + 1)
+    event = lambda i, kind, text: F.struct(F.lit(i).alias("i"), F.lit(kind).alias("kind"), text.alias("text"))
+    streamed = F.array(event(0, "delta", first), event(1, "regenerate", first), event(2, "delta", rest))
+    typed = F.array(event(0, "delta", first), event(1, "edit", F.col("text")))
+    events = rows.select("conv", "message", "role", F.explode(F.when(F.col("role") == "assistant", streamed).otherwise(typed)).alias("e"))
+    return events.select("conv", (4 * F.col("message") + F.col("e.i")).alias("seq"), "e.kind", "role", "e.text", "message")
 
 
 def fold_messages(log: DataFrame) -> DataFrame:
     """The messages (conv, message, role, text) that a log ends with."""
     events = log.select("conv", "seq", "message", "kind", "role", F.coalesce("text", F.lit("")).alias("text"))
-    resets = F.when(F.col("kind").isin("edit", "regenerate", "delete"), F.col("seq"))
-    event = F.struct("seq", "kind", "role", "text")
-    folded = (
-        events.groupBy("conv", "message")
-        .agg(F.array_sort(F.collect_list(event)).alias("events"), F.max(resets).alias("reset"))
-        .withColumn("live", F.filter("events", lambda e: F.col("reset").isNull() | (e["seq"] >= F.col("reset"))))
-        .where((F.size("live") > 1) | (F.col("live")[0]["kind"] != "delete"))
-    )
+    folded = events.groupBy("conv", "message").agg(F.array_sort(F.collect_list(F.struct("seq", "kind", "role", "text"))).alias("events"))
+    # The place (from 1) of the last event that starts the message again; 0 where there is none.
+    starts = F.transform("events", lambda e, i: F.when(e["kind"].isin("edit", "regenerate", "delete"), i + 1).otherwise(0))
+    live = F.slice("events", F.greatest(F.array_max(starts), F.lit(1)), F.size("events"))
+    folded = folded.withColumn("live", live).where((F.size("live") > 1) | (F.col("live")[0]["kind"] != "delete"))
     text = F.array_join(F.transform(F.filter("live", lambda e: e["kind"] != "delete"), lambda e: e["text"]), "")
     roles = F.filter(F.transform("events", lambda e: e["role"]), lambda r: r.isNotNull())
     return folded.select("conv", "message", F.coalesce(F.try_element_at(roles, F.lit(-1)), F.lit("")).alias("role"), text.alias("text"))

@@ -4,10 +4,12 @@ Texts are tokenised in Arrow batches; a document longer than a sequence is cut i
 first. Pieces are dealt to partitions of bounded size and packed there by best-fit decreasing. Dual-feasible
 functions over a partition's histogram of lengths give a lower bound on its bins: a partition that meets it is
 certified and keeps its bins. The others exchange documents - their bins with room are pooled and dealt anew with
-another salt - and rerun best-fit decreasing, until all are certified, a round gains nothing, or rounds run out.
+another salt - and rerun best-fit decreasing, until all are certified, a single partition is left, or rounds run
+out. Each row tells the bins and the bound of the partition it was packed in, so what stays uncertified shows.
 
 Defined cases: a null text is empty; every document ends with one end token, so none is empty; repeated rows and
-ids are separate documents; an empty table gives no rows; extra columns are ignored.
+ids are separate documents; very long texts and runs of one character or of white space are tokenised whole; an empty
+table gives no rows; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -61,7 +63,15 @@ def encoder(path: str):
     letters = _byte_letters()
     ranks = {bytes(letters[c] for c in token): i for token, i in model["vocab"].items() if token not in special}
     fast = tiktoken.Encoding("own", pat_str=BYTE_LEVEL_SPLIT, mergeable_ranks=ranks, special_tokens=special)
-    return lambda text: fast.encode_to_numpy(text, allowed_special="all").astype("<u4").tobytes()
+
+    def encode(text: str) -> bytes:
+        try:
+            ids = fast.encode_to_numpy(text, allowed_special="all")
+        except ValueError:  # a run of white space so long that the faster encoder's pattern gives up
+            ids = np.array(tokenizer.encode(text, add_special_tokens=False).ids)
+        return ids.astype("<u4").tobytes()
+
+    return encode
 
 
 def tokenize(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -148,32 +158,37 @@ def _pack_round(items: DataFrame, partitions: int, salt: int, capacity: int) ->
 
 
 def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PARTITION, rounds: int = ROUNDS) -> DataFrame:
-    """items(item long, length long), lengths at most capacity -> (item, sequence_id, offset), gapless from 0 in every sequence."""
+    """items(item long, length long), lengths at most capacity -> (item, sequence_id, offset, part_bins, part_bound).
+
+    Offsets are gapless from 0 in every sequence. part_bins and part_bound are the sequences of the partition that the
+    item was packed in, and the lower bound on them: where both are equal, the partition is certified."""
     spark = items.sparkSession
-    full = items.where(F.col("length") == capacity).select("item", F.concat(F.lit("f"), F.col("item")).alias("name"), F.lit(0).cast("long").alias("offset"))
+    one = F.lit(1).cast("long")
+    full = items.where(F.col("length") == capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("part_bins"), one.alias("part_bound"))
     rest, settled = items.where(F.col("length") < capacity), full
     n, salt = rest.count(), 0
     while n:
-        partitions = -(-n // per_partition)
-        packed = materialize(_pack_round(rest, partitions, salt, capacity))
-        gaps = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound")).agg(F.sum(F.col("bins") - F.col("bound")).alias("gap")).first()["gap"]
-        # A single partition can exchange with no other.
-        final = salt + 1 >= rounds or not gaps or partitions == 1
+        packed = materialize(_pack_round(rest, -(-n // per_partition), salt, capacity))
+        gaps = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound")).agg(F.sum(F.col("bins") - F.col("bound")).alias("gap"), F.count("*").alias("parts")).first()
+        # What one partition has packed alone would be packed alike again.
+        final = salt + 1 >= rounds or not gaps["gap"] or gaps["parts"] == 1
         keep = packed if final else packed.where("bins = bound or room = 0")
-        settled = settled.unionByName(keep.select("item", F.concat_ws("-", F.lit(f"r{salt}"), "part", "bin").alias("name"), "offset"))
+        # Round, partition and bin each have bits of their own; full pieces are named by their item, below 2**60.
+        name = F.expr(f"shiftleft({salt + 1}L, 60) + shiftleft(part, 24) + bin")
+        settled = settled.unionByName(keep.select("item", name.alias("sequence_id"), "offset", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound")))
         if final:
             break
         rest = packed.where("bins > bound and room > 0").select("item", "length")
         n, salt = rest.count(), salt + 1
-    return settled.select("item", F.xxhash64("name").alias("sequence_id"), "offset")
+    return settled
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(key, piece, start, length, ids_crc32, sequence_id, offset) for every piece of every document."""
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, key: str = "doc_id", text: str = "text", per_partition: int = PER_PARTITION) -> DataFrame:
+    """(key, piece, start, length, ids_crc32, sequence_id, offset, part_bins, part_bound) for every piece of every document."""
     pieces = tokenize(docs, tokenizer_path, capacity, key, text).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     pieces = materialize(pieces.withColumn("item", F.monotonically_increasing_id()))
-    placed = pack(pieces.select("item", "length"), capacity)
-    return pieces.join(placed, "item").select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+    placed = pack(pieces.select("item", "length"), capacity, per_partition)
+    return pieces.join(placed, "item").select(key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "part_bins", "part_bound")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

@@ -95,7 +95,7 @@ def op9_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         *[count(k).alias(f"n_{k}") for k in secret_scan.BASE_KINDS],
         F.sha2(F.array_join(F.transform(base, written), ","), 256).alias("base_sha256"),
-        F.array_join(F.transform("judged", written), ",").alias("spans"),
+        F.array_join(F.transform(secret_scan.reported(F.col("judged")), written), ",").alias("spans"),
         F.size(F.filter("judged", lambda s: s["live"])).cast("long").alias("n_live"),
     )
 
