@@ -9,8 +9,9 @@ word sequence when shorter). Documents are linked when 100 * intersection >= per
 3. Every bucket first compares its members with one pivot. Pairs are checked on signatures, then on full sets.
 4. Links become components by alternating large-star and small-star.
 5. Buckets whose members still lie in several components hold pairs not yet compared. All of these are compared:
-   members outside a bucket's main component meet the bucket's members in blocks, each block in its own task. A
-   first pass over signatures finds the members that may have a link there, a second one verifies their pairs on
+   members outside a bucket's main component meet the bucket's members. Both sides are dealt by size of set and
+   into blocks of about BLOCK, only blocks of sizes that allow a link meet, and each pair of blocks is a group of its
+   own, so no task holds a bucket. A first pass over signatures finds the members that may have a link there, a second one verifies their pairs on
    full sets and returns links only; a pair is compared in the first bucket that both share.
 
 No bucket is capped, no bucket's pairs are listed, and no links or components reach the driver.
@@ -36,8 +37,8 @@ WORDS = 5
 BANDS, ROWS = 25, 5
 MINIMA = BANDS * ROWS
 PERCENT = 85
-#: Members of a bucket that one task compares with the members outside the main component.
-BLOCK = 512
+#: Members of a block, on average; two blocks of a bucket meet in one group.
+BLOCK = 256
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, MINIMA, dtype=np.uint32)[:, None] | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
@@ -107,12 +108,12 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return materialize(links.select("a", "b").distinct())
 
 
-def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(links: DataFrame) -> DataFrame:
     """(id, component) of every id in links(a, b): the smallest id reachable, by alternating large-star and small-star.
 
     Each round is written to the shared folder; a round that changes no edge ends it."""
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
-    for _ in range(most_rounds):
+    while True:
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
@@ -120,16 +121,16 @@ def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
         small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v"))
         following = materialize(small.where("u <> v").distinct())
         same = edges.count() == following.count() and edges.join(following, ["u", "v"], "left_anti").isEmpty()
+        release(edges)
         edges = following
         if same:
             break
-    else:
-        raise RuntimeError("components did not settle")
     ids = edges.groupBy("u").agg(F.min("v").alias("component")).withColumnRenamed("u", "id")
     return ids.unionByName(ids.select(F.col("component").alias("id"), "component").distinct())
 
 
-MEMBER = "key long, block int, band int, pivot long, main long, id long, component long, n long, minima binary"
+CELL = ["key", "out_class", "in_class", "i", "j"]
+MEMBER = "key long, out_class int, in_class int, i int, j int, band int, pivot long, main long, id long, component long, n long, minima binary"
 _NAMES = [x.split()[0] for x in MEMBER.split(", ")]
 
 
@@ -197,15 +198,23 @@ def remaining_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, s
     members = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
     counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
-    signed = materialize(members.join(main.where("parts > 1 and size > 2").drop("parts"), "key").join(classes.select("id", "n", "minima"), "id"))
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    inside = signed.withColumn("block", F.pmod(F.xxhash64("id"), blocks).cast("int")).select(_NAMES)
-    outside = signed.where("component <> main").withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1))).select([F.col(c).alias(c) for c in _NAMES])
-    keys = ["key", "block"]
-    found = materialize(outside.groupBy(*keys).cogroup(inside.groupBy(*keys)).applyInArrow(_involved(percent), f"{MEMBER}, is_outside boolean"))
+    # Sets whose sizes allow the similarity lie in the same size class or in neighbouring ones; a small bucket is one class.
+    size_class = F.when(F.col("size") > BLOCK, F.floor(F.log("n") / float(np.log(100 / percent * 1.0001)))).otherwise(0).cast("int")
+    signed = members.join(main.where("parts > 1 and size > 2").drop("parts"), "key").join(classes.select("id", "n", "minima"), "id")
+    signed = materialize(signed.withColumn("size_class", size_class))
+    blocks = F.ceil(F.count("*") / BLOCK).cast("int")
+    inner = signed.groupBy("key", F.col("size_class").alias("in_class")).agg(blocks.alias("in_blocks"))
+    outer = signed.where("component <> main").groupBy("key", F.col("size_class").alias("out_class")).agg(blocks.alias("out_blocks"))
+    meet = outer.withColumn("in_class", F.explode(F.sequence(F.col("out_class") - 1, F.col("out_class") + 1))).join(inner, ["key", "in_class"])
+    dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    inside = signed.withColumnRenamed("size_class", "in_class").join(meet, ["key", "in_class"]).withColumn("j", dealt("in_blocks")).withColumn("i", every("out_blocks"))
+    outside = signed.where("component <> main").withColumnRenamed("size_class", "out_class").join(meet, ["key", "out_class"]).withColumn("i", dealt("out_blocks")).withColumn("j", every("in_blocks"))
+    inside, outside = (rows.select([F.col(c).alias(c) for c in _NAMES]) for rows in (inside, outside))
+    found = materialize(outside.groupBy(*CELL).cogroup(inside.groupBy(*CELL)).applyInArrow(_involved(percent), f"{MEMBER}, is_outside boolean"))
     full = found.join(sets, "id")
     left, right = (full.where(F.col("is_outside") == side).select([F.col(c).alias(c) for c in [*_NAMES, "set"]]) for side in (True, False))
-    return left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInArrow(_linked(percent), "a long, b long").distinct()
+    return left.groupBy(*CELL).cogroup(right.groupBy(*CELL)).applyInArrow(_linked(percent), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
