@@ -6,13 +6,16 @@ of equal ones); equal strings are always filed alike. Successive strings of a do
 window form a segment, 92 strings on average. Then:
 
 1. Segments whose window hash occurs once in the corpus hold no repeat and are dropped.
-2. Equal segments are counted; all strings of a segment that occurs twice repeat. Of each kind one goes on.
+2. Equal segments are folded before the sort, by their bytes' hash within a window hash; all strings of a segment that
+   occurs twice repeat. Of each kind one goes on.
 3. The different segments of a window hash go to one shard, and each shard (about a megabyte) builds the suffix
    array of its segments by two-stage sorting: only suffixes smaller than their successors are sorted directly, the
    others are induced by a scan over the buckets of first bytes. Strings whose common prefix with a neighbour in
    the array reaches 200 bytes repeat.
-4. A window hash with more than HOT different segments would make one task large. Its strings are counted one by
-   one instead, by hash, over all tasks.
+4. A window hash with more than HOT different segments would make one task large. Its segments are halved: all their
+   strings hold the window, and each holds at least half of the other bytes on the left or on the right of it, so a
+   string is filed under that half as well. Equal halves are folded, halves that stay alone hold no repeat and are
+   dropped, and groups that are still too large are halved again, at most eight times; then they go to the shards.
 
 Matches never cross documents, and are judged on the input, not on what is left.
 
@@ -22,18 +25,21 @@ other and lose everything from 200 bytes on; null ids are allowed; extra columns
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import _tables, materialize, mix, span_hashes, utf8
+from sparkloom.llm.common import _tables, materialize, utf8
 
 LENGTH = 200
 WINDOW = 32
 #: Bytes of segments in a shard, on average.
 SHARD_BYTES = 1_000_000
-#: Different segments of one window hash that a shard may take.
+#: Different segments filed alike that a shard may take; larger groups are halved first.
 HOT = 8_192
 SEPARATOR = 0xFF  # never occurs in UTF-8
 
@@ -49,11 +55,9 @@ def sliding_minimum(h: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[:n], ahead[w - 1 : w - 1 + n])
 
 
-def segments(data: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Window hash, digest, first start and number of starts of each segment of a text."""
+def window_hashes(data: np.ndarray, window: int = WINDOW) -> np.ndarray:
+    """A hash of each window of a text, which files strings and decides nothing."""
     n = len(data)
-    if n < length:
-        return (np.empty(0, dtype=np.uint64),) * 2 + (np.empty(0, dtype=np.int64),) * 2
     power, inverse = _tables(n + 1)
     sums = np.zeros(n + 1, dtype=np.uint64)
     np.cumsum((data + np.uint64(1)) * power[:n], out=sums[1:])
@@ -61,14 +65,23 @@ def segments(data: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> tu
     h = (sums[window:] - sums[:grams]) * inverse[:grams]
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
-    h ^= h >> np.uint64(32)
+    return h ^ (h >> np.uint64(32))
+
+
+def segments(data: np.ndarray, length: int = LENGTH, window: int = WINDOW) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Window hash, digest, first start and number of starts of each segment of a text."""
+    n = len(data)
+    if n < length:
+        return (np.empty(0, dtype=np.uint64),) * 2 + (np.empty(0, dtype=np.int64),) * 2
+    h = window_hashes(data, window)
     least = sliding_minimum(h, length - window + 1)
     # The string's smallest window is another one if its hash changes, or if it began the string before.
     moved = (least[1:] != least[:-1]) | (h[: len(least) - 1] == least[:-1])
     first = np.concatenate([[0], np.flatnonzero(moved) + 1])
     count = np.diff(first, append=len(least))
     end = first + count - 1 + length
-    digest = mix((sums[end] - sums[first]) * inverse[first] + (end - first).astype(np.uint64))
+    whole = memoryview(data)
+    digest = np.fromiter((xxhash.xxh3_64_intdigest(whole[s:e]) for s, e in zip(first.tolist(), end.tolist(), strict=True)), dtype=np.uint64, count=len(first))
     return least[first], digest, first, count
 
 
@@ -215,21 +228,41 @@ def _shard(length: int):
     return run
 
 
-def _single_strings(length: int):
-    """A row for each string of each segment: its hash and place."""
+def _halves(length: int, window: int = WINDOW):
+    """Each segment in two, filed by more of the text that its strings share; see the module.
+
+    All strings of a segment hold bytes low..high of it. Those that start m bytes or more before low hold m bytes more
+    on the left, the others hold the rest on the right, so the bytes not yet shared are halved."""
 
     def run(batches):
         for batch in batches:
+            out: list[tuple] = []
             for r in batch.to_pylist():
-                data = np.frombuffer(r["bytes"], dtype=np.uint8)
-                first = np.arange(r["n"])
-                h = span_hashes(data, first, first + length).astype(np.int64)
-                same = [pa.array(np.full(r["n"], r[c])) for c in ("id", "text_hash", "digest", "c")]
-                yield pa.record_batch([*same, pa.array(h), pa.array((first + r["start"]).astype(np.int32))], names=["id", "text_hash", "digest", "c", "string", "start"])
+                data, low, high, n = r["bytes"], r["low"], r["high"], r["n"]
+                if low is None:
+                    low = int(np.argmin(window_hashes(np.frombuffer(data[:length], dtype=np.uint8), window)))
+                    high = low + window
+                rest = length - (high - low)
+                m = (rest + 1) // 2
+                cut = max(0, min(n, low - m + 1)) if rest else n
+                for side, a, b, s, e in ((b"l", 0, cut, low - m, high), (b"r", cut, n, low, high + rest - m + 1)):
+                    if a < b:
+                        group = xxhash.xxh3_64_intdigest(side + r["hash"].to_bytes(8, "little", signed=True) + data[s:e])
+                        part = data[a : b - 1 + length]
+                        out.append((_signed(group), _signed(xxhash.xxh3_64_intdigest(part)), r["id"], r["text_hash"], r["c"], r["start"] + a, b - a, s - a, e - a, part))
+            kinds = (pa.int64(),) * 5 + (pa.int32(),) * 4 + (pa.binary(),)
+            yield pa.record_batch([pa.array([r[i] for r in out], type=k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in HALF.split(", ")])
 
     return run
 
 
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+HALF = "hash long, digest long, id long, text_hash long, c long, start int, n int, low int, high int, bytes binary"
+
+
 def repeated_runs(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> DataFrame:
     """(id, text_hash, start, n): runs of n successive starts of repeated strings, for docs(id long, text)."""
     docs = docs.select("id", F.xxhash64("text").alias("text_hash"), "text")
@@ -247,21 +280,25 @@ def repeated_runs(docs: DataFrame, length: int = LENGTH, hot: int = HOT) -> Data
     copies = met.where("copies = 1").join(kinds.where("c > 1").select("hash", "digest"), ["hash", "digest"]).select("id", "text_hash", "start", "n")
 
     apart = kinds.where("distinct > 1").select("hash", "digest", "c", "distinct", "one.*")
-    size = apart.agg(F.sum(F.when(F.col("distinct") <= hot, F.col("n") + (length - 1)))).first()[0] or 0
-    shards = max(1, -(-size // SHARD_BYTES))
     wanted = apart.groupBy("id", "text_hash").agg(F.collect_list(F.struct("id", "text_hash", "hash", "digest", "c", "distinct", "start", "n")).alias("wanted"))
     pieces = docs.join(wanted, ["id", "text_hash"]).select("text", "wanted")
     schema = "id long, text_hash long, hash long, digest long, c long, distinct long, start int, n int, bytes binary"
     pieces = materialize(pieces.mapInArrow(_slices(length), schema))
-    few = pieces.where(F.col("distinct") <= hot).withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(shards)))
-    sorted_ones = few.groupBy("shard").applyInArrow(_shard(length), FLAGS)
-
-    many = pieces.where(F.col("distinct") > hot).mapInArrow(_single_strings(length), "id long, text_hash long, digest long, c long, string long, start int")
-    # A segment that several rows of docs share comes from each of them, but counts once.
-    many = many.dropDuplicates(["string", "digest", "start"])
-    repeated = many.groupBy("string").agg(F.sum("c").alias("all")).where("all > 1").select("string")
-    single = many.where("c = 1").join(repeated, "string").select("id", "text_hash", "start", F.lit(1).alias("n"))
-    return settled.unionByName(copies).unionByName(sorted_ones).unionByName(single)
+    sort = ["hash", "digest", "id", "text_hash", "c", "start", "n", "bytes"]
+    ready, repeats = pieces.where(F.col("distinct") <= hot).select(sort), [settled, copies]
+    many = pieces.where(F.col("distinct") > hot).dropDuplicates(["hash", "digest"]).select(*sort, F.lit(None).cast("int").alias("low"), F.lit(None).cast("int").alias("high"))
+    while not many.isEmpty():
+        halves = materialize(many.mapInArrow(_halves(length), HALF))
+        one = F.min(F.struct("id", "text_hash", "start", "n", "low", "high", "bytes")).alias("one")
+        same = materialize(halves.groupBy("hash", "digest").agg(F.sum("c").alias("c"), one))
+        repeats.append(halves.where("c = 1").join(same.where("c > 1").select("hash", "digest"), ["hash", "digest"]).select("id", "text_hash", "start", "n"))
+        same = same.join(same.groupBy("hash").agg(F.count("*").alias("distinct")).where("distinct > 1"), "hash").select("hash", "digest", "c", "distinct", "one.*")
+        ready = ready.unionByName(same.where(F.col("distinct") <= hot).select(sort))
+        many = same.where(F.col("distinct") > hot).select(*sort, "low", "high")
+    size = ready.agg(F.sum(F.col("n") + (length - 1))).first()[0] or 0
+    sharded = ready.withColumn("shard", F.pmod(F.xxhash64("hash"), F.lit(max(1, -(-size // SHARD_BYTES)))))
+    repeats.append(sharded.groupBy("shard").applyInArrow(_shard(length), FLAGS))
+    return reduce(DataFrame.unionByName, repeats)
 
 
 def _union(runs: list[dict], length: int) -> list[tuple[int, int]]:
