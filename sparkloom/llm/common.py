@@ -14,6 +14,11 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 LOWER = UPPER.lower()
 
 
+def quoted(name: str) -> str:
+    """A column name that may hold dots or backticks, as F.col takes it."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def lower_ascii(col):
     """Lower-case A-Z only."""
     return F.translate(col, UPPER, LOWER)

@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import lowered, materialize, release, rolling_word_hashes, span_hashes, utf8, word_spans
+from sparkloom.llm.common import lowered, materialize, quoted, release, rolling_word_hashes, span_hashes, utf8, word_spans
 
 WORDS = 5
 BANDS, ROWS = 25, 5
@@ -264,11 +264,11 @@ def keep_first(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", tex
 
     Where ids repeat, it is decided row by row. Only the ids to drop are matched with docs. Rows without an id go only
     where another row has the same text."""
-    known = docs.where(F.col(key).isNotNull())
+    known, columns = docs.where(F.col(key).isNotNull()), [F.col(quoted(c)) for c in docs.columns]
     if known.groupBy(key).count().where("count > 1").isEmpty():
         found = materialize(near_duplicates(known, percent, key, text))
-        left = known.join(found.where(~F.col("kept")).select(key).distinct().hint("merge"), key, "left_anti").select(docs.columns)
+        left = known.join(found.where(~F.col("kept")).select(key).distinct().hint("merge"), key, "left_anti").select(columns)
     else:
-        left = _first_rows(known, percent, key, text).select(docs.columns)
+        left = _first_rows(known, percent, key, text).select(columns)
     missing = docs.where(F.col(key).isNull())
     return left if missing.isEmpty() else left.unionByName(_without_id(docs, key, text))

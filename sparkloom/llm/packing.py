@@ -4,8 +4,8 @@ Texts are tokenised in Arrow batches; a document longer than a sequence is cut i
 first. Pieces are dealt to partitions of bounded size and packed there by best-fit decreasing. Dual-feasible
 functions over a partition's histogram of lengths give a lower bound on its bins: a partition that meets it is
 certified and keeps its bins. The others exchange documents - their bins with room are pooled and dealt anew with
-another salt - and rerun best-fit decreasing, until all are certified, a single partition is left, or rounds run
-out. Each row tells the bins and the bound of the partition it was packed in, so what stays uncertified shows.
+another salt - and rerun best-fit decreasing, until all are certified, a round gains nothing, a single partition is
+left, or rounds run out. Each row tells the bins and the bound of the partition it was packed in, so what stays uncertified shows.
 
 Defined cases: a null text is empty; every document ends with one end token, so none is empty; repeated rows and
 ids are separate documents; very long texts and runs of one character or of white space are tokenised whole; an empty
@@ -165,21 +165,27 @@ def pack(items: DataFrame, capacity: int = CAPACITY, per_partition: int = PER_PA
     spark = items.sparkSession
     one = F.lit(1).cast("long")
     full = items.where(F.col("length") == capacity).select("item", F.col("item").alias("sequence_id"), F.lit(0).cast("long").alias("offset"), one.alias("part_bins"), one.alias("part_bound"))
+    def named(packed: DataFrame, salt: int) -> DataFrame:
+        # Round, partition and bin each have bits of their own; full pieces are named by their item, below 2**60.
+        name = F.expr(f"shiftleft({salt + 1}L, 60) + shiftleft(part, 24) + bin")
+        return packed.select("item", name.alias("sequence_id"), "offset", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound"))
+
     rest, settled = items.where(F.col("length") < capacity), full
-    n, salt = rest.count(), 0
+    n, salt, before = rest.count(), 0, None
     while n:
         packed = materialize(_pack_round(rest, -(-n // per_partition), salt, capacity))
-        gaps = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound")).agg(F.sum(F.col("bins") - F.col("bound")).alias("gap"), F.count("*").alias("parts")).first()
+        parts = packed.groupBy("part").agg(F.max("bins").alias("bins"), F.max("bound").alias("bound"))
+        sums = parts.agg(F.sum("bins").alias("bins"), F.sum(F.col("bins") - F.col("bound")).alias("gap"), F.count("*").alias("parts")).first()
+        if before is not None and sums["bins"] >= before[1]:  # the exchange gained nothing: the bins stay as they were
+            return settled.unionByName(named(before[0], salt - 1))
         # What one partition has packed alone would be packed alike again.
-        final = salt + 1 >= rounds or not gaps["gap"] or gaps["parts"] == 1
-        keep = packed if final else packed.where("bins = bound or room = 0")
-        # Round, partition and bin each have bits of their own; full pieces are named by their item, below 2**60.
-        name = F.expr(f"shiftleft({salt + 1}L, 60) + shiftleft(part, 24) + bin")
-        settled = settled.unionByName(keep.select("item", name.alias("sequence_id"), "offset", F.col("bins").alias("part_bins"), F.col("bound").alias("part_bound")))
-        if final:
-            break
-        rest = packed.where("bins > bound and room > 0").select("item", "length")
-        n, salt = rest.count(), salt + 1
+        if salt + 1 >= rounds or not sums["gap"] or sums["parts"] == 1:
+            return settled.unionByName(named(packed, salt))
+        settled = settled.unionByName(named(packed.where("bins = bound or room = 0"), salt))
+        pooled = packed.where("bins > bound and room > 0")
+        before = pooled, pooled.select("part", "bin").distinct().count()
+        rest, salt = pooled.select("item", "length"), salt + 1
+        n = rest.count()
     return settled
 
 

@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import materialize
+from sparkloom.llm.common import materialize, quoted
 
 # Kind, pattern, group that holds the value, least length of the value.
 PATTERNS = (
@@ -122,15 +122,11 @@ def redact(text: str | None, starts: list[int], ends: list[int], mark: str = "[S
     return "".join([*out, (text or "")[at:]])
 
 
-def _quoted(name: str) -> str:
-    return "`" + name.replace("`", "``") + "`"
-
-
 def redact_live(docs: DataFrame, text: str = "text", repository: str = "source", owner: str = "source", shared_by: int = SHARED_BY) -> DataFrame:
     """docs with the credentials in text replaced that fewer than ``shared_by`` hold; all rows and columns stay.
 
     Only the rows that hold a span are shuffled."""
-    whole = docs.select(F.struct(*[F.col(_quoted(c)) for c in docs.columns]).alias("doc"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"), F.col(repository).alias("repository"), F.col(owner).alias("owner"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     found = F.arrow_udf(spans_of, f"array<{SPAN}>")
     scanned = materialize(whole.withColumn("spans", found("text")).drop("text").withColumn("row_id", F.monotonically_increasing_id()))
     live = judge(scanned, shared_by).select("row_id", F.filter("judged", lambda s: s["live"]).alias("live"))
@@ -139,6 +135,6 @@ def redact_live(docs: DataFrame, text: str = "text", repository: str = "source",
         return pa.array([redact(t.as_py(), a.as_py(), b.as_py()) for t, a, b in zip(texts, starts, ends, strict=True)], type=pa.string())
 
     cut = F.arrow_udf(masked, "string")
-    hit = scanned.where(F.size("spans") > 0).join(live, "row_id").select("doc", cut(F.col(f"doc.{_quoted(text)}"), "live.start", "live.end").alias("masked"))
+    hit = scanned.where(F.size("spans") > 0).join(live, "row_id").select("doc", cut(F.col(f"doc.{quoted(text)}"), "live.start", "live.end").alias("masked"))
     rest = scanned.where(F.size("spans") == 0).select("doc", F.lit(None).cast("string").alias("masked"))
-    return rest.unionByName(hit).select(*[F.coalesce("masked", F.col(f"doc.{_quoted(c)}")).alias(c) if c == text else F.col(f"doc.{_quoted(c)}").alias(c) for c in docs.columns])
+    return rest.unionByName(hit).select(*[F.coalesce("masked", F.col(f"doc.{quoted(c)}")).alias(c) if c == text else F.col(f"doc.{quoted(c)}").alias(c) for c in docs.columns])

@@ -172,12 +172,16 @@ def _segment_rows(length: int):
                     if not len(window):
                         continue
                     _, one, place, copies = np.unique(digest, return_index=True, return_inverse=True, return_counts=True)
-                    here = np.flatnonzero(copies[place] > 1)  # repeats within the document are settled here
-                    k = len(one) + len(here)
+                    here = copies[place] > 1  # repeats within the document are settled here, in runs of starts
+                    begins, stops = (first[here], first[here] + n[here])
+                    cuts = np.flatnonzero(begins[1:] != stops[:-1])
+                    if len(begins):
+                        begins, stops = begins[np.append(0, cuts + 1)], stops[np.append(cuts, -1)]
+                    k, zero = len(one) + len(begins), np.zeros(len(begins), dtype=np.int64)
                     cols[0].append(np.full(k, i)), cols[1].append(np.full(k, h))
-                    cols[2].append(np.concatenate([window[one], window[here]]).astype(np.int64)), cols[3].append(np.concatenate([digest[one], digest[here]]).astype(np.int64))
-                    cols[4].append(np.concatenate([first[one], first[here]]).astype(np.int32)), cols[5].append(np.concatenate([n[one], n[here]]).astype(np.int32))
-                    cols[6].append(np.concatenate([copies, np.zeros(len(here), dtype=np.int64)]).astype(np.int32))
+                    cols[2].append(np.concatenate([window[one].astype(np.int64), zero])), cols[3].append(np.concatenate([digest[one].astype(np.int64), zero]))
+                    cols[4].append(np.concatenate([first[one], begins]).astype(np.int32)), cols[5].append(np.concatenate([n[one], stops - begins]).astype(np.int32))
+                    cols[6].append(np.concatenate([copies, zero]).astype(np.int32))
                 kinds = (np.int64,) * 4 + (np.int32,) * 3
                 yield pa.record_batch([pa.array(np.concatenate(c) if c else np.empty(0, k)) for c, k in zip(cols, kinds, strict=True)], names=names)
 

@@ -7,7 +7,7 @@ with a sparse directory of their first keys. ``lookup`` binary-searches the dire
 those index blocks, and reads only the byte ranges they name.
 
 Archives are tables (block, data) in Spark's own store, so that every executor can reach them; ``data`` joined in
-order of ``block`` is a valid .warc.gz file.
+order of ``block`` is a valid .warc.gz file: every record has its own id, a date and an HTTP head.
 
 Defined cases: a null payload is empty; a null URL has an empty key; null ids lose against any id; rows that share
 id and payload are all responses if that id is the largest; an empty table gives empty archives; extra columns are
@@ -18,11 +18,14 @@ from __future__ import annotations
 
 import base64
 import bisect
+import hashlib
 import json
+import uuid
 import zlib
 from urllib.parse import quote, unquote
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,6 +35,10 @@ BLOCK_BYTES = 1 << 18
 #: Captures in an index block; grows so that the directory keeps at most MOST_BLOCKS entries.
 LINES_PER_BLOCK = 2_000
 MOST_BLOCKS = 100_000
+#: Characters of a key in the directory, which is all that the driver and the tasks hold of the index.
+DIRECTORY_CHARS = 128
+#: The time of capture written where none is given; pages carry none.
+CAPTURED = "1970-01-01T00:00:00Z"
 
 CAPTURE = "key string, record_id string, block long, offset long, length long"
 RECORD = "record_id string, key string, record_type string, payload_bytes long, payload_digest string, refers_to string, payload binary"
@@ -44,93 +51,111 @@ def url_key(url: Column) -> Column:
     return F.when(bare == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), ","), F.lit(")"), F.regexp_extract(bare, r"(?s)^[^/?]*(.*)$", 1)))
 
 
-def encode_record(record_id: str, url: str, key: str, payload: bytes | None, size: int, digest: str, refers_to: str | None) -> bytes:
-    """One WARC record as a gzip member; a revisit has no payload."""
+HTTP_HEAD = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
+
+
+def encode_record(name: str, record_id: str, url: str, key: str, payload: bytes | None, size: int, digest: str, refers_to: str | None, refers_url: str | None, date: str) -> bytes:
+    """One WARC record as a gzip member: an HTTP response, or a revisit with the HTTP head alone."""
+    target = lambda u: quote(u, safe=":/?#[]@!$&()*+,;=%~")
+    revisit = refers_to is not None
+    block = HTTP_HEAD + (payload or b"")
     head = [
         "WARC/1.1",
-        f"WARC-Type: {'revisit' if refers_to is not None else 'response'}",
-        f"WARC-Record-ID: <urn:page:{record_id}>",
-        f"WARC-Target-URI: {quote(url, safe=':/?#[]@!$&()*+,;=%~')}",
+        f"WARC-Type: {'revisit' if revisit else 'response'}",
+        f"WARC-Record-ID: <urn:uuid:{uuid.uuid5(uuid.NAMESPACE_URL, name)}>",
+        f"WARC-Date: {date}",
+        f"WARC-Target-URI: {target(url)}",
         f"WARC-Payload-Digest: sha1:{digest}",
+        f"X-Page-ID: {record_id}",
         f"X-Payload-Length: {size}",
         f"X-Index-Key: {quote(key)}",
-        "Content-Type: text/html; charset=utf-8",
-        f"Content-Length: {0 if payload is None else len(payload)}",
+        "Content-Type: application/http; msgtype=response",
+        f"Content-Length: {len(block)}",
     ]
-    if refers_to is not None:
-        head[3:3] = ["WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest", f"WARC-Refers-To: <urn:page:{refers_to}>"]
-    body = "\r\n".join(head).encode() + b"\r\n\r\n" + (payload or b"") + b"\r\n\r\n"
+    if revisit:
+        head[5:5] = [
+            "WARC-Profile: http://netpreserve.org/warc/1.1/revisit/identical-payload-digest",
+            f"WARC-Refers-To-Target-URI: {target(refers_url or '')}",
+            f"WARC-Refers-To-Date: {date}",
+            f"X-Refers-To-Page: {refers_to}",
+        ]
     packer = zlib.compressobj(6, zlib.DEFLATED, 31)
-    return packer.compress(body) + packer.flush()
+    return packer.compress("\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n") + packer.flush()
 
 
 def decode_record(member: bytes) -> dict:
     """The fields of one record; its digest is taken from the stored payload where there is one."""
-    import hashlib
-
     raw = zlib.decompress(member, 31)
     head, _, rest = raw.partition(b"\r\n\r\n")
     fields = dict(line.split(": ", 1) for line in head.decode().split("\r\n")[1:])
-    kind, payload = fields["WARC-Type"], rest[: int(fields["Content-Length"])]
+    kind, payload = fields["WARC-Type"], rest[: int(fields["Content-Length"])].partition(b"\r\n\r\n")[2]
     digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if kind == "response" else fields["WARC-Payload-Digest"].removeprefix("sha1:")
     return {
-        "record_id": fields["WARC-Record-ID"][len("<urn:page:") : -1],
+        "record_id": fields["X-Page-ID"],
         "key": unquote(fields["X-Index-Key"]),
         "record_type": kind,
         "payload_bytes": len(payload) if kind == "response" else int(fields["X-Payload-Length"]),
         "payload_digest": digest,
-        "refers_to": fields["WARC-Refers-To"][len("<urn:page:") : -1] if kind == "revisit" else None,
+        "refers_to": fields.get("X-Refers-To-Page"),
         "payload": payload if kind == "response" else None,
     }
 
 
-def members(data: bytes):
-    """(offset, length) of the gzip members of a block."""
-    at = 0
-    while at < len(data):
-        reader = zlib.decompressobj(31)
-        reader.decompress(data[at:])
-        while not reader.eof:
-            raise ValueError("truncated member")
-        end = len(data) - len(reader.unused_data)
-        yield at, end - at
-        at = end
+def members(data: bytes, step: int = 1 << 14):
+    """(offset, length) of the gzip members of a block, which is read once."""
+    view, start, at = memoryview(data), 0, 0
+    reader = zlib.decompressobj(31)
+    while at < len(view):
+        part = view[at : at + step]
+        reader.decompress(part)
+        at += len(part) - len(reader.unused_data)
+        if reader.eof:
+            yield start, at - start
+            start, reader = at, zlib.decompressobj(31)
+    if start != at:
+        raise ValueError("truncated member")
 
 
-def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0) -> DataFrame:
-    """The archive (block, directory, data) of all rows of pages; payloads under least_bytes are never revisits."""
-    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
-    rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload")).withColumn("digest", F.sha1("payload"))
-    responses = rows.groupBy("digest").agg(F.max("id").alias("response"))
-    joined = rows.join(responses, "digest").withColumn("revisit", (F.length("payload") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("response")))
-    text = joined.select("id", "url", url_key(F.col("url")).alias("key"), F.length("payload").cast("long").alias("size"), "digest", F.when(~F.col("revisit"), F.col("payload")).alias("payload"), F.when(F.col("revisit"), F.col("response")).alias("refers"))
+def _decisions(rows: DataFrame, least_bytes: int) -> DataFrame:
+    """One row for each different (id, url, digest) of rows(id, url, digest, size): the response it refers to, or null for a response.
+
+    Only ids, URLs and digests are shuffled here, so a payload that very many rows share is never brought together."""
+    responses = rows.groupBy("digest").agg(F.max(F.struct("id", "url")).alias("response"))
+    kinds = rows.select("id", "url", "digest", "size").distinct().join(responses, "digest")
+    revisit = (F.col("size") >= least_bytes) & ~F.col("id").eqNullSafe(F.col("response.id"))
+    return kinds.where(revisit).select("id", "url", "digest", "response")
 
-    def pack(batches):
-        block, places, number = [], [], 0
 
-        def flush():
-            nonlocal block, places, number
-            out = pa.record_batch([pa.array([number]), pa.array([json.dumps(places)]), pa.array([b"".join(block)])], names=["number", "directory", "data"])
-            block, places, number = [], [], number + 1
-            return out
+def write_archive(pages: DataFrame, key: str = "page_id", url: str = "url", payload: str = "html", least_bytes: int = 0, date: str = CAPTURED) -> DataFrame:
+    """The archive (block, data) of all rows of pages; payloads under least_bytes are never revisits."""
+    body = F.coalesce(F.col(payload), F.lit("")).cast("binary")
+    rows = pages.select(F.col(key).cast("long").alias("id"), F.coalesce(F.col(url), F.lit("")).alias("url"), body.alias("payload"))
+    rows = rows.withColumn("digest", F.sha1("payload")).withColumn("size", F.length("payload").cast("long"))
+    name = F.xxhash64("id", "url", "digest")
+    refers = _decisions(rows, least_bytes).withColumn("name", name).select("name", *[F.col(c).alias(f"d_{c}") for c in ("id", "url", "digest")], "response")
+    same = F.expr("name = d_name AND digest = d_digest AND url = d_url AND id <=> d_id")
+    joined = rows.withColumn("name", name).join(refers.withColumnRenamed("name", "d_name"), same, "left")
+    stored = F.when(F.col("response").isNull(), F.col("payload"))
+    text = joined.select("id", "url", url_key(F.col("url")).alias("key"), "size", "digest", stored.alias("payload"), F.col("response.id").alias("refers"), F.col("response.url").alias("refers_url"))
 
-        held = 0
+    def pack(batches):
+        block, held, made, task = [], 0, 0, TaskContext.get().partitionId()
         for batch in batches:
-            for i, u, k, size, digest, data, refers in zip(*batch.columns, strict=True):
-                hexes = bytes.fromhex(digest.as_py())
-                refers = refers.as_py()
-                member = encode_record(str(i.as_py() if i.is_valid else ""), u.as_py(), k.as_py(), data.as_py(), size.as_py(), base64.b32encode(hexes).decode(), None if refers is None else str(refers))
+            for i, u, k, size, digest, data, refers, refers_url in zip(*batch.columns, strict=True):
+                i, refers = i.as_py(), refers.as_py()
+                # Rows may repeat; the place in the archive tells their records apart.
+                name, made = f"page/{i}/{digest}/{task}/{made}", made + 1
+                digest = base64.b32encode(bytes.fromhex(digest.as_py())).decode()
+                member = encode_record(name, "" if i is None else str(i), u.as_py(), k.as_py(), data.as_py(), size.as_py(), digest, None if refers is None else str(refers), refers_url.as_py(), date)
                 if block and held + len(member) > BLOCK_BYTES:
-                    yield flush()
-                    held = 0
+                    yield pa.record_batch([pa.array([b"".join(block)])], names=["data"])
+                    block, held = [], 0
                 block.append(member)
-                places.append(len(member))
                 held += len(member)
         if block:
-            yield flush()
+            yield pa.record_batch([pa.array([b"".join(block)])], names=["data"])
 
-    blocks = text.mapInArrow(pack, "number long, directory string, data binary")
-    return materialize(blocks.select(F.monotonically_increasing_id().alias("block"), "data"))
+    return materialize(text.mapInArrow(pack, "data binary").select(F.monotonically_increasing_id().alias("block"), "data"))
 
 
 def build_index(archive: DataFrame, lines: int = LINES_PER_BLOCK) -> DataFrame:
@@ -174,14 +199,17 @@ def build_index(archive: DataFrame, lines: int = LINES_PER_BLOCK) -> DataFrame:
 
 def lookup(keys: DataFrame, index: DataFrame, archive: DataFrame) -> DataFrame:
     """All records (RECORD) whose key is in keys(key): directory search, index blocks, then range reads."""
-    # At most MOST_BLOCKS entries, and one more for each partition of the index's sort.
-    directory = sorted((r["first_key"], r["last_key"], r["number"]) for r in index.select("first_key", "last_key", "number").collect())
+    # At most MOST_BLOCKS entries, and one more for each partition of the index's sort. Keys are cut to DIRECTORY_CHARS,
+    # which can only add a block to those that are opened.
+    short = lambda c: F.substring(c, 1, DIRECTORY_CHARS).alias(c)
+    directory = sorted((r["first_key"], r["last_key"], r["number"]) for r in index.select(short("first_key"), short("last_key"), "number").collect())
     shared = keys.sparkSession.sparkContext.broadcast(directory)
 
     def search(found: pa.Array) -> pa.Array:
         firsts, lasts = [d[0] for d in shared.value], [d[1] for d in shared.value]
         out = []
         for k in found.to_pylist():
+            k = k[:DIRECTORY_CHARS]
             lo, hi = bisect.bisect_left(lasts, k), bisect.bisect_right(firsts, k)
             out.append([shared.value[i][2] for i in range(lo, hi)])
         return pa.array(out, type=pa.list_(pa.int64()))
