@@ -39,6 +39,8 @@ MINIMA = BANDS * ROWS
 PERCENT = 85
 #: Members of a block, on average; two blocks of a bucket meet in one group.
 BLOCK = 256
+#: Tasks over which a bucket's rows are dealt where they are joined with what is known of the bucket.
+SALTS = 16
 _rng = np.random.default_rng(20240229)
 _A = _rng.integers(1, 1 << 32, MINIMA, dtype=np.uint32)[:, None] | np.uint32(1)
 _B = _rng.integers(0, 1 << 32, MINIMA, dtype=np.uint32)[:, None]
@@ -196,20 +198,24 @@ def _linked(percent: int):
 def remaining_links(buckets: DataFrame, labels: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that join what labels(id, component) leaves apart in buckets(key, band, id, pivot)."""
     members = buckets.join(labels, "id", "left").withColumn("component", F.coalesce("component", "id"))
+    # A bucket's rows are dealt over SALTS tasks wherever they meet the few rows that describe the bucket.
+    salted = lambda rows: rows.withColumn("salt", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(SALTS)))
+    copied = lambda few: few.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
     counts = members.groupBy("key", "component").agg(F.count("*").alias("n"))
     main = counts.groupBy("key").agg(F.max_by("component", F.struct("n", "component")).alias("main"), F.sum("n").alias("size"), F.count("*").alias("parts"))
     # Sets whose sizes allow the similarity lie in the same size class or in neighbouring ones; a small bucket is one class.
     size_class = F.when(F.col("size") > BLOCK, F.floor(F.log("n") / float(np.log(100 / percent * 1.0001)))).otherwise(0).cast("int")
-    signed = members.join(main.where("parts > 1 and size > 2").drop("parts"), "key").join(classes.select("id", "n", "minima"), "id")
+    signed = salted(members).join(copied(main.where("parts > 1 and size > 2").drop("parts")), ["key", "salt"]).join(classes.select("id", "n", "minima"), "id")
     signed = materialize(signed.withColumn("size_class", size_class))
     blocks = F.ceil(F.count("*") / BLOCK).cast("int")
     inner = signed.groupBy("key", F.col("size_class").alias("in_class")).agg(blocks.alias("in_blocks"))
     outer = signed.where("component <> main").groupBy("key", F.col("size_class").alias("out_class")).agg(blocks.alias("out_blocks"))
     meet = outer.withColumn("in_class", F.explode(F.sequence(F.col("out_class") - 1, F.col("out_class") + 1))).join(inner, ["key", "in_class"])
+    meet = copied(meet)
     dealt = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    inside = signed.withColumnRenamed("size_class", "in_class").join(meet, ["key", "in_class"]).withColumn("j", dealt("in_blocks")).withColumn("i", every("out_blocks"))
-    outside = signed.where("component <> main").withColumnRenamed("size_class", "out_class").join(meet, ["key", "out_class"]).withColumn("i", dealt("out_blocks")).withColumn("j", every("in_blocks"))
+    inside = signed.withColumnRenamed("size_class", "in_class").join(meet, ["key", "in_class", "salt"]).withColumn("j", dealt("in_blocks")).withColumn("i", every("out_blocks"))
+    outside = signed.where("component <> main").withColumnRenamed("size_class", "out_class").join(meet, ["key", "out_class", "salt"]).withColumn("i", dealt("out_blocks")).withColumn("j", every("in_blocks"))
     inside, outside = (rows.select([F.col(c).alias(c) for c in _NAMES]) for rows in (inside, outside))
     found = materialize(outside.groupBy(*CELL).cogroup(inside.groupBy(*CELL)).applyInArrow(_involved(percent), f"{MEMBER}, is_outside boolean"))
     full = found.join(sets, "id")
