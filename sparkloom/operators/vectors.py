@@ -1,7 +1,4 @@
-"""Exact similarity search over vector columns, in blocks.
-
-A query set is sent to the vectors in blocks of bounded size, so a task holds one block of queries and one batch of
-vectors; each task keeps the best k of its batch for every query, and only those are shuffled."""
+"""Exact similarity search over vector columns, in blocks of bounded size, of which a task multiplies two at a time."""
 
 from __future__ import annotations
 
@@ -10,25 +7,30 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Queries in a block, and bytes of queries up to which they are sent to all tasks at once.
+#: Rows of a block, on average; a task multiplies two blocks at a time.
 BLOCK = 2048
 
 
+def _blocks(rows: DataFrame) -> int:
+    return max(1, -(-rows.count() // BLOCK))
+
+
 def _matrix(column: pa.Array) -> np.ndarray:
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     m = flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int = 16) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """(query, id, score): the k nearest of vectors(id, v) to each of queries(query, v) by cosine, other than itself.
 
-    Ties go to the smaller id. Queries and vectors meet on a grid of blocks and partitions."""
-    q = queries.withColumn("block", F.pmod(F.xxhash64("query"), F.lit(max(1, -(-queries.count() // BLOCK)))).cast("int"))
-    blocks = q.select("block").distinct()
-    dealt = vectors.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(partitions)).cast("int"))
-    left = q.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)))).select([F.col(c).alias(c) for c in ("block", "part", "query", "v")])
-    right = dealt.join(F.broadcast(blocks)).select([F.col(c).alias(c) for c in ("block", "part", "id", "v")])
+    Ties go to the smaller id. Queries and vectors are dealt into blocks of bounded size, and each pair of blocks is a
+    group of its own that gives its best k on."""
+    n, m = _blocks(queries), _blocks(vectors)
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
+    dealt = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
+    left = queries.select(dealt("query", n).alias("block"), every(m).alias("part"), F.col("query").alias("query"), F.col("v").alias("v"))
+    right = vectors.select(every(n).alias("block"), dealt("id", m).alias("part"), F.col("id").alias("id"), F.col("v").alias("v"))
 
     def best(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         if not queries.num_rows or not vectors.num_rows:
@@ -36,18 +38,25 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int = 16)
         ids, names = vectors["id"].to_numpy(), queries["query"].to_numpy()
         scores = _matrix(queries["v"].combine_chunks()) @ _matrix(vectors["v"].combine_chunks()).T
         scores[names[:, None] == ids[None, :]] = -2
-        order = np.lexsort((np.broadcast_to(ids, scores.shape), -np.round(scores, 9)), axis=1)[:, :k]
-        picked = np.take_along_axis(scores, order, axis=1)
-        keep = picked > -2
-        return pa.table({"query": np.repeat(names, keep.sum(axis=1)), "id": ids[order][keep], "score": picked[keep]})
+        scores = np.round(scores, 9)
+        least = -np.partition(-scores, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
+        row, column = np.nonzero((scores >= least[:, None]) & (scores > -2))  # with ties, so a little more than k each
+        order = np.lexsort((ids[column], -scores[row, column], row))
+        row, column = row[order], column[order]
+        keep = np.arange(len(row)) - np.searchsorted(row, row) < k
+        row, column = row[keep], column[keep]
+        return pa.table({"query": names[row], "id": ids[column], "score": scores[row, column]})
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(best, "query long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, least: float, partitions: int = 8) -> DataFrame:
-    """(a, b, score): all pairs a < b of vectors(id, v) with a cosine of at least ``least``; blocks meet on a grid."""
+def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
+    """(a, b, score): all pairs a < b of vectors(id, v) with a cosine of at least ``least``.
+
+    Blocks of bounded size meet on a grid, each pair of blocks as a group of its own."""
+    partitions = _blocks(vectors)
     dealt = vectors.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(partitions)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)))
     left = dealt.withColumn("other", every).where("cell <= other").select(F.col("cell").alias("x"), F.col("other").alias("y"), "id", "v")
@@ -60,8 +69,9 @@ def similar_pairs(vectors: DataFrame, least: float, partitions: int = 8) -> Data
         scores = _matrix(left["v"].combine_chunks()) @ _matrix(right["v"].combine_chunks()).T
         i, j = np.nonzero(scores >= least)
         low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-        keep = low < high
+        keep = a[i] < b[j] if key[0].as_py() == key[1].as_py() else low < high
         return pa.table({"a": low[keep], "b": high[keep], "score": scores[i, j][keep]})
 
+    # Two rows of one block meet twice in it; each of the other pairs of blocks is met once.
     met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(near, "a long, b long, score double")
-    return met.dropDuplicates(["a", "b"])
+    return met
