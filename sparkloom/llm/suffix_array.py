@@ -40,7 +40,7 @@ WINDOW = 32
 #: Bytes of segments in a shard, on average.
 SHARD_BYTES = 1_000_000
 #: Different segments filed alike that a shard may take; larger groups are halved first.
-HOT = 8_192
+HOT = 1_024
 SEPARATOR = 0xFF  # never occurs in UTF-8
 
 
