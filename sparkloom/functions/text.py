@@ -64,6 +64,22 @@ def skeleton(text: Column) -> Column:
     return text
 
 
+# Mark and pattern of structural noise, in this order.
+NOISE = (
+    (" UUID ", r"(?i)[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}"),
+    (" PATH ", r"[A-Za-z]:[\\/][^\s\"'<>|]*"),
+    ("$1 PATH ", r"(^|[^A-Za-z0-9])/[a-zA-Z][\p{L}\p{N}_\-/.]*"),
+    (" NUM ", r"\b\d[\d.,eE+-]*\b"),
+)
+
+
+def semantic_text(text: Column) -> Column:
+    """A text with identifiers, paths and numbers of any notation replaced by marks."""
+    for mark, pattern in NOISE:
+        text = F.regexp_replace(text, pattern, mark)
+    return text
+
+
 def occurrences(text: Column, needle: str) -> Column:
     """How often a needle occurs, without regard to case or overlap."""
     return ((F.char_length(text) - F.char_length(F.replace(F.lower(text), F.lit(needle.lower()), F.lit("")))) / len(needle)).cast("long")
