@@ -58,3 +58,18 @@ def common_neighbours(edges: DataFrame, most_degree: int | None = None) -> DataF
     left = cut.select("b", F.col("a").alias("x"), F.col("own").alias("i"), every.alias("j"))
     right = cut.select("b", F.col("a").alias("y"), every.alias("i"), F.col("own").alias("j"))
     return left.join(right, ["b", "i", "j"]).where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))
+
+
+def shortest_paths(edges: DataFrame, source: str, most: int) -> DataFrame:
+    """(id, depth, previous) of the nodes within ``most`` steps of a node, level by level; of several previous nodes the smallest."""
+    both = materialize(undirected(edges))
+    spark = edges.sparkSession
+    kind = both.schema["a"].dataType
+    seen = frontier = spark.range(1).select(F.lit(source).cast(kind).alias("id"), F.lit(0).alias("depth"), F.lit(None).cast(kind).alias("previous"))
+    for depth in range(1, most + 1):
+        reached = both.join(frontier.select(F.col("id").alias("a")), "a").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("previous"))
+        frontier = materialize(reached.join(seen.select("id"), "id", "left_anti").select("id", F.lit(depth).alias("depth"), "previous"))
+        if frontier.isEmpty():
+            break
+        seen = seen.unionByName(frontier)
+    return seen
