@@ -30,10 +30,15 @@ def pair_id(a: Column, b: Column) -> Column:
     return F.substring(F.sha1(F.concat_ws("|", F.least(a, b).cast("string"), F.greatest(a, b).cast("string"))), 1, 16)
 
 
+def windows(text: Column, n: int) -> Column:
+    """All windows of n characters, in one pass over the text; none where it is shorter."""
+    return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
+
+
 def char_grams(text: Column, n: int = 4) -> Column:
     """Distinct n-grams of characters without white space; a shorter text is its own gram."""
     bare = F.regexp_replace(text, r"[ \t\n\x0b\f\r]+", "")
-    return F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(bare) - (n - 1), F.lit(1))), lambda i: F.substr(bare, i, F.lit(n))))
+    return F.when(F.char_length(bare) < n, F.array(bare)).otherwise(F.array_distinct(windows(bare, n)))
 
 
 def tokens(text: Column) -> Column:

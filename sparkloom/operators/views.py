@@ -93,8 +93,9 @@ def session_views(events: DataFrame, parts: DataFrame) -> DataFrame:
 
 
 def cross_session_views(events: DataFrame) -> DataFrame:
-    """Sessions that share a message word by word, also by way of others; every session is linked with the first that holds a text."""
-    holders = events.where("text <> ''").select("session", F.md5("text").alias("h")).distinct()
+    """Sessions that share a sentence of twelve characters and more, also by way of others; each is linked with the first that holds it."""
+    sentences = F.filter(F.transform(F.split("text", r"[.\n]"), lambda t: F.trim(t)), lambda t: F.char_length(t) >= 12)
+    holders = events.select("session", F.explode(sentences).alias("t")).select("session", F.md5("t").alias("h")).distinct()
     first = holders.groupBy("h").agg(F.min("session").alias("first"), F.count("*").alias("n")).where("n > 1")
     groups = graph.components(holders.join(first, "h").select(F.col("session").alias("a"), F.col("first").alias("b")))
     rows = events.join(groups.withColumnRenamed("id", "session"), "session").withColumn("view", F.col("component").cast("string"))

@@ -66,7 +66,7 @@ def bootstrap_interval(spark, sf):
         total: dict = {}
         for batch in batches:
             for key, segment, price in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                w = np.random.default_rng((1701, key)).poisson(1.0, draws)
+                w = np.random.default_rng((1701, key & (1 << 63) - 1)).poisson(1.0, draws)
                 n, s = total.setdefault((segment, key % 2), (np.zeros(draws, dtype=np.int64), np.zeros(draws)))
                 n += w
                 s += w * price

@@ -161,9 +161,14 @@ def docs_quote_support(spark, sf):
     items = items.select("item_id", F.col("text").alias("quote"), F.xxhash64(F.slice("w", 2, 6)).alias("h"), F.size("w").alias("n"))
     docs = _docs(spark, sf).select("doc_id", "text", words("text").alias("w"))
     grams = F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.xxhash64(F.slice(F.col("w"), i, 6)))
-    found = docs.select("doc_id", "text", F.explode(F.array_distinct(grams)).alias("h")).join(items.where("n > 8"), "h").where(F.contains("text", "quote"))
-    short = docs.select("doc_id", "text").join(items.where("n <= 8"), F.contains("text", "quote"))
-    return found.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id")).distinct()
+    met = docs.select("doc_id", F.explode(F.array_distinct(grams)).alias("h")).join(items.where("n > 8").select("item_id", "h"), "h").select("doc_id", "item_id")
+    # Of a short item its first letters, as many as it has up to twelve, meet equally long windows of the documents.
+    short = items.where("n <= 8 AND quote <> ''").withColumn("k", F.least(F.char_length("quote"), F.lit(12)))
+    lengths = [r["k"] for r in short.select("k").distinct().collect()]  # twelve at most
+    windows = F.array_distinct(F.concat(F.array().cast("array<bigint>"), *[F.transform(text.windows(F.col("text"), k), lambda w: F.xxhash64(w)) for k in sorted(lengths)]))
+    met = met.unionByName(docs.select("doc_id", F.explode(windows).alias("h")).join(short.select("item_id", F.xxhash64(F.substr("quote", F.lit(1), "k")).alias("h")), "h").select("doc_id", "item_id"))
+    pairs = met.distinct().join(docs.select("doc_id", "text"), "doc_id").join(items.select("item_id", "quote"), "item_id")
+    return pairs.where(F.contains("text", "quote")).select("doc_id", "item_id").distinct()
 
 
 @query("SELECT doc_id, CASE WHEN trim(text) = '' THEN 'empty' WHEN contains(text, '***') THEN 'marks' WHEN length(text) < 100 AND NOT contains(text, '.') THEN 'suspicious_short' ELSE 'ok' END AS defect FROM documents")

@@ -256,7 +256,7 @@ def best_supporting_document(spark, sf):
     """For each quote the document that supports it best: verbatim before a shared window of ten characters, then the longest, then the last.
 
     Windows meet by hash on (quote, document) first; texts are fetched for the pairs that meet."""
-    grams = lambda t: F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length(t) - 9, F.lit(1))), lambda i: F.xxhash64(F.substr(t, i, F.lit(10)))))
+    grams = lambda t: F.array_distinct(F.transform(text.windows(t, 10), lambda w: F.xxhash64(w)))
     quotes = table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("quote")).where(F.char_length("quote") >= 10)
     docs = table(spark, sf, "documents").select("doc_id", "text")
     held = docs.where(F.char_length("text") >= 10).select("doc_id", F.explode(grams(F.col("text"))).alias("g")).join(quotes.select("item_id", F.explode(grams(F.col("quote"))).alias("g")), "g").select("item_id", "doc_id").distinct()

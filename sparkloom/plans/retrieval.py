@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.functions import tokens
+from sparkloom.functions import text, tokens
 from sparkloom.operators import relational, retrieval, vectors
 from sparkloom.registry import query
 from sparkloom.sources.shared import materialize
@@ -154,7 +154,7 @@ def eval_snippet_rank(spark, sf):
     Windows of 15 characters are joined by hash with the items' openings, so no pair of texts is compared."""
     items = table(spark, sf, "benchmark").where(F.char_length("text") >= 15).select("item_id", F.xxhash64(F.lower(F.substring("text", 1, 15))).alias("h"))
     docs = table(spark, sf, "documents").select("doc_id", "lang", "n_chars", F.lower("text").alias("t"))
-    windows = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.char_length("t") - 14, F.lit(1))), lambda i: F.xxhash64(F.substr("t", i, F.lit(15)))))
+    windows = F.array_distinct(F.transform(text.windows(F.col("t"), 15), lambda w: F.xxhash64(w)))
     held = docs.select("doc_id", "lang", "n_chars", F.explode(windows).alias("h")).join(items, "h")
     first = held.groupBy("item_id", "lang").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"))
     ranks = docs.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))

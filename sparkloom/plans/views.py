@@ -31,7 +31,7 @@ LAST = "la AS (SELECT session, max(ordinal) AS last FROM ev GROUP BY session HAV
 COMPACTION = "SELECT 'compaction_window' AS view_type, x.summary AS view, ev.session, x.event, ev.text, true AS rel FROM (SELECT summary, event FROM cr UNION SELECT summary, summary FROM cr) x JOIN ev ON ev.event = x.event"
 TOPIC = "SELECT 'topic' AS view_type, w AS view, NULL::BIGINT AS session, event, text, true AS rel FROM (SELECT event, text, list_transform(list_sort(list_transform(list_distinct(regexp_extract_all(lower(text), '[A-Za-z_][A-Za-z0-9_\\-]{3,}')), lambda x: struct_pack(n := -length(x), t := x))), lambda x: x.t)[1] AS w FROM ev WHERE role = 'user' AND turn_no = 1) WHERE w IS NOT NULL"
 SESSION = "SELECT 'session' AS view_type, session::VARCHAR AS view, session, event, text, true AS rel FROM ev"
-CROSS_PARTS = "ho AS (SELECT DISTINCT session, md5(text) AS h FROM ev WHERE text <> ''), xe AS (SELECT x.session AS a, y.session AS b FROM ho x JOIN ho y ON x.h = y.h AND x.session <> y.session), xr AS (SELECT a AS id, a AS o FROM xe UNION SELECT xr.id, xe.b FROM xr JOIN xe ON xr.o = xe.a), xc AS (SELECT id, min(o) AS c FROM xr GROUP BY id), "
+CROSS_PARTS = "ho AS (SELECT DISTINCT session, md5(trim(t)) AS h FROM (SELECT session, unnest(regexp_split_to_array(text, '[.\\n]')) AS t FROM ev) WHERE length(trim(t)) >= 12), xe AS (SELECT x.session AS a, y.session AS b FROM ho x JOIN ho y ON x.h = y.h AND x.session <> y.session), xr AS (SELECT a AS id, a AS o FROM xe UNION SELECT xr.id, xe.b FROM xr JOIN xe ON xr.o = xe.a), xc AS (SELECT id, min(o) AS c FROM xr GROUP BY id), "
 CROSS = "SELECT 'cross_session' AS view_type, xc.c::VARCHAR AS view, NULL::BIGINT AS session, event, text, true AS rel FROM ev JOIN xc ON xc.id = ev.session"
 
 
