@@ -11,10 +11,12 @@ from sparkloom.sources.shared import shared_dir
 from sparkloom.sources.tables import table
 
 NAMES = [*logs.FAMILIES]
+#: Log files that the conversations of a family are dealt over.
+FILES = 8
 
 
 def _lines(spark: SparkSession, sf: str) -> DataFrame:
-    """Every conversation as a log file of one family, by its number; files go through Spark's own text writer and reader."""
+    """Every conversation in a log file of one family, by its number; files go through Spark's own text writer and reader."""
     rows = table(spark, sf, "conversations").withColumn("family", F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("conv_id") % len(NAMES) + 1).cast("int")))
     s = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
     m = F.concat(F.lit("m"), F.col("turn").cast("string"))
@@ -34,9 +36,9 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     }
     value = F.coalesce(*[F.when(F.col("family") == n, v) for n, v in written.items()])
     folder = shared_dir(spark)
-    log = F.concat_ws("-", "family", F.col("conv_id").cast("string")).alias("log")
-    heads = rows.where("family = 'pi'").select(log, F.lit(-1).cast("long").alias("turn"), record(type="conversation", id=s, title="session").alias("value")).distinct()
-    rows.select(log, "turn", value.alias("value")).unionByName(heads).repartition("log").sortWithinPartitions("log", "turn").drop("turn").write.partitionBy("log").text(folder)
+    log = F.concat_ws("-", "family", (F.col("conv_id") % FILES).cast("string")).alias("log")
+    heads = rows.where("family = 'pi'").select(log, "conv_id", F.lit(-1).cast("long").alias("turn"), record(type="conversation", id=s, title="session").alias("value")).distinct()
+    rows.select(log, "conv_id", "turn", value.alias("value")).unionByName(heads).repartition("log").sortWithinPartitions("log", "conv_id", "turn").drop("conv_id", "turn").write.partitionBy("log").text(folder)
     lines = logs.read_lines(spark, f"{folder}/log=*")
     return lines.withColumn("artifact", F.regexp_extract("artifact", r"log=([^/]+)/", 1))
 
