@@ -19,7 +19,7 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     """Every conversation in a log file of one family, by its number; files go through Spark's own text writer and reader."""
     rows = table(spark, sf, "conversations").withColumn("family", F.element_at(F.array(*[F.lit(n) for n in NAMES]), (F.col("conv_id") % len(NAMES) + 1).cast("int")))
     s = F.concat(F.lit("c"), F.col("conv_id").cast("string"))
-    m = F.concat(F.lit("m"), F.col("turn").cast("string"))
+    m = F.concat(s, F.lit("-m"), F.col("turn").cast("string"))
     t = F.concat(F.lit("t"), F.floor(F.col("turn") / 2).cast("string"))
     stamp = F.date_format(F.timestamp_seconds(F.lit(1700000000) + F.col("turn") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
     user = F.col("role") == "user"
@@ -28,11 +28,11 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     written = {
         "codex": F.when(user, record(type="turn_context", session_id=s, turn_id=t, timestamp=stamp, prompt=text)).otherwise(record(type="response_item", session_id=s, turn_id=t, item_id=m, role="assistant", content=text, timestamp=stamp)),
         "copilot": F.when(user, record(type="tool_execution_start", session_id=s, turn_id=t, tool_id=t, name="edit", timestamp=stamp)).otherwise(record(type="tool_execution_complete", session_id=s, turn_id=t, tool_id=t, timestamp=stamp)),
-        "pi": F.when(F.col("turn") == 3, record(type="compaction", conversation_id=s, message_id=m, summary=text, firstKeptEntryId="m2", timestamp=stamp)).when(user, record(type="user_message", conversation_id=s, message_id=m, content=text, role="user", timestamp=stamp)).otherwise(record(type="assistant_message", conversation_id=s, message_id=m, content=text, role="assistant", timestamp=stamp)),
+        "pi": F.when(F.col("turn") == 3, record(type="compaction", conversation_id=s, message_id=m, summary=text, firstKeptEntryId=F.concat(s, F.lit("-m2")), timestamp=stamp)).when(user, record(type="user_message", conversation_id=s, message_id=m, content=text, role="user", timestamp=stamp)).otherwise(record(type="assistant_message", conversation_id=s, message_id=m, content=text, role="assistant", timestamp=stamp)),
         "kimi": F.when(user, record(type="user_prompt", session_id=s, task_id=t, message_id=m, content=text, timestamp=stamp)).otherwise(record(type="assistant_message", session_id=s, task_id=t, message_id=m, content=text, timestamp=stamp)),
         "workbuddy": record(type="message", session_id=s, message_id=m, role=F.col("role"), content=text, timestamp=stamp),
         "grok": F.when(F.col("turn") == 2, record(type="chat_compaction", chat_id=s, id=m, summary=text, timestamp=stamp)).otherwise(record(type="chat_message", chat_id=s, id=m, role=F.col("role"), text=text, timestamp=stamp)),
-        "blocks": record(type=F.col("role"), uuid=m, parentUuid=F.when(F.col("turn") > 0, F.concat(F.lit("m"), (F.col("turn") - 1).cast("string"))).otherwise(none), sessionId=s, timestamp=stamp, content=F.array(F.struct(F.lit("thinking").alias("type"), F.lit("so").alias("thinking"), none.alias("text")), F.struct(F.lit("text").alias("type"), none.alias("thinking"), text.alias("text")))),
+        "blocks": record(type=F.col("role"), uuid=m, parentUuid=F.when(F.col("turn") > 0, F.concat(s, F.lit("-m"), (F.col("turn") - 1).cast("string"))).otherwise(none), sessionId=s, timestamp=stamp, content=F.array(F.struct(F.lit("thinking").alias("type"), F.lit("so").alias("thinking"), none.alias("text")), F.struct(F.lit("text").alias("type"), none.alias("thinking"), text.alias("text")))),
     }
     value = F.coalesce(*[F.when(F.col("family") == n, v) for n, v in written.items()])
     folder = shared_dir(spark)

@@ -37,7 +37,8 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def _delete(spark: SparkSession, path: str) -> None:
+def delete(spark: SparkSession, path: str) -> None:
+    """Delete a folder in whatever store it lies."""
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
@@ -46,7 +47,7 @@ def release(df: DataFrame) -> None:
     """Delete a table written by materialize() that nothing needs any more."""
     for path in {f.rpartition("/")[0] for f in df.inputFiles()}:
         if MARK in path:
-            _delete(df.sparkSession, path)
+            delete(df.sparkSession, path)
 
 
 @contextmanager
@@ -59,4 +60,4 @@ def temporary_tables(spark: SparkSession) -> Iterator[list[str]]:
     finally:
         _open.remove(paths)
         for path in paths:
-            _delete(spark, path)
+            delete(spark, path)
