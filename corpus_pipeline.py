@@ -4,6 +4,10 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; run() writes eac
 reads it back as the next stage's documents. Rejected documents go; of each group of near copies one stays;
 documents that hold a benchmark item go; credentials are replaced in the texts unless they are placeholders or
 widely copied; the texts that are left are packed into sequences of 1024 tokens.
+
+Defined cases: null, empty and blank texts fail the quality rules; very long texts are worked on whole; of repeated
+rows with an id one stays, and rows without an id stay unless another row has the same text; extra columns, whatever
+their names, go through all stages but the last; an empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -11,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from sparkloom.llm import decontaminate, near_dedup, packing, quality_rules, secret_scan
-from sparkloom.llm.common import materialize
+from sparkloom.sources.shared import delete, materialize, temporary_tables
 from sparkloom.llm.queries import tokenizer_path
 
 
@@ -42,7 +46,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    """The packed pieces of all documents that pass; of the tables written on the way only the last result's are left."""
+    docs, kept = spark.read.parquet(f"{sf_dir}/documents.parquet"), []
     for _, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir))
+        with temporary_tables(spark) as paths:
+            docs = materialize(stage(spark, docs, sf_dir))
+            kept.append(paths.pop())  # the table just written; the stage's own ones go
+        for path in kept[:-1]:
+            delete(spark, path)
+        kept = kept[-1:]
     return docs
