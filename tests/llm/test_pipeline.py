@@ -55,3 +55,15 @@ def test_pipeline_of_nothing(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.count() == 0
+
+
+def test_run_leaves_one_table(spark):
+    import os
+
+    import corpus_pipeline
+
+    root = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/_shared"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    out = corpus_pipeline.run(spark, SF)
+    assert out.where("piece = 0").count() > 0
+    assert len(set(os.listdir(root)) - before) == 1
