@@ -62,7 +62,9 @@ def test_run_leaves_one_table(spark):
 
     import corpus_pipeline
 
-    root = spark.conf.get("spark.sql.warehouse.dir").removeprefix("file:") + "/_shared"
+    from sparkloom.sources.shared import shared_dir
+
+    root = os.path.dirname(shared_dir(spark)).removeprefix("file:")
     before = set(os.listdir(root)) if os.path.isdir(root) else set()
     out = corpus_pipeline.run(spark, SF)
     assert out.where("piece = 0").count() > 0
