@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import materialize
+
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     """The first row of each key."""
@@ -51,12 +53,27 @@ def kth_match(left: DataFrame, right: DataFrame, key: str, left_id: str, right_i
     return a.join(b, [key, "_k"]).select(key, left_id, right_id)
 
 
+def ranked(df: DataFrame, group: str, *order: str) -> DataFrame:
+    """df with ``rank``, the place of each row in its group, from 1; a group of any size is ranked by many tasks.
+
+    Rows are dealt into ranges of (group, order) and numbered within each; what the ranges before hold is added."""
+    dealt = materialize(df.repartitionByRange(group, *order).withColumn("_p", F.spark_partition_id()))
+    counts = dealt.groupBy(group, "_p").agg(F.count("*").alias("_n"))
+    before = F.coalesce(F.sum("_n").over(Window.partitionBy(group).orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col(group).alias("_g"), F.col("_p").alias("_q"), before.alias("_before"))
+    local = dealt.withColumn("_rn", F.row_number().over(Window.partitionBy("_p", group).orderBy(*order)))
+    same = F.col(group).eqNullSafe(F.col("_g")) & (F.col("_p") == F.col("_q"))
+    return local.join(offsets, same).withColumn("rank", F.col("_before") + F.col("_rn")).select(*df.columns, "rank")
+
+
 def stratified(df: DataFrame, stratum: str, id_: str, total: int) -> DataFrame:
     """A proportional sample with at least one row of each stratum, taken in even strides."""
-    sized = df.withColumn("_n", F.count("*").over(Window.partitionBy(stratum))).withColumn("_rn", F.row_number().over(Window.partitionBy(stratum).orderBy(id_)))
-    share = F.greatest(F.lit(1), F.floor(F.lit(total) * F.col("_n") / F.lit(df.count())).cast("int"))
+    sizes = materialize(df.groupBy(stratum).agg(F.count("*").alias("_n")))
+    whole = sizes.agg(F.sum("_n")).first()[0] or 1
+    share = F.greatest(F.lit(1), F.floor(F.lit(total) * F.col("_n") / F.lit(whole)).cast("int"))
     step = F.greatest(F.lit(1), F.floor(F.col("_n") / share).cast("int"))
-    return sized.where(((F.col("_rn") - 1) % step == 0) & ((F.col("_rn") - 1) / step < share)).drop("_n", "_rn")
+    rows = ranked(df, stratum, id_).join(sizes.withColumnRenamed(stratum, "_s"), F.col(stratum).eqNullSafe(F.col("_s")))
+    return rows.where(((F.col("rank") - 1) % step == 0) & ((F.col("rank") - 1) / step < share)).select(df.columns)
 
 
 def top_per_group(df: DataFrame, group: str, k: int, *order: Column) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -93,12 +96,15 @@ def docs_stratified_sample(spark, sf):
 @query("""WITH f AS (SELECT lang, length(text) AS n, CASE WHEN contains(text, chr(10)) THEN 1.0 ELSE 0.0 END AS multi, CASE WHEN regexp_matches(text, '[0-9]') THEN 1.0 ELSE 0.0 END AS digits FROM documents)
 SELECT lang, count(*) AS docs, round(avg(multi), 6) AS multi_line, round(avg(digits), 6) AS with_digits, round(avg(n), 4) AS mean_chars, list_sort(list(n))[least(count(*), count(*) * 90 // 100 + 1)] AS p90, list_sort(list(n))[least(count(*), count(*) * 50 // 100 + 1)] AS p50 FROM f GROUP BY lang""")
 def docs_quality_profile(spark, sf):
-    n = F.char_length("text")
-    share = lambda c: F.round(F.avg(c.cast("double")), 6)
-    return _docs(spark, sf).groupBy("lang").agg(
-        F.count("*").alias("docs"), share(F.contains("text", F.lit("\n"))).alias("multi_line"), share(F.rlike("text", F.lit("[0-9]"))).alias("with_digits"),
-        F.round(F.avg(n), 4).alias("mean_chars"), text.at_index_floor(F.collect_list(n), 90).alias("p90"), text.at_index_floor(F.collect_list(n), 50).alias("p50"),
-    )
+    """Shares and lengths by language. Percentiles come from counts per length, so no list of all lengths is built."""
+    multi, digits = F.contains("text", F.lit("\n")), F.rlike("text", F.lit("[0-9]"))
+    rows = _docs(spark, sf).select("lang", F.char_length("text").alias("n"), multi.alias("m"), digits.alias("d"))
+    counts = rows.groupBy("lang", "n").agg(F.count("*").alias("c"), F.count_if("m").alias("m"), F.count_if("d").alias("d"))
+    order = Window.partitionBy("lang").orderBy("n")
+    upto = counts.withColumn("upto", F.sum("c").over(order)).withColumn("docs", F.sum("c").over(Window.partitionBy("lang")))
+    at = lambda p: F.min(F.when(F.col("upto") >= F.least("docs", F.floor(F.col("docs") * p / 100) + 1), F.col("n")))
+    share = lambda c: F.round(F.sum(c) / F.sum("c"), 6)
+    return upto.groupBy("lang").agg(F.sum("c").alias("docs"), share("m").alias("multi_line"), share("d").alias("with_digits"), F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 4).alias("mean_chars"), at(90).alias("p90"), at(50).alias("p50"))
 
 
 @query("SELECT CASE WHEN n < 50 THEN '0-50' WHEN n < 100 THEN '50-100' WHEN n < 200 THEN '100-200' WHEN n < 400 THEN '200-400' WHEN n < 800 THEN '400-800' WHEN n < 1200 THEN '800-1200' ELSE '1200+' END AS bin, count(*) AS n_docs, min(n) AS least, max(n) AS most FROM (SELECT length(text) AS n FROM documents) WHERE n < 10000 GROUP BY 1")
@@ -119,9 +125,24 @@ def docs_skeleton_ratio(spark, sf):
 
 @query("""WITH h AS (SELECT source, doc_id, md5(doc_id::VARCHAR || '|' || text) AS h FROM documents) SELECT source, count(*) AS n, md5(string_agg(h, '|' ORDER BY h)) AS digest FROM h GROUP BY source""")
 def docs_dataset_digest(spark, sf):
-    """A digest of each source that no order of rows changes."""
+    """A digest of each source that no order of rows changes. Sorted hashes stream through the digest, so memory stays bounded."""
     h = F.md5(F.concat(F.col("doc_id").cast("string"), F.lit("|"), "text"))
-    return _docs(spark, sf).groupBy("source").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list(h)), "|")).alias("digest"))
+
+    def digest(batches):
+        current, state, n = None, None, 0
+        for batch in batches:
+            for source, h in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if state is None or source != current:
+                    if state is not None:
+                        yield pa.RecordBatch.from_pylist([{"source": current, "n": n, "digest": state.hexdigest()}], schema=kind)
+                    current, state, n = source, hashlib.md5(), 0
+                state.update(f"|{h}".encode() if n else h.encode())
+                n += 1
+        if state is not None:
+            yield pa.RecordBatch.from_pylist([{"source": current, "n": n, "digest": state.hexdigest()}], schema=kind)
+
+    kind = pa.schema([("source", pa.string()), ("n", pa.int64()), ("digest", pa.string())])
+    return _docs(spark, sf).select("source", h.alias("h")).repartition("source").sortWithinPartitions("source", "h").mapInArrow(digest, "source string, n long, digest string")
 
 
 RULES = [("licence", ["licensed under", "copyright"]), ("secret", ["password", "token", "api_key", "akia"]), ("contact", ["@"])]

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import text
-from sparkloom.operators import graph, relational
+from sparkloom.operators import folds, graph, relational
 from sparkloom.registry import query
 from sparkloom.sources.tables import parse_lines, table
 
@@ -21,8 +21,9 @@ SELECT reason, count(*) AS n FROM (SELECT CASE WHEN role = 'system' THEN 'system
 def messages_eligible(spark, sf):
     """How many messages each filter stops, first reason wins."""
     rows = _messages(spark, sf).withColumn("norm", text.squeezed(F.col("text")))
-    rows = rows.withColumn("rn", F.row_number().over(Window.partitionBy(F.sha2("norm", 256)).orderBy("conv_id", "turn")))
-    reason = F.when(F.col("role") == "system", "system").when(F.char_length("norm") <= 30, "short").when(F.col("rn") > 1, "duplicate").otherwise("eligible")
+    rows = rows.select("role", F.char_length("norm").alias("n"), F.sha2("norm", 256).alias("h"), F.struct("conv_id", "turn").alias("at"))
+    rows = rows.join(rows.groupBy("h").agg(F.min("at").alias("first")), "h")
+    reason = F.when(F.col("role") == "system", "system").when(F.col("n") <= 30, "short").when(F.col("at") != F.col("first"), "duplicate").otherwise("eligible")
     return rows.groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
 
 
@@ -55,16 +56,15 @@ SELECT m.conv_id, m.rn, m.turn, CASE WHEN c.held + m.n > 800 THEN m.n ELSE c.hel
 SELECT conv_id, chunk, count(*) AS n, sum(n)::BIGINT AS chars FROM (SELECT c.conv_id, c.chunk, m.n FROM c JOIN m USING (conv_id, rn)) GROUP BY ALL""")
 def messages_chunks(spark, sf):
     """Messages in order, in chunks that begin anew where a budget of characters would be exceeded."""
-    ordered = _messages(spark, sf).groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", F.char_length("text").alias("n")))).alias("m"))
-    start = F.struct(F.lit(0).alias("held"), F.lit(1).alias("chunk"), F.array().cast("array<struct<chunk int, n int>>").alias("out"))
 
-    def step(s, m):
-        over = (s["held"] + m["n"] > 800) & (F.size(s["out"]) > 0)
-        chunk = F.when(over, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(F.when(over, m["n"]).otherwise(s["held"] + m["n"]).alias("held"), chunk.alias("chunk"), F.array_append(s["out"], F.struct(chunk.alias("chunk"), m["n"].alias("n"))).alias("out"))
+    def step(state, row):
+        chunk, held, n = *(state or (1, 0)), row["n"] or 0
+        chunk, held = (chunk + 1, n) if state and held + n > 800 else (chunk, held + n)
+        return (chunk, held), (row["conv_id"], chunk, n)
 
-    rows = ordered.select("conv_id", F.explode(F.aggregate("m", start, step)["out"]).alias("x"))
-    return rows.groupBy("conv_id", F.col("x.chunk").alias("chunk")).agg(F.count("*").alias("n"), F.sum("x.n").alias("chars"))
+    rows = _messages(spark, sf).select("conv_id", "turn", F.char_length("text").alias("n"))
+    placed = folds.ordered_fold(rows, ["conv_id"], ["turn"], step, "conv_id long, chunk int, n long")
+    return placed.groupBy("conv_id", "chunk").agg(F.count("*").alias("n"), F.sum("n").alias("chars"))
 
 
 @query("SELECT conv_id, count(*) AS turns, count(*) FILTER (role = 'user') AS users, count(*) FILTER (role = 'assistant') AS assistants, max(turn) FILTER (role = 'user') AS last_user, sum(length(text))::BIGINT AS chars, count(*) FILTER (role = 'user') >= 2 AS enough FROM conversations GROUP BY conv_id")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from sparkloom.operators import relational
+from sparkloom.operators import folds, relational
 from sparkloom.registry import query
 from sparkloom.sources.tables import table
 
@@ -77,12 +77,20 @@ def recent_months(spark, sf):
 
 @query("""SELECT p_type, p_partkey AS part, arg_min(other, struct_pack(d := round(d, 6), o := other)) AS best, round(min(d), 4) AS gap FROM (SELECT a.p_type, a.p_partkey, b.p_partkey AS other, abs(a.p_retailprice - b.p_retailprice) AS d FROM part a JOIN part b ON a.p_type = b.p_type AND a.p_size = b.p_size AND a.p_brand = b.p_brand AND a.p_partkey <> b.p_partkey) GROUP BY ALL""")
 def best_match(spark, sf):
-    """For each part the one of its type, size and brand with the nearest price."""
+    """For each part the one of its type, size and brand with the nearest price.
+
+    Prices are sorted once: the nearest part has the same price, the one before or the one after."""
     keys = ["p_type", "p_size", "p_brand"]
-    a = _t(spark, sf, "part").select(*keys, F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("x"))
-    b = a.select(*keys, F.col("part").alias("other"), F.col("x").alias("y"))
-    met = a.join(b, keys).where("part <> other").withColumn("d", F.abs(F.col("x") - F.col("y")))
-    return met.groupBy("p_type", "part").agg(F.min_by("other", F.struct(F.round("d", 6), "other")).alias("best"), F.round(F.min("d"), 4).alias("gap"))
+    parts = _t(spark, sf, "part").select(*keys, F.col("p_partkey").alias("part"), F.col("p_retailprice").alias("x"))
+    prices = parts.groupBy(*keys, "x").agg(F.min("part").alias("first"))
+    order = Window.partitionBy(*keys).orderBy("x")
+    near = prices.select(*keys, "x", "first", *[f(c).over(order).alias(f"{name}_{c}") for name, f in (("low", F.lag), ("high", F.lead)) for c in ("x", "first")])
+    rows = parts.join(near, [*keys, "x"]).withColumn("after", F.lead("part").over(Window.partitionBy(*keys, "x").orderBy("part")))
+    gap = lambda y: F.round(F.abs(F.col("x") - y), 6)
+    choice = lambda other, y: F.when(other.isNotNull(), F.struct(gap(y).alias("d"), other.alias("other"), F.abs(F.col("x") - y).alias("exact")))
+    same = F.when(F.col("part") != F.col("first"), F.col("first")).otherwise(F.col("after"))
+    best = F.least(choice(same, F.col("x")), choice(F.col("low_first"), F.col("low_x")), choice(F.col("high_first"), F.col("high_x")))
+    return rows.withColumn("b", best).where("b IS NOT NULL").select("p_type", "part", F.col("b.other").alias("best"), F.round("b.exact", 4).alias("gap"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_returnflag, rn FROM (SELECT *, row_number() OVER (PARTITION BY l_returnflag ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber) AS rn FROM lineitem) ORDER BY rn, l_returnflag LIMIT 60")
@@ -121,15 +129,15 @@ g AS (SELECT k, n, id, cost <= 15000 AS took, CASE WHEN cost <= 15000 THEN cost
 SELECT k, id, round(spent, 2) AS spent FROM g WHERE took""")
 def greedy_budget(spark, sf):
     """Per nation, suppliers in order of balance as long as they fit what is left of a budget."""
-    rows = _t(spark, sf, "supplier").where("s_acctbal > 0").groupBy(F.col("s_nationkey").alias("k")).agg(F.array_sort(F.collect_list(F.struct((-F.col("s_acctbal")).alias("o"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("cost")))).alias("c"))
-    start = F.struct(F.lit(0.0).alias("spent"), F.array().cast("array<struct<id bigint, spent double>>").alias("out"))
 
-    def step(s, c):
-        total = s["spent"] + c["cost"]
-        took = F.struct(total.alias("spent"), F.array_append(s["out"], F.struct(c["id"].alias("id"), total.alias("spent"))).alias("out"))
-        return F.when(total <= 15000, took).otherwise(s)
+    def step(spent, row):
+        fits = (spent or 0.0) + row["cost"] <= 15000
+        spent = (spent or 0.0) + row["cost"] if fits else spent or 0.0
+        return spent, (row["k"], row["id"], spent, fits)
 
-    return rows.select("k", F.explode(F.aggregate("c", start, step)["out"]).alias("x")).select("k", F.col("x.id").alias("id"), F.round("x.spent", 2).alias("spent"))
+    rows = _t(spark, sf, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"), F.col("s_suppkey").alias("id"), F.col("s_acctbal").alias("cost"), (-F.col("s_acctbal")).alias("o"))
+    taken = folds.ordered_fold(rows, ["k"], ["o", "id"], step, "k long, id long, spent double, took boolean")
+    return taken.where("took").select("k", "id", F.round("spent", 2).alias("spent"))
 
 
 @query("""SELECT coalesce(a.month, b.month) AS month, a.n AS orders, b.n AS lines, CASE WHEN a.n IS NULL THEN 'missing' WHEN b.n IS NULL THEN 'orphan' WHEN b.n < 2 * a.n THEN 'thin' ELSE 'ok' END AS level
