@@ -21,12 +21,12 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int | None = None) -> DataFrame:
     """(query, id, score): the k nearest of vectors(id, v) to each of queries(query, v) by cosine, other than itself.
 
     Ties go to the smaller id. Queries and vectors are dealt into blocks of bounded size, and each pair of blocks is a
     group of its own that gives its best k on."""
-    n, m = _blocks(queries), _blocks(vectors)
+    n, m = _blocks(queries), partitions or _blocks(vectors)
     every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
     dealt = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
     left = queries.select(dealt("query", n).alias("block"), every(m).alias("part"), F.col("query").alias("query"), F.col("v").alias("v"))
@@ -52,11 +52,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def similar_pairs(vectors: DataFrame, least: float) -> DataFrame:
+def similar_pairs(vectors: DataFrame, least: float, partitions: int | None = None) -> DataFrame:
     """(a, b, score): all pairs a < b of vectors(id, v) with a cosine of at least ``least``.
 
     Blocks of bounded size meet on a grid, each pair of blocks as a group of its own."""
-    partitions = _blocks(vectors)
+    partitions = partitions or _blocks(vectors)
     dealt = vectors.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(partitions)).cast("int"))
     every = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)))
     left = dealt.withColumn("other", every).where("cell <= other").select(F.col("cell").alias("x"), F.col("other").alias("y"), "id", "v")
