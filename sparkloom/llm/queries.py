@@ -185,6 +185,81 @@ SELECT s.doc_id, CAST(len(s.shingles) AS BIGINT) AS n_shingles, coalesce(c.compo
 FROM s LEFT JOIN kinds k ON list_sort(s.shingles) = k.shingles LEFT JOIN comp c ON c.id = k.id
 """
 
+OP2_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, hex(encode(coalesce(text, ''))) AS h FROM documents
+), p AS (
+  SELECT rid, c, substr(h, 2 * c + 1, 1398) AS piece FROM (SELECT rid, unnest(range(0, length(h) // 2 - 199, 500)) AS c, h FROM d WHERE length(h) >= 400)
+), g AS (
+  SELECT rid, c + i AS i, md5(substr(piece, 2 * i + 1, 400)) AS m FROM (SELECT rid, c, unnest(range(0, length(piece) // 2 - 199)) AS i, piece FROM p)
+), r AS (
+  SELECT rid, i FROM g WHERE m IN (SELECT m FROM g GROUP BY m HAVING count(*) > 1)
+), o AS (
+  SELECT rid, i, CASE WHEN i > lag(i) OVER w + 200 OR lag(i) OVER w IS NULL THEN 1 ELSE 0 END AS fresh FROM r WINDOW w AS (PARTITION BY rid ORDER BY i)
+), n AS (
+  SELECT rid, i, sum(fresh) OVER (PARTITION BY rid ORDER BY i) AS run FROM o
+), spans AS (
+  SELECT rid, min(i) AS a, max(i) + 200 AS b FROM n GROUP BY rid, run
+), gaps AS (
+  SELECT rid, coalesce(lag(b) OVER w, 0) AS a, a AS b FROM spans WINDOW w AS (PARTITION BY rid ORDER BY a)
+  UNION ALL SELECT rid, max(b), NULL FROM spans GROUP BY rid
+), kept AS (
+  SELECT gaps.rid, string_agg(substr(h, 2 * a + 1, 2 * (coalesce(b, length(h) // 2) - a)), '' ORDER BY a, coalesce(b, length(h))) AS h FROM gaps JOIN d ON d.rid = gaps.rid GROUP BY gaps.rid
+), sums AS (
+  SELECT rid, sum(b - a) AS n_removed, count(*) AS n_spans FROM spans GROUP BY rid
+)
+SELECT doc_id, CAST(length(d.h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(coalesce(kept.h, d.h))) AS kept_sha256
+FROM d LEFT JOIN sums ON sums.rid = d.rid LEFT JOIN kept ON kept.rid = d.rid
+"""
+
+
+def _any_case(word: str) -> str:
+    return "".join(f"[{c.upper()}{c}]" if c.isalpha() else c for c in word)
+
+
+_ASSIGN = "(" + "|".join(map(_any_case, ("password", "passwd", "secret", "token", "api_?key"))) + r""")["'']?\x20*[:=]\x20*["'']?([A-Za-z0-9+/_.=-]+)"""
+#: Kind, pattern, group before the match that is none of it, group of the value, least length of the value.
+_SPANS = (
+    ("assign", _ASSIGN, 0, 2, 6),
+    ("access", "AKIA[A-Z0-9]+", 0, 0, 20),
+    ("hex", "[0-9a-f]+", 0, 0, 24),
+    ("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]*-----END [A-Z ]*PRIVATE KEY-----", 0, 0, 1),
+    ("jwt", r"(^|[^A-Za-z0-9_-])(eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,})", 1, 2, 1),
+    ("prefixed", r"\b(?:gh[pousr]_[A-Za-z0-9]{30,}|xox[abprs]-[A-Za-z0-9-]{10,}|sk_live_[A-Za-z0-9]{16,}|AIza[A-Za-z0-9_-]{30,})", 0, 0, 1),
+)
+
+
+def _spans_sql() -> str:
+    """Every match of every kind with its place: matches are put between marks, and what lies before them is counted."""
+    parts = []
+    for order, (kind, pattern, lead, group, least) in enumerate(_SPANS):
+        marked = f"regexp_replace(text, '{pattern}', chr(1) || '\\0' || chr(2), 'g')"
+        pieces = f"SELECT rid, text, unnest(string_split({marked}, chr(1))) AS piece, generate_subscripts(string_split({marked}, chr(1)), 1) AS n FROM d"
+        placed = f"SELECT rid, text, n, split_part(piece, chr(2), 1) AS hit, coalesce(sum(length(replace(piece, chr(2), ''))) OVER (PARTITION BY rid ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS at_ FROM ({pieces})"
+        found = f"SELECT rid, text, {order} AS o, '{kind}' AS kind, at_ + length(regexp_extract(hit, '{pattern}', {lead})) * {int(lead > 0)} AS s, at_ + length(hit) AS e, regexp_extract(hit, '{pattern}', {group}) AS v FROM ({placed}) WHERE n > 1"
+        parts.append(f"SELECT * FROM ({found}) WHERE length(v) >= {least}")
+    return " UNION ALL ".join(parts)
+
+
+OP9_SQL = f"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, coalesce(text, '') AS text, coalesce('.' || source, '') AS owner FROM documents
+), f AS ({_spans_sql()}
+), held AS (
+  SELECT v, md5(f.text) AS t, min(owner) AS owner FROM f JOIN d ON d.rid = f.rid GROUP BY ALL
+), owners AS (
+  SELECT v, count(DISTINCT owner) AS n FROM held GROUP BY v
+), j AS (
+  SELECT rid, o, kind, s, e, owners.n < {secret_scan.SHARED_BY} AND NOT ({" OR ".join(f"contains(lower(f.v), '{p}')" for p in secret_scan.PLACEHOLDERS)}) AS live FROM f JOIN owners ON owners.v = f.v
+), g AS (
+  SELECT rid, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, count(*) FILTER (live) AS n_live,
+    string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3) AS base, string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, o) FILTER (o < 3 OR live) AS spans
+  FROM j GROUP BY rid
+)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live
+FROM d LEFT JOIN g ON g.rid = d.rid
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_url_filters": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_chat_formatting": OP6_SQL}
+    return {"op2_suffix_array_dedup": OP2_SQL, "op3_url_filters": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op9_secret_scans": OP9_SQL}

@@ -3,7 +3,7 @@
 Each whole text is scanned for candidate spans. The hash of every candidate's value is then counted over the
 corpus by distinct repositories and owners: a value that several owners hold is a copied example, one that stays
 with a single owner (and does not look like a placeholder) is a live-looking credential. Copies of one text are one
-holding, whoever keeps them: each distinct text counts for one repository and one owner, the smallest of its hashes.
+holding, whoever keeps them: each distinct text counts for one repository and one owner, the first by name.
 
 Spans are code points of the whole match, ends exclusive. Base kinds are assign, access and hex, and their spans are
 all kept. Further candidates are pem (private key blocks), jwt, and prefixed (vendor-prefixed tokens); ``reported``
@@ -74,7 +74,8 @@ def spans_of(texts: pa.Array) -> pa.Array:
 
 def ownership(scanned: DataFrame) -> DataFrame:
     """value_hash with its numbers of distinct repositories and owners in the corpus, one of each for a distinct text."""
-    each = scanned.where(F.size("spans") > 0).select(F.explode("spans.value_hash").alias("value_hash"), "text_hash", F.xxhash64("repository").alias("r"), F.xxhash64("owner").alias("o"))
+    named = lambda c: F.coalesce(F.concat(F.lit("."), F.col(c).cast("string")), F.lit(""))  # noqa: E731  without one: a name that no other has
+    each = scanned.where(F.size("spans") > 0).select(F.explode("spans.value_hash").alias("value_hash"), "text_hash", named("repository").alias("r"), named("owner").alias("o"))
     held = each.groupBy("value_hash", "text_hash").agg(F.min("r").alias("r"), F.min("o").alias("o"))
     return held.groupBy("value_hash").agg(F.countDistinct("r").alias("n_repositories"), F.countDistinct("o").alias("n_owners"))
 
