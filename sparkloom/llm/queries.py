@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from sparkloom.llm import chat_format, decontaminate, near_dedup, packing, quality_classifier, quality_rules, secret_scan, suffix_array, url_filter, warc
+from sparkloom.llm import chat_format, decontaminate, hard_negatives, near_dedup, neighbours, packing, quality_classifier, quality_rules, secret_scan, suffix_array, url_filter, warc, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -108,8 +108,29 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select("doc_id", *[F.col(f"quality.{c}").alias(c) for c in columns])
 
 
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows, model = whitening.whiten(_read(spark, sf_dir, "embeddings"), components=16)
+    shares = [float(e / model.trace) for e in model.variances]
+    explained = F.element_at(F.array(*[F.lit(s) for s in shares] or [F.lit(None).cast("double")]), F.col("component"))
+    return rows.select(F.col("id").alias("vec_id"), "component", F.lit(model.n).cast("long").alias("n"), "deviation", "whitened", explained.alias("explained"), F.lit(model.identity_error).alias("identity_error"))
+
+
+def op12_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neighbours.nearest(_read(spark, sf_dir, "embeddings"), lambda id: id % 100 == 0, k=10)
+    return found.select(F.col("query").alias("query_id"), "rank", F.col("id").alias("vec_id"), "score")
+
+
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = hard_negatives.labelled_rows(_read(spark, sf_dir, "embeddings"))
+    moved = F.when(F.col("id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = hard_negatives.materialize(rows.withColumn("label", moved))
+    return hard_negatives.hard_negatives(rows, rows.where("id % 50 = 0"), k=3, n_positives=5, low=50, high=95)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_best_fit_packing, op2_suffix_array_dedup, op3_url_filters, op4_minhash_near_dedup, op5_warc, op6_chat_formatting, op7_benchmark_decontamination, op8_quality_classifier, op9_secret_scans, op10_quality_rules)}
+    corpus = (op1_best_fit_packing, op2_suffix_array_dedup, op3_url_filters, op4_minhash_near_dedup, op5_warc, op6_chat_formatting, op7_benchmark_decontamination, op8_quality_classifier, op9_secret_scans, op10_quality_rules)
+    vectors = (op11_embedding_whitening, op12_nearest_neighbours, op13_hard_negatives)
+    return {f.__name__: f for f in corpus + vectors}
 
 
 OP3_SQL = r"""
@@ -261,5 +282,24 @@ FROM d LEFT JOIN g ON g.rid = d.rid
 """
 
 
+OP13_SQL = """
+WITH sound AS (
+  SELECT vec_id AS id, label, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0
+), r AS (
+  SELECT id, CASE WHEN id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(v, lambda c: CAST(floor(256 * c) AS BIGINT)) AS x
+  FROM sound WHERE len(v) = (SELECT len(v) FROM sound GROUP BY len(v) ORDER BY count(*) DESC, len(v) LIMIT 1)
+), s AS (
+  SELECT a.id AS a, r.id AS b, a.label = r.label AS same, CAST(list_sum(list_transform(list_zip(a.x, r.x), lambda z: z[1] * z[2])) AS BIGINT) AS score
+  FROM r a JOIN r ON a.id <> r.id WHERE a.id % 50 = 0
+), p AS (
+  SELECT a, b, score FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY a ORDER BY score DESC, b) <= 5
+)
+SELECT p.a AS anchor_id, p.b AS positive_id, CAST(row_number() OVER (PARTITION BY p.a, p.b ORDER BY s.score DESC, s.b) AS INTEGER) AS rank, s.b AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s ON p.a = s.a AND NOT s.same AND 100 * s.score BETWEEN 50 * p.score AND 95 * p.score
+QUALIFY rank <= 3
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op2_suffix_array_dedup": OP2_SQL, "op3_url_filters": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op9_secret_scans": OP9_SQL}
+    return {"op13_hard_negatives": OP13_SQL} | {"op2_suffix_array_dedup": OP2_SQL, "op3_url_filters": OP3_SQL, "op4_minhash_near_dedup": OP4_SQL, "op5_warc": OP5_SQL, "op6_chat_formatting": OP6_SQL, "op9_secret_scans": OP9_SQL}
