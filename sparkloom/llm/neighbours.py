@@ -33,12 +33,14 @@ SEED = 12
 TABLES = 8
 #: Probability that the buckets visited hold a neighbour at distance r.
 SUCCESS = 0.97
-#: Width of a slot as a multiple of the sample's median r; rows that a bucket has on average.
-WIDTH, BUCKET_ROWS = 3.0, 8
+#: Width of a slot as a multiple of the sample's median r; rows in the bucket of a row, on average.
+WIDTH, BUCKET_ROWS = 3.0, 256
 #: Rows that share a group of buckets, on average; queries of a block. A larger group is dealt over several tasks.
-CELL_ROWS, QUERY_BLOCK = 4096, 256
-#: Functions of a table at most: beyond, more of them no longer divide a corpus that fits any cluster.
-MOST_FUNCTIONS = 40
+CELL_ROWS, QUERY_BLOCK = 4096, 1024
+#: Functions of a table at most. Each doubles the buckets that a query visits; with fewer, buckets are larger.
+MOST_FUNCTIONS = 16
+#: Queries whose buckets one task finds.
+ASKED_TOGETHER = 64
 
 
 @dataclass
@@ -130,7 +132,7 @@ def _indexed(rows: DataFrame, index: Index) -> DataFrame:
                 buckets = np.stack([index.bucket(t, at[t]) for t in range(TABLES)], axis=1).view(np.int64)
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(buckets.tolist(), pa.list_(pa.int64()))], names=["id", "v", "buckets"])
 
-    return rows.select("id", "v").mapInArrow(part, "id long, v array<double>, buckets array<long>")
+    return rows.select("id", "v").mapInArrow(part, f"id long, v {rows.schema['v'].dataType.simpleString()}, buckets array<long>")
 
 
 def _asked(queries: DataFrame, index: Index, k: int) -> DataFrame:
@@ -155,7 +157,7 @@ def _asked(queries: DataFrame, index: Index, k: int) -> DataFrame:
                 names=["query", "q", "table", "cell", "r", "buckets"],
             )
 
-    return queries.select("query", "q").mapInArrow(part, "query long, q array<double>, table int, cell int, r double, buckets array<long>")
+    return queries.select("query", "q").mapInArrow(part, f"query long, q {queries.schema['q'].dataType.simpleString()}, table int, cell int, r double, buckets array<long>")
 
 
 def _everywhere(queries: DataFrame, index: Index) -> DataFrame:
@@ -207,16 +209,21 @@ def _ranked(found: DataFrame, k: int) -> DataFrame:
 
 def nearest(embeddings: DataFrame, is_query, k: int = 10, id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query, rank, id, score): the k nearest found by Euclidean distance to each row for which is_query(id column) holds."""
-    rows = vectors.usable(embeddings, vector, nonzero=True).select(F.col("row")[id].cast("long").alias("id"), "v")
+    kind = "array<float>" if embeddings.schema[vector].dataType.simpleString() == "array<float>" else "array<double>"
+    rows = vectors.usable(embeddings, vector, nonzero=True).select(F.col("row")[id].cast("long").alias("id"), F.col("v").cast(kind))
     rows = materialize(vectors.one_per_id(rows, "v"))
     index = fit(rows, k)
     if index is None:
         return rows.sparkSession.createDataFrame([], "query long, rank int, id long, score double")
     indexed = materialize(_indexed(rows, index))
     queries = rows.where(is_query(F.col("id"))).select(F.col("id").alias("query"), F.col("v").alias("q"))
-    found = materialize(_ranked(_searched(indexed, materialize(_asked(queries.repartition("query"), index, k)), index, k), k))
+    tasks = max(1, -(-queries.count() // ASKED_TOGETHER))
+    asked = materialize(_asked(queries.repartition(tasks, "query"), index, k))
+    found = materialize(_ranked(_searched(indexed, asked, index, k), k))
     wanted = min(k, rows.limit(k + 1).count() - 1)
     whole = found.groupBy("query").count().where(F.col("count") >= wanted)
-    short = queries.join(whole, "query", "left_anti") if wanted else queries.limit(0)
+    short = queries.join(whole, "query", "left_anti")
+    if not wanted or short.isEmpty():
+        return found
     rest = _ranked(_searched(indexed, _everywhere(short, index), index, k), k)
     return found.join(whole.select("query"), "query", "left_semi").unionByName(rest)

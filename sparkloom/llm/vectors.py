@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import quoted
+from sparkloom.llm.common import materialize, quoted
 
 #: Values (rows times length) of a block, so that a task holds a few MB of vectors whatever their length.
 BLOCK_VALUES = 1 << 19
@@ -62,11 +62,11 @@ def in_blocks(rows: DataFrame, row_blocks: tuple[Column, Column], queries: DataF
 def keyed_blocks(rows: DataFrame, queries: DataFrame, keys: list[str], per_block: int, queries_per_block: int):
     """in_blocks() where each key has as many blocks as its own rows and queries need.
 
-    Counts are aggregates; Spark joins them by broadcast where they are small, else by a sort-merge join whose hot keys
-    it can split."""
+    Counts are written first, so Spark knows their size and joins them by broadcast where they are small, else by a
+    sort-merge join whose hot keys it can split."""
     queries = queries.toDF(*queries.columns)
     blocks = lambda per: F.ceil(F.count(F.lit(1)) / per).cast("int")
-    sizes = rows.groupBy(*keys).agg(blocks(per_block).alias("n_rows")).join(queries.groupBy(*keys).agg(blocks(queries_per_block).alias("n_queries")), keys)
+    sizes = materialize(rows.groupBy(*keys).agg(blocks(per_block).alias("n_rows")).join(queries.groupBy(*keys).agg(blocks(queries_per_block).alias("n_queries")), keys))
     again = sizes.toDF(*keys, "n_query_rows", "n_query_queries")  # columns of its own, as both sides meet again
     return in_blocks(rows.join(sizes, keys), (F.col("n_rows"), F.col("n_queries")), queries.join(again, keys), (F.col("n_query_rows"), F.col("n_query_queries")), keys)
 
