@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from sparkloom.plans import aggregates, documents, events, folds, governance, graphs, logs, memory, merge, messages, orders, retrieval, streams, units, vectors, views  # noqa: F401  each registers its queries
+from sparkloom.plans import aggregates, documents, events, folds, governance, graphs, knowledge, logs, memory, merge, messages, orders, retrieval, streams, units, vectors, views  # noqa: F401  each registers its queries
 from sparkloom.registry import ORACLES, QUERIES, Query
 
 

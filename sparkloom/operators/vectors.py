@@ -24,7 +24,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int | None = None) -> DataFrame:
     """(query, id, score): the k nearest of vectors(id, v) to each of queries(query, v) by cosine, other than itself.
 
-    Ties go to the smaller id. Queries and vectors are dealt into blocks of bounded size, and each pair of blocks is a
+    Scores equal to nine places are ties, which go to the smaller id; they are returned unrounded. Queries and vectors are dealt into blocks of bounded size, and each pair of blocks is a
     group of its own that gives its best k on."""
     n, m = _blocks(queries), partitions or _blocks(vectors)
     every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
@@ -36,16 +36,16 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int | None
         if not queries.num_rows or not vectors.num_rows:
             return pa.table({"query": pa.array([], pa.int64()), "id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         ids, names = vectors["id"].to_numpy(), queries["query"].to_numpy()
-        scores = _matrix(queries["v"].combine_chunks()) @ _matrix(vectors["v"].combine_chunks()).T
-        scores[names[:, None] == ids[None, :]] = -2
-        scores = np.round(scores, 9)
+        exact = _matrix(queries["v"].combine_chunks()) @ _matrix(vectors["v"].combine_chunks()).T
+        exact[names[:, None] == ids[None, :]] = -2
+        scores = np.round(exact, 9)
         least = -np.partition(-scores, min(k, len(ids)) - 1, axis=1)[:, min(k, len(ids)) - 1]
         row, column = np.nonzero((scores >= least[:, None]) & (scores > -2))  # with ties, so a little more than k each
         order = np.lexsort((ids[column], -scores[row, column], row))
         row, column = row[order], column[order]
         keep = np.arange(len(row)) - np.searchsorted(row, row) < k
         row, column = row[keep], column[keep]
-        return pa.table({"query": names[row], "id": ids[column], "score": scores[row, column]})
+        return pa.table({"query": names[row], "id": ids[column], "score": exact[row, column]})
 
     found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(best, "query long, id long, score double")
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
