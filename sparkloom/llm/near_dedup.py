@@ -248,33 +248,46 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id"
     return done.select(F.col("id").alias(key), F.col("n").alias("n_shingles"), "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(True)).alias("kept"))
 
 
+def _whole(docs: DataFrame, key: str, text: str) -> DataFrame:
+    """(id, text, doc): each row as one struct, whatever its columns are called."""
+    return docs.select(F.col(quoted(key)).alias("id"), F.col(quoted(text)).alias("text"), F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("doc"))
+
+
+def _least(doc: str = "doc"):
+    """Of several rows, the one whose JSON text is least: the same one whatever the order they come in."""
+    return F.min_by(doc, F.to_json(doc, {"ignoreNullFields": "false"})).alias("doc")
+
+
 def _first_rows(docs: DataFrame, percent: int, key: str, text: str) -> DataFrame:
     """keep_first for ids that repeat: each row is a node of its own, and the row of the smallest id stays."""
-    rows = materialize(docs.dropDuplicates([key, text]).withColumn("__row", F.monotonically_increasing_id()))
-    found = materialize(near_duplicates(rows, percent, "__row", text).where("n_shingles > 0").select("__row", "component_id"))
-    named = found.join(rows.select("__row", F.col(key).alias("__id")), "__row")
-    firsts = named.groupBy("component_id").agg(F.min(F.struct("__id", "__row")).alias("first")).select("first.__row")
-    return rows.join(found.join(firsts, "__row", "left_anti").select("__row").hint("merge"), "__row", "left_anti").drop("__row")
+    rows = materialize(_whole(docs, key, text).groupBy("id", "text").agg(_least()).withColumn("row", F.monotonically_increasing_id()))
+    found = materialize(near_duplicates(rows.select("row", "text"), percent, "row", "text").where("n_shingles > 0").select("row", "component_id"))
+    named = found.join(rows.select("row", "id"), "row")
+    firsts = named.groupBy("component_id").agg(F.min(F.struct("id", "row")).alias("first")).select("first.row")
+    return rows.join(found.join(firsts, "row", "left_anti").select("row").hint("merge"), "row", "left_anti").select("doc")
 
 
 def _without_id(docs: DataFrame, key: str, text: str) -> DataFrame:
     """The rows without an id, one of each text that no row with an id has; texts without a word all stay."""
-    rows, worded = docs.where(F.col(key).isNull()), F.coalesce(F.rlike(text, F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False))
-    others = docs.where(F.col(key).isNotNull()).select(F.sha2(text, 256).alias("__h")).where("__h is not null").distinct()
-    firsts = rows.where(worded).dropDuplicates([text]).withColumn("__h", F.sha2(text, 256))
-    return firsts.join(others.hint("merge"), "__h", "left_anti").drop("__h").unionByName(rows.where(~worded))
+    all_ = _whole(docs, key, text)
+    rows, worded = all_.where(F.col("id").isNull()), F.coalesce(F.rlike("text", F.lit(r"[^ \t\n\x0b\f\r]")), F.lit(False))
+    others = all_.where(F.col("id").isNotNull()).select(F.sha2("text", 256).alias("hash")).where("hash is not null").distinct()
+    firsts = rows.where(worded).groupBy(F.sha2("text", 256).alias("hash")).agg(_least())
+    return firsts.join(others.hint("merge"), "hash", "left_anti").select("doc").unionByName(rows.where(~worded).select("doc"))
 
 
 def keep_first(docs: DataFrame, percent: int = PERCENT, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows that are not the first of their group; of rows with equal id and text one stays.
+    """docs without the rows that are not the first of their group; of rows with equal id and text one stays, the one
+    whose JSON is least.
 
     Where ids repeat, it is decided row by row. Only the ids to drop are matched with docs. Rows without an id go only
     where another row has the same text."""
     known, columns = docs.where(F.col(key).isNotNull()), [F.col(quoted(c)) for c in docs.columns]
+    whole = [F.col(f"doc.{quoted(c)}").alias(c) for c in docs.columns]
     if known.groupBy(key).count().where("count > 1").isEmpty():
         found = materialize(near_duplicates(known, percent, key, text))
         left = known.join(found.where(~F.col("kept")).select(key).distinct().hint("merge"), key, "left_anti").select(columns)
     else:
-        left = _first_rows(known, percent, key, text).select(columns)
+        left = _first_rows(known, percent, key, text).select(whole)
     missing = docs.where(F.col(key).isNull())
-    return left if missing.isEmpty() else left.unionByName(_without_id(docs, key, text))
+    return left if missing.isEmpty() else left.unionByName(_without_id(docs, key, text).select(whole))

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.llm.common import rolling_word_hashes, span_hashes, utf8, word_spans
+from sparkloom.llm.common import quoted, rolling_word_hashes, span_hashes, utf8, word_spans
 from sparkloom.llm.ngrams import BUCKETS, arrow_rows, bounded, frequencies, in_one_task, platt, probability
 
 #: Bound on the labelled rows the regression is fitted to.
@@ -142,7 +142,9 @@ def measure_and_score(docs: DataFrame, model: Regression | None, text: str = "te
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs without the rows that the base rules or the model reject; labels(doc_id, quality) teach the model."""
     model = train(labelled_rows(docs, labels, FIT_ROWS))
-    return measure_and_score(docs, model).where("quality.kept").drop("quality")
+    whole = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("document"), "text")  # whatever its columns are called
+    kept = measure_and_score(whole, model).where("quality.kept")
+    return kept.select(*[F.col(f"document.{quoted(c)}").alias(c) for c in docs.columns])
 
 
 def labelled_rows(docs: DataFrame, labels: DataFrame, most: int | None = None) -> DataFrame:

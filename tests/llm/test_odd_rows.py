@@ -25,8 +25,8 @@ def odd(spark):
     rng = random.Random(4)
     prose = " ".join("".join(rng.choice("aeiourstln") for _ in range(rng.randint(2, 8))) for _ in range(300))
     texts = [(None, None), (1, None), (2, ""), (3, " \n\t "), (4, "x" * MILLION), (5, " " * (MILLION + MILLION // 5)), (6, "eyJ" * 300_000), (7, "ab" * 300_000), (8, prose), (8, prose), (9, prose), (None, prose), (10, "token: abcdef1234"), (11, "ﬁ \U0001f642 é" * 50)]
-    rows = [(i, t, "en", f"s{n % 3}" if n % 4 else None, 0, 1, "k", 2, 3, "a", "b") for n, (i, t) in enumerate(texts)]
-    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, key string, `a.b` int, `spans` int, `bytes` string, `x``y` string"
+    rows = [(i, t, "en", f"s{n % 3}" if n % 4 else None, 0, 1, "k", 2, 3, "a", "b", 4, 5, "h", 6, [7]) for n, (i, t) in enumerate(texts)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, id int, key string, `a.b` int, `spans` int, `bytes` string, `x``y` string, Quality int, `__row` long, `__h` string, `__id` int, `set` array<int>"
     return spark.createDataFrame(rows, schema).repartition(3)
 
 
@@ -81,6 +81,13 @@ def test_pipeline_stages_on_odd_rows(spark, odd, tmp_path):
     assert ids(corpus_pipeline.packed(spark, out, SF).where("piece = 0")) == ids(out)
 
 
+def test_of_rows_alike_the_least_stays(spark):
+    rows = [(1, "a b c d e f", "z", {"k": 1}), (1, "a b c d e f", "y", {"k": 2}), (None, "g h i j k l", "z", {}), (None, "g h i j k l", "x", {}), (2, None, "z", {}), (2, "m n", "q", {})]
+    for parts in (1, 4):
+        docs = spark.createDataFrame(rows, "doc_id long, text string, note string, more map<string,int>").repartition(parts)
+        assert sorted(near_dedup.keep_first(docs).select("note").toPandas()["note"]) == ["q", "x", "y", "z"]
+
+
 def test_thue_morse_words(spark):
     """Words whose sums of powers modulo 2**64 agree for every base are different words all the same."""
     a, b = ("".join(f"{thue_morse(2048, s)}{k} " for k in range(12)) for s in (False, True))
