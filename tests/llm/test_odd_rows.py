@@ -135,6 +135,30 @@ def test_exchange_between_partitions(spark):
             at += length
         assert at <= 1024
     assert len(exchanged) == 600 and packing.lower_bound(np.array(lengths), 1024) <= len(bins)
+    assert {(r["run_bins"], r["run_bound"]) for r in exchanged} == {(len(bins), packing.lower_bound(np.array(lengths), 1024))}
+
+
+def test_bins_completed_one_by_one():
+    rng = np.random.default_rng(6)
+    for _ in range(40):
+        lengths = rng.integers(1, 101, size=rng.integers(1, 90))
+        bins, offsets, rooms = packing.complete_bins(lengths, 100, int(rng.integers(0, 9)))
+        for b in range(len(rooms)):
+            at = np.flatnonzero(bins == b)
+            at = at[np.argsort(offsets[at])]
+            assert len(at) and list(offsets[at]) == [0, *np.cumsum(lengths[at])[:-1]] and lengths[at].sum() == 100 - rooms[b]
+        assert packing.lower_bound(lengths, 100) <= len(rooms)
+    # 50 + 30 + 20 and 30 + 25 + 25 + 20, where the best fit puts 30 + 30 and 25 + 25 together
+    assert len(packing.complete_bins(np.array([50, 30, 30, 20, 20, 25, 25]), 100)[2]) == 2
+
+
+def test_the_exchange_meets_the_bound_of_the_whole(spark):
+    """Seven partitions lose a part of a bin each; the exchange brings them back."""
+    lengths = np.random.default_rng(5).integers(1, 700, size=700)
+    items = spark.createDataFrame([(i, int(n)) for i, n in enumerate(lengths)], "item long, length long")
+    alone = packing.pack(items, per_partition=100, rounds=1).select("sequence_id").distinct().count()
+    row = packing.pack(items, per_partition=100).first()
+    assert row["run_bound"] == packing.lower_bound(lengths, 1024) and row["run_bins"] <= row["run_bound"] + 1 < alone
 
 
 def test_frequent_grams_count_like_rare_ones(monkeypatch):
