@@ -56,14 +56,16 @@ def stepped(x: Column, *steps: tuple[float, float]) -> Column:
 
 def insight_score(evidence: Column, span: Column, recurrence: Column, strength: Column, contradictions: Column) -> Column:
     # The steps of each part.
-    total = stepped(evidence, (100, 1.0), (10, 0.8), (3, 0.5)) + stepped(span, (90, 1.0), (30, 0.8), (7, 0.5)) + stepped(recurrence, (4, 1.0), (2, 0.7), (1, 0.3)) + stepped(strength, (0.85, 1.0), (0.7, 0.7), (0.5, 0.4))
+    total = stepped(evidence, (100, 1.0), (10, 0.8), (3, 0.5)) + stepped(span, (90, 1.0), (30, 0.8), (7, 0.5)) + stepped(recurrence, (4, 1.0), (2, 0.7),
+        (1, 0.3)) + stepped(strength, (0.85, 1.0), (0.7, 0.7), (0.5, 0.4))
     return F.round(F.greatest(F.lit(0.0), total - F.least(contradictions, F.lit(2)) * 0.35), 2)
 
 
 def sealed_json(pairs: Column) -> Column:
     """map<string, string> with the values of sensitive keys replaced by a mark with a fingerprint; integrity keys stay as they are."""
     seal = lambda v: F.concat(F.lit("[SEALED:field-secret:fp:"), F.substring(F.sha2(v, 256), 1, 12), F.lit("]"))
-    return F.transform_values(pairs, lambda k, v: F.when(F.rlike(k, F.lit(SENSITIVE_KEYS)) & ~F.rlike(k, F.lit(INTEGRITY_KEYS)) & ~v.isin("", "null", "None", "undefined", "true", "false") & ~v.startswith("[SEALED:"), seal(v)).otherwise(v))
+    return F.transform_values(pairs, lambda k, v: F.when(F.rlike(k, F.lit(SENSITIVE_KEYS)) & ~F.rlike(k, F.lit(INTEGRITY_KEYS)) & ~v.isin("", "null", "None",
+        "undefined", "true", "false") & ~v.startswith("[SEALED:"), seal(v)).otherwise(v))
 
 
 def tidy(text: Column) -> Column:

@@ -103,7 +103,8 @@ INTEGRITY_ENDS = ("_id", "_hash", "_checksum", "_fingerprint")
 _NEEDS = {
     "private-key": ("-----begin",), "openai-key": ("sk-",), "anthropic-key": ("sk-ant-",), "google-api-key": ("aiza",), "aws-access-key": ("akia", "asia"), "github-pat": ("github_pat_",),
     "github-token": ("ghp_", "gho_", "ghu_", "ghs_", "ghr_"), "gitlab-token": ("glpat-",), "slack-token": ("xox",), "stripe-key": ("_live_", "_test_"), "twilio-sid": ("ac",), "sendgrid-key": ("sg.",),
-    "huggingface-token": ("hf_",), "npm-token": ("npm_",), "pypi-token": ("pypi-",), "digitalocean-token": ("dop_v1_",), "shopify-token": ("shpat_",), "mailgun-key": ("key-",), "linear-token": ("lin_api_",),
+    "huggingface-token": ("hf_",), "npm-token": ("npm_",), "pypi-token": ("pypi-",), "digitalocean-token": ("dop_v1_",), "shopify-token": ("shpat_",),
+        "mailgun-key": ("key-",), "linear-token": ("lin_api_",),
     "notion-token": ("secret_",), "telegram-bot": (":",), "xai-key": ("xai-",), "azure-conn-key": ("key", "sharedaccesssignature"), "jwt": ("eyj",), "bearer": ("bearer",), "basic-auth": ("basic",),
     "connection-password": ("://",), "url-password": ("://",), "cookie-pair": ("=",), "env-secret": ("=",), "email": ("@",), "phone-intl": ("+",),
     "assignment": ("key", "token", "secret", "session", "passw", "pwd", "passphrase", "credential", "code", "cookie", "authorization"),

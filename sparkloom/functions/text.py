@@ -64,7 +64,8 @@ def jaccard(a: Column, b: Column) -> Column:
 
 def skeleton(text: Column) -> Column:
     """Identifiers, paths and numbers masked, in this order."""
-    for pattern, mark in ((r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"), (r"[A-Za-z]:\\[^ \t\n]+", "<path>"), (r"/[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)+", "<path>"), (r"[0-9]+", "<num>")):
+    for pattern, mark in ((r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"), (r"[A-Za-z]:\\[^ \t\n]+", "<path>"),
+        (r"/[A-Za-z0-9_.-]+(/[A-Za-z0-9_.-]+)+", "<path>"), (r"[0-9]+", "<num>")):
         text = F.regexp_replace(text, pattern, mark)
     return text
 

@@ -51,7 +51,8 @@ def merge_gate(membership: DataFrame, evidence: DataFrame, positives: DataFrame,
         pairs = pairs.select("a", "b").distinct()
         same = pairs.join(side("a"), "a").join(side("b"), ["b", "leader"]).select("a", "b").distinct().withColumn("merged", F.lit(True))
         there = pairs.join(refs.withColumnRenamed("ref", "a"), "a", "left_semi").join(refs.withColumnRenamed("ref", "b"), "b", "left_semi").withColumn("known", F.lit(True))
-        return pairs.join(there, ["a", "b"], "left").join(same, ["a", "b"], "left").select(F.lit(wanted).alias("wanted"), F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("merged", F.lit(False)).alias("merged"))
+        return pairs.join(there, ["a", "b"], "left").join(same, ["a", "b"], "left").select(F.lit(wanted).alias("wanted"),
+            F.coalesce("known", F.lit(False)).alias("known"), F.coalesce("merged", F.lit(False)).alias("merged"))
 
     rows = judged(positives, True).unionByName(judged(negatives, False))
     count = lambda c: F.count_if(c).cast("long")

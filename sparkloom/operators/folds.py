@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The legal moves of a confirmation and of an action, by state.
-CONFIRMATIONS = {("proposed", "accept"): "accepted", ("proposed", "reject"): "rejected", ("proposed", "defer"): "deferred", ("deferred", "accept"): "accepted", ("deferred", "reject"): "rejected", ("deferred", "defer"): "deferred", ("accepted", "revoke_before_action"): "revoked"}
+CONFIRMATIONS = {("proposed", "accept"): "accepted", ("proposed", "reject"): "rejected", ("proposed", "defer"): "deferred", ("deferred", "accept"): "accepted",
+    ("deferred", "reject"): "rejected", ("deferred", "defer"): "deferred", ("accepted", "revoke_before_action"): "revoked"}
 ACTIONS = {(None, "planned"), (None, "not_taken"), ("planned", "started"), ("planned", "abandoned"), ("planned", "not_taken"), ("started", "completed"), ("started", "abandoned")}
 # Controls that deny, and what each says.
 DENIALS = {"suppress": "suppressed_by_user", "snooze": "snoozed_by_user", "revoke": "revoked_by_user"}
@@ -77,7 +78,8 @@ def verify_chain(log: DataFrame) -> DataFrame:
     fault = F.when(F.col("seq") != F.col("last_seq") + 1, "event_sequence_invalid").when(~F.col("previous").eqNullSafe(F.col("last_sum")), "event_chain_mismatch")
     judged = before.withColumn("fault", fault)
     first = F.min(F.when(F.col("fault").isNotNull(), F.struct("seq", "fault")))
-    return judged.groupBy("chain").agg(F.count("*").alias("n"), first.alias("f"), F.max_by("checksum", "seq").alias("head")).select("chain", "n", F.col("f.seq").alias("first_fault"), F.col("f.fault").alias("fault"), "head")
+    return judged.groupBy("chain").agg(F.count("*").alias("n"), first.alias("f"), F.max_by("checksum", "seq").alias("head")).select("chain", "n",
+        F.col("f.seq").alias("first_fault"), F.col("f.fault").alias("fault"), "head")
 
 
 def controls_as_of(log: DataFrame, instant: str) -> DataFrame:
@@ -104,7 +106,8 @@ def controls_as_of(log: DataFrame, instant: str) -> DataFrame:
         reason = reason.when(F.col("denial.operation") == operation, why)
     found = log.select("target").distinct().join(state, "target", "left")
     winner = F.when(unclear, F.lit(None)).otherwise(F.coalesce("denial.event", "latest.event"))
-    return found.select("target", reason.isNull().alias("eligible"), reason.alias("reason"), winner.alias("winner"), F.coalesce("correction", F.lit(False)).alias("correction"), F.coalesce(F.size("active"), F.lit(0)).alias("n_active"))
+    return found.select("target", reason.isNull().alias("eligible"), reason.alias("reason"), winner.alias("winner"),
+        F.coalesce("correction", F.lit(False)).alias("correction"), F.coalesce(F.size("active"), F.lit(0)).alias("n_active"))
 
 
 def watermark_check(items: DataFrame, acknowledged: DataFrame) -> DataFrame:

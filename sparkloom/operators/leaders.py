@@ -124,18 +124,31 @@ def _by_links(open_: DataFrame, links: DataFrame) -> DataFrame:
     return out
 
 
-def leader_clusters(rows: DataFrame, percent: int = 85) -> DataFrame:
-    """(id, leader) of rows(id long, bucket, members array<string>): the leader each row belongs to, itself if it leads.
-
-    Two sets are alike from a Jaccard similarity of percent / 100 on; an empty or null set is like nothing. Ids are
-    unique; their order is the order of the rows; rows without an id take no part; a null bucket is one of its own."""
+def _kinds(rows: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Rows with a name for their set, and the first row of each set of a bucket, with hashes and keys."""
     hashes = F.array_sort(F.array_distinct(F.transform("members", lambda m: F.xxhash64(m))))
     rows = rows.where("id IS NOT NULL").select("id", F.coalesce(F.col("bucket").cast("string"), F.lit("\0")).alias("bucket"), F.coalesce(hashes, F.array().cast("array<long>")).alias("hashes"))
     kind = F.when(F.size("hashes") > 0, F.sha2(F.array_join(F.transform("hashes", lambda h: h.cast("string")), ","), 256))
     rows = materialize(rows.withColumn("kind", kind))
     firsts = rows.where("kind IS NOT NULL").groupBy("bucket", "kind").agg(F.min("id").alias("id"))
-    sets = materialize(_with_keys(rows.join(firsts, ["bucket", "kind", "id"]), percent).select("id", "bucket", "kind", "hashes", "keys"))
+    return rows, materialize(_with_keys(rows.join(firsts, ["bucket", "kind", "id"]), percent).select("id", "bucket", "kind", "hashes", "keys"))
+
+
+def similar_links(rows: DataFrame, percent: int = 85) -> DataFrame:
+    """(a, b), a < b, whose components are those of all like rows of rows(id, bucket, members): every pair of like sets
+    once, by the first row of each, and each row of a set with that first row."""
+    rows, sets = _kinds(rows, percent)
+    apart = _similar(_candidates(sets, sets, percent), sets, percent)
+    same = rows.join(sets.select("bucket", "kind", F.col("id").alias("first")), ["bucket", "kind"]).where("first < id").select(F.col("first").alias("a"), F.col("id").alias("b"))
+    return apart.unionByName(same)
 
+
+def leader_clusters(rows: DataFrame, percent: int = 85) -> DataFrame:
+    """(id, leader) of rows(id long, bucket, members array<string>): the leader each row belongs to, itself if it leads.
+
+    Two sets are alike from a Jaccard similarity of percent / 100 on; an empty or null set is like nothing. Ids are
+    unique; their order is the order of the rows; rows without an id take no part; a null bucket is one of its own."""
+    rows, sets = _kinds(rows, percent)
     open_, leaders = sets, []
     for _ in range(STAR_ROUNDS):
         lead = materialize(_certain(open_))

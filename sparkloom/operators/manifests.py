@@ -90,15 +90,18 @@ def applied(actions: DataFrame, units: DataFrame) -> DataFrame:
     rows = actions.withColumnsRenamed({"question": "new_question", "answer": "new_answer"}).join(units, "unit_id")
     lifecycle = F.coalesce(F.try_element_at(to, F.col("action")), F.col("lifecycle"))
     supersedes = F.when(F.col("action") == "supersede", F.col("target")).when(~F.col("action").isin("deprecate", "restore"), F.col("supersedes"))
-    after = F.struct(lifecycle.alias("lifecycle"), (F.col("version") + 1).alias("version"), supersedes.alias("supersedes"), F.coalesce("new_question", "question").alias("question"), F.coalesce("new_answer", "answer").alias("answer"))
-    return rows.select(_event_id("manifest_id", "unit_id", F.col("version").cast("string"), "action").alias("event_id"), "manifest_id", "ordinal", "unit_id", "action", F.lit(None).cast("string").alias("rollback_of"), _state().alias("before"), after.alias("after"))
+    after = F.struct(lifecycle.alias("lifecycle"), (F.col("version") + 1).alias("version"), supersedes.alias("supersedes"),
+        F.coalesce("new_question", "question").alias("question"), F.coalesce("new_answer", "answer").alias("answer"))
+    return rows.select(_event_id("manifest_id", "unit_id", F.col("version").cast("string"), "action").alias("event_id"), "manifest_id", "ordinal", "unit_id",
+        "action", F.lit(None).cast("string").alias("rollback_of"), _state().alias("before"), after.alias("after"))
 
 
 def taken_back(events: DataFrame, units: DataFrame) -> DataFrame:
     """The events that undo events, each on its unit as it is now."""
     rows = events.where("rollback_of IS NULL").join(units, "unit_id")
     after = F.struct(F.col("before.lifecycle").alias("lifecycle"), (F.col("version") + 1).alias("version"), *[F.col(f"before.{c}").alias(c) for c in STATE[2:]])
-    return rows.select(_event_id("event_id", F.lit("rollback")).alias("event_id"), "manifest_id", "ordinal", "unit_id", F.lit("rollback").alias("action"), F.col("event_id").alias("rollback_of"), _state().alias("before"), after.alias("after"))
+    return rows.select(_event_id("event_id", F.lit("rollback")).alias("event_id"), "manifest_id", "ordinal", "unit_id", F.lit("rollback").alias("action"),
+        F.col("event_id").alias("rollback_of"), _state().alias("before"), after.alias("after"))
 
 
 def changed(units: DataFrame, events: DataFrame) -> DataFrame:

@@ -133,7 +133,8 @@ def evaluate(candidates: DataFrame, surfaced: DataFrame, context: Context, polic
     first = (
         F.when(F.coalesce("sensitive", F.lit(True)), outcome("abstained", "privacy_veto"))
         .when(~F.coalesce("evidence_eligible", F.lit(False)), outcome("abstained", "evidence_veto"))
-        .when(~F.coalesce("trust_eligible", F.lit(False)) | F.coalesce(F.col("dedup_key").isin(*context.suppressed) if context.suppressed else F.lit(False), F.lit(False)), outcome("abstained", "trust_veto"))
+        .when(~F.coalesce("trust_eligible", F.lit(False)) | F.coalesce(F.col("dedup_key").isin(*context.suppressed) if context.suppressed else F.lit(False),
+            F.lit(False)), outcome("abstained", "trust_veto"))
         .when(at >= F.col("expires_at"), outcome("expired", "expired"))
         .when(F.lit(not _known_zone(context.zone)) & (F.col("kind") != "inbox_item"), outcome("abstained", "invalid_timezone_inbox_only"))
         .when(F.col("score") < policy.threshold, outcome("abstained", "below_threshold"))

@@ -89,4 +89,5 @@ def paired_bootstrap(pairs: DataFrame, draws: int = 10_000) -> DataFrame:
     means = cells.withColumn("i", index).join(small, "i").groupBy("b").agg(F.round(F.sum("d") / n, 9).alias("m"))
     counted = means.groupBy("m").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)))
     at = lambda p: F.min(F.when(F.col("upto") > int(draws * p), F.col("m")))
-    return counted.agg(at(0.025).alias("low"), at(0.975).alias("high")).select(F.lit(n).cast("long").alias("n"), F.round(F.lit(total["s"] / n), 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))
+    return counted.agg(at(0.025).alias("low"), at(0.975).alias("high")).select(F.lit(n).cast("long").alias("n"),
+        F.round(F.lit(total["s"] / n), 6).alias("mean"), F.round("low", 6).alias("low"), F.round("high", 6).alias("high"))

@@ -1,14 +1,27 @@
-"""Exact similarity search over vector columns, in blocks of bounded size, of which a task multiplies two at a time."""
+"""Exact similarity search over vector columns, in blocks of bounded size, of which a task multiplies two at a time.
+
+More than one block of vectors is dealt by nearest pivot, and a pivot's vectors are cut into as many blocks as they need.
+Angles obey the triangle inequality: vectors of two pivots are at least as far apart as the pivots less the radii around
+them, so pairs of pivots, or of a query and a pivot, that can hold nothing near enough are skipped, and nothing else is.
+Pivots come from a bounded sample and only say where to look; vectors spread evenly skip little, clustered ones most."""
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from sparkloom.sources.shared import materialize
+
 #: Rows of a block, on average; a task multiplies two blocks at a time.
 BLOCK = 2048
+#: Pivots at most, and rows of the sample they are chosen from; with more vectors a pivot has more blocks.
+PIVOTS, SAMPLE = 512, 4096
+#: Added to angles, for what rounding takes from them.
+LOOSE = 1e-6
 
 
 def _blocks(rows: DataFrame) -> int:
@@ -21,16 +34,58 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int | None = None) -> DataFrame:
-    """(query, id, score): the k nearest of vectors(id, v) to each of queries(query, v) by cosine, other than itself.
+@dataclass
+class Places:
+    """Where vectors lie: pivots as unit vectors, and of each the rows, the largest angle to them, and the blocks."""
+
+    pivots: np.ndarray
+    radius: np.ndarray
+    blocks: np.ndarray
+
+    def angles(self, unit: np.ndarray) -> np.ndarray:
+        return np.arccos(np.clip(unit @ self.pivots.T, -1, 1))
+
+    def near(self, least: float) -> list[tuple[int, int]]:
+        """Pairs p <= q of pivots whose vectors may have a cosine of at least ``least``."""
+        apart = self.angles(self.pivots) - self.radius[:, None] - self.radius[None, :] - LOOSE
+        return [(int(p), int(q)) for p, q in np.argwhere(apart <= np.arccos(np.clip(least, -1, 1))) if p <= q and self.blocks[p] and self.blocks[q]]
+
+
+def _pivots(vectors: DataFrame, n: int) -> np.ndarray:
+    """n vectors of a sample, each the one farthest from those before it."""
+    sample = vectors.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).select("v").toArrow()["v"]
+    unit = _matrix(sample.combine_chunks())
+    directed = unit[(unit * unit).sum(axis=1) > 0.5]  # a vector of zeros has no direction, and would always be the farthest
+    if not len(directed):
+        return unit[:1]
+    unit = directed
+    chosen, closest = [0], unit @ unit[0]
+    while len(chosen) < min(n, len(unit)):
+        chosen.append(int(closest.argmin()))
+        closest = np.maximum(closest, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def _placed(vectors: DataFrame, blocks: int) -> tuple[DataFrame, Places]:
+    """vectors(id, v) with their pivot and block of it, written once, and the places."""
+    pivots = _pivots(vectors, min(PIVOTS, blocks))
 
-    Scores equal to nine places are ties, which go to the smaller id; they are returned unrounded. Queries and vectors are dealt into blocks of bounded size, and each pair of blocks is a
-    group of its own that gives its best k on."""
-    n, m = _blocks(queries), partitions or _blocks(vectors)
-    every = lambda c: F.explode(F.sequence(F.lit(0), F.lit(c - 1)))
-    dealt = lambda c, of: F.pmod(F.xxhash64(c), F.lit(of)).cast("int")
-    left = queries.select(dealt("query", n).alias("block"), every(m).alias("part"), F.col("query").alias("query"), F.col("v").alias("v"))
-    right = vectors.select(every(n).alias("block"), dealt("id", m).alias("part"), F.col("id").alias("id"), F.col("v").alias("v"))
+    def nearest(column: pa.Array) -> pa.Array:
+        cosines = _matrix(column) @ pivots.T if len(column) else np.zeros((0, 1))
+        at = cosines.argmax(axis=1)
+        angle = np.arccos(np.clip(cosines[np.arange(len(at)), at], -1, 1))
+        return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(angle)], names=["pivot", "angle"])
+
+    rows = materialize(vectors.select("id", "v", F.arrow_udf(nearest, "pivot int, angle double")("v").alias("at")).select("id", "v", "at.pivot", "at.angle"))
+    places = Places(pivots, np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64))
+    for r in rows.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # PIVOTS rows at most
+        places.radius[r["pivot"]], places.blocks[r["pivot"]] = r["radius"], -(-r["n"] // BLOCK)
+    many = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in places.blocks]), F.col("pivot") + 1)
+    return rows.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int")), places
+
+
+def _best(k: int):
+    """A task of top_k: the k best rows of a block for each query of one."""
 
     def best(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         if not queries.num_rows or not vectors.num_rows:
@@ -47,31 +102,98 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int | None
         row, column = row[keep], column[keep]
         return pa.table({"query": names[row], "id": ids[column], "score": exact[row, column]})
 
-    found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(best, "query long, id long, score double")
+    return best
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
+def _met(queries: DataFrame, rows: DataFrame, places: Places, k: int) -> DataFrame:
+    """What queries(query, v, pivot) find among the vectors of these pivots, each block of queries with each block of vectors."""
+    asked = queries.groupBy("pivot").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("asked"))
+    sizes = materialize(asked.join(rows.sparkSession.createDataFrame([(i, int(b)) for i, b in enumerate(places.blocks) if b], "pivot int, blocks int"), "pivot"))
+    again = sizes.toDF("pivot", "asked_again", "blocks_again")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = queries.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("query"), F.col("asked")).cast("int")).withColumn("block", every("blocks"))
+    right = rows.join(again, "pivot").withColumn("part", every("asked_again"))
+    by = ["pivot", "part", "block"]
+    found = left.select(*by, "query", "v").groupBy(*by).cogroup(right.select(*by, "id", "v").groupBy(*by))
+    return found.applyInArrow(_best(k), "query long, id long, score double")
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int | None = None) -> DataFrame:
+    """(query, id, score, rank): the k nearest of vectors(id, v) to each of queries(query, v) by cosine, other than itself.
+
+    Scores equal to nine places are ties, which go to the smaller id; they are returned unrounded. A query first meets
+    the vectors of its own pivot; its k-th score there says which other pivots can hold better ones."""
+    blocks = partitions or _blocks(vectors)
+    if blocks == 1:  # nothing to skip
+        n = _blocks(queries)
+        left = queries.select(F.pmod(F.xxhash64("query"), F.lit(n)).cast("int").alias("part"), F.col("query").alias("query"), F.col("v").alias("v"))
+        right = vectors.select(F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias("part"), F.col("id").alias("id"), F.col("v").alias("v"))
+        return _ranked(left.groupBy("part").cogroup(right.groupBy("part")).applyInArrow(_best(k), "query long, id long, score double"), k)
+    rows, places = _placed(vectors, blocks)
+    if not len(places.pivots):
+        return _ranked(vectors.sparkSession.createDataFrame([], "query long, id long, score double"), k)
+
+    def asked(batches):
+        """Queries with the pivots they must ask: their own one first, later all that may hold more than they know of."""
+        for batch in batches:
+            angles = places.angles(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, len(places.pivots)))
+            kth, own = batch.column(2).to_numpy(zero_copy_only=False), angles.argmin(axis=1) if len(angles) else np.zeros(0, int)
+            mine = np.arange(len(places.pivots))[None, :] == own[:, None]
+            least = np.arccos(np.clip(np.nan_to_num(kth, nan=-1.0) - 1e-9, -1, 1))[:, None] + LOOSE
+            at, pivot = np.nonzero(np.where(np.isnan(kth)[:, None], mine, ~mine & (angles - places.radius - LOOSE <= least)) if batch.num_rows else np.zeros((0, 1), bool))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(pivot, pa.int32())], names=["query", "v", "pivot"])
+
+    schema = f"query long, v {queries.schema['v'].dataType.simpleString()}, pivot int"
+    mine = queries.select("query", "v", F.lit(None).cast("double").alias("kth")).mapInArrow(asked, schema)
+    first = materialize(_ranked(_met(mine, rows, places, k), k))
+    kth = first.where(F.col("rank") == k).select("query", F.round("score", 9).alias("kth"))
+    rest = queries.select("query", "v").join(kth, "query", "left").select("query", "v", F.coalesce("kth", F.lit(-1.0)).alias("kth"))
+    found = first.drop("rank").unionByName(_met(rest.mapInArrow(asked, schema), rows, places, k))
+    return _ranked(found, k)
+
+
 def similar_pairs(vectors: DataFrame, least: float, partitions: int | None = None) -> DataFrame:
     """(a, b, score): all pairs a < b of vectors(id, v) with a cosine of at least ``least``.
 
-    Blocks of bounded size meet on a grid, each pair of blocks as a group of its own."""
-    partitions = partitions or _blocks(vectors)
-    dealt = vectors.withColumn("cell", F.pmod(F.xxhash64("id"), F.lit(partitions)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(partitions - 1)))
-    left = dealt.withColumn("other", every).where("cell <= other").select(F.col("cell").alias("x"), F.col("other").alias("y"), "id", "v")
-    right = dealt.withColumn("other", every).where("other <= cell").select(F.col("other").alias("x"), F.col("cell").alias("y"), F.col("id").alias("id"), F.col("v").alias("v"))
+    Blocks of bounded size meet, each pair of blocks as a group of its own, unless their pivots are too far apart."""
+    blocks = partitions or _blocks(vectors)
 
-    def near(key, left: pa.Table, right: pa.Table) -> pa.Table:
+    def close(key, left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows or not right.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
         scores = _matrix(left["v"].combine_chunks()) @ _matrix(right["v"].combine_chunks()).T
         i, j = np.nonzero(scores >= least)
+        p, q, x, y = (k.as_py() for k in key)
         low, high = np.minimum(a[i], b[j]), np.maximum(a[i], b[j])
-        keep = a[i] < b[j] if key[0].as_py() == key[1].as_py() else low < high
+        # Two rows of one block meet twice in it; each of the other pairs of blocks is met once.
+        keep = a[i] < b[j] if (p, x) == (q, y) else low < high
         return pa.table({"a": low[keep], "b": high[keep], "score": scores[i, j][keep]})
 
-    # Two rows of one block meet twice in it; each of the other pairs of blocks is met once.
-    met = left.groupBy("x", "y").cogroup(right.groupBy("x", "y")).applyInArrow(near, "a long, b long, score double")
-    return met
+    by, out = ["p", "q", "i", "j"], "a long, b long, score double"
+    if blocks == 1:  # nothing to skip
+        one = [F.lit(0).alias(c) for c in by]
+        left, right = (vectors.select(*one, F.col("id").alias("id"), F.col("v").alias("v")) for _ in range(2))
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(close, out)
+    rows, places = _placed(vectors, blocks)
+    cells = [(p, q, int(places.blocks[p]), int(places.blocks[q])) for p, q in places.near(least)]
+    cells = materialize(vectors.sparkSession.createDataFrame(cells, "p int, q int, np int, nq int"))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    left = rows.join(cells, F.col("pivot") == F.col("p")).select("p", "q", F.col("block").alias("i"), every("nq").alias("j"), "id", "v")
+    again = cells.toDF("p2", "q2", "np2", "nq2")
+    right = rows.toDF(*rows.columns).join(again, F.col("pivot") == F.col("q2")).select(F.col("p2").alias("p"), F.col("q2").alias("q"), every("np2").alias("i"), F.col("block").alias("j"), "id", "v")
+    apart = "p < q OR i <= j"  # within a pivot each pair of blocks once
+    return left.where(apart).groupBy(*by).cogroup(right.where(apart).groupBy(*by)).applyInArrow(close, out)
+
+
+def skipped_share(vectors: DataFrame, least: float, partitions: int | None = None) -> tuple[int, int]:
+    """How many pairs of blocks similar_pairs() skips, of how many there are."""
+    _, places = _placed(vectors, partitions or _blocks(vectors))
+    count = lambda p, q: int(places.blocks[p] * places.blocks[q]) if p < q else int(places.blocks[p] * (places.blocks[p] + 1) // 2)
+    n = int(places.blocks.sum())
+    return n * (n + 1) // 2 - sum(count(p, q) for p, q in places.near(least)), n * (n + 1) // 2

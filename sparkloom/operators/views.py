@@ -19,7 +19,8 @@ FIDELITY = ("source_availability", "structure_completeness", "ordering_confidenc
 def conversation_graph(conversations: DataFrame) -> DataFrame:
     """The events of conversations(conv_id, turn, role, text), with the number of the user turn they belong to."""
     order = Window.partitionBy("session").orderBy("ordinal")
-    rows = conversations.select(F.concat_ws(":", F.lit("e"), F.col("conv_id"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("event"), F.col("conv_id").alias("session"), F.col("turn").alias("ordinal"), "role", "text")
+    rows = conversations.select(F.concat_ws(":", F.lit("e"), F.col("conv_id"), F.lpad(F.col("turn").cast("string"), 6, "0")).alias("event"),
+        F.col("conv_id").alias("session"), F.col("turn").alias("ordinal"), "role", "text")
     return rows.withColumn("turn_no", F.sum((F.col("role") == "user").cast("int")).over(order))
 
 
@@ -29,7 +30,8 @@ def assemble(members: DataFrame, kind: str, relation_ok: Column | None = None, n
     The flags are aggregates over a view's rows that say whether its relations, native ids and compactions are known."""
     yes = F.lit(True)
     has_text = F.min(F.coalesce(F.col("text") != "", F.lit(False)))
-    levels = (F.count("event") > 0, has_text, F.count("ordinal") == F.count("*"), has_text & (yes if relation_ok is None else relation_ok), has_text, yes if visible is None else visible, yes if native_ok is None else native_ok)
+    levels = (F.count("event") > 0, has_text, F.count("ordinal") == F.count("*"), has_text & (yes if relation_ok is None else relation_ok), has_text,
+        yes if visible is None else visible, yes if native_ok is None else native_ok)
     profile = F.concat(*[F.when(level, "C").otherwise("P") for level in levels]).alias("fidelity")
     found = members.groupBy("view", "session").agg(F.array_sort(F.collect_set("event")).alias("members"), profile)
     view_id = identity.view_id(F.lit(kind), F.lit(GENERATION), F.lit(BUILDER), F.col("members"))
@@ -72,7 +74,8 @@ def episode_views(events: DataFrame) -> DataFrame:
 
 def compaction_views(events: DataFrame, relations: DataFrame) -> DataFrame:
     """Per summary the events that relations(summary, kind, event) call compacted or retained, and those called both."""
-    named = relations.groupBy("summary").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "compacted", F.col("event")))).alias("compacted"), F.array_sort(F.collect_set(F.when(F.col("kind") == "retained", F.col("event")))).alias("retained"))
+    named = relations.groupBy("summary").agg(F.array_sort(F.collect_set(F.when(F.col("kind") == "compacted", F.col("event")))).alias("compacted"),
+        F.array_sort(F.collect_set(F.when(F.col("kind") == "retained", F.col("event")))).alias("retained"))
     members = relations.select(F.col("summary").alias("view"), "event").unionByName(relations.select(F.col("summary").alias("view"), F.col("summary").alias("event"))).distinct()
     views = members.join(events.select("event", "session", "ordinal", "text"), "event")
     found = assemble(views, "compaction_window").withColumn("summary", F.array_max("members"))

@@ -22,7 +22,8 @@ def lineitem_summary(spark, sf):
 @query("SELECT split_part(p_type, ' ', 1) AS grp, p_brand AS name, count(*) AS n, list_sort(list(DISTINCT p_size)) AS sizes FROM part GROUP BY ALL")
 def two_level_usage(spark, sf):
     """Usage by prefix group and name, with the distinct members of each."""
-    return table(spark, sf, "part").groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("grp"), F.col("p_brand").alias("name")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("p_size")).alias("sizes"))
+    return table(spark, sf, "part").groupBy(F.split_part("p_type", F.lit(" "), F.lit(1)).alias("grp"),
+        F.col("p_brand").alias("name")).agg(F.count("*").alias("n"), F.array_sort(F.collect_set("p_size")).alias("sizes"))
 
 
 @query("SELECT coalesce(n_name, 'all') AS nation, coalesce(c_mktsegment, 'all') AS segment, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY ROLLUP (n_name, c_mktsegment)")
@@ -44,7 +45,8 @@ def blank_rates(spark, sf):
 @query("SELECT o_orderpriority AS priority, count(*) AS n, count(*) FILTER (o_orderstatus = 'F') AS done, round(100.0 * count(*) FILTER (o_orderstatus = 'F') / count(*), 4) AS done_percent, round(max(o_totalprice), 2) AS top FROM orders GROUP BY 1")
 def status_tally(spark, sf):
     done = F.count_if(F.col("o_orderstatus") == "F")
-    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), done.alias("done"), F.round(100.0 * done / F.count("*"), 4).alias("done_percent"), F.round(F.max("o_totalprice"), 2).alias("top"))
+    return table(spark, sf, "orders").groupBy(F.col("o_orderpriority").alias("priority")).agg(F.count("*").alias("n"), done.alias("done"),
+        F.round(100.0 * done / F.count("*"), 4).alias("done_percent"), F.round(F.max("o_totalprice"), 2).alias("top"))
 
 
 @query("SELECT strftime(o_orderdate, '%Y') AS year, count(*) FILTER (o_orderstatus = 'F') AS f, count(*) FILTER (o_orderstatus = 'O') AS o, count(*) FILTER (o_orderstatus = 'P') AS p FROM orders GROUP BY 1")

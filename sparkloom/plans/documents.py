@@ -60,7 +60,8 @@ def _similar_pairs(docs: DataFrame, tokens: Column) -> DataFrame:
     right = sets.select("lang", "source", F.col("k").alias("kb"), F.col("n").alias("nb"), F.explode("prefix").alias("token"))
     close = left.join(right, ["lang", "source", "token"]).where("ka < kb AND 5 * least(na, nb) >= 4 * greatest(na, nb)").select("lang", "source", "ka", "kb").distinct()
     full = sets.select("lang", "source", "k", "tokens")
-    near = close.join(full.select("lang", "source", F.col("k").alias("ka"), F.col("tokens").alias("ta")), ["lang", "source", "ka"]).join(full.select("lang", "source", F.col("k").alias("kb"), F.col("tokens").alias("tb")), ["lang", "source", "kb"])
+    near = close.join(full.select("lang", "source", F.col("k").alias("ka"), F.col("tokens").alias("ta")),
+        ["lang", "source", "ka"]).join(full.select("lang", "source", F.col("k").alias("kb"), F.col("tokens").alias("tb")), ["lang", "source", "kb"])
     near = near.withColumn("similarity", F.round(text.jaccard(F.col("ta"), F.col("tb")), 6)).withColumn("both", F.size(F.array_intersect("ta", "tb")))
     near = near.where("5 * both >= 4 * (size(ta) + size(tb) - both)").select("lang", "source", "ka", "kb", "similarity")
     same = kinds.select("lang", "source", F.col("k").alias("ka"), F.col("k").alias("kb"), F.lit(1.0).alias("similarity"))
@@ -104,7 +105,8 @@ def docs_quality_profile(spark, sf):
     upto = counts.withColumn("upto", F.sum("c").over(order)).withColumn("docs", F.sum("c").over(Window.partitionBy("lang")))
     at = lambda p: F.min(F.when(F.col("upto") >= F.least("docs", F.floor(F.col("docs") * p / 100) + 1), F.col("n")))
     share = lambda c: F.round(F.sum(c) / F.sum("c"), 6)
-    return upto.groupBy("lang").agg(F.sum("c").alias("docs"), share("m").alias("multi_line"), share("d").alias("with_digits"), F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 4).alias("mean_chars"), at(90).alias("p90"), at(50).alias("p50"))
+    return upto.groupBy("lang").agg(F.sum("c").alias("docs"), share("m").alias("multi_line"), share("d").alias("with_digits"),
+        F.round(F.sum(F.col("n") * F.col("c")) / F.sum("c"), 4).alias("mean_chars"), at(90).alias("p90"), at(50).alias("p50"))
 
 
 @query("SELECT CASE WHEN n < 50 THEN '0-50' WHEN n < 100 THEN '50-100' WHEN n < 200 THEN '100-200' WHEN n < 400 THEN '200-400' WHEN n < 800 THEN '400-800' WHEN n < 1200 THEN '800-1200' ELSE '1200+' END AS bin, count(*) AS n_docs, min(n) AS least, max(n) AS most FROM (SELECT length(text) AS n FROM documents) WHERE n < 10000 GROUP BY 1")
@@ -225,7 +227,8 @@ def pages_domain_counts(spark, sf):
 @query(r"SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, len(regexp_extract_all(html, '<a href=')) AS links, md5(regexp_replace(regexp_replace(html, '<script>[^<]*</script>', '', 'g'), '<[^>]*>', ' ', 'g')) AS body FROM pages")
 def pages_text(spark, sf):
     bare = F.regexp_replace(F.regexp_replace("html", "<script>[^<]*</script>", ""), "<[^>]*>", " ")
-    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"), F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0))).alias("links"), F.md5(bare).alias("body"))
+    return table(spark, sf, "pages").select("page_id", F.regexp_extract("html", "<title>([^<]*)</title>", 1).alias("title"),
+        F.size(F.regexp_extract_all("html", F.lit("<a href="), F.lit(0))).alias("links"), F.md5(bare).alias("body"))
 
 
 @query("""WITH r AS (SELECT avg((quality = toxic)::INTEGER) AS po, avg(quality) AS q, avg(toxic) AS t, count(*) AS n FROM labels) SELECT n, round(po, 6) AS agreement, round((po - (q * t + (1 - q) * (1 - t))) / (1 - (q * t + (1 - q) * (1 - t))), 6) AS kappa FROM r""")

@@ -53,7 +53,8 @@ FROM (SELECT user_id, sum(n) FILTER (w >= DATE '2024-01-15')::BIGINT AS r, coale
 def events_user_trend(spark, sf):
     weekly = _events(spark, sf).groupBy("user_id", F.to_date(F.date_trunc("week", "ts")).alias("w")).agg(F.count("*").alias("n"))
     late = F.col("w") >= F.lit("2024-01-15").cast("date")
-    users = weekly.groupBy("user_id").agg(F.sum(F.when(late, F.col("n")).otherwise(0)).alias("recent"), F.sum(F.when(~late, F.col("n")).otherwise(0)).alias("prior"), F.max_by("w", F.struct("n", "w")).alias("peak_week"))
+    users = weekly.groupBy("user_id").agg(F.sum(F.when(late, F.col("n")).otherwise(0)).alias("recent"),
+        F.sum(F.when(~late, F.col("n")).otherwise(0)).alias("prior"), F.max_by("w", F.struct("n", "w")).alias("peak_week"))
     trend = (
         F.when((F.col("prior") > 0) & (F.col("recent") == 0), "abandoned")
         .when(F.col("recent") >= 2 * F.greatest("prior", F.lit(1)), "surging")
@@ -76,7 +77,8 @@ def events_category_examples(spark, sf):
 @query("""SELECT dimension, label, n FROM (SELECT *, row_number() OVER (PARTITION BY dimension ORDER BY n DESC, label) AS rk FROM (
   SELECT 'type' AS dimension, event_type AS label, count(*) AS n FROM events GROUP BY 2 UNION ALL SELECT 'user', user_id::VARCHAR, count(*) FROM events GROUP BY 2 UNION ALL SELECT 'hour', strftime(ts, '%H'), count(*) FROM events GROUP BY 2)) WHERE rk <= 12""")
 def events_focus_ranking(spark, sf):
-    dims = _events(spark, sf).select(F.explode(F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("hour"), F.date_format("ts", "HH"))).alias("dimension", "label"))
+    dims = _events(spark, sf).select(F.explode(F.create_map(F.lit("type"), F.col("event_type"), F.lit("user"), F.col("user_id").cast("string"), F.lit("hour"),
+        F.date_format("ts", "HH"))).alias("dimension", "label"))
     counts = dims.groupBy("dimension", "label").agg(F.count("*").alias("n"))
     return relational.top_per_group(counts, "dimension", 12, F.desc("n"), F.col("label")).drop("rank")
 
@@ -141,7 +143,8 @@ def events_json_props(spark, sf):
 
 @query("SELECT event_id, sha256(event_id::VARCHAR || '|' || user_id::VARCHAR || '|' || event_type) AS record_id, substr(sha1(least(event_id, user_id)::VARCHAR || '|' || greatest(event_id, user_id)::VARCHAR), 1, 16) AS pair_id FROM events")
 def events_ids(spark, sf):
-    return _events(spark, sf).select("event_id", text.record_id(F.col("event_id"), F.col("user_id"), F.col("event_type")).alias("record_id"), text.pair_id(F.col("event_id"), F.col("user_id")).alias("pair_id"))
+    return _events(spark, sf).select("event_id", text.record_id(F.col("event_id"), F.col("user_id"), F.col("event_type")).alias("record_id"),
+        text.pair_id(F.col("event_id"), F.col("user_id")).alias("pair_id"))
 
 
 @query("""WITH j AS (SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, md5(event_id::VARCHAR || event_type) AS sum FROM events),
@@ -153,7 +156,8 @@ def events_chain_verify(spark, sf):
     log = _events(spark, sf).select("user_id", F.row_number().over(order).alias("seq"), F.md5(F.concat(F.col("event_id").cast("string"), "event_type")).alias("sum"))
     log = log.withColumn("prev", F.lag("sum").over(Window.partitionBy("user_id").orderBy("seq")))
     head = F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "sum"))), lambda x: x["sum"]), ""))
-    return log.groupBy("user_id").agg(F.count("*").alias("n"), F.bool_and((F.col("seq") == 1) | F.col("prev").isNotNull()).alias("linked"), (F.max("seq") == F.count("*")).alias("gapless"), head.alias("head"))
+    return log.groupBy("user_id").agg(F.count("*").alias("n"), F.bool_and((F.col("seq") == 1) | F.col("prev").isNotNull()).alias("linked"),
+        (F.max("seq") == F.count("*")).alias("gapless"), head.alias("head"))
 
 
 @query("""SELECT event_type AS state, prev, count(*) AS n, CASE WHEN prev IS NULL THEN event_type = 'signup' WHEN prev = 'purchase' THEN event_type IN ('view', 'click') WHEN prev = 'error' THEN event_type <> 'purchase' ELSE true END AS legal
@@ -162,7 +166,8 @@ def events_transitions(spark, sf):
     """Counts of state transitions against a table of the legal ones."""
     prev = F.lag("event_type").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
     rows = _events(spark, sf).select(F.col("event_type").alias("state"), prev.alias("prev"))
-    legal = F.when(F.col("prev").isNull(), F.col("state") == "signup").when(F.col("prev") == "purchase", F.col("state").isin("view", "click")).when(F.col("prev") == "error", F.col("state") != "purchase").otherwise(F.lit(True))
+    legal = F.when(F.col("prev").isNull(), F.col("state") == "signup").when(F.col("prev") == "purchase",
+        F.col("state").isin("view", "click")).when(F.col("prev") == "error", F.col("state") != "purchase").otherwise(F.lit(True))
     return rows.groupBy("state", "prev").agg(F.count("*").alias("n")).withColumn("legal", legal)
 
 
@@ -172,7 +177,8 @@ def events_state_asof(spark, sf):
     """The latest state of every user as of a time; different states at that instant are a conflict."""
     known = _events(spark, sf).where("ts <= TIMESTAMP '2024-01-15 00:00:00'")
     last = known.groupBy("user_id").agg(F.max("ts").alias("ts"))
-    kinds = known.join(last, ["user_id", "ts"]).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.countDistinct("event_type").alias("kinds"), F.max_by("event_type", "event_id").alias("event_type"))
+    kinds = known.join(last, ["user_id", "ts"]).groupBy("user_id").agg(F.max("event_id").alias("event_id"), F.countDistinct("event_type").alias("kinds"),
+        F.max_by("event_type", "event_id").alias("event_type"))
     return kinds.select("user_id", "event_id", F.when(F.col("kinds") > 1, "conflict").otherwise(F.col("event_type")).alias("state"))
 
 

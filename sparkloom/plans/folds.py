@@ -64,7 +64,8 @@ SELECT chain, count(*) AS n, min(seq) FILTER (fault IS NOT NULL) AS first_fault,
 def events_chain_faults(spark, sf):
     """Logs of which some entries were lost and some forged, and where each breaks first."""
     order = Window.partitionBy("chain").orderBy("seq")
-    log = _events(spark, sf).select("event_id", F.col("user_id").alias("chain"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), F.md5(F.concat(F.col("event_id").cast("string"), "event_type")).alias("checksum"))
+    log = _events(spark, sf).select("event_id", F.col("user_id").alias("chain"),
+        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).alias("seq"), F.md5(F.concat(F.col("event_id").cast("string"), "event_type")).alias("checksum"))
     previous = F.when(F.col("event_id") % 397 == 5, F.md5(F.lit("forged"))).otherwise(F.lag("checksum", 1, "genesis").over(order))
     return folds.verify_chain(log.withColumn("previous", previous).where("event_id % 401 <> 7"))
 
@@ -84,11 +85,13 @@ def controls_as_of(spark, sf):
     """What a user's controls allow at an instant: suppressions, snoozes that expire, and restores that take a control back."""
     target = F.col("user_id") % 40
     kind = F.col("event_type")
-    operation = F.when(kind == "purchase", "suppress").when(kind == "signup", "restore").when(kind == "click", "snooze").when(kind == "error", "correct").when(F.col("event_id") % 2 == 0, "allow").otherwise("limit_scope")
+    operation = F.when(kind == "purchase", "suppress").when(kind == "signup", "restore").when(kind == "click", "snooze").when(kind == "error",
+        "correct").when(F.col("event_id") % 2 == 0, "allow").otherwise("limit_scope")
     expires = F.when(kind == "click", F.col("ts") + F.expr("INTERVAL 6 HOURS")).when(kind == "view", F.col("ts") + F.expr("INTERVAL 3 DAYS"))
     undoes = F.lag("event_id").over(Window.partitionBy("target").orderBy("ts", "event_id"))
     rows = _events(spark, sf).withColumn("target", target)
-    return folds.controls_as_of(rows.select(F.col("event_id").alias("event"), "target", F.col("ts").alias("at"), operation.alias("operation"), expires.alias("expires"), undoes.alias("undoes")), "2024-01-20 12:00:00")
+    return folds.controls_as_of(rows.select(F.col("event_id").alias("event"), "target", F.col("ts").alias("at"), operation.alias("operation"),
+        expires.alias("expires"), undoes.alias("undoes")), "2024-01-20 12:00:00")
 
 
 DECISIONS = """WITH RECURSIVE l AS (SELECT user_id AS subject, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS seq, CASE WHEN event_id % 3 = 0 THEN 'confirmation' ELSE 'action' END AS kind,
@@ -108,7 +111,9 @@ def decision_history(spark, sf):
     confirmation = pick(F.floor(n / 3) % 5, ("accept", "defer", "accept", "revoke_before_action", "reject"))
     action = pick(n % 5, ("planned", "started", "completed", "abandoned", "not_taken"))
     first = n % 3 == 0
-    log = _events(spark, sf).where("user_id IS NOT NULL").select(F.col("user_id").alias("subject"), F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"), F.when(first, "confirmation").otherwise("action").alias("kind"), F.when(first, confirmation).otherwise(action).alias("value"))
+    log = _events(spark, sf).where("user_id IS NOT NULL").select(F.col("user_id").alias("subject"),
+        F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")).cast("long").alias("seq"),
+        F.when(first, "confirmation").otherwise("action").alias("kind"), F.when(first, confirmation).otherwise(action).alias("value"))
     return folds.decisions(log)
 
 
@@ -146,7 +151,8 @@ def facts_lifecycle(spark, sf):
     parts, suppliers = table(spark, sf, "part"), table(spark, sf, "supplier")
     both = parts.select(F.col("p_partkey").alias("fact"), (F.col("p_partkey") % 50).alias("k")).join(suppliers.select(F.col("s_suppkey").alias("source"), (F.col("s_suppkey") % 50).alias("k")), "k")
     seen = F.date_add(F.lit("2024-01-01").cast("date"), ((F.col("fact") * 13 + F.col("source") * 29) % 200).cast("int"))
-    rows = both.select("fact", "source", F.concat(F.lit("r"), ((F.col("fact") * 7 + F.col("source")) % 5).cast("string")).alias("state"), seen.alias("seen"), (30 + F.col("source") % 60).cast("int").alias("days")).where("seen <= DATE '2024-06-01'")
+    rows = both.select("fact", "source", F.concat(F.lit("r"), ((F.col("fact") * 7 + F.col("source")) % 5).cast("string")).alias("state"), seen.alias("seen"),
+        (30 + F.col("source") % 60).cast("int").alias("days")).where("seen <= DATE '2024-06-01'")
     versions = rows.groupBy("fact").agg(F.max(F.struct("seen", "source", "state", "days")).alias("last"), F.count("*").alias("versions"))
     disputed = rows.join(versions.select("fact", F.col("last.seen").alias("seen")), ["fact", "seen"]).groupBy("fact").agg(F.countDistinct("state").alias("states"))
     lifecycle = F.when(F.date_add("last.seen", F.col("last.days")) < F.lit("2024-06-01").cast("date"), "expired").when(F.col("states") > 1, "conflict").otherwise("current")

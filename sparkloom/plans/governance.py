@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import predicates, text
@@ -20,7 +20,8 @@ SELECT (SELECT count(*) FROM el) AS eligible, (SELECT count(*) FROM ix) AS actua
 def index_residue(spark, sf):
     """An index held against the units it should serve: missing, orphaned, doubled, and left over from what is no longer served. One full join."""
     n = F.col("doc_id")
-    units = table(spark, sf, "documents").select(n.alias("id"), F.when(n % 17 == 0, "deleted").when(n % 19 == 0, "deprecated").otherwise("current").alias("lifecycle"), F.when(n % 23 == 0, "staging").otherwise("current").alias("status"))
+    units = table(spark, sf, "documents").select(n.alias("id"),
+        F.when(n % 17 == 0, "deleted").when(n % 19 == 0, "deprecated").otherwise("current").alias("lifecycle"), F.when(n % 23 == 0, "staging").otherwise("current").alias("status"))
     ids = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     copies = F.filter(F.array(F.when(F.col("id") % 29 != 0, F.col("id")), F.when(F.col("id") % 31 == 0, F.col("id")), F.when(F.col("id") % 37 == 0, F.col("id") + 1000000000)), lambda x: x.isNotNull())
     indexed = ids.select(F.explode(copies).alias("id")).groupBy("id").agg(F.count("*").alias("n"))
@@ -93,9 +94,11 @@ def row_predicates(spark, sf):
     """Which names are noise, real projects, faithful though short, or restricted, and what of each row is embedded."""
     key, name = F.col("p_partkey"), F.col("p_name")
     mark = F.concat("p_brand", F.when(key % 5 == 0, "a1b2c3d4e5f6").when(key % 5 == 1, ".json").otherwise(""))
-    project = F.when(key % 6 == 0, F.concat(F.lit("skill_"), key.cast("string"))).when(key % 6 == 1, F.lit("src/")).when(key % 6 == 2, key.cast("string")).when(key % 6 == 3, F.concat(name, F.lit("."))).when(key % 6 == 4, F.lit("x")).otherwise(F.concat(name, F.lit("\\")))
+    project = F.when(key % 6 == 0, F.concat(F.lit("skill_"), key.cast("string"))).when(key % 6 == 1, F.lit("src/")).when(key % 6 == 2,
+        key.cast("string")).when(key % 6 == 3, F.concat(name, F.lit("."))).when(key % 6 == 4, F.lit("x")).otherwise(F.concat(name, F.lit("\\")))
     return table(spark, sf, "part").select(
-        "p_partkey", predicates.is_noise(F.split_part(name, F.lit(" "), F.lit(1))).alias("noise_word"), predicates.is_noise(mark).alias("noise_mark"), predicates.is_project_name(project).alias("project_name"), predicates.is_faithful_short(name).alias("faithful_short"),
+        "p_partkey", predicates.is_noise(F.split_part(name, F.lit(" "), F.lit(1))).alias("noise_word"), predicates.is_noise(mark).alias("noise_mark"),
+            predicates.is_project_name(project).alias("project_name"), predicates.is_faithful_short(name).alias("faithful_short"),
         predicates.is_restricted(F.col("p_brand"), F.col("p_type"), ("Brand#7",), ("PROMO",)).alias("restricted"), predicates.vectorizable(name, F.col("p_type"), F.col("p_brand"), 10).alias("embed"),
     )
 
@@ -118,7 +121,8 @@ SELECT subject, CASE WHEN n < 3 THEN 'insufficient_evidence' WHEN kinds > 4 THEN
 def recommendation_rule(spark, sf):
     """The first of seven reasons to abstain from a recommendation, or that it may be made."""
     facts = table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("subject")).agg(
-        F.count("*").alias("n"), F.countDistinct(F.substring("o_orderpriority", 1, 1)).alias("kinds"), F.countDistinct(F.year("o_orderdate")).alias("snapshots"), F.datediff(F.lit("1998-12-01").cast("date"), F.max("o_orderdate")).alias("age"),
+        F.count("*").alias("n"), F.countDistinct(F.substring("o_orderpriority", 1, 1)).alias("kinds"),
+            F.countDistinct(F.year("o_orderdate")).alias("snapshots"), F.datediff(F.lit("1998-12-01").cast("date"), F.max("o_orderdate")).alias("age"),
         (F.countDistinct("o_orderstatus") > 2).alias("conflicting"), F.avg("o_totalprice").alias("mean"), F.bool_or(F.col("o_orderkey") % 37 == 0).alias("contra"),
     )
     verdict = (
@@ -140,8 +144,10 @@ list_filter([CASE WHEN seen < TIMESTAMP '2024-01-28' THEN 'window_incomplete' EN
 def outcome_assessment(spark, sf):
     """Whether each last observation meets its target, higher, lower or equal; inconclusive where something speaks against judging."""
     at = F.struct("ts", "event_id")
-    seen = table(spark, sf, "events").groupBy("user_id").agg(F.max_by("value", at).alias("value"), F.max("ts").alias("seen"), F.bool_or(F.col("event_type") == "error").alias("c"), F.count("*").alias("n"))
-    reasons = F.array_compact(F.array(F.when(F.col("seen") < F.lit("2024-01-28").cast("timestamp_ntz"), "window_incomplete"), F.when(F.col("value").isNull(), "metric_missing"), F.when(F.col("c") & (F.col("n") < 50), "confounded")))
+    seen = table(spark, sf, "events").groupBy("user_id").agg(F.max_by("value", at).alias("value"), F.max("ts").alias("seen"),
+        F.bool_or(F.col("event_type") == "error").alias("c"), F.count("*").alias("n"))
+    reasons = F.array_compact(F.array(F.when(F.col("seen") < F.lit("2024-01-28").cast("timestamp_ntz"), "window_incomplete"),
+        F.when(F.col("value").isNull(), "metric_missing"), F.when(F.col("c") & (F.col("n") < 50), "confounded")))
     met = F.when(F.col("user_id") % 3 == 0, F.col("value") >= 10).when(F.col("user_id") % 3 == 1, F.col("value") <= 30).otherwise(F.col("value") == 15)
     return seen.select("user_id", F.when(F.size(reasons) > 0, "inconclusive").when(met, "pass").otherwise("fail").alias("status"), reasons.alias("reasons"))
 
@@ -150,9 +156,9 @@ def outcome_assessment(spark, sf):
 SELECT source, doc_id, n_chars FROM (SELECT *, greatest(n // 20, 1) AS step FROM s) WHERE i % step = 0 AND i // step < 20""")
 def sources_even_sample(spark, sf):
     """Up to 20 documents of each source in even strides."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    sizes = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"))
-    rows = table(spark, sf, "documents").select("source", "doc_id", "n_chars", (F.row_number().over(order) - 1).alias("i")).join(sizes, "source")
+    docs = table(spark, sf, "documents").select("source", "doc_id", "n_chars")
+    sizes = docs.groupBy("source").agg(F.count("*").alias("n"))
+    rows = relational.ranked(docs, "source", "doc_id").withColumn("i", F.col("rank") - 1).join(sizes, "source")
     step = F.greatest(F.floor(F.col("n") / 20), F.lit(1))
     return rows.where((F.col("i") % step == 0) & (F.floor(F.col("i") / step) < 20)).select("source", "doc_id", "n_chars")
 
@@ -163,7 +169,8 @@ def events_sealed(spark, sf):
     """Objects with the values under sensitive keys sealed by fingerprint; ids and digests stay as they are."""
     n = F.col("event_id").cast("string")
     token = F.when(F.col("event_id") % 2 == 0, F.lit("null")).otherwise(F.concat(F.lit("t"), n))
-    pairs = F.create_map(F.lit("password"), F.concat(F.lit("p"), n), F.lit("user_id"), F.col("user_id").cast("string"), F.lit("Api_Key"), F.col("event_type"), F.lit("token"), token, F.lit("note"), F.lit("free"), F.lit("row_hash"), F.md5(n))
+    pairs = F.create_map(F.lit("password"), F.concat(F.lit("p"), n), F.lit("user_id"), F.col("user_id").cast("string"), F.lit("Api_Key"), F.col("event_type"),
+        F.lit("token"), token, F.lit("note"), F.lit("free"), F.lit("row_hash"), F.md5(n))
     rows = table(spark, sf, "events").where("user_id IS NOT NULL AND value IS NOT NULL").select("event_id", predicates.sealed_json(pairs).alias("m"))
     return rows.select("event_id", *[F.col("m")[k].alias(k.lower()) for k in ("password", "user_id", "Api_Key", "token", "note", "row_hash")])
 
@@ -172,8 +179,11 @@ def events_sealed(spark, sf):
 SELECT source, n, CASE WHEN n = 0 THEN 'generation_absent' WHEN ids <> n THEN 'integrity_or_fk' WHEN chars % 2 = 1 AND source = 'src4' THEN 'dataset_digest_mismatch' WHEN unprovenanced > 0 OR infidel > 0 THEN 'unprovenanced_or_invalid_fidelity' END AS failure, NOT (ids <> n OR chars % 2 = 1 AND source = 'src4' OR unprovenanced > 0 OR infidel > 0) AS ok FROM m""")
 def generation_gate(spark, sf):
     """Whether each source's generation may be activated: ids unique, digest as expected, all rows with provenance and as long as they say."""
-    facts = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"), F.count_if(F.col("lang").isNull() | F.col("source").isNull()).alias("loose"), F.count_if(F.col("n_chars") != F.char_length("text")).alias("wrong"), F.sum("n_chars").alias("chars"))
-    failure = F.when(F.col("n") == 0, "generation_absent").when(F.col("ids") != F.col("n"), "integrity_or_fk").when((F.col("chars") % 2 == 1) & (F.col("source") == "src4"), "dataset_digest_mismatch").when((F.col("loose") > 0) | (F.col("wrong") > 0), "unprovenanced_or_invalid_fidelity")
+    facts = table(spark, sf, "documents").groupBy("source").agg(F.count("*").alias("n"), F.countDistinct("doc_id").alias("ids"),
+        F.count_if(F.col("lang").isNull() | F.col("source").isNull()).alias("loose"), F.count_if(F.col("n_chars") != F.char_length("text")).alias("wrong"), F.sum("n_chars").alias("chars"))
+    failure = F.when(F.col("n") == 0, "generation_absent").when(F.col("ids") != F.col("n"),
+        "integrity_or_fk").when((F.col("chars") % 2 == 1) & (F.col("source") == "src4"),
+        "dataset_digest_mismatch").when((F.col("loose") > 0) | (F.col("wrong") > 0), "unprovenanced_or_invalid_fidelity")
     return facts.select("source", "n", failure.alias("failure"), failure.isNull().alias("ok"))
 
 
@@ -183,7 +193,8 @@ def snapshot_policy(spark, sf):
     """The first rule that forbids to use an external snapshot: conflicts, retracted members, watermarks, region, expiry."""
     n, day = F.col("s_suppkey"), F.lit("2024-04-01").cast("date")
     facts = table(spark, sf, "supplier").join(table(spark, sf, "nation"), F.col("n_nationkey") == F.col("s_nationkey")).select(
-        F.col("s_nationkey").alias("snapshot"), F.when(n % 41 == 0, "conflict").when(n % 43 == 0, "retracted").otherwise("current").alias("lifecycle"), F.when(n % 47 == 0, F.lit("x")).otherwise(F.col("n_name")).alias("region"), "n_name",
+        F.col("s_nationkey").alias("snapshot"), F.when(n % 41 == 0, "conflict").when(n % 43 == 0, "retracted").otherwise("current").alias("lifecycle"),
+            F.when(n % 47 == 0, F.lit("x")).otherwise(F.col("n_name")).alias("region"), "n_name",
         F.date_add(F.lit("2024-01-01").cast("date"), (n % 90).cast("int")).alias("ingested"), F.date_add(F.lit("2024-03-01").cast("date"), (n % 300).cast("int")).alias("valid_to"),
     )
     failure = (
@@ -246,7 +257,8 @@ def consumer_checkpoints(spark, sf):
 def subject_history(spark, sf):
     """All versions of every subject in order, of any lifecycle, with what they add up to."""
     order = Window.partitionBy("l_partkey").orderBy("l_shipdate", "l_orderkey", "l_linenumber")
-    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_orderkey").alias("version"), F.row_number().over(order).alias("n"), F.col("l_linestatus").alias("lifecycle"), F.round(F.sum("l_quantity").over(order.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("upto"))
+    return table(spark, sf, "lineitem").select(F.col("l_partkey").alias("subject"), F.col("l_orderkey").alias("version"), F.row_number().over(order).alias("n"),
+        F.col("l_linestatus").alias("lifecycle"), F.round(F.sum("l_quantity").over(order.rowsBetween(Window.unboundedPreceding, 0)), 2).alias("upto"))
 
 
 @query(r"""WITH q AS (SELECT item_id, trim(text) AS quote FROM benchmark WHERE length(trim(text)) >= 10), w AS (SELECT item_id, quote, unnest(list_distinct(list_transform(range(1, greatest(length(quote) - 8, 2)), lambda i: substr(quote, i, 10)))) AS g FROM q),
@@ -259,18 +271,37 @@ def best_supporting_document(spark, sf):
     grams = lambda t: F.array_distinct(F.transform(text.windows(t, 10), lambda w: F.xxhash64(w)))
     quotes = table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("quote")).where(F.char_length("quote") >= 10)
     docs = table(spark, sf, "documents").select("doc_id", "text")
-    held = docs.where(F.char_length("text") >= 10).select("doc_id", F.explode(grams(F.col("text"))).alias("g")).join(quotes.select("item_id", F.explode(grams(F.col("quote"))).alias("g")), "g").select("item_id", "doc_id").distinct()
+    held = docs.where(F.char_length("text") >= 10).select("doc_id",
+        F.explode(grams(F.col("text"))).alias("g")).join(quotes.select("item_id", F.explode(grams(F.col("quote"))).alias("g")), "g").select("item_id", "doc_id").distinct()
     exact = F.when(F.contains("text", F.col("quote")), 2).otherwise(1)
     rows = held.join(docs, "doc_id").join(quotes, "item_id").select("item_id", "doc_id", exact.alias("exact"), F.char_length("text").alias("n"))
     return rows.groupBy("item_id").agg(F.max_by("doc_id", F.struct("exact", "n", "doc_id")).alias("best"), F.max("exact").alias("strength"), F.count("*").alias("supporters"))
 
 
-@query(r"""WITH g AS (SELECT doc_id, lang, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before, text FROM documents), n AS (SELECT doc_id, before IS NOT NULL AS has, list_distinct(list_transform(range(1, greatest(length(regexp_replace(lower(substr(text, 1, 400)), '[ \t\n\x0b\f\r]+', '', 'g')) - 2, 2)), lambda i: substr(regexp_replace(lower(substr(text, 1, 400)), '[ \t\n\x0b\f\r]+', '', 'g'), i, 4))) AS a,
+_LIKENESS = r"""WITH g AS (SELECT doc_id, lang, lag(text) OVER (PARTITION BY source ORDER BY doc_id) AS before, text FROM documents), n AS (SELECT doc_id, before IS NOT NULL AS has, list_distinct(list_transform(range(1, greatest(length(regexp_replace(lower(substr(text, 1, 400)), '[ \t\n\x0b\f\r]+', '', 'g')) - 2, 2)), lambda i: substr(regexp_replace(lower(substr(text, 1, 400)), '[ \t\n\x0b\f\r]+', '', 'g'), i, 4))) AS a,
 list_distinct(list_transform(range(1, greatest(length(regexp_replace(lower(substr(coalesce(before, ''), 1, 400)), '[ \t\n\x0b\f\r]+', '', 'g')) - 2, 2)), lambda i: substr(regexp_replace(lower(substr(coalesce(before, ''), 1, 400)), '[ \t\n\x0b\f\r]+', '', 'g'), i, 4))) AS b FROM g)
-SELECT doc_id, round(CASE WHEN NOT has THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 6) AS likeness FROM n""")
-def openings_gram_jaccard(spark, sf):
-    """How like each document's opening of 400 characters is to that of the one before it in its source, by 4-grams of letters."""
-    order = Window.partitionBy("source").orderBy("doc_id")
-    rows = table(spark, sf, "documents").select("doc_id", "source", F.lower(F.substring("text", 1, 400)).alias("t")).withColumn("before", F.lag("t").over(order))
+SELECT doc_id, round(CASE WHEN NOT has THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 6) AS likeness FROM n"""
+
+
+def _likeness(docs: DataFrame) -> DataFrame:
+    """How like each text is to that of the document before it in its source, by 4-grams of letters; by rank, so no task holds a source."""
+    placed = relational.ranked(docs, "source", "doc_id")
+    before = placed.select("source", (F.col("rank") + 1).alias("rank"), F.col("t").alias("before"))
+    rows = placed.join(before, ["source", "rank"], "left")
     gram = lambda c: text.char_grams(F.coalesce(c, F.lit("")))
     return rows.select("doc_id", F.round(F.when(F.col("before").isNull(), F.lit(0.0)).otherwise(text.jaccard(gram(F.col("t")), gram(F.col("before")))), 6).alias("likeness"))
+
+
+@query(_LIKENESS)
+def openings_gram_jaccard(spark, sf):
+    """How like the openings of 400 characters of neighbouring documents are."""
+    return _likeness(table(spark, sf, "documents").select("doc_id", "source", F.lower(F.substring("text", 1, 400)).alias("t")))
+
+
+@query(r"""WITH s AS (SELECT doc_id, source, regexp_replace(lower(coalesce(text, '')), '[ \t\n\x0b\f\r]+', '', 'g') AS s FROM documents),
+g AS (SELECT doc_id, source, list_distinct(list_transform(range(1, greatest(length(s) - 2, 2)), lambda i: substr(s, i, 4))) AS a FROM s),
+n AS (SELECT doc_id, a, lag(a) OVER (PARTITION BY source ORDER BY doc_id) AS b FROM g)
+SELECT doc_id, round(CASE WHEN b IS NULL THEN 0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b)))::DOUBLE END, 6) AS likeness FROM n""")
+def texts_gram_jaccard(spark, sf):
+    """How like the whole texts of neighbouring documents are."""
+    return _likeness(table(spark, sf, "documents").select("doc_id", "source", F.lower(F.coalesce("text", F.lit(""))).alias("t")))

@@ -77,6 +77,7 @@ def graph_copy_components(spark, sf):
 @query("""SELECT s.s_suppkey AS id, s.s_nationkey AS nation, count(DISTINCT l.l_orderkey) AS orders, count(DISTINCT o.o_custkey) AS customers FROM supplier s LEFT JOIN lineitem l ON l.l_suppkey = s.s_suppkey LEFT JOIN orders o ON o.o_orderkey = l.l_orderkey GROUP BY ALL""")
 def graph_supplier_views(spark, sf):
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_orderkey")
-    reach = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"), "left").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("o_custkey").alias("customers"))
+    reach = lines.join(table(spark, sf, "orders").select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey"),
+        "left").groupBy("l_suppkey").agg(F.countDistinct("l_orderkey").alias("orders"), F.countDistinct("o_custkey").alias("customers"))
     rows = table(spark, sf, "supplier").join(reach, F.col("s_suppkey") == F.col("l_suppkey"), "left")
     return rows.select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation"), F.coalesce("orders", F.lit(0)).alias("orders"), F.coalesce("customers", F.lit(0)).alias("customers"))

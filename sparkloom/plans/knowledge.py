@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from sparkloom.functions import sealing
-from sparkloom.operators import canonical, incremental, manifests, noise, sequences
+from sparkloom.operators import canonical, coordination, gates, incremental, manifests, noise, sequences
 from sparkloom.registry import query
 from sparkloom.sources.shared import materialize, shared_dir
 from sparkloom.sources.tables import table
@@ -82,7 +82,8 @@ def customers_sealed_json(spark, sf):
     orders = table(spark, sf, "orders").select("o_custkey", "o_orderkey", "o_totalprice")
     rows = table(spark, sf, "customer").select("c_custkey", "c_name").join(orders, F.col("c_custkey") == F.col("o_custkey"))
     note = F.concat(F.lit("order "), F.col("o_orderkey").cast("string"), F.lit(" of "), F.col("c_name"))
-    inner = F.struct(F.struct(F.col("o_orderkey").cast("string").alias("order_id"), F.array(F.col("c_name")).alias("email"), note.alias("note")).alias("order"), F.array(F.struct(F.concat(F.col("c_name"), F.lit("!")).alias("access_token"))).alias("sessions"))
+    inner = F.struct(F.struct(F.col("o_orderkey").cast("string").alias("order_id"), F.array(F.col("c_name")).alias("email"), note.alias("note")).alias("order"),
+        F.array(F.struct(F.concat(F.col("c_name"), F.lit("!")).alias("access_token"))).alias("sessions"))
     sealed = rows.select("c_custkey", "o_orderkey", sealing.sealed_json(F.to_json(inner)).alias("s"))
     ids = F.get_json_object("s.text", "$.order.order_id") == F.col("o_orderkey").cast("string")
     hidden = F.get_json_object("s.text", "$.order.email[0]").startswith("[PRIVACY:field-secret:") & F.get_json_object("s.text", "$.sessions[0].access_token").startswith("[PRIVACY:field-secret:")
@@ -95,7 +96,8 @@ def _units(spark: SparkSession, sf: str) -> DataFrame:
     rows = _docs(spark, sf).join(labels, "doc_id", "left")
     lifecycle = F.when(F.col("toxic") == 1, "conflict").when(F.col("quality") == 0, "deprecated").otherwise("current")
     confidence = F.round(F.least(F.lit(0.95), F.lit(0.4) + F.col("n_chars") / F.lit(10000.0)), 4)
-    return rows.select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), F.lit("document").alias("kind"), F.lit("user").alias("scope"), lifecycle.alias("lifecycle"), F.lit("").alias("question"), F.coalesce("text", F.lit("")).alias("answer"), confidence.alias("confidence"))
+    return rows.select(F.col("doc_id").alias("id"), F.col("lang").alias("subject"), F.lit("document").alias("kind"), F.lit("user").alias("scope"),
+        lifecycle.alias("lifecycle"), F.lit("").alias("question"), F.coalesce("text", F.lit("")).alias("answer"), confidence.alias("confidence"))
 
 
 _LEADERS = r"""
@@ -200,7 +202,8 @@ def notices_evaluated(spark, sf):
     """Orders as candidates for notices: who is vetoed, late, weak, repeated or cooling down, and whom the budgets let through."""
     lines, orders, customer = (table(spark, sf, n) for n in ("lineitem", "orders", "customer"))
     share = lambda c: F.count_if(c) / F.count("*")
-    per = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), share(F.col("l_returnflag") == "R").alias("goal_impact"), share(F.col("l_discount") > 0.05).alias("outcome_signal"), F.countDistinct("l_suppkey").alias("suppliers"))
+    per = lines.groupBy("l_orderkey").agg(F.count("*").alias("n"), share(F.col("l_returnflag") == "R").alias("goal_impact"),
+        share(F.col("l_discount") > 0.05).alias("outcome_signal"), F.countDistinct("l_suppkey").alias("suppliers"))
     rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(per, F.col("o_orderkey") == F.col("l_orderkey"))
     level = F.substring("o_orderpriority", 1, 1)
     first = F.row_number().over(Window.partitionBy("o_custkey", "o_orderpriority").orderBy("o_orderdate", "o_orderkey")) == 1
@@ -224,7 +227,8 @@ def notices_evaluated(spark, sf):
         (F.col("n") >= 2).alias("evidence_eligible"),
         (F.col("c_mktsegment") != "MACHINERY").alias("trust_eligible"),
     )
-    shown = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("string").alias("key"), F.when(F.col("l_returnflag") == "N", "dismissed").otherwise("presented").alias("event_type"), F.col("l_shipdate").cast("timestamp").alias("at"))
+    shown = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select(F.col("o_custkey").cast("string").alias("key"),
+        F.when(F.col("l_returnflag") == "N", "dismissed").otherwise("presented").alias("event_type"), F.col("l_shipdate").cast("timestamp").alias("at"))
     judged = noise.evaluate(materialize(candidates.withColumn("score", noise.importance())), shown, noise.Context(_AS_OF), _POLICY)
     return judged.select("id", "result", F.array_join("reasons", ",").alias("reasons"))
 
@@ -289,7 +293,8 @@ def manifests_applied(spark, sf):
     ledger.start(rows.select(id_.alias("unit_id"), F.lit("current").alias("lifecycle"), F.lit(1).cast("long").alias("version"), none.alias("supersedes"), none.alias("question"), none.alias("answer")))
 
     def manifest(name: str, chosen: DataFrame, action: str, target=none) -> DataFrame:
-        head = [F.lit(name).alias("manifest_id"), F.col("doc_id").cast("int").alias("ordinal"), id_.alias("unit_id"), F.lit(action).alias("action"), F.lit(1).cast("long").alias("expected_version"), F.lit("current").alias("expected_lifecycle")]
+        head = [F.lit(name).alias("manifest_id"), F.col("doc_id").cast("int").alias("ordinal"), id_.alias("unit_id"), F.lit(action).alias("action"),
+            F.lit(1).cast("long").alias("expected_version"), F.lit("current").alias("expected_lifecycle")]
         tail = [F.lit("reviewed").alias("reason"), F.array(id_).alias("evidence"), none.alias("question"), none.alias("answer"), F.lit("approve").alias("decision")]
         return materialize(chosen.select(*head, target.alias("target"), *tail))
 
@@ -390,3 +395,124 @@ def pages_longest_suffix(spark, sf):
     left, right = (rows.where(F.col("page_id") % 2 == k).withColumnRenamed("page_id", c) for k, c in ((0, "left"), (1, "right")))
     found = sequences.longest_suffix(left, right)
     return found.select(F.col("left").alias("page_id"), F.col("right").alias("match"), F.col("n").cast("long").alias("n"), "ties")
+
+
+@query("""
+WITH l AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+r AS (SELECT source, CASE WHEN toxic = 1 THEN 'wrong' WHEN quality = 0 THEN 'missing' WHEN quality = 1 THEN 'helpful' END AS label, CASE WHEN lang = 'en' THEN 'knowledge' ELSE 'fallback_raw' END AS route, n_chars / 10.0::DOUBLE AS latency
+  FROM documents JOIN l USING (doc_id)),
+o AS (SELECT *, row_number() OVER (PARTITION BY source ORDER BY latency) - 1 AS i, count(*) OVER (PARTITION BY source) AS n FROM r),
+g AS (SELECT source, count(*) AS total, count(*) FILTER (label = 'helpful') AS helpful, count(*) FILTER (label = 'wrong') AS wrong, count(*) FILTER (label = 'stale') AS stale, count(*) FILTER (label = 'missing') AS missing,
+  count(*) FILTER (label IS NULL) AS unlabelled, count(*) FILTER (route = 'fallback_raw') AS fallback, max(latency) FILTER (i = n * 95 // 100) AS p95 FROM o GROUP BY source)
+SELECT *, round(helpful / total, 4) AS helpful_rate, round(fallback / total, 4) AS fallback_rate,
+  CASE WHEN unlabelled > 0 THEN 'awaiting_labels' WHEN helpful >= 0.8 * total AND wrong + stale = 0 AND fallback <= 0.3 * total AND p95 <= 500 THEN 'PASS' ELSE 'FAIL' END AS status FROM g
+""")
+def canary_gates(spark, sf):
+    """Whether the labelled documents of each source would pass as a canary."""
+    labels = table(spark, sf, "labels").groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
+    label = F.when(F.col("toxic") == 1, "wrong").when(F.col("quality") == 0, "missing").when(F.col("quality") == 1, "helpful")
+    rows = _docs(spark, sf).join(labels, "doc_id").select("source", label.alias("label"),
+        F.when(F.col("lang") == "en", "knowledge").otherwise("fallback_raw").alias("route"), (F.col("n_chars") / F.lit(10.0)).alias("latency"))
+    return gates.canary_gates(rows, "source")
+
+
+@query(f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+f AS ({_spans_sql()}), leak AS (SELECT DISTINCT doc_id FROM f),
+u AS (SELECT lang, doc_id, sha256('document|' || lower(trim(coalesce(source, ''))) || '|' || substr(lower(trim(coalesce(text, ''))), 1, 120)) AS key, coalesce(source, '') <> '' AND coalesce(text, '') <> '' AS complete, doc_id IN (FROM leak) AS leaks FROM documents),
+g AS (SELECT lang, count(*) AS units, count(*) AS with_evidence, count(*) FILTER (complete) AS complete, count(*) - count(DISTINCT key) AS repeats, count(*) FILTER (leaks) AS leaks FROM u GROUP BY lang)
+SELECT *, round(with_evidence / units, 4) AS with_evidence_rate, round(complete / units, 4) AS complete_rate, round(repeats / units, 4) AS repeats_rate, round(leaks / units, 4) AS leaks_rate FROM g
+""")
+def units_extraction_quality(spark, sf):
+    """Coverage, completeness, repeats and leaks of documents as units, by language."""
+    none = F.lit("")
+    units = _docs(spark, sf).select("lang", F.lit("document").alias("unit_type"), F.col("source").alias("subject"), none.alias("question"),
+        F.col("text").alias("answer"), F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("evidence"))
+    return gates.extraction_quality(units, "lang")
+
+
+_TRENDS = """
+WITH s AS (SELECT user_id, event_type, value, value - lag(value) OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS step, ts, event_id FROM events),
+t AS (SELECT user_id, event_type, count(*) AS samples, arg_max(value, struct_pack(t := ts, e := event_id)) - arg_min(value, struct_pack(t := ts, e := event_id)) AS change, count(*) FILTER (step > 0) AS ups, count(*) FILTER (step < 0) AS downs FROM s GROUP BY ALL),
+d AS (SELECT *, CASE event_type WHEN 'error' THEN 'constraint' WHEN 'purchase' THEN 'goal' ELSE 'other' END AS kind, CASE WHEN change > 0 THEN 'up' WHEN change < 0 THEN 'down' ELSE 'flat' END AS direction FROM t),
+c AS (SELECT *, round(coalesce(CASE direction WHEN 'up' THEN ups WHEN 'down' THEN downs ELSE 0 END / nullif(samples - 1, 0), 0), 6) AS confidence FROM d),
+r AS (SELECT user_id, event_type, rule, list_filter([CASE WHEN samples < 3 THEN 'insufficient_samples' END, CASE WHEN kind <> want OR direction <> way THEN 'rule_not_matched' END, CASE WHEN samples < 2 THEN 'upstream_trend_uncertain' END, CASE WHEN confidence < 0.6 THEN 'weak_support' END], lambda x: x IS NOT NULL) AS reasons, confidence
+  FROM c, (VALUES ('increasing_constraint_pressure', 'constraint', 'up'), ('decreasing_goal_signal', 'goal', 'down')) AS v(rule, want, way))
+"""
+
+
+@query(_TRENDS + """SELECT user_id, event_type, rule, array_to_string(reasons, ',') AS reasons, CASE WHEN len(reasons) = 0 THEN 'derived' ELSE 'uncertain' END AS status, CASE WHEN len(reasons) = 0 THEN 'medium' END AS severity, CASE WHEN len(reasons) = 0 THEN confidence ELSE 0.0 END AS confidence FROM r""")
+def trends_at_risk(spark, sf):
+    """What each risk rule says of the trend of a user's values of one type; the share of steps that go the trend's way is its confidence."""
+    events, at = table(spark, sf, "events"), F.struct("ts", "event_id")
+    step = F.col("value") - F.lag("value").over(Window.partitionBy("user_id", "event_type").orderBy("ts", "event_id"))
+    per = events.withColumn("step", step).groupBy("user_id", "event_type").agg(
+        F.count("*").alias("samples"), (F.max_by("value", at) - F.min_by("value", at)).alias("change"), F.count_if(F.col("step") > 0).alias("ups"), F.count_if(F.col("step") < 0).alias("downs")
+    )
+    kind = F.when(F.col("event_type") == "error", "constraint").when(F.col("event_type") == "purchase", "goal").otherwise("other")
+    direction = F.when(F.col("change") > 0, "up").when(F.col("change") < 0, "down").otherwise("flat")
+    same = F.when(F.col("change") > 0, F.col("ups")).when(F.col("change") < 0, F.col("downs")).otherwise(0)
+    confidence = F.round(F.coalesce(same / F.nullif(F.col("samples") - 1, F.lit(0)), F.lit(0.0)), 6)
+    trends = per.select("user_id", "event_type", kind.alias("kind"), direction.alias("direction"),
+        F.when(F.col("samples") > 1, "derived").otherwise("uncertain").alias("status"), "samples", F.col("samples").alias("evidence"), confidence.alias("confidence"))
+    judged = None
+    for rule in gates.RISKS:
+        part = gates.risk(trends, rule).withColumn("rule", F.lit(rule))
+        judged = part if judged is None else judged.unionByName(part)
+    return judged.select("user_id", "event_type", "rule", F.array_join("reasons", ",").alias("reasons"), F.col("risk_status").alias("status"), "severity", F.col("risk_confidence").alias("confidence"))
+
+
+_GOALS = """
+WITH q AS (SELECT l_orderkey, round(1 - 4 * avg(l_discount), 6) AS confidence FROM lineitem GROUP BY l_orderkey),
+g0 AS (SELECT o_orderkey AS goal_id, ['career', 'project', 'health', 'finance', 'learning'][substr(o_orderpriority, 1, 1)::INTEGER] AS domain, lower(c_mktsegment || strftime(o_orderdate, ' %Y-%m')) AS target, confidence, o_orderdate AS observed_at,
+  o_orderdate + INTERVAL 120 DAY AS valid_to, o_orderstatus = 'P' AS unresolved, c_acctbal < 0 AS sensitive FROM orders JOIN customer ON o_custkey = c_custkey JOIN q ON l_orderkey = o_orderkey),
+c AS (SELECT l_orderkey * 10 + l_linenumber AS claim_id, l_orderkey AS goal_id, CASE l_returnflag WHEN 'R' THEN 'time' WHEN 'A' THEN 'energy' ELSE 'budget' END AS type, l_suppkey AS resource_id, l_quantity AS amount, l_shipdate AS start, l_shipdate + INTERVAL 3 DAY AS finish, l_linestatus = 'F' AS declared FROM lineitem),
+f AS (SELECT g0.goal_id, coalesce(CASE WHEN observed_at > TIMESTAMP '1998-08-02 12:00:00' THEN 'future_observation' WHEN valid_to <= TIMESTAMP '1998-08-02 12:00:00' THEN 'expired_input' WHEN unresolved THEN 'unresolved_source_conflict'
+  WHEN sensitive OR domain IN ('health', 'finance', 'relationship') AND confidence < 0.75 THEN 'sensitive_or_insufficient' END, CASE WHEN EXISTS (SELECT 1 FROM c WHERE c.goal_id = g0.goal_id AND type = 'budget' AND NOT declared) THEN 'undeclared_financial_resource' END) AS reason FROM g0),
+g AS (SELECT * FROM g0 WHERE goal_id NOT IN (SELECT goal_id FROM f WHERE reason IS NOT NULL)),
+k AS (SELECT a.goal_id AS a, b.goal_id AS b, count(*) AS resources, min(least(x.confidence, y.confidence)) AS confidence FROM c a JOIN c b ON a.type = b.type AND a.resource_id = b.resource_id AND a.goal_id < b.goal_id AND a.start < b.finish AND b.start < a.finish AND a.amount + b.amount > 60
+  JOIN g x ON x.goal_id = a.goal_id JOIN g y ON y.goal_id = b.goal_id GROUP BY ALL)
+"""
+
+
+def _goals(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Orders as goals, their lines as claims on suppliers, and what is wrong with them."""
+    orders, customer, lines = (table(spark, sf, n) for n in ("orders", "customer", "lineitem"))
+    sure = lines.groupBy("l_orderkey").agg(F.round(1 - 4 * F.avg("l_discount"), 6).alias("confidence"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(sure, F.col("o_orderkey") == F.col("l_orderkey"))
+    domain = F.element_at(F.array(*[F.lit(d) for d in ("career", "project", "health", "finance", "learning")]), F.substring("o_orderpriority", 1, 1).cast("int"))
+    one = lambda c: F.lit("1").alias(c)
+    goals = rows.select(
+        F.col("o_orderkey").alias("goal_id"), domain.alias("domain"), F.concat("c_mktsegment", F.date_format("o_orderdate", " yyyy-MM")).alias("target"), "confidence", F.col("o_orderdate").cast("timestamp").alias("observed_at"),
+        (F.col("o_orderdate") + F.expr("INTERVAL 120 DAYS")).cast("timestamp").alias("valid_to"), (F.col("o_orderstatus") == "P").alias("unresolved"), (F.col("c_acctbal") < 0).alias("sensitive"), one("snapshot"), one("run"),
+    )
+    kind = F.when(F.col("l_returnflag") == "R", "time").when(F.col("l_returnflag") == "A", "energy").otherwise("budget")
+    claims = lines.select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("claim_id"), F.col("l_orderkey").alias("goal_id"), kind.alias("type"), F.col("l_suppkey").cast("string").alias("resource_id"), F.lit("pieces").alias("unit"), F.col("l_quantity").alias("amount"),
+        F.lit(60.0).alias("capacity"), F.col("l_shipdate").cast("timestamp").alias("start"), (F.col("l_shipdate") + F.expr("INTERVAL 3 DAYS")).cast("timestamp").alias("end"), (F.col("l_linestatus") == "F").alias("declared"), one("snapshot"), one("run"),
+    )
+    return goals, claims, materialize(coordination.faults(goals, claims, F.lit(noise.instant(_AS_OF))))
+
+
+@query(_GOALS + "SELECT goal_id, reason FROM f WHERE reason IS NOT NULL")
+def goals_abstained(spark, sf):
+    """Goals that can't be coordinated, and why."""
+    return _goals(spark, sf)[2]
+
+
+@query(_GOALS + "SELECT a, b, resources, confidence FROM k")
+def goals_conflicting(spark, sf):
+    """Pairs of goals that want too much of a resource at one time."""
+    goals, claims, wrong = _goals(spark, sf)
+    return coordination.conflicts(goals.join(wrong, "goal_id", "left_anti"), claims, days=3)
+
+
+@query(_GOALS + """, w AS (SELECT target, domain, count(*) AS n, min(goal_id) AS first, min(confidence) AS confidence FROM g GROUP BY ALL),
+t AS (SELECT target, min(first) AS first, sum(n)::BIGINT AS goals, count(*) AS domains, sum(n * n) AS squares, min(confidence) AS confidence FROM w GROUP BY target HAVING count(*) > 1),
+z AS (SELECT x.target, count(*) AS lost FROM k JOIN g x ON x.goal_id = k.a JOIN g y ON y.goal_id = k.b AND x.target = y.target AND x.domain <> y.domain GROUP BY x.target)
+SELECT target, first, goals, domains, ((goals * goals - squares) // 2 - coalesce(lost, 0))::BIGINT AS pairs, confidence FROM t LEFT JOIN z USING (target) WHERE (goals * goals - squares) // 2 > coalesce(lost, 0)""")
+def goals_sharing_targets(spark, sf):
+    """Targets that goals of several domains share, with how many pairs of them don't conflict."""
+    goals, claims, wrong = _goals(spark, sf)
+    usable = materialize(goals.join(wrong, "goal_id", "left_anti"))
+    return coordination.opportunities(usable, coordination.conflicts(usable, claims, days=3)).drop("snapshot", "run")

@@ -26,19 +26,29 @@ def _lines(spark: SparkSession, sf: str) -> DataFrame:
     record = lambda **c: F.to_json(F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in c.items()]))
     text, none = F.col("text"), F.lit(None).cast("string")
     written = {
-        "codex": F.when(user, record(type="turn_context", session_id=s, turn_id=t, timestamp=stamp, prompt=text)).otherwise(record(type="response_item", session_id=s, turn_id=t, item_id=m, role="assistant", content=text, timestamp=stamp)),
-        "copilot": F.when(user, record(type="tool_execution_start", session_id=s, turn_id=t, tool_id=t, name="edit", timestamp=stamp)).otherwise(record(type="tool_execution_complete", session_id=s, turn_id=t, tool_id=t, timestamp=stamp)),
-        "pi": F.when(F.col("turn") == 3, record(type="compaction", conversation_id=s, message_id=m, summary=text, firstKeptEntryId=F.concat(s, F.lit("-m2")), timestamp=stamp)).when(user, record(type="user_message", conversation_id=s, message_id=m, content=text, role="user", timestamp=stamp)).otherwise(record(type="assistant_message", conversation_id=s, message_id=m, content=text, role="assistant", timestamp=stamp)),
-        "kimi": F.when(user, record(type="user_prompt", session_id=s, task_id=t, message_id=m, content=text, timestamp=stamp)).otherwise(record(type="assistant_message", session_id=s, task_id=t, message_id=m, content=text, timestamp=stamp)),
+        "codex": F.when(user, record(type="turn_context", session_id=s, turn_id=t, timestamp=stamp, prompt=text)).otherwise(record(type="response_item",
+            session_id=s, turn_id=t, item_id=m, role="assistant", content=text, timestamp=stamp)),
+        "copilot": F.when(user, record(type="tool_execution_start", session_id=s, turn_id=t, tool_id=t, name="edit",
+            timestamp=stamp)).otherwise(record(type="tool_execution_complete", session_id=s, turn_id=t, tool_id=t, timestamp=stamp)),
+        "pi": F.when(F.col("turn") == 3, record(type="compaction", conversation_id=s, message_id=m, summary=text, firstKeptEntryId=F.concat(s, F.lit("-m2")),
+            timestamp=stamp)).when(user, record(type="user_message", conversation_id=s, message_id=m, content=text, role="user",
+            timestamp=stamp)).otherwise(record(type="assistant_message", conversation_id=s, message_id=m, content=text, role="assistant", timestamp=stamp)),
+        "kimi": F.when(user, record(type="user_prompt", session_id=s, task_id=t, message_id=m, content=text,
+            timestamp=stamp)).otherwise(record(type="assistant_message", session_id=s, task_id=t, message_id=m, content=text, timestamp=stamp)),
         "workbuddy": record(type="message", session_id=s, message_id=m, role=F.col("role"), content=text, timestamp=stamp),
-        "grok": F.when(F.col("turn") == 2, record(type="chat_compaction", chat_id=s, id=m, summary=text, timestamp=stamp)).otherwise(record(type="chat_message", chat_id=s, id=m, role=F.col("role"), text=text, timestamp=stamp)),
-        "blocks": record(type=F.col("role"), uuid=m, parentUuid=F.when(F.col("turn") > 0, F.concat(s, F.lit("-m"), (F.col("turn") - 1).cast("string"))).otherwise(none), sessionId=s, timestamp=stamp, content=F.array(F.struct(F.lit("thinking").alias("type"), F.lit("so").alias("thinking"), none.alias("text")), F.struct(F.lit("text").alias("type"), none.alias("thinking"), text.alias("text")))),
+        "grok": F.when(F.col("turn") == 2, record(type="chat_compaction", chat_id=s, id=m, summary=text, timestamp=stamp)).otherwise(record(type="chat_message",
+            chat_id=s, id=m, role=F.col("role"), text=text, timestamp=stamp)),
+        "blocks": record(type=F.col("role"), uuid=m, parentUuid=F.when(F.col("turn") > 0,
+            F.concat(s, F.lit("-m"), (F.col("turn") - 1).cast("string"))).otherwise(none), sessionId=s, timestamp=stamp,
+            content=F.array(F.struct(F.lit("thinking").alias("type"), F.lit("so").alias("thinking"), none.alias("text")),
+            F.struct(F.lit("text").alias("type"), none.alias("thinking"), text.alias("text")))),
     }
     value = F.coalesce(*[F.when(F.col("family") == n, v) for n, v in written.items()])
     folder = shared_dir(spark)
     log = F.concat_ws("-", "family", (F.col("conv_id") % FILES).cast("string")).alias("log")
     heads = rows.where("family = 'pi'").select(log, "conv_id", F.lit(-1).cast("long").alias("turn"), record(type="conversation", id=s, title="session").alias("value")).distinct()
-    rows.select(log, "conv_id", "turn", value.alias("value")).unionByName(heads).repartition("log").sortWithinPartitions("log", "conv_id", "turn").drop("conv_id", "turn").write.partitionBy("log").text(folder)
+    rows.select(log, "conv_id", "turn", value.alias("value")).unionByName(heads).repartition("log").sortWithinPartitions("log", "conv_id",
+        "turn").drop("conv_id", "turn").write.partitionBy("log").text(folder)
     lines = logs.read_lines(spark, f"{folder}/log=*")
     return lines.withColumn("artifact", F.regexp_extract("artifact", r"log=([^/]+)/", 1))
 
@@ -75,7 +85,8 @@ def _nested_lines(spark: SparkSession, sf: str) -> DataFrame:
     t = F.concat(F.lit("t"), F.floor(F.col("turn") / 2).cast("string"))
     call = F.concat(F.lit("x"), F.col("turn").cast("string"))
     chars = F.char_length("text")
-    record = lambda kind, **payload: F.to_json(F.struct(F.lit(kind).alias("type"), F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in payload.items()]).alias("payload")))
+    record = lambda kind, **payload: F.to_json(F.struct(F.lit(kind).alias("type"),
+        F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(k) for k, v in payload.items()]).alias("payload")))
     blocks = lambda kind, c: F.array(F.struct(F.lit(kind).alias("type"), c.alias("text")))
     role = F.when(F.col("role") == "system", "developer").otherwise(F.col("role"))
     message = record("response_item", type="message", id=F.concat(F.lit("m"), F.col("turn").cast("string")), role=role, content=blocks("input_text", F.col("text")))
@@ -141,7 +152,8 @@ def logs_folders(spark, sf):
     per = rows.groupBy(folder.alias("folder"), "part").agg(F.array_sort(F.collect_list(F.struct("turn", line.alias("line")))).alias("lines"))
     summary = F.to_json(F.struct(F.struct(F.col("folder").alias("id")).alias("info"), F.concat(F.lit("part "), "part").alias("session_summary")))
     file = lambda name, value: F.struct(F.lit(name).alias("name"), value.alias("value"))
-    files = per.select("folder", F.explode(F.array(file("summary.json", summary), file("chat_history.jsonl", F.array_join(F.col("lines.line"), "\n")), file("recap.md", F.lit("recap")), file("subagents.json", F.lit('[{"name": "helper"}]')))).alias("f"))
+    files = per.select("folder", F.explode(F.array(file("summary.json", summary), file("chat_history.jsonl", F.array_join(F.col("lines.line"), "\n")),
+        file("recap.md", F.lit("recap")), file("subagents.json", F.lit('[{"name": "helper"}]')))).alias("f"))
     events = logs.directory_events(files.select("folder", "f.name", "f.value"))
     kinds = events.groupBy("kind").agg(F.count("*").alias("n"), F.countDistinct("session").alias("sessions"), F.sum(F.char_length("text")).alias("chars"))
     related = logs.directory_relations(events).groupBy(F.concat(F.lit("relation:"), "kind").alias("kind")).agg(F.count("*").alias("n"))

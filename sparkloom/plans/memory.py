@@ -18,9 +18,11 @@ UNION ALL SELECT 'skill', 'skill:' || s_suppkey, 's' || s_suppkey % 30, 'n' || s
 
 def _items(spark: SparkSession, sf: str) -> DataFrame:
     """(type, id, subject, subtype, confidence, ref) of every part and supplier."""
-    parts = table(spark, sf, "part").select(F.lit("pref").alias("type"), F.concat(F.lit("pref:"), F.col("p_partkey").cast("string")).alias("id"), F.lower("p_name").alias("subject"), F.col("p_brand").alias("subtype"), F.round(F.col("p_size") / 50, 4).alias("confidence"), (F.col("p_partkey") % 97).alias("ref"))
+    parts = table(spark, sf, "part").select(F.lit("pref").alias("type"), F.concat(F.lit("pref:"), F.col("p_partkey").cast("string")).alias("id"),
+        F.lower("p_name").alias("subject"), F.col("p_brand").alias("subtype"), F.round(F.col("p_size") / 50, 4).alias("confidence"), (F.col("p_partkey") % 97).alias("ref"))
     number = F.col("s_suppkey")
-    suppliers = table(spark, sf, "supplier").select(F.lit("skill"), F.concat(F.lit("skill:"), number.cast("string")), F.concat(F.lit("s"), (number % 30).cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.round(number % 100 / 100, 4), number % 97)
+    suppliers = table(spark, sf, "supplier").select(F.lit("skill"), F.concat(F.lit("skill:"), number.cast("string")),
+        F.concat(F.lit("s"), (number % 30).cast("string")), F.concat(F.lit("n"), F.col("s_nationkey").cast("string")), F.round(number % 100 / 100, 4), number % 97)
     return parts.union(suppliers)
 
 
@@ -57,7 +59,8 @@ def memory_relations(spark, sf):
     part, supplier, nation, region, lines = (table(spark, sf, t) for t in ("part", "supplier", "nation", "region", "lineitem"))
     name = lambda kind, c: F.concat(F.lit(f"{kind}:"), F.col(c).cast("string"))
     edge = lambda rows, relation, src, dst, strength: rows.select(F.lit(relation).alias("relation"), src.alias("src"), dst.alias("dst"), strength.cast("double").alias("strength"))
-    uses = edge(lines.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")), "uses_tool", name("part", "l_partkey"), name("supplier", "l_suppkey"), F.round(F.least(F.lit(1.0), F.col("n") / 50), 2))
+    uses = edge(lines.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n")), "uses_tool", name("part", "l_partkey"), name("supplier", "l_suppkey"),
+        F.round(F.least(F.lit(1.0), F.col("n") / 50), 2))
     topics = edge(part, "relates_to_topic", name("part", "p_partkey"), F.concat(F.lit("topic:"), F.split_part("p_name", F.lit(" "), F.lit(2))), F.lit(0.8))
     enables = edge(supplier.join(nation, F.col("s_nationkey") == F.col("n_nationkey")), "enables", name("supplier", "s_suppkey"), name("nation", "n_name"), F.lit(0.7))
     embodies = edge(nation.join(region, F.col("n_regionkey") == F.col("r_regionkey")), "embodies", name("nation", "n_name"), name("region", "r_name"), F.lit(0.6))
@@ -93,7 +96,8 @@ def relation_candidate_filter(spark, sf):
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     refs = F.when(key % 7 == 0, F.lit("[]")).when(key % 7 == 1, F.lit('["r1"," ","r1","r2"]')).otherwise(F.concat(F.lit('["r'), (cust % 5).cast("string"), F.lit('"]')))
     listed = F.array_distinct(F.filter(F.from_json(refs, "array<string>"), lambda r: F.trim(r) != ""))
-    rows = table(spark, sf, "orders").select(key.alias("id"), (cust % 60).alias("src"), (key % 60).alias("dst"), listed.alias("refs"), F.round(key * 31 % 100 / 100, 2).alias("similarity"), F.when(key % 2 == 0, "semantic_candidate").otherwise("rule_candidate").alias("type"))
+    rows = table(spark, sf, "orders").select(key.alias("id"), (cust % 60).alias("src"), (key % 60).alias("dst"), listed.alias("refs"),
+        F.round(key * 31 % 100 / 100, 2).alias("similarity"), F.when(key % 2 == 0, "semantic_candidate").otherwise("rule_candidate").alias("type"))
     return relation_candidates(rows).select("id", "reason", text.pair_id(F.col("src"), F.col("dst")).alias("pair_id"), F.size("refs").alias("n_refs"))
 
 
@@ -106,7 +110,8 @@ def relation_judgment_gate(spark, sf):
     """Judged relations accepted, rejected or sent to review, by the first rule that speaks; strong judgments of a pair that differ are a conflict."""
     key, cust = F.col("o_orderkey"), F.col("o_custkey")
     relation = F.element_at(F.array(*[F.lit(x) for x in ("supports", "contradicts", "extends", "no_relation", "guess")]), (F.floor(key / 80) % 5 + 1).cast("int"))
-    rows = table(spark, sf, "orders").select(key.alias("id"), (cust % 80).alias("src"), (key % 80).alias("dst"), relation.alias("relation"), F.round(key * 17 % 100 / 100, 2).alias("confidence"), F.concat(F.lit("r"), (key % 6).cast("string")).alias("evidence"), (key % 11 == 0).alias("risk"))
+    rows = table(spark, sf, "orders").select(key.alias("id"), (cust % 80).alias("src"), (key % 80).alias("dst"), relation.alias("relation"),
+        F.round(key * 17 % 100 / 100, 2).alias("confidence"), F.concat(F.lit("r"), (key % 6).cast("string")).alias("evidence"), (key % 11 == 0).alias("risk"))
     rows = rows.withColumn("a", F.least("src", "dst")).withColumn("b", F.greatest("src", "dst"))
     strong = rows.where("relation <> 'no_relation' AND confidence >= 0.75").groupBy("a", "b").agg(F.countDistinct("relation").alias("kinds"))
     judged = rows.join(strong, ["a", "b"], "left")

@@ -33,7 +33,8 @@ def semi_visible(spark, sf):
 
 @query("SELECT n_name, r_name, count(*) AS n, round(sum(c_acctbal), 2) AS balance FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey GROUP BY ALL")
 def enrich_two_dimensions(spark, sf):
-    rows = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(_t(spark, sf, "region"), F.col("n_regionkey") == F.col("r_regionkey"), "left")
+    rows = _t(spark, sf, "customer").join(_t(spark, sf, "nation"), F.col("c_nationkey") == F.col("n_nationkey"), "left").join(_t(spark, sf, "region"),
+        F.col("n_regionkey") == F.col("r_regionkey"), "left")
     return rows.groupBy("n_name", "r_name").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("balance"))
 
 
@@ -41,7 +42,8 @@ def enrich_two_dimensions(spark, sf):
 SELECT a.l_suppkey, a.l_partkey, a.id AS a, b.id AS b FROM i a JOIN i b ON a.l_suppkey = b.l_suppkey AND a.l_partkey = b.l_partkey AND a.id < b.id AND a.s < b.e AND b.s < a.e""")
 def interval_overlap_pairs(spark, sf):
     """Deliveries of one part by one supplier whose 30-day windows overlap."""
-    rows = _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.to_date("l_shipdate").alias("s"), F.date_add(F.to_date("l_shipdate"), 30).alias("e"))
+    rows = _t(spark, sf, "lineitem").select("l_suppkey", "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
+        F.to_date("l_shipdate").alias("s"), F.date_add(F.to_date("l_shipdate"), 30).alias("e"))
     return relational.overlapping(rows, ["l_suppkey", "l_partkey"], "id", "s", "e", 30).select("l_suppkey", "l_partkey", "a", "b")
 
 
@@ -104,7 +106,8 @@ def round_robin(spark, sf):
 SELECT o_custkey, round(b - a, 4) AS gain, CASE WHEN b - a > 1000 THEN 'better' WHEN b - a < -1000 THEN 'worse' ELSE 'neutral' END AS verdict FROM w WHERE a IS NOT NULL AND b IS NOT NULL""")
 def paired_arms(spark, sf):
     even = F.col("o_orderkey") % 2 == 0
-    arms = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.avg(F.when(even, F.col("o_totalprice"))).alias("a"), F.avg(F.when(~even, F.col("o_totalprice"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
+    arms = _t(spark, sf, "orders").groupBy("o_custkey").agg(F.avg(F.when(even, F.col("o_totalprice"))).alias("a"),
+        F.avg(F.when(~even, F.col("o_totalprice"))).alias("b")).where("a IS NOT NULL AND b IS NOT NULL")
     gain = F.col("b") - F.col("a")
     return arms.select("o_custkey", F.round(gain, 4).alias("gain"), F.when(gain > 1000, "better").when(gain < -1000, "worse").otherwise("neutral").alias("verdict"))
 

@@ -72,7 +72,8 @@ def search_evidence(spark, sf):
     """Every hit with the state of its evidence: resolved, eligible, and grounded in the query's words."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
     hits = materialize(_hits(spark, sf, True))
-    rows = hits.join(docs.select(F.col("doc_id").alias("id"), "text", "source", F.lit(True).alias("there")), "id", "left").join(docs.select(F.col("doc_id").alias("query"), F.col("text").alias("asked")), "query", "left")
+    rows = hits.join(docs.select(F.col("doc_id").alias("id"), "text", "source", F.lit(True).alias("there")), "id",
+        "left").join(docs.select(F.col("doc_id").alias("query"), F.col("text").alias("asked")), "query", "left")
     status = F.when(F.col("there").isNull(), "missing").when(F.col("text") == "", "ineligible").when(F.col("source") == "src3", "blocked").otherwise("ok")
     lifecycle = F.when(F.col("unit") % 11 == 3, "superseded").otherwise("current")
     privacy = F.when(F.col("unit") % 13 == 5, "secret").otherwise("open")
@@ -109,7 +110,8 @@ def eval_abstain_latency(spark, sf):
     false = F.count_if(none & (F.col("best") >= 0.4))
     sums = cases.agg(
         F.count("*").alias("n"), F.count_if(none).alias("n_abstain"), false.alias("no_answer_fp"), F.round(false / F.count_if(none), 6).alias("no_answer_fp_rate"),
-        F.round(F.count_if(some & (F.col("hit") <= 5)) / F.count_if(some), 6).alias("recall5"), F.round(F.sum(F.when(some, 1 / F.col("hit"))) / F.count_if(some), 6).alias("mrr5"), (F.count_if(some) < 5).alias("insufficient"),
+        F.round(F.count_if(some & (F.col("hit") <= 5)) / F.count_if(some), 6).alias("recall5"),
+            F.round(F.sum(F.when(some, 1 / F.col("hit"))) / F.count_if(some), 6).alias("mrr5"), (F.count_if(some) < 5).alias("insufficient"),
     )
     counts = cases.groupBy("latency").agg(F.count("*").alias("c"))
     upto = counts.withColumn("upto", F.sum("c").over(Window.orderBy("latency")))  # one row per different latency
@@ -118,15 +120,28 @@ def eval_abstain_latency(spark, sf):
     return sums.crossJoin(F.broadcast(upto.agg(at(50).alias("p50"), at(95).alias("p95"))))  # one row each
 
 
-@query(SCORES + """, d AS (SELECT row_number() OVER (ORDER BY query) - 1 AS i, (coalesce(hit, 9) <= 5)::INTEGER - (coalesce(hit, 9) <= 1)::INTEGER AS d FROM c WHERE query % 5 = 0), n AS (SELECT count(*) AS n, avg(d) AS mean FROM d),
+_DRAWS = SCORES + """, d AS (SELECT row_number() OVER (ORDER BY query) - 1 AS i, (coalesce(hit, 9) <= 5)::INTEGER - (coalesce(hit, 9) <= 1)::INTEGER AS d FROM c WHERE query % 5 = 0), n AS (SELECT count(*) AS n, avg(d) AS mean FROM d),
 b AS (SELECT x.b, y.j, ('0x' || substr(md5(x.b || '|' || y.j), 1, 8))::BIGINT % (SELECT n FROM n) AS i FROM range(0, 10000) x(b), range(0, (SELECT n FROM n)) y(j)),
 m AS (SELECT b.b, round(sum(d.d) / (SELECT n FROM n), 9) AS m FROM b JOIN d ON d.i = b.i GROUP BY b.b), q AS (SELECT m, row_number() OVER (ORDER BY m) - 1 AS pos FROM m)
-SELECT n, round(mean, 6) AS mean, (SELECT round(m, 6) FROM q WHERE pos = 250) AS low, (SELECT round(m, 6) FROM q WHERE pos = 9750) AS high FROM n""")
+SELECT n, round(mean, 6) AS mean, (SELECT round(m, 6) FROM q WHERE pos = 250) AS low, (SELECT round(m, 6) FROM q WHERE pos = 9750) AS high FROM n"""
+
+
+def _bootstrap(cases: DataFrame) -> DataFrame:
+    hit = lambda k: (F.coalesce("hit", F.lit(9)) <= k).cast("int")
+    numbered = relational.ranked(cases.select(F.lit(0).alias("all"), "query", (hit(5) - hit(1)).alias("d")), "all", "query")
+    return retrieval.paired_bootstrap(materialize(numbered.select((F.col("rank") - 1).cast("long").alias("i"), "d")))
+
+
+@query(_DRAWS)
 def eval_paired_bootstrap(spark, sf):
     """What five hits gain over one on a set of evaluation queries (every fifth), with the bounds of 10,000 paired draws."""
-    hit = lambda k: (F.coalesce("hit", F.lit(9)) <= k).cast("int")
-    cases = _cases(spark, sf).where("query % 5 = 0").select((F.row_number().over(Window.orderBy("query")) - 1).cast("long").alias("i"), (hit(5) - hit(1)).alias("d"))
-    return retrieval.paired_bootstrap(materialize(cases))
+    return _bootstrap(_cases(spark, sf).where("query % 5 = 0"))
+
+
+@query(_DRAWS.replace(" WHERE query % 5 = 0", ""))
+def eval_paired_bootstrap_whole(spark, sf):
+    """The same over all evaluation queries."""
+    return _bootstrap(_cases(spark, sf))
 
 
 @query(SCORES + """, m AS (SELECT label, count(*) AS n, round(avg((coalesce(hit, 9) <= 5)::INTEGER), 6) AS recall5, round(avg(coalesce(1 / hit, 0)), 6) AS mrr5, round(avg(CASE WHEN best >= 0.4 THEN 1 ELSE 0 END), 6) AS answered FROM c GROUP BY label),
@@ -136,7 +151,8 @@ CASE WHEN n < 5 OR recall5 < round(g.r, 6) - 0.1 OR mrr5 < round(g.m, 6) - 0.02
 def eval_promotion_gate(spark, sf):
     """Whether each label's retrieval may be promoted, held against the mean over labels, and the reasons if not."""
     mean = lambda c: F.round(F.avg(c), 6)
-    metrics = _cases(spark, sf).groupBy("label").agg(F.count("*").alias("n"), mean((F.coalesce("hit", F.lit(9)) <= 5).cast("int")).alias("recall5"), mean(F.coalesce(1 / F.col("hit"), F.lit(0.0))).alias("mrr5"), mean((F.col("best") >= 0.4).cast("int")).alias("answered"))
+    metrics = _cases(spark, sf).groupBy("label").agg(F.count("*").alias("n"), mean((F.coalesce("hit", F.lit(9)) <= 5).cast("int")).alias("recall5"),
+        mean(F.coalesce(1 / F.col("hit"), F.lit(0.0))).alias("mrr5"), mean((F.col("best") >= 0.4).cast("int")).alias("answered"))
     metrics = materialize(metrics)
     base = F.broadcast(metrics.agg(F.round(F.avg("recall5"), 6).alias("r"), F.round(F.avg("mrr5"), 6).alias("m")))  # one row
     reasons = F.array_compact(F.array(
@@ -157,5 +173,5 @@ def eval_snippet_rank(spark, sf):
     windows = F.array_distinct(F.transform(text.windows(F.col("t"), 15), lambda w: F.xxhash64(w)))
     held = docs.select("doc_id", "lang", "n_chars", F.explode(windows).alias("h")).join(items, "h")
     first = held.groupBy("item_id", "lang").agg(F.max_by("doc_id", F.struct("n_chars", -F.col("doc_id"))).alias("doc_id"))
-    ranks = docs.select("doc_id", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n_chars"), "doc_id")).alias("rank"))
+    ranks = relational.ranked(docs.select("doc_id", "lang", (-F.col("n_chars")).alias("shorter")), "lang", "shorter", "doc_id").select("doc_id", "rank")
     return first.join(ranks, "doc_id").select("item_id", "lang", "rank")

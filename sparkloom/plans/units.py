@@ -134,7 +134,8 @@ def events_time_windows(spark, sf):
     """The days that each user's events span, and their months."""
     day = lambda c: F.date_format(c, "yyyy-MM-dd")
     span = F.timestamp_diff("DAY", F.min("ts"), F.max("ts"))
-    return table(spark, sf, "events").groupBy("user_id").agg(day(F.min("ts")).alias("started"), day(F.max("ts")).alias("ended"), span.alias("days"), F.array_sort(F.collect_set(F.date_format("ts", "yyyy-MM"))).alias("months"))
+    return table(spark, sf, "events").groupBy("user_id").agg(day(F.min("ts")).alias("started"), day(F.max("ts")).alias("ended"), span.alias("days"),
+        F.array_sort(F.collect_set(F.date_format("ts", "yyyy-MM"))).alias("months"))
 
 
 @query("""
@@ -150,8 +151,10 @@ def events_canonical_json(spark, sf):
     """Properties as canonical JSON with a checksum, whatever the order of keys; lists, lone values and texts that are no JSON as lists."""
     k = F.get_json_object("props", "$.k")
     loose = F.concat(F.lit('{ "items" : [ '), F.col("user_id"), F.lit(', {"k": '), k, F.lit(', "a": 1} ],\n "event": "'), F.col("event_type"), F.lit('"}'))
-    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), F.col("user_id"), F.lit(", "), F.col("props"), F.lit("]"))).when(F.col("event_id") % 4 == 1, F.col("props")).when(F.col("event_id") % 4 == 2, F.lit("plain"))
-    return table(spark, sf, "events").select("event_id", identity.canonical_json(loose).alias("canonical"), identity.json_checksum(loose).alias("checksum"), identity.mended_json(loose).alias("mended"), identity.json_list(raw).alias("items"))
+    raw = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("["), F.col("user_id"), F.lit(", "), F.col("props"), F.lit("]"))).when(F.col("event_id") % 4 == 1,
+        F.col("props")).when(F.col("event_id") % 4 == 2, F.lit("plain"))
+    return table(spark, sf, "events").select("event_id", identity.canonical_json(loose).alias("canonical"), identity.json_checksum(loose).alias("checksum"),
+        identity.mended_json(loose).alias("mended"), identity.json_list(raw).alias("items"))
 
 
 @query("""
@@ -176,7 +179,9 @@ FROM k""")
 def pages_topic_keys(spark, sf):
     """Topic keys that are well formed, entity names from paths, and view ids from unordered references."""
     n = F.col("page_id").cast("string")
-    made = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("project%3Ap"), n)).when(F.col("page_id") % 4 == 1, F.concat(F.lit("goal:health:p"), n, F.lit(":walk"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("goal:health:"), n)).otherwise(F.concat(F.lit("topic:"), n))
+    made = F.when(F.col("page_id") % 4 == 0, F.concat(F.lit("project%3Ap"), n)).when(F.col("page_id") % 4 == 1,
+        F.concat(F.lit("goal:health:p"), n, F.lit(":walk"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("goal:health:"), n)).otherwise(F.concat(F.lit("topic:"), n))
     p = lambda c: F.concat(F.lit("p"), c.cast("string"))
     refs = F.array(p(F.col("page_id")), p(F.col("page_id") % 7), p(F.col("page_id")))
-    return table(spark, sf, "pages").select("page_id", identity.topic_key(made).alias("topic"), identity.entity_stem(F.col("url")).alias("stem"), identity.view_id(F.lit("topic"), F.lit("g1"), F.lit("1"), refs).alias("view_id"))
+    return table(spark, sf, "pages").select("page_id", identity.topic_key(made).alias("topic"), identity.entity_stem(F.col("url")).alias("stem"),
+        identity.view_id(F.lit("topic"), F.lit("g1"), F.lit("1"), refs).alias("view_id"))

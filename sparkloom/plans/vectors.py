@@ -39,9 +39,11 @@ SELECT label, count(*) AS queries, round(avg((hit <= 1)::INTEGER::DOUBLE), 6) AS
 def eval_recall_mrr_ndcg(spark, sf):
     """Retrieval metrics by scenario; a hit has the query's label."""
     hit = F.col("ql") == F.col("il")
-    per = _judged(spark, sf).groupBy("query").agg(F.any_value("ql").alias("label"), F.min(F.when(hit, F.col("rank"))).alias("hit"), F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"))
+    per = _judged(spark, sf).groupBy("query").agg(F.any_value("ql").alias("label"), F.min(F.when(hit, F.col("rank"))).alias("hit"),
+        F.coalesce(F.sum(F.when(hit, 1 / F.log2(F.col("rank") + 1))), F.lit(0.0)).alias("dcg"))
     mean = lambda c: F.round(F.avg(c), 6)
-    return per.groupBy("label").agg(F.count("*").alias("queries"), mean((F.col("hit") <= 1).cast("int").cast("double")).alias("at1"), mean(F.when(F.col("hit").isNull(), 0.0).otherwise(1.0)).alias("recall5"), mean(F.coalesce(1 / F.col("hit"), F.lit(0))).alias("mrr5"), mean(F.col("dcg") / 2.9484591188793923).alias("ndcg5"))
+    return per.groupBy("label").agg(F.count("*").alias("queries"), mean((F.col("hit") <= 1).cast("int").cast("double")).alias("at1"),
+        mean(F.when(F.col("hit").isNull(), 0.0).otherwise(1.0)).alias("recall5"), mean(F.coalesce(1 / F.col("hit"), F.lit(0))).alias("mrr5"), mean(F.col("dcg") / 2.9484591188793923).alias("ndcg5"))
 
 
 @query(TOP + "SELECT query, CASE WHEN round(max(s), 4) >= 0.4 THEN 'knowledge' WHEN round(max(s), 4) >= 0.3 THEN 'fallback_raw' ELSE 'abstain' END AS route, count(*) FILTER (round(s, 4) >= 0.3) AS evidence, max(round(greatest(0, 1 - (1 - s) / 2), 4)) AS score FROM t GROUP BY query")
@@ -76,7 +78,8 @@ def emb_label_medoid(spark, sf):
     rows = _vectors(spark, sf).select("vec_id", "label", F.transform("embedding", lambda x: x.cast("double")).alias("v"))
     norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
     unit = rows.withColumn("u", F.transform("v", lambda x: x / norm))
-    sums = unit.select("label", F.posexplode("u").alias("i", "x")).groupBy("label", "i").agg(F.sum("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("total"))
+    sums = unit.select("label", F.posexplode("u").alias("i", "x")).groupBy("label",
+        "i").agg(F.sum("x").alias("x")).groupBy("label").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "x"))), lambda p: p["x"]).alias("total"))
     n = rows.groupBy("label").agg(F.count("*").alias("n"))
     dot = F.aggregate(F.zip_with("u", "total", lambda a, b: a * b), F.lit(0.0), lambda s, x: s + x)
     scored = unit.join(sums, "label").join(n, "label").select("label", "vec_id", ((dot - 1) / (F.col("n") - 1)).alias("m"))

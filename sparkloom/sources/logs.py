@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from sparkloom.functions import identity
+from sparkloom.sources.shared import materialize
 
 
 @dataclass(frozen=True)
@@ -39,30 +40,36 @@ class Family:
     usage: tuple[str, ...] = ()
 
 
-def _each(names: str, kind: str, under: str = "") -> dict[str, str]:
-    return {under + n: kind for n in names.split()}
+def _each(names: tuple[str, ...], kind: str, under: str = "") -> dict[str, str]:
+    return {under + n: kind for n in names}
 
 
 # The record types and fields of each family, as their logs write them.
 FAMILIES = {
     "codex": Family(
         ("session_meta", "turn_context", "response_item", "context_compacted", "event_msg"),
-        {"session_meta": "session_start", "turn_context": "user_message", "response_item": "message", "function_call": "tool_call", "function_call_output": "tool_result", "context_compacted": "compaction_summary", "world_state": "file_context", "event_msg": "unknown"}
-        | _each("function_call custom_tool_call tool_search_call web_search_call", "tool_call", "response_item/")
-        | _each("function_call_output custom_tool_call_output tool_search_output", "tool_result", "response_item/")
-        | {"response_item/reasoning": "reasoning", "response_item/agent_message": "assistant_message", "event_msg/agent_message": "assistant_message", "event_msg/user_message": "user_message", "event_msg/context_compacted": "compaction_summary", "event_msg/token_count": "usage", "event_msg/thread_settings_applied": "file_context"}
-        | _each("agent_reasoning reasoning", "reasoning", "event_msg/")
-        | _each("task_started task_complete item_completed", "loop", "event_msg/")
-        | _each("exec_command_end web_search_end patch_apply_end mcp_tool_call_end", "tool_result", "event_msg/")
-        | _each("turn_aborted turn_started agent_turn_started", "turn_boundary", "event_msg/")
-        | _each("collab_agent_spawn_end collab_close_end sub_agent_activity collab_agent_interaction_end collab_waiting_end", "subagent", "event_msg/"),
-        session=("session_id", "payload.session_id"), native=("item_id", "payload.item_id", "payload.id"), turn=("turn_id", "payload.turn_id"), call=("call_id", "payload.call_id"), at=("timestamp", "payload.timestamp"), inner=("payload.type",),
-        text=("prompt", "payload.content", "content", "payload.message", "payload.text", "payload.arguments", "payload.input", "arguments", "payload.action.query", "payload.output", "output", "payload.aggregated_output", "payload.stdout", "payload.last_agent_message", "payload.item.text", "payload.summary", "summary", "payload.new_agent_nickname", "payload.stderr", "payload.reason", "payload.error"),
+        {"session_meta": "session_start", "turn_context": "user_message", "response_item": "message", "function_call": "tool_call",
+            "function_call_output": "tool_result", "context_compacted": "compaction_summary", "world_state": "file_context", "event_msg": "unknown"}
+        | _each(("function_call", "custom_tool_call", "tool_search_call", "web_search_call"), "tool_call", "response_item/")
+        | _each(("function_call_output", "custom_tool_call_output", "tool_search_output"), "tool_result", "response_item/")
+        | {"response_item/reasoning": "reasoning", "response_item/agent_message": "assistant_message", "event_msg/agent_message": "assistant_message",
+            "event_msg/user_message": "user_message", "event_msg/context_compacted": "compaction_summary", "event_msg/token_count": "usage", "event_msg/thread_settings_applied": "file_context"}
+        | _each(("agent_reasoning", "reasoning"), "reasoning", "event_msg/")
+        | _each(("task_started", "task_complete", "item_completed"), "loop", "event_msg/")
+        | _each(("exec_command_end", "web_search_end", "patch_apply_end", "mcp_tool_call_end"), "tool_result", "event_msg/")
+        | _each(("turn_aborted", "turn_started", "agent_turn_started"), "turn_boundary", "event_msg/")
+        | _each(("collab_agent_spawn_end", "collab_close_end", "sub_agent_activity", "collab_agent_interaction_end", "collab_waiting_end"), "subagent", "event_msg/"),
+        session=("session_id", "payload.session_id"), native=("item_id", "payload.item_id", "payload.id"), turn=("turn_id", "payload.turn_id"),
+            call=("call_id", "payload.call_id"), at=("timestamp", "payload.timestamp"), inner=("payload.type",),
+        text=("prompt", "payload.content", "content", "payload.message", "payload.text", "payload.arguments", "payload.input", "arguments",
+            "payload.action.query", "payload.output", "output", "payload.aggregated_output", "payload.stdout", "payload.last_agent_message",
+            "payload.item.text", "payload.summary", "summary", "payload.new_agent_nickname", "payload.stderr", "payload.reason", "payload.error"),
         usage=("payload.usage", "usage", "payload.info.last_token_usage", "payload.info.total_token_usage", "payload.info"),
     ),
     "copilot": Family(
         ("tool_execution_start", "tool_execution_complete", "turn_end"),
-        {"turn_start": "turn_start", "turn_end": "turn_end", "user_message": "user_message", "assistant_message": "assistant_message", "tool_execution_start": "tool_call", "tool_execution_complete": "tool_result"},
+        {"turn_start": "turn_start", "turn_end": "turn_end", "user_message": "user_message", "assistant_message": "assistant_message",
+            "tool_execution_start": "tool_call", "tool_execution_complete": "tool_result"},
         text=("content", "name"), call=("tool_id",),
     ),
     "pi": Family(
@@ -72,16 +79,22 @@ FAMILIES = {
     ),
     "kimi": Family(
         ("loop_iteration", "context_append", "user_prompt", "task_complete", "context.append_loop_event", "turn.prompt", "tool.call.started", "turn.step.started"),
-        {"turn_start": "turn_start", "user_prompt": "user_message", "assistant_message": "assistant_message", "loop_iteration": "loop", "context_append": "context", "context.append_message": "context", "task_complete": "turn_end", "metadata": "session_start", "turn.prompt": "user_message", "usage.record": "usage", "context.append_loop_event": "unknown", "context.spliced": "context", "error": "unknown"}
-        | _each("step.begin step.end", "loop", "context.append_loop_event/")
-        | {"context.append_loop_event/tool.call": "tool_call", "context.append_loop_event/tool.result": "tool_result", "context.append_loop_event/content.part": "unknown", "context.append_loop_event/content.part/text": "assistant_message", "context.append_loop_event/content.part/think": "reasoning", "tool.call.started": "tool_call", "tool.result": "tool_result"}
-        | _each("task.started task.terminated task.notified background.task.started background.task.terminated goal.create goal.update goal.updated goal.clear", "loop")
-        | _each("turn.cancel turn.steer turn.started turn.ended turn.step.started turn.step.completed turn.step.interrupted prompt.completed prompt.aborted", "turn_boundary")
-        | _each("full_compaction.begin context.apply_compaction full_compaction.complete compaction.started compaction.completed compaction.blocked", "compaction_summary")
-        | _each("subagent.spawned subagent.started subagent.completed subagent.failed", "subagent")
-        | _each("agent.created event.session.created event.session.work_changed session.meta.updated skill.activated journal_header", "session_start"),
-        session=("session_id", "envelope.session_id"), native=("message_id", "event.uuid"), turn=("task_id", "event.turnId", "envelope.payload.turnId"), call=("event.toolCallId", "envelope.payload.toolCallId"), at=("time", "timestamp", "created_at", "envelope.timestamp"), inner=("event.type", "event.part.type"),
-        text=("content", "message.content", "event.content", "input", "event.part.text", "event.part.think", "event.args", "arguments", "event.result.text", "event.result.output", "event.result", "output", "summary", "contextSummary", "envelope.payload.output", "envelope.payload.name"),
+        {"turn_start": "turn_start", "user_prompt": "user_message", "assistant_message": "assistant_message", "loop_iteration": "loop",
+            "context_append": "context", "context.append_message": "context", "task_complete": "turn_end", "metadata": "session_start",
+            "turn.prompt": "user_message", "usage.record": "usage", "context.append_loop_event": "unknown", "context.spliced": "context", "error": "unknown"}
+        | _each(("step.begin", "step.end"), "loop", "context.append_loop_event/")
+        | {"context.append_loop_event/tool.call": "tool_call", "context.append_loop_event/tool.result": "tool_result",
+            "context.append_loop_event/content.part": "unknown", "context.append_loop_event/content.part/text": "assistant_message",
+            "context.append_loop_event/content.part/think": "reasoning", "tool.call.started": "tool_call", "tool.result": "tool_result"}
+        | _each(("task.started", "task.terminated", "task.notified", "background.task.started", "background.task.terminated", "goal.create", "goal.update", "goal.updated", "goal.clear"), "loop")
+        | _each(("turn.cancel", "turn.steer", "turn.started", "turn.ended", "turn.step.started", "turn.step.completed", "turn.step.interrupted", "prompt.completed", "prompt.aborted"), "turn_boundary")
+        | _each(("full_compaction.begin", "context.apply_compaction", "full_compaction.complete", "compaction.started", "compaction.completed", "compaction.blocked"), "compaction_summary")
+        | _each(("subagent.spawned", "subagent.started", "subagent.completed", "subagent.failed"), "subagent")
+        | _each(("agent.created", "event.session.created", "event.session.work_changed", "session.meta.updated", "skill.activated", "journal_header"), "session_start"),
+        session=("session_id", "envelope.session_id"), native=("message_id", "event.uuid"), turn=("task_id", "event.turnId", "envelope.payload.turnId"),
+            call=("event.toolCallId", "envelope.payload.toolCallId"), at=("time", "timestamp", "created_at", "envelope.timestamp"), inner=("event.type", "event.part.type"),
+        text=("content", "message.content", "event.content", "input", "event.part.text", "event.part.think", "event.args", "arguments", "event.result.text",
+            "event.result.output", "event.result", "output", "summary", "contextSummary", "envelope.payload.output", "envelope.payload.name"),
         usage=("usage", "event.usage"),
     ),
     "workbuddy": Family(
@@ -101,12 +114,13 @@ FAMILIES = {
     ),
 }
 # What a message is by its role, whose words an event is, block types that hold text, and the names of token counts.
-ROLES = {"user": "user_message", "assistant": "assistant_message", "model": "assistant_message", "developer": "developer_message", "system": "system"}
+ROLES = {"user": "user_message", "assistant": "assistant_message", "model": "assistant_message", "developer": "developer_message"}
 SPEAKERS = {"user_message": "user", "assistant_message": "assistant", "reasoning": "assistant", "tool_call": "assistant"}
 TEXT_BLOCKS = ("text", "input_text", "output_text", "summary_text")
 TOKENS = {
     "input_tokens": ("input_tokens", "inputTokens", "prompt_tokens"), "output_tokens": ("output_tokens", "outputTokens", "completion_tokens"),
-    "cache_read": ("cache_read_input_tokens", "cached_input_tokens", "cache_read", "cacheRead"), "cache_write": ("cache_creation_input_tokens", "cache_write_input_tokens", "cache_write", "cacheWrite"),
+    "cache_read": ("cache_read_input_tokens", "cached_input_tokens", "cache_read", "cacheRead"),
+        "cache_write": ("cache_creation_input_tokens", "cache_write_input_tokens", "cache_write", "cacheWrite"),
 }
 EVENT = "family string, artifact string, session string, ordinal int, event string, native string, parent string, turn string, kind string, role string, call string, text string, at string, kept string, side boolean"
 
@@ -131,10 +145,9 @@ class Reader:
 
     def __init__(self, name: str, family: Family):
         self.family, self.column = family, f"of_{name}"
-        texts = {*family.text, *family.blocks}
+        texts = {*family.text, *family.blocks, *family.usage}
         plain = {p for paths in (family.session, family.native, family.turn, family.call, family.at, family.parent, family.inner) for p in paths}
-        counts = {f"{u}.{n}" for u in family.usage for names in TOKENS.values() for n in names}
-        leaves = dict.fromkeys(plain, "string") | dict.fromkeys(counts, "bigint") | dict.fromkeys(texts, "variant")
+        leaves = dict.fromkeys(plain, "string") | dict.fromkeys(texts, "variant")
         # A path that goes on below another one is read from the variant that the other one is.
         self.leaves = {p: kind for p, kind in leaves.items() if not any(p.startswith(f"{q}.") for q in texts)}
         tree: dict = {}
@@ -160,16 +173,22 @@ class Reader:
         """The first text at the paths that isn't empty."""
         return F.coalesce(*[F.nullif(self.leaf(p, "string"), F.lit("")) for p in paths]) if paths else F.lit(None).cast("string")
 
-    def there(self, paths: tuple[str, ...]) -> Column:
-        """The first that is there and no null, as a variant."""
-        found = [self.leaf(p, "variant") for p in paths]
-        return F.coalesce(*[F.when(f.isNotNull() & ~F.is_variant_null(f), f) for f in found])
+    def variants(self, paths: tuple[str, ...]) -> Column:
+        """Those that are there and no null, in order. A list keeps the code of a record short, however many paths it has."""
+        found = F.array(*[self.leaf(p, "variant") for p in paths])
+        return F.filter(found, lambda f: f.isNotNull() & ~F.is_variant_null(f))
 
     def usage(self) -> Column:
         """Token counts as text, of the first path that has any."""
-        count = lambda p, names: F.coalesce(*[self.leaf(f"{p}.{n}", "bigint") for n in names])
-        said = lambda p: F.nullif(F.concat_ws(" ", *[F.concat(F.lit(f"{label}="), count(p, names).cast("string")) for label, names in TOKENS.items()]), F.lit(""))
-        return F.coalesce(*[said(p) for p in self.family.usage]) if self.family.usage else F.lit(None).cast("string")
+        if not self.family.usage:
+            return F.lit(None).cast("string")
+        counts = "struct<" + ",".join(f"{n}:bigint" for names in TOKENS.values() for n in names) + ">"
+
+        def said(found: Column) -> Column:
+            one = F.try_variant_get(found, "$", counts)
+            return F.concat_ws(" ", *[F.concat(F.lit(f"{label}="), F.coalesce(*[one[n] for n in names]).cast("string")) for label, names in TOKENS.items()])
+
+        return F.get(F.filter(F.transform(self.variants(self.family.usage), said), lambda t: t != ""), 0)
 
 
 def _said(found: Column) -> Column:
@@ -218,7 +237,8 @@ def _records(lines: DataFrame) -> tuple[DataFrame, dict[str, Reader]]:
     readers = {name: Reader(name, f) for name, f in FAMILIES.items()}
     role = F.coalesce(_get("role"), _get("payload.role"), _get("message.role"))
     flag = lambda p: F.coalesce(_get(p, "boolean"), F.lit(False))
-    rows = parsed(lines).select("*", role.alias("speaker"), flag("isCompactSummary").alias("compact"), flag("isSidechain").alias("side"), _get("firstKeptEntryId").alias("kept"), _get("payload.id").alias("inner_id"))
+    rows = parsed(lines).select("*", role.alias("speaker"), flag("isCompactSummary").alias("compact"), flag("isSidechain").alias("side"),
+        _get("firstKeptEntryId").alias("kept"), _get("payload.id").alias("inner_id"))
     rows = rows.select("*", *[F.when(F.col("family") == n, r.record).alias(r.column) for n, r in readers.items()]).drop("v")
     return rows.withColumn("kind", _kind(readers)), readers
 
@@ -228,7 +248,8 @@ def _block_events(record: Column, content: Column) -> Column:
     block = "array<struct<type string, text string, thinking string, id string, name string, tool_use_id string, content string>>"
     listed = F.from_json(content, block)
     kinds = F.create_map(*[F.lit(x) for pair in (("thinking", "reasoning"), ("tool_use", "tool_call"), ("tool_result", "tool_result")) for x in pair])
-    entry = lambda b, i: F.struct(i.alias("i"), F.coalesce(F.try_element_at(kinds, b["type"]), record).alias("kind"), F.coalesce(b["text"], b["thinking"], b["content"], b["name"], F.lit("")).alias("text"), F.coalesce(b["tool_use_id"], b["id"]).alias("call"))
+    entry = lambda b, i: F.struct(i.alias("i"), F.coalesce(F.try_element_at(kinds, b["type"]), record).alias("kind"),
+        F.coalesce(b["text"], b["thinking"], b["content"], b["name"], F.lit("")).alias("text"), F.coalesce(b["tool_use_id"], b["id"]).alias("call"))
     none = F.array(F.struct(F.lit(0).alias("i"), record.alias("kind"), F.coalesce(content, F.lit("")).alias("text"), F.lit(None).cast("string").alias("call")))
     return F.when(F.size(F.coalesce(listed, F.array())) > 0, F.transform(listed, entry)).otherwise(none)
 
@@ -249,7 +270,7 @@ def adapt_all(lines: DataFrame) -> DataFrame:
     rows = rows.where("family IS NOT NULL AND kind IS NOT NULL")
     field = lambda name: F.coalesce(*[r.text(getattr(r.family, name)) for r in readers.values()])
     own = F.coalesce(field("session"), F.when((F.col("family") == "codex") & (F.col("kind") == "session_start"), F.col("inner_id")))
-    said = F.coalesce(*[r.there(r.family.text) for r in readers.values()])
+    said = F.coalesce(*[F.when(F.col("family") == n, F.get(r.variants(r.family.text), 0)) for n, r in readers.items()])
     rows = rows.select(
         "family", "artifact", "place", "type", "kind", own.alias("session"), *[field(n).alias(n) for n in ("native", "turn", "parent", "call", "blocks")], said.alias("said"),
         identity.utc_time(field("at")).alias("at"), F.coalesce(*[r.usage() for r in readers.values()]).alias("usage"), "kept", "side",
@@ -257,7 +278,8 @@ def adapt_all(lines: DataFrame) -> DataFrame:
     first = F.first("session", ignorenulls=True).over(Window.partitionBy("artifact").orderBy("place").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
     rows = rows.withColumn("text", F.nullif(_said(F.col("said")), F.lit(""))).drop("said")
     rows = rows.withColumn("session", F.coalesce("session", first)).withColumn("e", F.explode(_entries()))
-    rows = rows.select("family", "artifact", "place", "session", "native", "turn", "parent", F.col("e.call").alias("call"), F.col("e.kind").alias("kind"), F.col("e.text").alias("text"), "at", "kept", "side", F.col("e.i").alias("i"))
+    rows = rows.select("family", "artifact", "place", "session", "native", "turn", "parent", F.col("e.call").alias("call"), F.col("e.kind").alias("kind"),
+        F.col("e.text").alias("text"), "at", "kept", "side", F.col("e.i").alias("i"))
     rows = rows.withColumn("ordinal", F.row_number().over(Window.partitionBy("artifact", "session").orderBy("place", "i")))
     return rows.select("family", "artifact", "session", "ordinal", _event(rows), "native", "parent", "turn", "kind", _speaker(), "call", "text", "at", "kept", "side")
 
@@ -318,7 +340,8 @@ def directory_events(files: DataFrame) -> DataFrame:
     summaries = rows.where((F.col("name") == "summary.json") & doc("session_summary").isNotNull()).select(*key, told.alias("e"))
     helper = "array<struct<id string, name string, task string, created_at string>>"
     listed = rows.where("name = 'subagents.json'").select(*key, F.posexplode(F.from_json(F.coalesce(doc("subagents"), "value"), helper)).alias("i", "h"))
-    helpers = listed.select(*key, entry(F.col("i"), F.coalesce("h.id", F.concat(F.lit("sub-"), F.col("i").cast("string"))), "subagent", F.coalesce("h.name", "h.task"), F.col("h.created_at")).alias("e"))
+    helpers = listed.select(*key, entry(F.col("i"), F.coalesce("h.id", F.concat(F.lit("sub-"), F.col("i").cast("string"))), "subagent",
+        F.coalesce("h.name", "h.task"), F.col("h.created_at")).alias("e"))
     lines = rows.where("name = 'chat_history.jsonl'").select(*key, F.posexplode(F.filter(F.split("value", r"\r?\n"), lambda x: F.try_parse_json(x).isNotNull())).alias("i", "line"))
     lines = lines.withColumn("v", F.try_parse_json("line"))
     role = F.create_map(*[F.lit(x) for pair in (("user", "user_message"), ("assistant", "assistant_message"), ("model", "assistant_message")) for x in pair])
@@ -328,9 +351,11 @@ def directory_events(files: DataFrame) -> DataFrame:
     tokens = F.nullif(F.concat_ws(" ", *[F.concat(F.lit(f"{label}="), count(names).cast("string")) for label, names in TOKENS.items()]), F.lit(""))
     used = lines.where((kind != "unknown") & tokens.isNotNull()).select(*key, entry(2 * F.col("i") + 1, F.concat(native, F.lit(":usage")), "usage", tokens, _get("timestamp")).alias("e"))
     found = documents.unionByName(summaries).unionByName(helpers).unionByName(chat).unionByName(used)
-    found = found.select(F.lit("grok").alias("family"), F.concat_ws("/", "folder", "name").alias("artifact"), *key, "e.n", "e.native", "e.kind", "e.text", identity.utc_time(F.col("e.at")).alias("at"), F.lit(0).alias("i"))
+    found = found.select(F.lit("grok").alias("family"), F.concat_ws("/", "folder", "name").alias("artifact"), *key, "e.n", "e.native", "e.kind", "e.text",
+        identity.utc_time(F.col("e.at")).alias("at"), F.lit(0).alias("i"))
     found = found.withColumn("ordinal", F.row_number().over(whole.orderBy("rank", "n")))
-    return found.select("family", "artifact", "session", "ordinal", _event(found), "native", null.alias("parent"), null.alias("turn"), "kind", _speaker(), null.alias("call"), "text", "at", null.alias("kept"), F.lit(False).alias("side"), "folder", "name")
+    return found.select("family", "artifact", "session", "ordinal", _event(found), "native", null.alias("parent"), null.alias("turn"), "kind", _speaker(),
+        null.alias("call"), "text", "at", null.alias("kept"), F.lit(False).alias("side"), "folder", "name")
 
 
 def directory_relations(events: DataFrame) -> DataFrame:
@@ -338,18 +363,23 @@ def directory_relations(events: DataFrame) -> DataFrame:
     before = Window.partitionBy("folder").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
     plain = F.when(~F.col("kind").isin("compaction_summary"), F.col("event"))
     rows = events.withColumn("prior", F.last(plain, ignorenulls=True).over(before)).withColumn("home", F.first(F.when(F.col("kind") == "session_start", F.col("event")), ignorenulls=True).over(before))
-    compacted = rows.where("kind = 'compaction_summary' AND name <> 'summary.json' AND prior IS NOT NULL").select(F.lit("compacted_range").alias("kind"), F.col("prior").alias("source"), F.col("event").alias("target"))
-    return compacted.unionByName(rows.where("kind = 'subagent' AND home IS NOT NULL").select(F.lit("source_session_crosswalk").alias("kind"), F.col("event").alias("source"), F.col("home").alias("target")))
+    compacted = rows.where("kind = 'compaction_summary' AND name <> 'summary.json' AND prior IS NOT NULL").select(F.lit("compacted_range").alias("kind"),
+        F.col("prior").alias("source"), F.col("event").alias("target"))
+    return compacted.unionByName(rows.where("kind = 'subagent' AND home IS NOT NULL").select(F.lit("source_session_crosswalk").alias("kind"),
+        F.col("event").alias("source"), F.col("home").alias("target")))
 
 
 def read_documents(documents: DataFrame) -> DataFrame:
     """Events of documents(artifact, value) that are one JSON object each with an ordered list of messages."""
-    parsed = documents.select("artifact", F.get_json_object("value", "$.session_id").alias("session"), F.from_json(F.get_json_object("value", "$.messages"), "array<struct<role string, content string, timestamp string>>").alias("m"))
+    parsed = documents.select("artifact", F.get_json_object("value", "$.session_id").alias("session"),
+        F.from_json(F.get_json_object("value", "$.messages"), "array<struct<role string, content string, timestamp string>>").alias("m"))
     rows = parsed.select("artifact", "session", F.posexplode("m").alias("i", "m"))
     kind = F.when(F.col("m.role") == "user", "user_message").otherwise("assistant_message")
     event = identity.event_id(F.lit("gemini"), F.lit("1"), F.col("artifact"), F.lit(None).cast("string"), kind, F.col("session"), (F.col("i") + 1).cast("string"))
     none = F.lit(None).cast("string")
-    return rows.select(F.lit("gemini").alias("family"), "artifact", "session", (F.col("i") + 1).alias("ordinal"), event.alias("event"), none.alias("native"), none.alias("parent"), none.alias("turn"), kind.alias("kind"), F.when(kind == "user_message", "user").otherwise("assistant").alias("role"), none.alias("call"), F.coalesce("m.content", F.lit("")).alias("text"), identity.utc_time(F.col("m.timestamp")).alias("at"), none.alias("kept"), F.lit(False).alias("side"))
+    return rows.select(F.lit("gemini").alias("family"), "artifact", "session", (F.col("i") + 1).alias("ordinal"), event.alias("event"), none.alias("native"),
+        none.alias("parent"), none.alias("turn"), kind.alias("kind"), F.when(kind == "user_message", "user").otherwise("assistant").alias("role"),
+        none.alias("call"), F.coalesce("m.content", F.lit("")).alias("text"), identity.utc_time(F.col("m.timestamp")).alias("at"), none.alias("kept"), F.lit(False).alias("side"))
 
 
 def relations(events: DataFrame) -> DataFrame:
@@ -358,14 +388,16 @@ def relations(events: DataFrame) -> DataFrame:
     A summary that names the first entry it keeps retains from there and compacts what lies before; one that does not
     compacts all before it. Results without a call, and calls without a result, have no relation."""
     key = ["artifact", "session"]
-    e = events.select(*key, "event", "native", "parent", "turn", "kind", "call", "ordinal", "kept", "side")
+    e = materialize(events.select(*key, "event", "native", "parent", "turn", "kind", "call", "ordinal", "kept", "side"))
     calls = e.where("kind = 'tool_call' AND call IS NOT NULL").select(*key, "call", F.col("event").alias("source"))
     results = e.where("kind = 'tool_result' AND call IS NOT NULL").select(*key, "call", F.col("event").alias("target"))
     paired = calls.join(results, [*key, "call"]).select(F.lit("call_result").alias("kind"), "source", "target")
     anchors = e.where("turn IS NOT NULL").groupBy(*key, "turn").agg(F.min(F.struct("ordinal", "event")).alias("a"))
-    members = e.where("turn IS NOT NULL").join(anchors, [*key, "turn"]).where("event <> a.event").select(F.lit("turn_membership").alias("kind"), F.col("a.event").alias("source"), F.col("event").alias("target"))
+    members = e.where("turn IS NOT NULL").join(anchors, [*key, "turn"]).where("event <> a.event").select(F.lit("turn_membership").alias("kind"),
+        F.col("a.event").alias("source"), F.col("event").alias("target"))
     firsts = e.where("native IS NOT NULL").groupBy(*key, "native").agg(F.min(F.struct("ordinal", "event")).alias("p"))
-    children = e.where("parent IS NOT NULL").join(firsts.withColumnRenamed("native", "parent"), [*key, "parent"]).select(F.when(F.col("side"), "sidechain").otherwise("parent").alias("kind"), F.col("p.event").alias("source"), F.col("event").alias("target"))
+    children = e.where("parent IS NOT NULL").join(firsts.withColumnRenamed("native", "parent"),
+        [*key, "parent"]).select(F.when(F.col("side"), "sidechain").otherwise("parent").alias("kind"), F.col("p.event").alias("source"), F.col("event").alias("target"))
     summaries = e.where("kind = 'compaction_summary'").select(*key, F.col("event").alias("summary"), F.col("ordinal").alias("at"), "kept")
     kept = firsts.select(*key, F.col("native").alias("kept"), F.col("p.ordinal").alias("from"))
     spans = e.select(*key, "event", "ordinal").join(summaries.join(kept, [*key, "kept"], "left"), key).where("ordinal < at")

@@ -67,7 +67,8 @@ def clamp(value: object, least: int, most: int, default: int) -> int:
         return default
 
 
-def filtered(df: DataFrame, equal: dict[str, object] | None = None, contains: dict[str, str] | None = None, between: tuple[str, object, object] | None = None, keyword: tuple[str, list[str]] | None = None) -> DataFrame:
+def filtered(df: DataFrame, equal: dict[str, object] | None = None, contains: dict[str, str] | None = None, between: tuple[str, object, object] | None = None,
+    keyword: tuple[str, list[str]] | None = None) -> DataFrame:
     """Equality, case-insensitive containment, an inclusive range, and one keyword over several columns."""
     for c, v in (equal or {}).items():
         df = df.where(F.col(c) == F.lit(v))

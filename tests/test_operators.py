@@ -90,7 +90,7 @@ def test_merge_levels(spark):
     other = " ".join(f"thing{i}" for i in range(120))
     docs = [(1, base + " 17"), (2, base + " 18"), (3, base + " 19"), (4, other), (5, other), (6, base.replace("word7 ", "fresh ").replace("word70 ", "new ").replace("word100 ", "odd ")), (7, "alone")]
     rows = {r["id"]: r for r in merge.merge_layer(spark.createDataFrame(docs, "id long, text string")).collect()}
-    assert {i: rows[i]["level"] for i in rows if i != 6} == {1: "same", 2: "same", 3: "same", 4: "same", 5: "same", 7: "none"}
+    assert {i: rows[i]["level"] for i in rows if i != 6} == {1: "same", 2: "same", 3: "same", 4: "topic", 5: "topic", 7: "none"}
     assert rows[6]["level"] in ("topic", "none")
     assert rows[2]["representative"] == 1 and rows[5]["representative"] == 4 and rows[7]["representative"] == 7
 
