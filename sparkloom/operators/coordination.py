@@ -51,13 +51,12 @@ def conflicts(goals: DataFrame, claims: DataFrame, days: int = 30) -> DataFrame:
     ``days`` is the size of the cells of time that claims are filed under: about as long as a claim."""
     keys = ["snapshot", "run", "type", "resource_id", "unit"]
     usable = claims.join(goals.select("goal_id", "confidence"), "goal_id")
-    met = relational.overlapping(usable, keys, "claim_id", "start", "end", days).select("a", "b")
-    side = lambda c: usable.select(F.col("claim_id").alias(c), *[F.col(x).alias(f"{x}_{c}") for x in ("goal_id", "amount", "capacity", "confidence", "start", "end")])
-    pairs = met.join(side("a"), "a").join(side("b"), "b").where("goal_id_a <> goal_id_b AND start_a < end_b AND start_b < end_a")
-    over = pairs.where(F.col("amount_a") + F.col("amount_b") > F.least("capacity_a", "capacity_b"))
-    low, high = F.least("goal_id_a", "goal_id_b").alias("a"), F.greatest("goal_id_a", "goal_id_b").alias("b")
-    rows = over.select(low, high, F.least("confidence_a", "confidence_b").alias("confidence"))
-    return rows.groupBy("a", "b").agg(F.count("*").alias("resources"), F.min("confidence").alias("confidence"))
+    # A claim goes along whole, as ids of claims may repeat; its goal comes first, so the order is that of goals.
+    whole = F.struct("goal_id", "claim_id", "amount", "capacity", "confidence")
+    met = relational.overlapping(usable.withColumn("claim", whole), keys, "claim", "start", "end", days)
+    over = met.where("a.goal_id <> b.goal_id AND a.amount + b.amount > least(a.capacity, b.capacity)")
+    rows = over.select(F.col("a.goal_id").alias("low"), F.col("b.goal_id").alias("high"), F.least("a.confidence", "b.confidence").alias("confidence"))
+    return rows.groupBy(F.col("low").alias("a"), F.col("high").alias("b")).agg(F.count("*").alias("resources"), F.min("confidence").alias("confidence"))
 
 
 def opportunities(goals: DataFrame, conflicting: DataFrame) -> DataFrame:

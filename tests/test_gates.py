@@ -51,3 +51,17 @@ def test_goals(spark):
     assert sorted(map(tuple, clashes.collect())) == [(1, 2, 2, 0.9), (2, 3, 1, 0.9)]
     shared = coordination.opportunities(usable, clashes).collect()
     assert [(r["target"], r["first"], r["goals"], r["domains"], r["pairs"]) for r in shared] == [("run", 1, 3, 3, 1)]
+
+
+def test_goals_whose_claims_share_an_id(spark):
+    """Ids of claims may repeat; each pair of claims still counts once."""
+    from datetime import datetime
+
+    from sparkloom.operators import coordination
+
+    day = lambda n: datetime(2025, 5, n)
+    claim = lambda n, g, a, b, what: (n, g, "time", what, "h", 6.0, 10.0, day(a), day(b), None, "s", "r")
+    goals = [(n, "learning", "run", 0.9, day(1), None, False, False, "s", "r") for n in (1, 2)]
+    claims = [claim(7, 1, 1, 5, "desk"), claim(7, 1, 2, 6, "desk"), claim(8, 2, 3, 6, "desk"), claim(8, 2, 4, 7, "lamp"), claim(9, 1, 4, 5, "lamp")]
+    g, c = spark.createDataFrame(goals, coordination.GOALS), spark.createDataFrame(claims, coordination.CLAIMS)
+    assert [tuple(r) for r in coordination.conflicts(g, c, days=2).collect()] == [(1, 2, 3, 0.9)]
