@@ -60,3 +60,19 @@ def test_few_and_none(spark):
     for parts in (None, 3):
         assert vectors.similar_pairs(one.limit(0), 0.5, parts).count() == 0
         assert vectors.top_k(one.limit(0), one.withColumnRenamed("id", "query"), 2, parts).count() == 0
+
+
+def test_rows_go_to_few_blocks_however_many_there_are(spark, monkeypatch):
+    """What is shuffled is a row times its blocks, so their number is bounded."""
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    monkeypatch.setattr(vectors, "SLICE", 500)
+    x = clustered(400, 6, 9, 1.5)
+    rows, c = frame(spark, x), cosines(x)
+    blocks, size = vectors._sizes(rows)
+    assert (blocks, size) == (vectors.MOST_BLOCKS, 25)
+    got = {(r["a"], r["b"]) for r in vectors.similar_pairs(rows, 0.7).collect()}
+    assert got == {(a, b) for a, b in np.argwhere(c >= 0.7) if a < b}
+    best = {(r["query"], r["rank"]): r["id"] for r in vectors.top_k(rows, rows.withColumnRenamed("id", "query"), 3).collect()}
+    for q in range(400):
+        order = [i for i in np.lexsort((np.arange(400), -np.round(c[q], 9))) if i != q][:3]
+        assert [best[q, n] for n in (1, 2, 3)] == order
