@@ -1,7 +1,10 @@
-"""Column functions on texts. All stay in the JVM."""
+"""Column functions on texts. All but gram_jaccard stay in the JVM."""
 
 from __future__ import annotations
 
+import re
+
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -62,6 +65,28 @@ def jaccard(a: Column, b: Column) -> Column:
     return F.when(either == 0, F.lit(0.0)).otherwise(both / either)
 
 
+def gram_jaccard(a: Column, b: Column, n: int = 4) -> Column:
+    """jaccard(char_grams(a), char_grams(b)) of whole texts, whose grams are made in a task and not kept as arrays; null if either is null."""
+    white = re.compile(r"[ \t\n\x0b\f\r]+")
+
+    def grams(text: str) -> set[str]:
+        bare = white.sub("", text)
+        return {bare[i : i + n] for i in range(max(1, len(bare) - n + 1))}
+
+    def likeness(left: pa.Array, right: pa.Array) -> pa.Array:
+        out = []
+        for x, y in zip(left, right, strict=True):
+            if not (x.is_valid and y.is_valid):
+                out.append(None)
+                continue
+            p, q = grams(x.as_py()), grams(y.as_py())
+            both = len(p & q)
+            out.append(both / (len(p) + len(q) - both))
+        return pa.array(out, pa.float64())
+
+    return F.arrow_udf(likeness, "double")(a, b)
+
+
 def skeleton(text: Column) -> Column:
     """Identifiers, paths and numbers masked, in this order."""
     for pattern, mark in ((r"[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}", "<uuid>"), (r"[A-Za-z]:\\[^ \t\n]+", "<path>"),

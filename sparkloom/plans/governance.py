@@ -288,8 +288,7 @@ def _likeness(docs: DataFrame) -> DataFrame:
     placed = relational.ranked(docs, "source", "doc_id")
     before = placed.select("source", (F.col("rank") + 1).alias("rank"), F.col("t").alias("before"))
     rows = placed.join(before, ["source", "rank"], "left")
-    gram = lambda c: text.char_grams(F.coalesce(c, F.lit("")))
-    return rows.select("doc_id", F.round(F.when(F.col("before").isNull(), F.lit(0.0)).otherwise(text.jaccard(gram(F.col("t")), gram(F.col("before")))), 6).alias("likeness"))
+    return rows.select("doc_id", F.round(F.coalesce(text.gram_jaccard(F.coalesce("t", F.lit("")), F.col("before")), F.lit(0.0)), 6).alias("likeness"))
 
 
 @query(_LIKENESS)

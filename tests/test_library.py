@@ -175,3 +175,10 @@ def test_snapshots(spark, tmp_path):
     assert snaps.active() == "g1"
     snaps.activate("g2")
     assert snaps.rollback() == "g1" and snaps.active() == "g1" and snaps.read("g1").count() == 3
+
+
+def test_gram_jaccard_equals_the_arrays(spark):
+    texts = ["", None, "ab", "a b", "abc d", "abcd\nabce", "x\u2003yz\U0001f600 abcd", "\U0001f600\U0001f600\U0001f600\U0001f600\U0001f601"]
+    rows = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
+    arrays = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), text.jaccard(text.char_grams(F.col("x")), text.char_grams(F.col("y"))))
+    assert [r for r in rows.select(text.gram_jaccard(F.col("x"), F.col("y")).alias("got"), arrays.alias("want")).collect() if r["got"] != r["want"]] == []
