@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from sparkloom.sources.shared import materialize
 
-#: Members of a node's list that one cell of ``common_neighbours`` holds at most, on average.
-BLOCK = 256
+#: Members of a node's list that one cell of ``common_neighbours`` holds at most, on average; pairs that a task counts.
+BLOCK, TASK_PAIRS = 256, 4_000_000
 
 
 def undirected(edges: DataFrame) -> DataFrame:
@@ -47,17 +47,21 @@ def hops(edges: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
 def common_neighbours(edges: DataFrame, most_degree: int | None = None) -> DataFrame:
     """(x, y, n): pairs of ``a`` nodes and the number of ``b`` nodes that both are joined to.
 
-    The list of a ``b`` node is cut into blocks, and each pair of blocks is a cell of its own, so a node of any degree
-    is compared whole but never by one task. The pairs themselves grow with the square of a degree."""
+    The list of a ``b`` node is cut into blocks, which each of its members meets one by one, so a node of any degree
+    is compared whole but never by one task. Partners travel to the counting as lists, to as many tasks as there are
+    pairs for. The pairs themselves grow with the square of a degree."""
     rows = edges.select("a", "b").distinct()
     if most_degree is not None:
         rows = rows.join(rows.groupBy("b").agg(F.count("*").alias("d")).where(F.col("d") <= most_degree).select("b"), "b")
     degrees = rows.groupBy("b").agg(F.count("*").alias("d")).where("d > 1")
-    cut = rows.join(degrees, "b").withColumn("blocks", F.ceil(F.col("d") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    left = cut.select("b", F.col("a").alias("x"), F.col("own").alias("i"), every.alias("j"))
-    right = cut.select("b", F.col("a").alias("y"), every.alias("i"), F.col("own").alias("j"))
-    return left.join(right, ["b", "i", "j"]).where("x < y").groupBy("x", "y").agg(F.count("*").alias("n"))
+    cut = materialize(rows.join(degrees, "b").withColumn("blocks", F.ceil(F.col("d") / BLOCK).cast("int")).withColumn("own", F.pmod(F.xxhash64("a"), F.col("blocks")).cast("int")))
+    pairs = cut.agg(F.sum("d")).first()[0] or 0
+    tasks = max(1, -(-pairs // (2 * TASK_PAIRS)))
+    lists = cut.withColumn("i", F.col("own")).repartition(tasks, "b", "i").groupBy("b", "i").agg(F.array_sort(F.collect_list("a")).alias("ys"))
+    asking = cut.select("b", F.col("a").alias("x"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i")).repartition(tasks, "b", "i")
+    partners = asking.join(lists, ["b", "i"]).select("x", F.filter("ys", lambda y: y > F.col("x")).alias("ys")).where(F.size("ys") > 0)
+    met = partners.repartition(tasks, "x").select("x", F.explode("ys").alias("y"))
+    return met.groupBy("x", "y").agg(F.count("*").alias("n"))
 
 
 def shortest_paths(edges: DataFrame, source: str, most: int) -> DataFrame:

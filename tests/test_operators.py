@@ -129,3 +129,15 @@ def test_bootstrap(spark):
     r = retrieval.paired_bootstrap(pairs, 500).first()
     assert r["n"] == 20 and r["mean"] == 0.5 and 0.2 < r["low"] < 0.5 < r["high"] < 0.8
     assert retrieval.paired_bootstrap(pairs.limit(0)).count() == 0
+
+
+def test_common_neighbours_in_many_tasks(spark, monkeypatch):
+    from sparkloom.operators import graph
+
+    monkeypatch.setattr(graph, "BLOCK", 3)
+    monkeypatch.setattr(graph, "TASK_PAIRS", 20)
+    edges = {(a, b) for a in range(20) for b in range(9) if (a * b + a) % 4 < 2}
+    found = graph.common_neighbours(spark.createDataFrame(sorted(edges) + [(0, 0)], "a long, b long"))
+    want = {(x, y): n for x in range(20) for y in range(x + 1, 20) if (n := sum((x, b) in edges and (y, b) in edges for b in range(9)))}
+    assert {(r["x"], r["y"]): r["n"] for r in found.collect()} == want
+    assert graph.common_neighbours(spark.createDataFrame([], "a long, b long")).count() == 0
