@@ -83,8 +83,8 @@ def paired_bootstrap(pairs: DataFrame, draws: int = 10_000) -> DataFrame:
     spark = pairs.sparkSession
     if not n:
         return spark.createDataFrame([], "n long, mean double, low double, high double")
-    small = F.broadcast(pairs) if n <= 100_000 else pairs
-    cells = spark.range(draws).select(F.col("id").alias("b"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))).alias("j"))
+    small = F.broadcast(pairs) if n <= 1_000_000 else pairs
+    cells = spark.range(draws * n).select(F.expr(f"id DIV {n}").alias("b"), (F.col("id") % n).alias("j"))  # a sequence of n would be a constant in the plan
     index = F.conv(F.substring(F.md5(F.concat_ws("|", "b", "j")), 1, 8), 16, 10).cast("long") % n
     means = cells.withColumn("i", index).join(small, "i").groupBy("b").agg(F.round(F.sum("d") / n, 9).alias("m"))
     counted = means.groupBy("m").agg(F.count("*").alias("c")).withColumn("upto", F.sum("c").over(Window.orderBy("m").rowsBetween(Window.unboundedPreceding, 0)))

@@ -150,6 +150,15 @@ def test_facts_meet_by_classes(spark, tmp_path):
         assert name == "b" or "CartesianProduct" not in got._jdf.queryExecution().toString()
 
 
+def test_bootstrap_plan_holds_no_list_of_cases(spark):
+    """The plan's size does not depend on the number of cases."""
+    from sparkloom.operators import retrieval
+
+    rows = retrieval.paired_bootstrap(spark.range(1000).select(F.col("id").alias("i"), (F.col("id") % 2).cast("int").alias("d")), draws=20)
+    assert "ArrayData" not in rows._jdf.queryExecution().optimizedPlan().toString()
+    assert rows.first()["mean"] == 0.5
+
+
 def test_common_neighbours_in_many_tasks(spark, monkeypatch):
     from sparkloom.operators import graph
 
