@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from sparkloom.functions import identity, text
+from sparkloom.functions import identity
 from sparkloom.operators.leaders import leader_clusters
 
 #: Lifecycles from the mildest to the gravest; a merged unit has its members' gravest.
@@ -21,8 +21,8 @@ def bucket(subject: Column, kind: Column, scope: Column, lifecycle: Column) -> C
 def members(units: DataFrame, percent: int = 85) -> DataFrame:
     """(id, leader) of units(id, subject, kind, scope, lifecycle, question, answer): like questions and answers, in order."""
     said = F.lower(F.concat_ws(" ", F.coalesce("question", F.lit("")), F.coalesce("answer", F.lit(""))))
-    grams = F.filter(text.char_grams(said, 4), lambda g: g != "")
-    rows = units.select("id", bucket(F.col("subject"), F.col("kind"), F.col("scope"), F.col("lifecycle")).alias("bucket"), grams.alias("members"))
+    bare = F.regexp_replace(said, r"[ \t\n\x0b\f\r]+", "")
+    rows = units.select("id", bucket(F.col("subject"), F.col("kind"), F.col("scope"), F.col("lifecycle")).alias("bucket"), bare.alias("members"))
     return leader_clusters(rows, percent)
 
 
@@ -31,12 +31,12 @@ def canonical_units(units: DataFrame, membership: DataFrame) -> DataFrame:
 
     Members stay in ``membership``; here they are counted, so a group of any size is a few partial aggregates."""
     rank = F.array_position(F.array(*[F.lit(s) for s in SEVERITY]), F.col("lifecycle"))
-    best = F.max_by(F.struct("id", "subject", "kind", "question", "answer"), F.struct(F.char_length("answer"), -F.col("id"))).alias("best")
-    grouped = units.join(membership, "id").groupBy("leader").agg(best, F.min("confidence").alias("confidence"), F.max(rank).alias("rank"), F.count("*").alias("n_members"))
-    name = identity.canonical_id(F.col("best.subject"), F.col("best.kind"), F.col("best.answer"))
+    named = units.select("id", "confidence", rank.alias("rank"), F.char_length("answer").alias("length"), identity.canonical_id(F.col("subject"), F.col("kind"), F.col("answer")).alias("name"))
+    best = F.max_by(F.struct("id", "name"), F.struct("length", -F.col("id"))).alias("best")  # texts are not sent
+    grouped = named.join(membership, "id").groupBy("leader").agg(best, F.min("confidence").alias("confidence"), F.max("rank").alias("rank"), F.count("*").alias("n_members"))
     lifecycle = F.element_at(F.array(*[F.lit(s) for s in SEVERITY]), F.col("rank").cast("int"))
     reason = F.when(F.col("n_members") > 1, "similar_merge").otherwise("single")
-    return grouped.select("leader", name.alias("canonical_unit"), F.col("best.id").alias("best"), "confidence", lifecycle.alias("lifecycle"), "n_members", reason.alias("merge_reason"))
+    return grouped.select("leader", F.col("best.name").alias("canonical_unit"), F.col("best.id").alias("best"), "confidence", lifecycle.alias("lifecycle"), "n_members", reason.alias("merge_reason"))
 
 
 def merge_gate(membership: DataFrame, evidence: DataFrame, positives: DataFrame, negatives: DataFrame, least_recall: float = 0.8) -> DataFrame:

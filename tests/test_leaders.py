@@ -1,10 +1,12 @@
 """Leader clusters against a loop over all rows, and what is made of them."""
 
 import random
+from pathlib import Path
 
 import pytest
 
 from sparkloom.operators import canonical, leaders
+from sparkloom.sources import shared
 
 
 def looped(rows, percent):
@@ -102,3 +104,15 @@ def test_buckets_reducer_and_gate(spark):
     assert canonical.merge_gate(found, evidence, pairs(("m1", "m2"), ("m2", "m5")), pairs(("m2", "m4"))).first()["verdict"] == "failed"
     assert canonical.merge_gate(found, evidence, pairs(("m1", "m2")), pairs(("m1", "m5"))).first()["false_merges"] == 1
     assert canonical.merge_gate(found, evidence, pairs(("x", "y")), pairs(("m2", "m4"))).first()["verdict"] == "not_applicable"
+
+
+def test_sets_are_not_written(spark):
+    """Only sketches are written and sent of sets that are like none, not their members; windows of strings are sets too."""
+    rng = random.Random(9)
+    rows = [(i, "b", frozenset(f"m{rng.randrange(10**9)}" for _ in range(500))) for i in range(200)]
+    with shared.temporary_tables(spark) as paths:
+        got = clustered(spark, rows, 85)
+        written = sum(f.stat().st_size for p in paths for f in Path(p.removeprefix("file:")).rglob("*.parquet"))
+    assert got == {i: i for i, _, _ in rows} and written < 200 * 500 * 4
+    texts = spark.createDataFrame([(1, "b", "the blue shell"), (2, "b", "the blue shell."), (3, "b", "the red shell")], "id long, bucket string, members string")
+    assert {r["id"]: r["leader"] for r in leaders.leader_clusters(texts, 85).collect()} == {1: 1, 2: 1, 3: 3}
