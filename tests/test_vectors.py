@@ -1,6 +1,7 @@
 """Exact vector search with skipped blocks against all products."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from sparkloom.operators import vectors
@@ -76,3 +77,14 @@ def test_rows_go_to_few_blocks_however_many_there_are(spark, monkeypatch):
     for q in range(400):
         order = [i for i in np.lexsort((np.arange(400), -np.round(c[q], 9))) if i != q][:3]
         assert [best[q, n] for n in (1, 2, 3)] == order
+
+
+def test_vectors_are_sent_in_few_bytes(spark):
+    """Each number keeps its value; counts take a byte or two, single precision four."""
+    rows = [[1.0, -127.0], [300.0, 0.0], [0.5, float(np.float32(0.1))], [0.1, 1e300], [float("nan"), 1.0]]
+    packed = vectors._packed(pa.array(rows, pa.list_(pa.float64())))
+    assert [len(v) for v in packed.to_pylist()] == [3, 5, 9, 17, 17]
+    assert np.array_equal(vectors._unpacked(packed), np.array(rows), equal_nan=True)
+    counts = np.random.default_rng(4).integers(-9, 9, (400, 256)).astype(float)
+    placed, _ = vectors._placed(frame(spark, counts), 4, 100)
+    assert max(len(r["v"]) for r in placed.select("v").collect()) == 257
