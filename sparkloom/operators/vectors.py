@@ -4,8 +4,9 @@ More than one block of vectors is dealt by nearest pivot, and a pivot's vectors
 Angles obey the triangle inequality: vectors of two pivots are at least as far apart as the pivots less the radii around
 them, so pairs of pivots, or of a query and a pivot, that can hold nothing near enough are skipped, and nothing else is.
 Pivots come from a bounded sample and only say where to look; vectors spread evenly skip little, clustered ones most.
-Blocks grow with the collection up to MOST_VALUES, so a row is sent to a bounded number of them and what is shuffled grows
-as the collection does; vectors are sent in as few bytes as hold their very values. Products are made in single precision, a slice of queries at a time, and whatever they don't
+A task takes a group of blocks, of which there are at most GROUPS until one holds MOST_VALUES numbers, so a row is sent to a
+bounded number of tasks and what is shuffled grows as the collection does; vectors are sent in as few bytes as hold their
+very values, and stay so in a task but for single precision. Products are made in single precision, a slice of queries at a time, and whatever they don't
 rule out is computed again in double precision."""
 
 from __future__ import annotations
@@ -23,6 +24,8 @@ from sparkloom.sources.shared import materialize
 #: Rows of a block, on average; a task multiplies two blocks at a time. Of more than MOST_BLOCKS times as many rows the
 #: blocks are larger, up to MOST_VALUES numbers (262,144 vectors of 64).
 BLOCK, MOST_BLOCKS, MOST_VALUES = 2048, 16, 1 << 24
+#: Groups of blocks that meet, each pair of them in a task.
+GROUPS = 6
 #: What a vector's numbers are sent as.
 KINDS = (np.int8, np.int16, np.float32, np.float64)
 #: Products made at a time in a task, candidates computed again at a time.
@@ -59,21 +62,41 @@ def _packed(column: pa.Array) -> pa.Array:
 def _unpacked(column: pa.Array) -> np.ndarray:
     rows = column.to_pylist()
     kind = np.array([r[0] for r in rows])
-    out = np.zeros((len(rows), (len(rows[0]) - 1) // np.dtype(KINDS[rows[0][0]]).itemsize))
+    out = np.zeros((len(rows), (len(rows[0]) - 1) // np.dtype(KINDS[rows[0][0]]).itemsize), KINDS[kind.max()])
     for k in np.unique(kind).tolist():
         at = np.flatnonzero(kind == k)
         out[at] = np.frombuffer(b"".join([rows[i][1:] for i in at]), KINDS[k]).reshape(len(at), -1)
     return out
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
+def _numbers(column: pa.Array) -> np.ndarray:
     if not len(column):
-        m = np.zeros((0, 1))
-    elif pa.types.is_binary(column.type):
-        m = _unpacked(column)
-    else:
-        m = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
-    return m / np.maximum(np.sqrt((m * m).sum(axis=1, keepdims=True)), 1e-300)
+        return np.zeros((0, 1))
+    if pa.types.is_binary(column.type):
+        return _unpacked(column)
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), -1)
+
+
+class Units:
+    """Rows as unit vectors: kept as they were sent, made single or double where they are asked for."""
+
+    def __init__(self, column: pa.Array):
+        self.numbers = _numbers(column)
+        norms = [np.sqrt((m * m).sum(axis=1)) for m in (self.numbers[at : at + AGAIN].astype(np.float64) for at in range(0, len(self.numbers), AGAIN))]
+        self.norms = np.maximum(np.concatenate(norms) if norms else np.zeros(0), 1e-300)[:, None]
+
+    def __len__(self) -> int:
+        return len(self.numbers)
+
+    def double(self, at=slice(None)) -> np.ndarray:
+        return self.numbers[at].astype(np.float64) / self.norms[at]
+
+    def single(self, at=slice(None)) -> np.ndarray:
+        return self.double(at).astype(np.float32)
+
+
+def _matrix(column: pa.Array) -> np.ndarray:
+    return Units(column).double()
 
 
 @dataclass
@@ -84,10 +107,29 @@ class Places:
     pivots: np.ndarray
     radius: np.ndarray
     blocks: np.ndarray
+    rows: np.ndarray
 
     def angles(self, unit: np.ndarray) -> np.ndarray:
         return np.arccos(np.clip(unit @ self.pivots.T, -1, 1))
 
+    def asked(self, unit: np.ndarray, kth: np.ndarray) -> np.ndarray:
+        """Which pivots queries ask: their own one first, later all others that may hold more than they know of."""
+        angles = self.angles(unit)
+        mine = np.arange(len(self.pivots))[None, :] == angles.argmin(axis=1)[:, None]
+        least = np.arccos(np.clip(np.nan_to_num(kth, nan=-1.0) - 1e-9, -1, 1))[:, None] + LOOSE
+        return np.where(np.isnan(kth)[:, None], mine, ~mine & (angles - self.radius - LOOSE <= least))
+
+    def groups(self, blocks: int) -> list[list[int]]:
+        """Of each pivot's blocks the group they lie in: the fullest first, each into what is the emptiest group by then."""
+        counts = {(p, b): self.rows[p] / n for p, n in enumerate(self.blocks.tolist()) for b in range(n)}
+        most = max(1, MOST_VALUES // self.pivots.shape[1])
+        filled = [0.0] * max(1, min(len(counts), max(min(GROUPS, blocks), -(-int(self.rows.sum()) // most))))
+        out = [[0] * max(1, n) for n in self.blocks.tolist()]
+        for (p, b), n in sorted(counts.items(), key=lambda c: -c[1]):
+            out[p][b] = filled.index(min(filled))
+            filled[out[p][b]] += n
+        return out
+
     def near(self, least: float) -> list[tuple[int, int]]:
         """Pairs p <= q of pivots whose vectors may have a cosine of at least ``least``."""
         apart = self.angles(self.pivots) - self.radius[:, None] - self.radius[None, :] - LOOSE
@@ -120,22 +162,26 @@ def _placed(vectors: DataFrame, blocks: int, size: int) -> tuple[DataFrame, Plac
         return pa.StructArray.from_arrays([pa.array(at, pa.int32()), pa.array(angle)], names=["pivot", "angle"])
 
     rows = materialize(vectors.select("id", F.arrow_udf(_packed, "binary")("v").alias("v"), F.arrow_udf(nearest, "pivot int, angle double")("v").alias("at")).select("id", "v", "at.pivot", "at.angle"))
-    places = Places(size, pivots, np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64))
+    places = Places(size, pivots, np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64), np.zeros(len(pivots), dtype=np.int64))
     for r in rows.groupBy("pivot").agg(F.count("*").alias("n"), F.max("angle").alias("radius")).collect():  # PIVOTS rows at most
-        places.radius[r["pivot"]], places.blocks[r["pivot"]] = r["radius"], -(-r["n"] // size)
+        places.radius[r["pivot"]], places.blocks[r["pivot"]], places.rows[r["pivot"]] = r["radius"], -(-r["n"] // size), r["n"]
     many = F.element_at(F.array(*[F.lit(int(max(1, b))) for b in places.blocks]), F.col("pivot") + 1)
-    return rows.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int")), places
+    group = F.array(*[F.array(*[F.lit(g) for g in gs]) for gs in places.groups(blocks) or [[0]]])
+    rows = rows.withColumn("block", F.pmod(F.xxhash64("id"), many).cast("int"))
+    return rows.withColumn("part", F.element_at(F.element_at(group, F.col("pivot") + 1), F.col("block") + 1)), places
 
 
-def _products(left: np.ndarray, right: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """The products of unit vectors in single precision, a slice of left at a time, with where it starts."""
-    step, across = max(1, SLICE // max(1, len(right))), right.astype(np.float32).T
-    for at in range(0, len(left), step):
-        yield at, left[at : at + step].astype(np.float32) @ across
+def _products(left: Units, right: Units, rows=None, columns=None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The products of unit vectors in single precision, a slice of left at a time, with its rows of left."""
+    rows = np.arange(len(left)) if rows is None else rows
+    across = right.single(slice(None) if columns is None else columns).T
+    step = max(1, SLICE // max(1, across.shape[1]))
+    for at in range(0, len(rows), step):
+        yield rows[at : at + step], left.single(rows[at : at + step]) @ across
 
 
-def _exact(left: np.ndarray, right: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    parts = [np.einsum("ij,ij->i", left[i[at : at + AGAIN]], right[j[at : at + AGAIN]]) for at in range(0, len(i), AGAIN)]
+def _exact(left: Units, right: Units, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    parts = [np.einsum("ij,ij->i", left.double(i[at : at + AGAIN]), right.double(j[at : at + AGAIN])) for at in range(0, len(i), AGAIN)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
@@ -147,51 +193,68 @@ def _own(names: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(names)), n), order[np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n) + np.repeat(low, n)]
 
 
-def _best(k: int):
-    """A task of top_k: the k best rows of a block for each query of one, of those that reach the score it has k times."""
+def _best(k: int, places: Places | None = None):
+    """A task of top_k: the k best rows for each query, of those that reach the score it has k times.
+
+    With places a query meets only rows of the pivots that it asks."""
 
     def best(key, queries: pa.Table, vectors: pa.Table) -> pa.Table:
         found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
         if queries.num_rows and vectors.num_rows:
-            ids, names = vectors["id"].to_numpy(), queries["query"].to_numpy()
-            left, right = _matrix(queries["v"].combine_chunks()), _matrix(vectors["v"].combine_chunks())
-            kth, most = queries["kth"].to_numpy(), min(k, len(ids))
-            for at, near in _products(left, right):
-                own = _own(names[at : at + len(near)], ids)
-                near[own] = -2
-                least = np.nan_to_num(kth[at : at + len(near)], nan=-1.5) - TIE - SINGLE
-                many = np.flatnonzero(np.count_nonzero(near >= least[:, None], axis=1) > 8 * k)
-                if len(many):
-                    at_k = np.partition(near[many], len(ids) - most, axis=1)[:, len(ids) - most]
-                    least[many] = np.maximum(least[many], at_k - TIE - 2 * SINGLE)
-                row, column = np.nonzero(near >= np.maximum(least, -1.75)[:, None])
-                scores = _exact(left, right, row + at, column)
-                order = np.lexsort((ids[column], -np.round(scores, 9), row))
-                row, column, scores = row[order], column[order], scores[order]
-                keep = np.arange(len(row)) - np.searchsorted(row, row) < k
-                found.append((names[row[keep] + at], ids[column[keep]], scores[keep]))
-        query, id_, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            all_ids, names = vectors["id"].to_numpy(), queries["query"].to_numpy()
+            left, right = Units(queries["v"].combine_chunks()), Units(vectors["v"].combine_chunks())
+            kth = queries["kth"].to_numpy()
+            pivots = vectors["pivot"].to_numpy() if places else np.zeros(len(all_ids), int)
+            asks = np.concatenate([places.asked(left.double(slice(at, at + AGAIN)), kth[at : at + AGAIN]) for at in range(0, len(left), AGAIN)]) if places else None
+            for p in np.unique(pivots).tolist():
+                columns = np.flatnonzero(pivots == p)
+                rows = np.flatnonzero(asks[:, p]) if places else np.arange(len(names))
+                ids, most = all_ids[columns], min(k, len(columns))
+                for at, near in _products(left, right, rows, columns):
+                    own = _own(names[at], ids)
+                    near[own] = -2
+                    least = np.nan_to_num(kth[at], nan=-1.5) - TIE - SINGLE
+                    many = np.flatnonzero(np.count_nonzero(near >= least[:, None], axis=1) > 8 * k)
+                    if len(many):
+                        at_k = np.partition(near[many], len(ids) - most, axis=1)[:, len(ids) - most]
+                        least[many] = np.maximum(least[many], at_k - TIE - 2 * SINGLE)
+                    row, column = np.nonzero(near >= np.maximum(least, -1.75)[:, None])
+                    scores = _exact(left, right, at[row], columns[column])
+                    found.append(_first(k, names[at[row]], ids[column], scores))
+        query, id_, score = _first(k, *(np.concatenate(c) for c in zip(*found, strict=True)))
         return pa.table({"query": query, "id": id_, "score": score})
 
     return best
 
 
+def _first(k: int, query: np.ndarray, ids: np.ndarray, scores: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The k best of each query."""
+    order = np.lexsort((ids, -np.round(scores, 9), query))
+    query, ids, scores = query[order], ids[order], scores[order]
+    keep = np.arange(len(query)) - np.searchsorted(query, query) < k
+    return query[keep], ids[keep], scores[keep]
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc(F.round("score", 9)), "id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _met(queries: DataFrame, rows: DataFrame, places: Places, k: int) -> DataFrame:
-    """What queries(query, v, kth, pivot) find among the vectors of these pivots, each block of queries with each block of vectors."""
-    asked = queries.groupBy("pivot").agg(F.ceil(F.count("*") / places.size).cast("int").alias("asked"))
-    sizes = materialize(asked.join(rows.sparkSession.createDataFrame([(i, int(b)) for i, b in enumerate(places.blocks) if b], "pivot int, blocks int"), "pivot"))
-    again = sizes.toDF("pivot", "asked_again", "blocks_again")
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = queries.join(sizes, "pivot").withColumn("part", F.pmod(F.xxhash64("query"), F.col("asked")).cast("int")).withColumn("block", every("blocks"))
-    right = rows.join(again, "pivot").withColumn("part", every("asked_again"))
-    by = ["pivot", "part", "block"]
-    found = left.select(*by, "query", "v", "kth").groupBy(*by).cogroup(right.select(*by, "id", "v").groupBy(*by))
-    return found.applyInArrow(_best(k), "query long, id long, score double")
+def _met(queries: DataFrame, rows: DataFrame, places: Places, parts: list[list[int]], asked: int, k: int) -> DataFrame:
+    """What queries(query, v, kth) find in the groups of blocks that hold pivots they ask; queries are dealt into so many lots."""
+    holds = np.zeros((len(parts), 1 + max(g for gs in parts for g in gs)), bool)
+    for p, gs in enumerate(parts):
+        holds[p, gs] = places.blocks[p] > 0
+
+    def dealt(batches):
+        for batch in batches:
+            asks = places.asked(_matrix(batch.column(1)), batch.column(2).to_numpy(zero_copy_only=False)) if batch.num_rows else np.zeros((0, len(holds)), bool)
+            at, part = np.nonzero(asks.astype(np.int64) @ holds)
+            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(3)), pa.array(part, pa.int32())], names=["query", "v", "kth", "part"])
+
+    left = queries.mapInArrow(dealt, "query long, v binary, kth double, part int").withColumn("lot", F.pmod(F.xxhash64("query"), F.lit(asked)).cast("int"))
+    right = rows.select("part", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("lot"), "id", "v", "pivot")
+    return left.groupBy("part", "lot").cogroup(right.groupBy("part", "lot")).applyInArrow(_best(k, places), "query long, id long, score double")
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int | None = None) -> DataFrame:
@@ -209,23 +272,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, partitions: int | None
     if not len(places.pivots):
         return _ranked(vectors.sparkSession.createDataFrame([], "query long, id long, score double"), k)
 
-    def asked(batches):
-        """Queries with the pivots they must ask: their own one first, later all that may hold more than they know of."""
-        for batch in batches:
-            angles = places.angles(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, len(places.pivots)))
-            kth, own = batch.column(2).to_numpy(zero_copy_only=False), angles.argmin(axis=1) if len(angles) else np.zeros(0, int)
-            mine = np.arange(len(places.pivots))[None, :] == own[:, None]
-            least = np.arccos(np.clip(np.nan_to_num(kth, nan=-1.0) - 1e-9, -1, 1))[:, None] + LOOSE
-            at, pivot = np.nonzero(np.where(np.isnan(kth)[:, None], mine, ~mine & (angles - places.radius - LOOSE <= least)) if batch.num_rows else np.zeros((0, 1), bool))
-            yield pa.RecordBatch.from_arrays([*(batch.column(c).take(pa.array(at)) for c in range(3)), pa.array(pivot, pa.int32())], names=["query", "v", "kth", "pivot"])
-
-    schema = "query long, v binary, kth double, pivot int"
-    queries = queries.select("query", F.arrow_udf(_packed, "binary")("v").alias("v"))
-    mine = queries.select("query", "v", F.lit(None).cast("double").alias("kth")).mapInArrow(asked, schema)
-    first = materialize(_ranked(_met(mine, rows, places, k), k))
+    parts, queries = places.groups(blocks), queries.select("query", F.arrow_udf(_packed, "binary")("v").alias("v"))
+    asked = max(1, min(-(-queries.count() // size), 1 + max(g for gs in parts for g in gs)))
+    mine = queries.select("query", "v", F.lit(None).cast("double").alias("kth"))
+    first = materialize(_ranked(_met(mine, rows, places, parts, min(2, asked), k), k))  # a query is in few groups here
     kth = first.where(F.col("rank") == k).select("query", F.round("score", 9).alias("kth"))
     rest = queries.select("query", "v").join(kth, "query", "left").select("query", "v", F.coalesce("kth", F.lit(-1.0)).alias("kth"))
-    found = first.drop("rank").unionByName(_met(rest.mapInArrow(asked, schema), rows, places, k))
+    found = first.drop("rank").unionByName(_met(rest, rows, places, parts, asked, k))
     return _ranked(found, k)
 
 
@@ -235,39 +288,49 @@ def similar_pairs(vectors: DataFrame, least: float, partitions: int | None = Non
     Blocks of bounded size meet, each pair of blocks as a group of its own, unless their pivots are too far apart."""
     blocks, size = _sizes(vectors, partitions)
 
-    def close(key, left: pa.Table, right: pa.Table) -> pa.Table:
-        found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
-        if left.num_rows and right.num_rows:
-            a, b = left["id"].to_numpy(), right["id"].to_numpy()
-            x, y = _matrix(left["v"].combine_chunks()), _matrix(right["v"].combine_chunks())
-            p, q, m, n = (k.as_py() for k in key)
-            for at, near in _products(x, y):
-                i, j = np.nonzero(near >= least - SINGLE)
-                i = i + at
-                # Two rows of one block meet twice in it; each of the other pairs of blocks is met once.
-                once = a[i] < b[j] if (p, m) == (q, n) else a[i] != b[j]
-                i, j = i[once], j[once]
-                scores = _exact(x, y, i, j)
-                keep = scores >= least
-                i, j = i[keep], j[keep]
-                found.append((np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), scores[keep]))
-        low, high, score = (np.concatenate(c) for c in zip(*found, strict=True))
-        return pa.table({"a": low, "b": high, "score": score})
-
-    by, out = ["p", "q", "i", "j"], "a long, b long, score double"
+    def close(near: np.ndarray | None):
+        """A task: the pairs of two groups. With ``near`` only rows of pivots that may be near enough meet."""
+
+        def pairs(key, left: pa.Table, right: pa.Table) -> pa.Table:
+            found = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+            if left.num_rows and right.num_rows:
+                a, b = left["id"].to_numpy(), right["id"].to_numpy()
+                x, y = Units(left["v"].combine_chunks()), Units(right["v"].combine_chunks())
+                p, q = (t["pivot"].to_numpy() if near is not None else np.zeros(len(t), int) for t in (left, right))
+                one = key[0].as_py() == key[1].as_py()
+                for pivot in np.unique(p).tolist():
+                    # Within a group each pair of pivots meets once, and rows of one pivot meet twice.
+                    columns = np.flatnonzero((near[pivot, q] if near is not None else q == pivot) & ((q >= pivot) | (not one)))
+                    for at, cosines in _products(x, y, np.flatnonzero(p == pivot), columns) if len(columns) else ():
+                        i, j = np.nonzero(cosines >= least - SINGLE)
+                        i, j = at[i], columns[j]
+                        once = (a[i] < b[j]) | ((p[i] != q[j]) & (a[i] != b[j])) if one else a[i] != b[j]
+                        i, j = i[once], j[once]
+                        scores = _exact(x, y, i, j)
+                        keep = scores >= least
+                        i, j = i[keep], j[keep]
+                        found.append((np.minimum(a[i], b[j]), np.maximum(a[i], b[j]), scores[keep]))
+            low, high, score = (np.concatenate(c) for c in zip(*found, strict=True))
+            return pa.table({"a": low, "b": high, "score": score})
+
+        return pairs
+
+    by, out = ["i", "j"], "a long, b long, score double"
     if blocks == 1:  # nothing to skip
         one = [F.lit(0).alias(c) for c in by]
         left, right = (vectors.select(*one, F.col("id").alias("id"), F.col("v").alias("v")) for _ in range(2))
-        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(close, out)
+        return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(close(None), out)
     rows, places = _placed(vectors, blocks, size)
-    cells = [(p, q, int(places.blocks[p]), int(places.blocks[q])) for p, q in places.near(least)]
-    cells = materialize(vectors.sparkSession.createDataFrame(cells, "p int, q int, np int, nq int"))
-    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    left = rows.join(cells, F.col("pivot") == F.col("p")).select("p", "q", F.col("block").alias("i"), every("nq").alias("j"), "id", "v")
-    again = cells.toDF("p2", "q2", "np2", "nq2")
-    right = rows.toDF(*rows.columns).join(again, F.col("pivot") == F.col("q2")).select(F.col("p2").alias("p"), F.col("q2").alias("q"), every("np2").alias("i"), F.col("block").alias("j"), "id", "v")
-    apart = "p < q OR i <= j"  # within a pivot each pair of blocks once
-    return left.where(apart).groupBy(*by).cogroup(right.where(apart).groupBy(*by)).applyInArrow(close, out)
+    near = np.zeros((len(places.pivots), len(places.pivots)), bool)
+    cells = set()
+    parts = places.groups(blocks)
+    for p, q in places.near(least):
+        near[p, q] = near[q, p] = True
+        cells |= {(min(i, j), max(i, j)) for i in set(parts[p]) for j in set(parts[q])}
+    cells = F.broadcast(materialize(vectors.sparkSession.createDataFrame(sorted(cells), "i int, j int")))  # a row per pair of groups
+    left = rows.join(cells, F.col("part") == F.col("i")).select("i", "j", "id", "v", "pivot")
+    right = rows.toDF(*rows.columns).join(cells.toDF("i2", "j2"), F.col("part") == F.col("j2")).select(F.col("i2").alias("i"), F.col("j2").alias("j"), "id", "v", "pivot")
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(close(near), out)
 
 
 def skipped_share(vectors: DataFrame, least: float, partitions: int | None = None) -> tuple[int, int]:

@@ -88,3 +88,25 @@ def test_vectors_are_sent_in_few_bytes(spark):
     counts = np.random.default_rng(4).integers(-9, 9, (400, 256)).astype(float)
     placed, _ = vectors._placed(frame(spark, counts), 4, 100)
     assert max(len(r["v"]) for r in placed.select("v").collect()) == 257
+
+
+def test_tasks_take_groups_of_blocks(spark, monkeypatch):
+    """However many blocks and pivots there are, a row is sent to as many tasks as there are groups, and these are even."""
+    monkeypatch.setattr(vectors, "BLOCK", 4)
+    x = clustered(400, 6, 9, 1.5)
+    rows, c = frame(spark, x), cosines(x)
+    placed, places = vectors._placed(rows, *vectors._sizes(rows))
+    held = [r["count"] for r in placed.groupBy("part").count().collect()]
+    assert places.blocks.sum() >= 16 and len(held) == vectors.GROUPS and max(held) < 3 * min(held)
+    got = {(r["a"], r["b"]) for r in vectors.similar_pairs(rows, 0.5).collect()}
+    assert got == {(a, b) for a, b in np.argwhere(c >= 0.5) if a < b}
+    monkeypatch.setattr(vectors, "MOST_VALUES", 6 * 40)  # more groups where they would hold too much
+    assert len({g for gs in places.groups(16) for g in gs}) == 10
+
+
+def test_units_keep_what_was_sent():
+    """A task holds counts as bytes; unit vectors are the same as from doubles."""
+    counts = np.random.default_rng(5).integers(-9, 9, (50, 8)).astype(float)
+    counts[3] = 0
+    units = vectors.Units(vectors._packed(pa.array(counts.tolist(), pa.list_(pa.float64()))))
+    assert units.numbers.dtype == np.int8 and np.array_equal(units.double(), counts / np.maximum(np.linalg.norm(counts, axis=1, keepdims=True), 1e-300))
