@@ -169,3 +169,15 @@ def test_common_neighbours_in_many_tasks(spark, monkeypatch):
     want = {(x, y): n for x in range(20) for y in range(x + 1, 20) if (n := sum((x, b) in edges and (y, b) in edges for b in range(9)))}
     assert {(r["x"], r["y"]): r["n"] for r in found.collect()} == want
     assert graph.common_neighbours(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_merge_layer_keeps_null_texts_and_asks_all_partners(spark):
+    """Documents without a text are copies of each other; a member whose nearest partner is unlike asks the next ones."""
+    base = " ".join(f"word{i}" for i in range(120))
+    docs = [(1, None), (2, None), (3, "a b"), *((10 + i, f"{base} {i}") for i in range(6))]
+    rows = {r["id"]: (r["level"], r["representative"], r["size"]) for r in merge.merge_layer(spark.createDataFrame(docs, "id long, text string")).collect()}
+    assert rows == {1: ("same", 1, 2), 2: ("same", 1, 2), 3: ("none", 3, 1), **{10 + i: ("same", 10, 6) for i in range(6)}}
+    likely = spark.createDataFrame([(i, 1, 1, 4) for i in (1, 2, 3, 4)] + [(5, 1, 5, 2), (6, 1, 5, 2)], "id long, copies long, cluster long, size long")
+    said = spark.createDataFrame([(1, "first text of all"), (2, "first text of all."), (3, "zzzz yyyy"), (4, "zzzz yyyy."), (5, "qqqq"), (6, "wwww")], "id long, text string")
+    pairs = spark.createDataFrame([(1, 3, 0.99), (1, 2, 0.98), (2, 3, 0.99), (3, 4, 0.98), (2, 4, 0.99), (5, 6, 0.99)], "a long, b long, score double")
+    assert [r["cluster"] for r in merge._without_partner(said, likely, pairs).collect()] == [5]
