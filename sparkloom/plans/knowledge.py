@@ -323,8 +323,9 @@ def vectors_resumed(spark, sf):
 
     def embed(batch: DataFrame) -> DataFrame:
         words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit("[a-z0-9]+"), F.lit(0)))
-        hashed = batch.select("id", F.transform(words, dims).alias("dims"))
-        return hashed.select("id", F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter("dims", lambda d: d == i))).alias("vector"))
+        # As a lambda's variable the words of a text are found and hashed once, not for each of the 16 numbers.
+        counted = F.transform(F.array(F.transform(words, dims)), lambda all_: F.transform(F.sequence(F.lit(0), F.lit(15)), lambda i: F.size(F.filter(all_, lambda d: d == i))))
+        return batch.select("id", F.element_at(counted, 1).alias("vector"))
 
     class Died(RuntimeError):
         pass

@@ -182,3 +182,17 @@ def test_gram_jaccard_equals_the_arrays(spark):
     rows = spark.createDataFrame([(x, y) for x in texts for y in texts], "x string, y string")
     arrays = F.when(F.col("x").isNotNull() & F.col("y").isNotNull(), text.jaccard(text.char_grams(F.col("x")), text.char_grams(F.col("y"))))
     assert [r for r in rows.select(text.gram_jaccard(F.col("x"), F.col("y")).alias("got"), arrays.alias("want")).collect() if r["got"] != r["want"]] == []
+
+
+def test_words_of_resumed_vectors_are_hashed_once(spark, monkeypatch):
+    """Words are no part of what is done for each of the 16 numbers."""
+    from sparkloom.operators import incremental
+    from sparkloom.plans import knowledge
+
+    made = []
+    monkeypatch.setattr(incremental, "build_resumable", lambda store, name, rows, embed, **_: made.append(embed) or embed(rows.limit(0)))
+    knowledge.vectors_resumed(spark, "/root/testdata/sf0.001")
+    rows = spark.createDataFrame([(1, "One two one"), (2, "")], "id long, text string").repartition(2)
+    done = made[0](rows)
+    assert "filter(transform(" not in done._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["id"]: (len(r["vector"]), sum(r["vector"])) for r in done.collect()} == {1: (16, 2), 2: (16, 0)}
