@@ -1,9 +1,10 @@
-"""Column functions on texts. All but gram_jaccard stay in the JVM."""
+"""Column functions on texts. All but gram_jaccard and window_hashes stay in the JVM."""
 
 from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -38,6 +39,26 @@ def windows(text: Column, n: int) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{n}}}))."), F.lit(1))
 
 
+#: Fixed value: an odd number of 64 bits, of which window_hashes takes powers.
+BASE = 0x9E3779B97F4A7C15
+
+
+def window_hashes(text: Column, n: int) -> Column:
+    """The distinct 64-bit hashes of all windows of n characters, made in a task; none where the text is shorter or null."""
+
+    def hashes(column: pa.Array) -> pa.Array:
+        out = []
+        for t in column:
+            c = np.frombuffer((t.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+            h = np.zeros(max(0, len(c) - n + 1), np.uint64)
+            for i in range(n if len(h) else 0):
+                h = h * np.uint64(BASE) + c[i : i + len(h)]
+            out.append(np.unique(h).view(np.int64))
+        return pa.array(out, pa.list_(pa.int64()))
+
+    return F.arrow_udf(hashes, "array<bigint>")(text)
+
+
 def char_grams(text: Column, n: int = 4) -> Column:
     """Distinct n-grams of characters without white space; a shorter text is its own gram."""
     bare = F.regexp_replace(text, r"[ \t\n\x0b\f\r]+", "")

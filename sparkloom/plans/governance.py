@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from sparkloom.functions import predicates, text
 from sparkloom.operators import relational
 from sparkloom.registry import query
+from sparkloom.sources.shared import materialize
 from sparkloom.sources.tables import table
 
 
@@ -267,14 +268,17 @@ SELECT m.item_id, arg_max(m.doc_id, struct_pack(exact := contains(d.text, q.quot
 def best_supporting_document(spark, sf):
     """For each quote the document that supports it best: verbatim before a shared window of ten characters, then the longest, then the last.
 
-    Windows meet by hash on (quote, document) first; texts are fetched for the pairs that meet."""
-    grams = lambda t: F.array_distinct(F.transform(text.windows(t, 10), lambda w: F.xxhash64(w)))
-    quotes = table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("quote")).where(F.char_length("quote") >= 10)
-    docs = table(spark, sf, "documents").select("doc_id", "text")
-    held = docs.where(F.char_length("text") >= 10).select("doc_id",
-        F.explode(grams(F.col("text"))).alias("g")).join(quotes.select("item_id", F.explode(grams(F.col("quote"))).alias("g")), "g").select("item_id", "doc_id").distinct()
-    exact = F.when(F.contains("text", F.col("quote")), 2).otherwise(1)
-    rows = held.join(docs, "doc_id").join(quotes, "item_id").select("item_id", "doc_id", exact.alias("exact"), F.char_length("text").alias("n"))
+    Windows meet by hash and are counted by (quote, document); only documents that hold all windows of a quote can hold it
+    verbatim, and only their texts are fetched."""
+    grams = lambda t: text.window_hashes(t, 10)
+    quotes = table(spark, sf, "benchmark").select("item_id", F.trim("text").alias("quote")).where(F.char_length("quote") >= 10).withColumn("q", F.xxhash64("quote"))
+    docs = table(spark, sf, "documents").select("doc_id", "text", F.xxhash64("text").alias("t"))
+    held = docs.select("doc_id", F.explode(grams(F.col("text"))).alias("g")).join(quotes.select("item_id", F.explode(grams(F.col("quote"))).alias("g")), "g")
+    held = materialize(held.groupBy("item_id", "doc_id").agg(F.count("*").alias("met")))
+    sizes = quotes.withColumn("size", F.size(grams(F.col("quote"))))
+    whole = held.join(sizes, "item_id").where("met >= size").join(docs, "doc_id").where(F.contains("text", F.col("quote"))).select("item_id", "doc_id", "t", "q", F.lit(2).alias("whole")).distinct()
+    rows = held.join(docs.select("doc_id", "t", F.char_length("text").alias("n")), "doc_id").join(quotes.select("item_id", "q"), "item_id")
+    rows = rows.join(whole, ["item_id", "doc_id", "t", "q"], "left").withColumn("exact", F.coalesce("whole", F.lit(1)))
     return rows.groupBy("item_id").agg(F.max_by("doc_id", F.struct("exact", "n", "doc_id")).alias("best"), F.max("exact").alias("strength"), F.count("*").alias("supporters"))
 
 

@@ -196,3 +196,12 @@ def test_words_of_resumed_vectors_are_hashed_once(spark, monkeypatch):
     done = made[0](rows)
     assert "filter(transform(" not in done._jdf.queryExecution().optimizedPlan().toString()
     assert {r["id"]: (len(r["vector"]), sum(r["vector"])) for r in done.collect()} == {1: (16, 2), 2: (16, 0)}
+
+
+def test_window_hashes_are_of_characters(spark):
+    """Equal windows have equal hashes wherever they stand, and each is there once; whole texts are not taken apart by patterns."""
+    from sparkloom.functions import text
+
+    rows = spark.createDataFrame([(1, "abcabc"), (2, "xabcx"), (3, "ab"), (4, None), (5, "\U0001f600ab\U0001f600ab")], "id long, t string")
+    got = {r["id"]: set(r["h"]) for r in rows.select("id", text.window_hashes(rows["t"], 3).alias("h")).collect()}
+    assert [len(got[i]) for i in range(1, 6)] == [3, 3, 0, 0, 3] and len(got[1] & got[2]) == 1
