@@ -57,19 +57,26 @@ def rank_key(score: Column, turn: Column, unit: Column, title: Column) -> Column
 def support(query: Column, text: Column, lifecycle: Column, privacy: Column, status: Column) -> Column:
     """struct(state, reason) of an answer's evidence: status is that of its reference, or null without one."""
     overlap = F.arrays_overlap(tokens.retrieval_tokens(query), tokens.retrieval_tokens(text))
-    literals = tokens.required_literals(query)
-    absent = F.exists(literals, lambda x: ~F.contains(text, x))
-    verdict = lambda state, reason: F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))
+    return verdict(overlap, literal_absent(tokens.required_literals(query), text), lifecycle, privacy, status)
+
+
+def literal_absent(literals: Column, text: Column) -> Column:
+    return F.exists(literals, lambda x: ~F.contains(text, x))
+
+
+def verdict(overlap: Column, absent: Column, lifecycle: Column, privacy: Column, status: Column) -> Column:
+    """support() of a hit whose texts were compared before: whether they share a token, and whether a required literal is absent."""
+    says = lambda state, reason: F.struct(F.lit(state).alias("state"), F.lit(reason).alias("reason"))
     return (
-        F.when(F.lower(lifecycle).isin(*BLOCKED_LIFECYCLES), verdict("unsupported", "lifecycle_not_current"))
-        .when(F.lower(privacy).isin(*BLOCKED_PRIVACY), verdict("unsupported", "privacy_or_provenance_veto"))
-        .when(absent, verdict("unsupported", "required_literal_absent"))
-        .when(status.isin("ineligible", "blocked", "secret"), verdict("unsupported", "evidence_ineligible"))
-        .when(status.isin("missing", "unknown_type", "unknown"), verdict("unsupported", "evidence_missing"))
-        .when((status == "ok") & overlap, verdict("supported", "eligible_evidence,query_candidate_grounded"))
-        .when(status == "ok", verdict("unsupported", "query_candidate_ungrounded"))
-        .when(~overlap, verdict("uncertain", "evidence_reference_absent,query_candidate_ungrounded"))
-        .otherwise(verdict("uncertain", "evidence_reference_absent"))
+        F.when(F.lower(lifecycle).isin(*BLOCKED_LIFECYCLES), says("unsupported", "lifecycle_not_current"))
+        .when(F.lower(privacy).isin(*BLOCKED_PRIVACY), says("unsupported", "privacy_or_provenance_veto"))
+        .when(absent, says("unsupported", "required_literal_absent"))
+        .when(status.isin("ineligible", "blocked", "secret"), says("unsupported", "evidence_ineligible"))
+        .when(status.isin("missing", "unknown_type", "unknown"), says("unsupported", "evidence_missing"))
+        .when((status == "ok") & overlap, says("supported", "eligible_evidence,query_candidate_grounded"))
+        .when(status == "ok", says("unsupported", "query_candidate_ungrounded"))
+        .when(~overlap, says("uncertain", "evidence_reference_absent,query_candidate_ungrounded"))
+        .otherwise(says("uncertain", "evidence_reference_absent"))
     )
 
 

@@ -71,13 +71,21 @@ CASE WHEN lifecycle = 'superseded' THEN 'lifecycle_not_current' WHEN privacy = '
 def search_evidence(spark, sf):
     """Every hit with the state of its evidence: resolved, eligible, and grounded in the query's words."""
     docs = table(spark, sf, "documents").select("doc_id", "text", "source")
-    hits = materialize(_hits(spark, sf, True))
-    rows = hits.join(docs.select(F.col("doc_id").alias("id"), "text", "source", F.lit(True).alias("there")), "id",
-        "left").join(docs.select(F.col("doc_id").alias("query"), F.col("text").alias("asked")), "query", "left")
-    status = F.when(F.col("there").isNull(), "missing").when(F.col("text") == "", "ineligible").when(F.col("source") == "src3", "blocked").otherwise("ok")
+    hits = materialize(_hits(spark, sf, True).select("query", "id", "unit"))
+    # A text is taken apart once, however many hits it is in.
+    needed = hits.select(F.explode(F.array("query", "id")).alias("doc_id")).distinct()
+    read = materialize(docs.join(needed, "doc_id").select("doc_id", "source", (F.col("text") == "").alias("blank"),
+        tokens.retrieval_tokens(F.col("text")).alias("tokens"), tokens.required_literals(F.col("text")).alias("literals")))
+    asked = read.select(F.col("doc_id").alias("query"), F.col("tokens").alias("words"))
+    strict = hits.join(read.where(F.size("literals") > 0).select(F.col("doc_id").alias("query"), "literals"), "query").join(docs.select(F.col("doc_id").alias("id"), "text"), "id", "left")
+    absent = strict.where(retrieval.literal_absent(F.col("literals"), F.coalesce("text", F.lit("")))).select("query", "id", F.lit(True).alias("absent")).distinct()
+    rows = hits.join(read.drop("literals").withColumnRenamed("doc_id", "id").withColumn("there", F.lit(True)), "id", "left")
+    rows = rows.join(asked, "query", "left").join(absent, ["query", "id"], "left")
+    status = F.when(F.col("there").isNull(), "missing").when(F.col("blank"), "ineligible").when(F.col("source") == "src3", "blocked").otherwise("ok")
     lifecycle = F.when(F.col("unit") % 11 == 3, "superseded").otherwise("current")
     privacy = F.when(F.col("unit") % 13 == 5, "secret").otherwise("open")
-    verdict = retrieval.support(F.coalesce("asked", F.lit("")), F.coalesce("text", F.lit("")), lifecycle, privacy, status)
+    overlap = F.coalesce(F.arrays_overlap("words", "tokens"), F.lit(False))
+    verdict = retrieval.verdict(overlap, F.coalesce("absent", F.lit(False)), lifecycle, privacy, status)
     return rows.select("query", "id", verdict.alias("v")).select("query", "id", "v.*")
 
 

@@ -205,3 +205,19 @@ def test_window_hashes_are_of_characters(spark):
     rows = spark.createDataFrame([(1, "abcabc"), (2, "xabcx"), (3, "ab"), (4, None), (5, "\U0001f600ab\U0001f600ab")], "id long, t string")
     got = {r["id"]: set(r["h"]) for r in rows.select("id", text.window_hashes(rows["t"], 3).alias("h")).collect()}
     assert [len(got[i]) for i in range(1, 6)] == [3, 3, 0, 0, 3] and len(got[1] & got[2]) == 1
+
+
+def test_verdict_of_texts_that_were_compared_before(spark):
+    """support() and verdict() of its parts say the same."""
+    from pyspark.sql import functions as F
+
+    from sparkloom.functions import tokens
+    from sparkloom.operators import retrieval
+
+    said = [("only answer if evidence contains zx9", "zx9 here"), ("only answer if evidence contains zx9", "nothing here"), ("red fox", "a fox"), ("red fox", "blue"), ("", "")]
+    rows = spark.createDataFrame([(i, q, t, s) for i, ((q, t), s) in enumerate((p, s) for p in said for s in ("ok", "missing", "blocked", None))], "i long, q string, t string, s string")
+    current, open_ = F.lit("current"), F.lit("open")
+    overlap = F.arrays_overlap(tokens.retrieval_tokens(rows["q"]), tokens.retrieval_tokens(rows["t"]))
+    absent = retrieval.literal_absent(tokens.required_literals(rows["q"]), rows["t"])
+    both = rows.select(retrieval.support(rows["q"], rows["t"], current, open_, rows["s"]).alias("a"), retrieval.verdict(overlap, absent, current, open_, rows["s"]).alias("b")).collect()
+    assert all(r["a"] == r["b"] for r in both) and len({r["a"] for r in both}) > 5
