@@ -82,8 +82,9 @@ class Units:
 
     def __init__(self, column: pa.Array):
         self.numbers = _numbers(column)
-        norms = [np.sqrt((m * m).sum(axis=1)) for m in (self.numbers[at : at + AGAIN].astype(np.float64) for at in range(0, len(self.numbers), AGAIN))]
-        self.norms = np.maximum(np.concatenate(norms) if norms else np.zeros(0), 1e-300)[:, None]
+        squares = [(m * m).sum(axis=1) for m in (self.numbers[at : at + AGAIN].astype(np.float64) for at in range(0, len(self.numbers), AGAIN))]
+        self.squares = np.concatenate(squares) if squares else np.zeros(0)
+        self.norms = np.maximum(np.sqrt(self.squares), 1e-300)[:, None]
 
     def __len__(self) -> int:
         return len(self.numbers)
@@ -180,8 +181,19 @@ def _products(left: Units, right: Units, rows=None, columns=None) -> Iterator[tu
         yield rows[at : at + step], left.single(rows[at : at + step]) @ across
 
 
+def _cosines(left: Units, right: Units, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """One rounded root under one product, so vectors of whole numbers that lie at a threshold, as 22/25 at 0.88, meet it."""
+    with np.errstate(over="ignore", invalid="ignore", divide="ignore"):
+        squares = left.squares[i] * right.squares[j]
+        scores = np.clip(np.einsum("ij,ij->i", left.numbers[i].astype(np.float64), right.numbers[j].astype(np.float64)) / np.sqrt(squares), -1, 1)
+    odd = np.flatnonzero(~((squares > 1e-280) & (squares < 1e280)))  # out of a double's range, or no direction
+    if len(odd):
+        scores[odd] = np.einsum("ij,ij->i", left.double(i[odd]), right.double(j[odd]))
+    return scores
+
+
 def _exact(left: Units, right: Units, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-    parts = [np.einsum("ij,ij->i", left.double(i[at : at + AGAIN]), right.double(j[at : at + AGAIN])) for at in range(0, len(i), AGAIN)]
+    parts = [_cosines(left, right, i[at : at + AGAIN], j[at : at + AGAIN]) for at in range(0, len(i), AGAIN)]
     return np.concatenate(parts) if parts else np.zeros(0)
 
 
