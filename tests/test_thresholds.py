@@ -15,7 +15,7 @@ def pair(seed, n, apart):
     return " ".join(words), " ".join(words[:-apart] + [f"b{seed}x{i}" for i in range(apart)])
 
 
-@pytest.mark.parametrize("name", ["canonical_dedup", "merge_layer"])
+@pytest.mark.parametrize("name", ["canonical_dedup", "merge_layer", "merge_report"])
 def test_texts_at_a_threshold(spark, tmp_path, name):
     texts = [t for tie in TIES.values() for t in pair(*tie)]
     rows = [(i, t, "en", "web", len(t)) for i, t in enumerate(texts)]
