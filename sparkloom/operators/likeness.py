@@ -23,8 +23,8 @@ from sparkloom.sources.shared import materialize
 
 #: Rows of a block on average: LEAST_ROWS, more where there are more than BLOCKS times as many rows, up to MOST_ROWS.
 LEAST_ROWS, BLOCKS, MOST_ROWS = 2048, 16, 65_536
-#: Bits of a sketch for each member by which sets may differ; rows of a block that are compared with others at a time.
-BITS, SLICE = 3, 64
+#: Bits of a sketch for each member by which sets may differ; rows of two blocks that are compared at a time.
+BITS, TILE = 3, (128, 512)
 #: Members of a string: its windows of so many characters.
 GRAM = 4
 #: Words of the bit table that keeps sets no pair names from being sent.
@@ -38,11 +38,19 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
+def _distinct(h: np.ndarray) -> np.ndarray:
+    """Sorted, each once; np.unique sorts them by way of a table, which takes several times as long."""
+    h = np.sort(h)
+    keep = np.ones(len(h), bool)
+    np.not_equal(h[1:], h[:-1], out=keep[1:])
+    return h[keep]
+
+
 def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
     """The sorted distinct hashes of each row's members: of lists of hashes those, of strings their windows of GRAM characters."""
     if pa.types.is_list(column.type) or pa.types.is_large_list(column.type):
         for row in column:
-            yield np.unique(row.values.to_numpy(zero_copy_only=False).view(np.uint64)) if row.is_valid else np.zeros(0, np.uint64)
+            yield _distinct(row.values.to_numpy(zero_copy_only=False).view(np.uint64)) if row.is_valid else np.zeros(0, np.uint64)
         return
     for row in column:
         c = np.frombuffer((row.as_py() or "").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
@@ -52,7 +60,7 @@ def _hashes(column: pa.Array) -> Iterator[np.ndarray]:
         h = np.zeros(n, np.uint64)
         for k in range(GRAM):
             h += (c[k : k + n] + np.uint64(1)) * _FACTORS[k]
-        yield np.unique(_mixed(h))
+        yield _distinct(_mixed(h))
 
 
 def hashed(members: Column, kind: str) -> Column:
@@ -99,14 +107,14 @@ def placed(sets: DataFrame, percent: int) -> tuple[DataFrame, list[tuple[int, in
 
 
 class _Side:
-    """Rows of a block, sorted by bucket and size."""
+    """Rows of a block, sorted by bucket, size and id."""
 
     def __init__(self, table: pa.Table, codes: dict[str, int], percent: int):
         self.id, self.n = table["id"].to_numpy(), table["n"].to_numpy().astype(np.int64)
         self.key = (np.array([codes[b] for b in table["bucket"].to_pylist()], dtype=np.int64) << 32) | self.n
         self.sketch, self.words = table["sketch"].combine_chunks(), _words(self.n, percent)
         self.role = table["role"].to_numpy()
-        self.order = np.argsort(self.key, kind="stable")
+        self.order = np.lexsort((self.id, self.key))
 
     def of(self, words: int, folded: int, role: int) -> tuple[np.ndarray, np.ndarray]:
         """The rows of a length and role, in order, with their sketches folded."""
@@ -118,42 +126,61 @@ class _Side:
         return at, m
 
 
-def _alike(left: _Side, right: _Side, percent: int, roles: tuple[int, int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Places (in left, in right) of rows that their sketches don't rule out."""
+def _alike(left: _Side, right: _Side, percent: int, roles: tuple[int, int], own: bool = False) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places (in left, in right) of rows that their sketches don't rule out; of a block with its own rows each pair once.
+
+    Rows meet in tiles that stay in a core's cache. So many words are counted of all pairs as rule out sets that have
+    nothing to do with each other, the others only of what is left."""
+    words, bits, few, apart = (np.zeros(TILE, t) for t in (np.uint64, np.uint8, np.uint8, np.uint32))
     for wl in np.unique(left.words):
         for wr in (wl // 2, wl, wl * 2):
-            if not (right.words == wr).any():
+            if not (right.words == wr).any() or (own and wr < wl):
                 continue
             w = int(min(wl, wr))
             (at, x), (to, y) = left.of(wl, w, roles[0]), right.of(wr, w, roles[1])
             if not len(at) or not len(to):
                 continue
-            across, first = np.ascontiguousarray(y.T), max(2, w // 4)
+            across = np.ascontiguousarray(y.T)
             key, n, m, code = right.key[to], left.n[at], right.n[to], left.key[at] >> 32 << 32
             low, high = np.searchsorted(key, code | -(-percent * n // 100), "left"), np.searchsorted(key, code | 100 * n // percent, "right")
-            for s in range(0, len(at), SLICE):
-                e = min(s + SLICE, len(at))
+            if own and wl == wr:  # the same rows in the same order
+                low = np.maximum(low, np.arange(len(at)) + 1)
+            for s in range(0, len(at), TILE[0]):
+                e = min(s + TILE[0], len(at))
                 some = high[s:e] > low[s:e]
                 if not some.any():
                     continue
                 lo, hi = int(low[s:e][some].min()), int(high[s:e].max())
-                for lo_ in range(lo, hi, MOST_ROWS):
-                    hi_ = min(hi, lo_ + MOST_ROWS)
-                    column = np.arange(lo_, hi_)[None, :]
-                    most = (100 - percent) * (n[s:e, None] + m[None, lo_:hi_]) // (100 + percent)
-                    apart = np.zeros((e - s, hi_ - lo_), np.int32)
+                for lo_ in range(lo, hi, TILE[1]):
+                    hi_ = min(hi, lo_ + TILE[1])
+                    most = (100 - percent) * int(n[s:e].max() + m[lo_:hi_].max()) // (100 + percent)
+                    first = min(w, 1 + int(2 * most + 6 * most**0.5) // 64)
+                    word, bit, sum_, all_ = (t[: e - s, : hi_ - lo_] for t in (words, bits, few, apart))
+                    all_[...] = 0
                     for k in range(first):
-                        apart += np.bitwise_count(x[s:e, k, None] ^ across[None, k, lo_:hi_])
-                    i, j = np.nonzero((apart <= most) & (column >= low[s:e, None]) & (column < high[s:e, None]))
-                    apart, most = apart[i, j], most[i, j]
+                        np.bitwise_xor(x[s:e, k, None], across[k, lo_:hi_], out=word)
+                        if k % 3:
+                            np.bitwise_count(word, out=bit)
+                            np.add(sum_, bit, out=sum_)
+                        else:
+                            np.bitwise_count(word, out=sum_)
+                        if k % 3 == 2 or k == first - 1:  # three words are at most 192 bits
+                            np.add(all_, sum_, out=all_)
+                    i, j = np.divmod(np.flatnonzero(all_ <= most), hi_ - lo_)
+                    if not len(i):
+                        continue
+                    far = all_[i, j].astype(np.int64)
                     i, j = i + s, j + lo_
+                    most = (100 - percent) * (n[i] + m[j]) // (100 + percent)
+                    keep = (far <= most) & (j >= low[i]) & (j < high[i])
+                    i, j, far, most = i[keep], j[keep], far[keep], most[keep]
                     for k in range(first, w):
                         if not len(i):
                             break
-                        apart = apart + np.bitwise_count(x[i, k] ^ across[k, j])
-                        keep = apart <= most
+                        far = far + np.bitwise_count(x[i, k] ^ across[k, j])
                         if k % 4 == 3 or k == w - 1:
-                            i, j, apart, most = i[keep], j[keep], apart[keep], most[keep]
+                            keep = far <= most
+                            i, j, far, most = i[keep], j[keep], far[keep], most[keep]
                     if len(i):
                         yield at[i], to[j]
 
@@ -166,9 +193,9 @@ def _met(rows: DataFrame, cells: list[tuple[int, int]], percent: int, roles: tup
             codes = {b: k for k, b in enumerate(sorted({*left["bucket"].to_pylist(), *right["bucket"].to_pylist()}))}
             x, y = _Side(left, codes, percent), _Side(right, codes, percent)
             for turned in (False, True)[: 1 if own or roles[0] == roles[1] else 2]:
-                for i, j in _alike(x, y, percent, roles[::-1] if turned else roles):
+                for i, j in _alike(x, y, percent, roles[::-1] if turned else roles, own and roles[0] == roles[1]):
                     a, b = (y.id[j], x.id[i]) if turned else (x.id[i], y.id[j])
-                    if roles[0] == roles[1] and not own:
+                    if roles[0] == roles[1]:
                         a, b = np.minimum(a, b), np.maximum(a, b)
                     a, b = a[a < b], b[a < b]
                     if first:  # the first row before each, not all of them
